@@ -30,6 +30,8 @@ requests AS (
          CASE WHEN event_id % 7 = 1 THEN '192.168.' || (user_id % 256) || '.1' END AS x_real_ip,
          CASE WHEN event_id % 11 <> 3 THEN '203.0.113.' || (event_id % 256) END AS remote_addr,
          (event_id * 37 + user_id * 11) % 450 + 5 AS duration_ms,
+         'POST' AS method,
+         '/api/' || (CASE WHEN event_id % 29 = 11 THEN 'v2' ELSE 'v1' END) || '/' || event_type || '/data' AS path,
          event_id, user_id, props
   FROM (
     SELECT *,
@@ -68,6 +70,10 @@ RENAMED = """(CASE WHEN renames AND json_valid(body) THEN
           THEN regexp_replace(json(body), '^\\{"id":', '{"push_event_id":') ELSE body END
    ELSE body END)"""
 
+STATUS = """CASE error_code WHEN 'unrouted' THEN 404 WHEN 'content_type' THEN 415 WHEN 'length_required' THEN 411
+    WHEN 'too_large' THEN 413 WHEN 'no_content' THEN 400 WHEN 'serialization' THEN 400
+    WHEN 'schema_validation' THEN 400 WHEN 'invalid_json_path' THEN 400 END"""
+
 GATED = f"""
 gated AS (
   SELECT q.*, r.schema_subject, r.schema_version, r.schema_fingerprint, r.pointer, r.renames,
@@ -89,12 +95,11 @@ gated AS (
 landed AS (
   SELECT *, {RENAMED} AS payload
   FROM gated WHERE error_code IS NULL
+),
+outcomes AS (
+  SELECT *, CAST(coalesce({STATUS}, 202) AS INTEGER) AS status FROM gated
 )"""
 
-STATUS = """CASE error_code WHEN 'unrouted' THEN 404 WHEN 'content_type' THEN 415 WHEN 'length_required' THEN 411
-    WHEN 'too_large' THEN 413 WHEN 'no_content' THEN 400 WHEN 'serialization' THEN 400
-    WHEN 'schema_validation' THEN 400 WHEN 'invalid_json_path' THEN 400 END"""
-
 MESSAGE = f"""CASE error_code
     WHEN 'unrouted' THEN ''
     WHEN 'content_type' THEN 'Only application/json is accepted'
@@ -109,6 +114,60 @@ MESSAGE = f"""CASE error_code
 
 WITH = f"WITH {REQUESTS},\n{ROUTES},\n{GATED}\n"
 
+ID = """(SELECT substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4)
+               || '-' || substr(h, 21, 12) FROM (SELECT sha256(producer || '|' || request_id) AS h))"""
+
+UTC_TEXT = "strftime(received_at, '%Y-%m-%dT%H:%M:%S.%fZ')"
+
+ROUTE_EVENTS = """
+ev AS (
+  SELECT o_orderkey AS seq,
+         CASE WHEN o_orderkey % 997 = 0 THEN 'Reseted' WHEN o_orderkey % 11 = 3 THEN 'Deleted'
+              WHEN o_orderkey % 2 = 0 THEN 'Modified' ELSE 'Added' END AS event_type,
+         'route-' || o_custkey AS name,
+         'p-' || o_custkey AS producer, o_orderpriority AS schema_subject,
+         CAST(year(o_orderdate) - 1990 AS INTEGER) AS schema_version, o_orderstatus AS status,
+         (o_orderkey % 997 <> 0 AND o_orderkey % 11 = 3) OR o_orderkey % 13 = 5 AS spec_null
+  FROM orders
+),
+eff AS (
+  SELECT * FROM ev
+  WHERE (event_type IN ('Added', 'Modified') AND NOT spec_null) OR event_type IN ('Deleted', 'Reseted')
+),
+named AS (SELECT * FROM eff WHERE event_type <> 'Reseted'),
+resets AS (SELECT seq FROM ev WHERE event_type = 'Reseted'),
+ivs AS (
+  SELECT name, valid_from, valid_to, event_type, producer, schema_subject, schema_version, status FROM (
+    SELECT n.*, n.seq AS valid_from,
+           least(lead(n.seq) OVER (PARTITION BY n.name ORDER BY n.seq),
+                 (SELECT min(r.seq) FROM resets r WHERE r.seq > n.seq)) AS valid_to
+    FROM named n)
+  WHERE event_type IN ('Added', 'Modified')
+),
+snap AS (
+  SELECT name, seq, producer, schema_subject, schema_version, status FROM (
+    SELECT *, row_number() OVER (PARTITION BY name ORDER BY seq DESC) AS rn FROM eff
+    WHERE event_type <> 'Reseted' AND seq > coalesce((SELECT max(seq) FROM resets), -1))
+  WHERE rn = 1 AND event_type <> 'Deleted'
+),
+chg AS (
+  SELECT seq, name,
+    CASE WHEN event_type IN ('Added', 'Modified')
+         THEN NOT live_before OR producer <> prev_producer OR schema_subject <> prev_subject
+              OR schema_version <> prev_version OR status <> prev_status
+         ELSE live_before END AS changed
+  FROM (
+    SELECT *, coalesce(prev_seq IS NOT NULL AND prev_type IN ('Added', 'Modified')
+                       AND (reset_before IS NULL OR prev_seq > reset_before), false) AS live_before
+    FROM (
+      SELECT n.*,
+        lag(n.seq) OVER w AS prev_seq, lag(n.event_type) OVER w AS prev_type,
+        lag(n.producer) OVER w AS prev_producer, lag(n.schema_subject) OVER w AS prev_subject,
+        lag(n.schema_version) OVER w AS prev_version, lag(n.status) OVER w AS prev_status,
+        (SELECT max(r.seq) FROM resets r WHERE r.seq < n.seq) AS reset_before
+      FROM named n WINDOW w AS (PARTITION BY n.name ORDER BY n.seq)))
+)"""
+
 SQL = {
     "gate_outcomes": WITH + f"""
 SELECT request_id, producer,
@@ -131,4 +190,83 @@ FROM landed""",
     "unrouted": f"""WITH {REQUESTS}
 SELECT request_id, api_version, producer FROM requests
 WHERE NOT (api_version = 'v1' AND producer IN ('click', 'view', 'purchase'))""",
+    "requests_total": WITH + """
+SELECT producer, CASE WHEN status < 300 THEN 'ok' ELSE 'error' END AS outcome, count(*) AS requests
+FROM outcomes WHERE error_code IS NULL OR error_code <> 'unrouted' GROUP BY 1, 2""",
+    "bytes_total": WITH + """
+SELECT producer, CAST(sum(strlen(payload)) AS BIGINT) AS bytes FROM landed GROUP BY producer""",
+    "accept_rate": WITH + """
+SELECT strftime(date_trunc('day', received_at), '%Y-%m-%d') AS day, producer,
+       count(*) FILTER (WHERE status = 202) AS accepted, count(*) FILTER (WHERE status <> 202) AS rejected,
+       round(avg(CASE WHEN status = 202 THEN 1 ELSE 0 END), 6) AS accept_rate
+FROM outcomes GROUP BY 1, 2""",
+    "slo_check": WITH + """
+SELECT *, p95_ms < 200 AS p95_ok, p99_ms < 500 AS p99_ok, failed_rate < 0.01 AS failed_ok,
+       accepted_rate > 0.99 AS accepted_ok
+FROM (SELECT count(*) AS requests,
+             quantile_cont(duration_ms, 0.95) AS p95_ms, quantile_cont(duration_ms, 0.99) AS p99_ms,
+             round(avg(CASE WHEN status >= 400 THEN 1 ELSE 0 END), 6) AS failed_rate,
+             round(avg(CASE WHEN status = 202 THEN 1 ELSE 0 END), 6) AS accepted_rate
+      FROM outcomes)""",
+    "client_address": WITH + """
+SELECT request_id, coalesce(x_correlation_id, request_id) AS correlation_id,
+       coalesce(trim(split_part(x_forwarded_for, ',', 1)), x_real_ip, remote_addr, 'unknown') AS client_ip,
+       method, path, producer, status
+FROM outcomes""",
+    "producers": WITH + "SELECT DISTINCT producer FROM landed",
+    "keyed_lww": WITH + f"""
+SELECT producer, key_hour, id, timestampUTC FROM (
+  SELECT producer, strftime(date_trunc('hour', received_at), '%Y-%m-%dT%H') AS key_hour, {ID} AS id,
+         {UTC_TEXT} AS timestampUTC,
+         row_number() OVER (PARTITION BY producer, date_trunc('hour', received_at)
+                            ORDER BY received_at DESC, {ID} DESC) AS rn
+  FROM landed)
+WHERE rn = 1""",
+    "last_n": """
+SELECT conv_id, turn, role, CAST(rank AS INTEGER) AS rank FROM (
+  SELECT conv_id, turn, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn DESC) AS rank
+  FROM conversations)
+WHERE rank <= 3""",
+    "pointer_extract": """
+SELECT event_id, CAST(json_extract(doc, '/p/k') AS VARCHAR) AS k,
+       CAST(json_extract(doc, '/m/a~1b/t~01/1') AS VARCHAR) AS escaped,
+       CAST(json_extract(doc, '/m/a~1b/t~01/2') AS VARCHAR) AS missing
+FROM (SELECT event_id, '{"m":{"a/b":{"t~1":[' || user_id || ',' || event_id || ']}},"p":' || props || '}' AS doc
+      FROM events)""",
+    "oversize_docs": """
+SELECT 'doc-' || doc_id AS request_id, source AS producer,
+       CAST(CASE WHEN strlen(text) > 16384 THEN 413 WHEN strlen(text) <= 0 THEN 400 ELSE 202 END AS INTEGER) AS status,
+       CAST(strlen(text) AS BIGINT) AS content_length,
+       CAST(CASE WHEN strlen(text) BETWEEN 1 AND 16384 THEN strlen(text) END AS BIGINT) AS payload_bytes
+FROM documents""",
+    "incremental_pull": WITH + f"""
+SELECT 'evt-' || event_id AS push_event_id, user_id AS seq, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
+       {UTC_TEXT} AS timestampUTC, {ID} AS merge_key
+FROM landed WHERE producer = 'signup' AND received_at > TIMESTAMP '2024-01-15 00:00:00'""",
+    "payload_explode": """
+SELECT l_orderkey, l_linenumber, l_partkey, l_returnflag,
+       CASE WHEN l_linenumber % 2 = 0 THEN 'line ' || l_linenumber END AS l_comment
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "merge_target": """
+SELECT user_id, event_id, event_type, strftime(ts, '%Y-%m-%dT%H:%M:%S.%f') AS ts FROM (
+  SELECT *, row_number() OVER (PARTITION BY user_id ORDER BY ts DESC, event_id DESC) AS rn FROM events)
+WHERE rn = 1""",
+    "embedding_variant": """
+SELECT vec_id AS push_event_id, CAST(len(embedding) AS INTEGER) AS n_elems, label FROM embeddings""",
+    "route_snapshot": f"WITH {ROUTE_EVENTS}\nSELECT * FROM snap",
+    "route_intervals": f"WITH {ROUTE_EVENTS}\nSELECT * FROM ivs",
+    "route_changes": f"WITH {ROUTE_EVENTS}\nSELECT seq, name, changed FROM chg",
+    "route_reloads": f"""WITH {ROUTE_EVENTS}
+SELECT CAST(1 + (SELECT count(*) FROM chg WHERE changed)
+            + (SELECT count(*) FROM resets WHERE seq IN (SELECT valid_to FROM ivs)) AS BIGINT) AS reloads,
+       (SELECT count(*) FROM snap) AS active_routes""",
+    "route_asof": f"""WITH {ROUTE_EVENTS},
+reqs AS (
+  SELECT l_orderkey || '-' || l_linenumber AS request_id, 'p-' || o_custkey AS producer, l_orderkey AS at
+  FROM lineitem JOIN orders ON l_orderkey = o_orderkey)
+SELECT r.request_id, r.producer,
+       coalesce(i.valid_from IS NOT NULL AND (i.valid_to IS NULL OR r.at < i.valid_to), false) AS routed,
+       CASE WHEN i.valid_from IS NOT NULL AND (i.valid_to IS NULL OR r.at < i.valid_to)
+            THEN i.schema_subject END AS schema_subject
+FROM reqs r ASOF LEFT JOIN ivs i ON r.producer = i.producer AND r.at >= i.valid_from""",
 }

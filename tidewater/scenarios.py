@@ -13,11 +13,15 @@ from pyspark.sql import functions as F
 
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
+from tidewater.operators import metrics as M
+from tidewater.operators import pull as P
+from tidewater.operators import route_log as RL
 from tidewater.plans.routes import RouteTable, compile_routes
 from tidewater.session import ensure_utc
 from tidewater.settings import Settings
 from tidewater.sources import routes as R
 from tidewater.sources import testdata as TD
+from tidewater.plans.avro import fingerprint, parse_schema
 
 # The demo route configuration served to the event-derived pushes.
 EVENT_SCHEMA = json.dumps({
@@ -82,8 +86,243 @@ def unrouted(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.unrouted(event_requests(spark, sf_dir), table, spark).select("request_id", "api_version", "producer")
 
 
+
+
+def landed_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.envelope(G.accepted(gated_events(spark, sf_dir)))
+
+
+# --- metrics (A1, A2, A6, A7, P8-P10) -------------------------------------------------------------
+
+def requests_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.requests_total(gated_events(spark, sf_dir))
+
+
+def bytes_total(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.bytes_total(gated_events(spark, sf_dir))
+
+
+def accept_rate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    out = M.accept_rate(gated_events(spark, sf_dir), window="1 day")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd").alias("day"), "producer", "accepted", "rejected",
+                      F.round("accept_rate", 6).alias("accept_rate"))
+
+
+def slo_check(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.slo_check(gated_events(spark, sf_dir)).withColumns({
+        "failed_rate": F.round("failed_rate", 6), "accepted_rate": F.round("accepted_rate", 6)})
+
+
+def client_address(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return M.access_log(gated_events(spark, sf_dir))
+
+
+# --- landing readers (S8, T6, W1) -----------------------------------------------------------------
+
+def producers(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return L.producers(landed_events(spark, sf_dir))
+
+
+def keyed_lww(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Keyed landing with (producer, hour) keys: the newest write per key wins."""
+    landed = landed_events(spark, sf_dir).withColumn("key_hour", F.date_format(F.date_trunc("hour", "ts"),
+                                                                               "yyyy-MM-dd'T'HH"))
+    win = L.keyed_last_write(landed.select("producer", "key_hour", "ts", "id", "batch_id", "timestampUTC"),
+                             ["producer", "key_hour"], ["batch_id", "ts", "id"])
+    return win.select("producer", "key_hour", "id", "timestampUTC")
+
+
+def last_n(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The newest 3 turns per conversation (bounded buffer per key)."""
+    conv = TD.table(spark, sf_dir, "conversations")
+    out = L.last_n(conv.select("conv_id", "turn", "role"), ["conv_id"], [F.col("turn").desc()], 3,
+                   SETTINGS.salt_buckets, tie="turn")
+    return out.select("conv_id", "turn", "role", "rank")
+
+
+# --- pointer, size limit (P1, P2, F4, P6) ---------------------------------------------------------
+
+def pointer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from tidewater.functions import pointer as jp
+    ev = TD.table(spark, sf_dir, "events")
+    doc = F.concat(F.lit('{"m":{"a/b":{"t~1":['), F.col("user_id").cast("string"), F.lit(","),
+                   F.col("event_id").cast("string"), F.lit(']}},"p":'), F.col("props"), F.lit("}"))
+    v = F.try_parse_json(doc)
+    return ev.select("event_id",
+                     jp.extract_text(v, jp.segments("/p/k")).alias("k"),
+                     jp.extract_text(v, jp.segments("/m/a~1b/t~01/1")).alias("escaped"),
+                     jp.extract_text(v, jp.segments("/m/a~1b/t~01/2")).alias("missing"))
+
+
+DOC_SETTINGS = Settings(max_content_length=16_384)
+
+
+def oversize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents pushed as bodies to bare per-source routes under a 16 KiB limit."""
+    ensure_utc(spark)
+    docs = TD.table(spark, sf_dir, "documents")
+    reqs = docs.select(
+        F.concat(F.lit("doc-"), F.col("doc_id").cast("string")).alias("request_id"),
+        F.lit(None).cast("string").alias("x_correlation_id"),
+        F.timestamp_seconds(F.col("doc_id")).alias("received_at"),
+        F.lit("v1").alias("api_version"), F.col("source").alias("producer"),
+        F.lit("application/json").alias("content_type"),
+        F.octet_length("text").cast("long").alias("content_length"), F.col("text").alias("body"))
+    sources = [r["source"] for r in docs.select("source").distinct().collect()]
+    routes = [{"name": f"route-{src}", "spec": {"consumerId": src, "schemaSubject": f"{src}-text",
+                                                "schemaVersion": 1}} for src in sources]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), DOC_SETTINGS)
+    return G.gate(reqs, table, spark).select("request_id", "producer", "status", "content_length",
+                                             "payload_bytes")
+
+
+# --- pull side (S6, C1-C7) ------------------------------------------------------------------------
+
+def incremental_pull(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """signup rows past a mid-range watermark, decoded onto the derived target layout."""
+    table = event_routes(spark, ["signup"])
+    route = table.by_producer()["signup"]
+    wm = P.parse_watermark('{"timestamp":"2024-01-15T00:00:00Z"}')
+    rows = P.pull(landed_events(spark, sf_dir), "signup", wm, route.columns, route.pointer, SETTINGS.merge_key)
+    return rows.select("push_event_id", "seq", F.try_variant_get("payload", "$.k", "int").alias("k"),
+                       "timestampUTC", SETTINGS.merge_key)
+
+
+ORDER_LINES = json.dumps({
+    "type": "record", "name": "Line", "namespace": "demo.orders",
+    "fields": [{"name": "l_orderkey", "type": "long"}, {"name": "l_linenumber", "type": "int"},
+               {"name": "l_partkey", "type": "long"}, {"name": "l_returnflag", "type": "string"},
+               {"name": "l_comment", "type": ["null", "string"]}],
+})
+
+
+def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders pushed as JSON arrays of their lines, landed, exploded and decoded.
+
+    ``l_comment`` is a nullable union, so it arrives tagged (``{"string": ...}``) on even lines.
+    """
+    from tidewater.plans import layout as LY
+    ensure_utc(spark)
+    li = TD.table(spark, sf_dir, "lineitem")
+    orders = TD.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
+    comment = F.when(F.col("l_linenumber") % 2 == 0, F.struct(
+        F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("string")))
+    line = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", comment.alias("l_comment"))
+    per_order = (li.join(orders, li.l_orderkey == orders.o_orderkey)
+                 .groupBy("o_orderkey", "o_orderdate").agg(F.to_json(F.collect_list(line)).alias("body")))
+    reqs = per_order.select(
+        F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("request_id"),
+        F.col("o_orderdate").cast("timestamp").alias("received_at"), F.lit("v1").alias("api_version"),
+        F.lit("orders").alias("producer"), F.lit("application/json").alias("content_type"),
+        F.octet_length("body").cast("long").alias("content_length"), "body")
+    routes = [{"name": "route-orders", "spec": {"consumerId": "orders", "schemaSubject": "orders-lines",
+                                                "schemaVersion": 1}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
+    cols = LY.with_envelope_columns(LY.derive_columns(ORDER_LINES), SETTINGS.merge_key)
+    out = P.decode(P.explode_payload(landed), cols, SETTINGS.merge_key)
+    return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_comment")
+
+
+def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events merged by user in two overlapping halves; the newest event per user wins."""
+    ev = TD.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", "ts")
+    split = F.lit("2024-01-16 00:00:00").cast("timestamp_ntz")
+    first = P.merge(None, ev.where(F.col("ts") < split), ["user_id"], ["ts", "event_id"])
+    merged = P.merge(first, ev.where(F.col("ts") >= split), ["user_id"], ["ts", "event_id"])
+    return merged.select("user_id", "event_id", "event_type",
+                         F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
+
+
+EMBEDDING_SCHEMA = json.dumps({
+    "type": "record", "name": "Embedding", "namespace": "demo.vectors",
+    "fields": [{"name": "id", "type": "long"}, {"name": "embedding", "type": {"type": "array", "items": "float"}},
+               {"name": "label", "type": "int"}],
+})
+
+
+def embedding_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Embeddings pushed through a schema route with a target; the vector lands as one variant column."""
+    ensure_utc(spark)
+    emb = TD.table(spark, sf_dir, "embeddings")
+    body = F.to_json(F.struct(F.col("vec_id").alias("id"), F.col("embedding"), F.col("label")))
+    reqs = emb.select(
+        F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("request_id"),
+        F.timestamp_seconds(F.col("vec_id") + F.lit(1_704_067_200)).alias("received_at"), F.lit("v1").alias("api_version"),
+        F.lit("vectors").alias("producer"), F.lit("application/json").alias("content_type"),
+        F.octet_length(body).cast("long").alias("content_length"), body.alias("body"))
+    routes = [{"name": "route-vectors", "spec": {
+        "consumerId": "vectors", "schemaSubject": "vectors", "schemaVersion": 1, "payloadSchema": EMBEDDING_SCHEMA,
+        "iceberg": dict(TARGET, tableName="vectors")}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    route = table.by_producer()["vectors"]
+    landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
+    wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
+    rows = P.pull(landed, "vectors", wm, route.columns, route.pointer, SETTINGS.merge_key)
+    return rows.select("push_event_id", F.array_size(F.col("embedding").try_cast("array<variant>")).alias("n_elems"),
+                       "label")
+
+
+# --- route changelog (T1, T2, J3, A3, A4, W3) -----------------------------------------------------
+
+def route_events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return TD.route_events_from_orders(TD.table(spark, sf_dir, "orders"))
+
+
+def route_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.snapshot(route_events(spark, sf_dir))
+
+
+def route_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.intervals(route_events(spark, sf_dir), width=1024)
+
+
+def route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.changes(route_events(spark, sf_dir), width=1024).where(F.col("name").isNotNull()) \
+        .select("seq", "name", "changed")
+
+
+def route_reloads(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return RL.reload_stats(route_events(spark, sf_dir), width=1024)
+
+
+def route_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each line item pushed by its customer's producer at its order's position in the route log."""
+    li = TD.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber")
+    orders = TD.table(spark, sf_dir, "orders").select("o_orderkey", "o_custkey")
+    reqs = li.join(orders, li.l_orderkey == orders.o_orderkey).select(
+        F.concat(F.col("l_orderkey").cast("string"), F.lit("-"), F.col("l_linenumber").cast("string"))
+        .alias("request_id"),
+        F.concat(F.lit("p-"), F.col("o_custkey").cast("string")).alias("producer"),
+        F.col("l_orderkey").alias("at"))
+    ivs = RL.intervals(route_events(spark, sf_dir), width=1024).select(
+        "producer", "valid_from", "valid_to", "schema_subject")
+    out = RL.route_asof(reqs, ivs, "at", width=1024)
+    return out.select("request_id", "producer", "routed",
+                      F.when(F.col("routed"), F.col("schema_subject")).alias("schema_subject"))
+
+
 REGISTRY = {
     "gate_outcomes": gate_outcomes,
     "landing_rows": landing_rows,
     "unrouted": unrouted,
+    "requests_total": requests_total,
+    "bytes_total": bytes_total,
+    "accept_rate": accept_rate,
+    "slo_check": slo_check,
+    "client_address": client_address,
+    "producers": producers,
+    "keyed_lww": keyed_lww,
+    "last_n": last_n,
+    "pointer_extract": pointer_extract,
+    "oversize_docs": oversize_docs,
+    "incremental_pull": incremental_pull,
+    "payload_explode": payload_explode,
+    "merge_target": merge_target,
+    "embedding_variant": embedding_variant,
+    "route_snapshot": route_snapshot,
+    "route_intervals": route_intervals,
+    "route_changes": route_changes,
+    "route_reloads": route_reloads,
+    "route_asof": route_asof,
 }
