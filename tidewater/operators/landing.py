@@ -42,12 +42,13 @@ def envelope(accepted: DataFrame, batch_id: int | Column = 0) -> DataFrame:
 
 
 def write_landing(landed: DataFrame, path: str, mode: str = "append") -> None:
-    """Append envelopes partitioned by producer; rows clustered by producer then sorted by ts.
+    """Append envelopes partitioned by producer, each file sorted by ts.
 
-    repartition on producer alone would put a hot producer in one task, so rows are
-    spread by (producer, id-hash bucket) and only sorted within each task.
+    ``rebalance`` lets AQE size the write tasks from the data: a producer holding a
+    third of the batch is split into advisory-size partitions (no single task holds
+    it whole) and small producers are coalesced, so file sizes stay near the target.
     """
-    (landed.repartition("producer", (F.abs(F.xxhash64("id")) % 16).alias("_b"))
+    (landed.hint("rebalance", "producer")
      .sortWithinPartitions("producer", "ts")
      .write.mode(mode).partitionBy("producer").parquet(path))
 
