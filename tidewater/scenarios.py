@@ -204,19 +204,21 @@ def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     from tidewater.plans import layout as LY
     ensure_utc(spark)
     li = TD.table(spark, sf_dir, "lineitem")
-    orders = TD.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate")
     comment = F.when(F.col("l_linenumber") % 2 == 0, F.struct(
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("string")))
     line = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", comment.alias("l_comment"))
+    orders = TD.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
     per_order = (li.join(orders, li.l_orderkey == orders.o_orderkey)
-                 .groupBy("o_orderkey", "o_orderdate").agg(F.to_json(F.collect_list(line)).alias("body")))
+                 .groupBy("o_orderkey", "o_orderdate", "o_orderpriority")
+                 .agg(F.to_json(F.collect_list(line)).alias("body")))
     reqs = per_order.select(
         F.concat(F.lit("ord-"), F.col("o_orderkey").cast("string")).alias("request_id"),
         F.col("o_orderdate").cast("timestamp").alias("received_at"), F.lit("v1").alias("api_version"),
-        F.lit("orders").alias("producer"), F.lit("application/json").alias("content_type"),
+        F.concat(F.lit("orders-"), F.substring("o_orderpriority", 1, 1)).alias("producer"),
+        F.lit("application/json").alias("content_type"),
         F.octet_length("body").cast("long").alias("content_length"), "body")
-    routes = [{"name": "route-orders", "spec": {"consumerId": "orders", "schemaSubject": "orders-lines",
-                                                "schemaVersion": 1}}]
+    routes = [{"name": f"route-orders-{i}", "spec": {"consumerId": f"orders-{i}", "schemaSubject": "orders-lines",
+                                                     "schemaVersion": 1}} for i in range(1, 6)]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
     landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
     cols = LY.with_envelope_columns(LY.derive_columns(ORDER_LINES), SETTINGS.merge_key)
@@ -249,16 +251,22 @@ def embedding_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
     reqs = emb.select(
         F.concat(F.lit("vec-"), F.col("vec_id").cast("string")).alias("request_id"),
         F.timestamp_seconds(F.col("vec_id") + F.lit(1_704_067_200)).alias("received_at"), F.lit("v1").alias("api_version"),
-        F.lit("vectors").alias("producer"), F.lit("application/json").alias("content_type"),
+        F.concat(F.lit("vectors-"), (F.col("label") % 2).cast("string")).alias("producer"),
+        F.lit("application/json").alias("content_type"),
         F.octet_length(body).cast("long").alias("content_length"), body.alias("body"))
-    routes = [{"name": "route-vectors", "spec": {
-        "consumerId": "vectors", "schemaSubject": "vectors", "schemaVersion": 1, "payloadSchema": EMBEDDING_SCHEMA,
-        "iceberg": dict(TARGET, tableName="vectors")}}]
+    labels = (0, 1)
+    routes = [{"name": f"route-vectors-{k}", "spec": {
+        "consumerId": f"vectors-{k}", "schemaSubject": "vectors", "schemaVersion": 1,
+        "payloadSchema": EMBEDDING_SCHEMA, "iceberg": dict(TARGET, tableName=f"vectors_{k}")}} for k in labels]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
-    route = table.by_producer()["vectors"]
     landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
     wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
-    rows = P.pull(landed, "vectors", wm, route.columns, route.pointer, SETTINGS.merge_key)
+    pulled = None
+    for k in labels:
+        route = table.by_producer()[f"vectors-{k}"]
+        part = P.pull(landed, route.producer, wm, route.columns, route.pointer, SETTINGS.merge_key)
+        pulled = part if pulled is None else pulled.unionByName(part)
+    rows = pulled
     return rows.select("push_event_id", F.array_size(F.col("embedding").try_cast("array<variant>")).alias("n_elems"),
                        "label")
 
