@@ -78,6 +78,12 @@ def test_pull_merge_and_advance(spark, scratch):
     assert got == {"e1": (5, True), "e2": (None, True), "e3": (7, True)}
     merged = P.merge(spark.table("pv.pull_tbl"), rows, ["merge_key"], ["timestampUTC"])
     assert merged.count() == 3
+    P.merge_into_table(spark, "pv.pull_tbl", rows, ["merge_key"], ["timestampUTC"], version=1)
+    assert spark.table("pv.pull_tbl").count() == 3
+    # replaying the same rows (e.g. a re-run batch) changes nothing: same deterministic merge keys
+    P.merge_into_table(spark, "pv.pull_tbl", rows, ["merge_key"], ["timestampUTC"], version=2)
+    assert spark.table("pv.pull_tbl").count() == 3
+    assert P.table_comment(spark, "pv.pull_tbl") == EPOCH_WATERMARK
     newest = rows.agg(F.max("timestampUTC")).first()[0]
     P.advance_watermark(spark, "pv.pull_tbl", dt.datetime.strptime(newest, "%Y-%m-%dT%H:%M:%S.%fZ"))
     wm2 = P.read_watermark(spark, "pv.pull_tbl")
@@ -92,3 +98,11 @@ def test_explode_and_pointer_on_read(spark):
     nested = spark.createDataFrame([('{"env":{"body":{"x":1}}}',)], "payload string")
     got = P.apply_pointer(P.explode_payload(nested), "/env/body")
     assert got.select(F.to_json("doc")).first()[0] == '{"x":1}'
+
+
+def test_ensure_landing_table(spark, scratch):
+    assert L.ensure_landing_table(spark, "default.landing_s4", f"{scratch}/l", auto_create=True)
+    assert not L.ensure_landing_table(spark, "default.landing_s4", f"{scratch}/l", auto_create=False)
+    with pytest.raises(RuntimeError):
+        L.ensure_landing_table(spark, "default.landing_missing", f"{scratch}/m", auto_create=False)
+    assert "producer" in spark.table("default.landing_s4").columns

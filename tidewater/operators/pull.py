@@ -118,9 +118,9 @@ def decode(df: DataFrame, columns: list[layout.Column], merge_key: str) -> DataF
 def merge(target: DataFrame | None, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:
     """Upsert by key, newest by ``order`` wins.
 
-    A union plus a keyed max_by aggregate (partial aggregation, no per-key sort); the
-    caller writes the result to a new location and swaps it in, or runs MERGE INTO on
-    formats that support it.
+    A union plus a keyed ``max_by`` aggregate: Spark plans it as a partial aggregate
+    before the shuffle and a final one after, so a hot key is collapsed map-side and
+    never reaches one task whole.  ``merge_into_table`` writes and swaps the result.
     """
     rows = incoming if target is None else target.unionByName(incoming)
     others = [c for c in rows.columns if c not in key]
@@ -128,6 +128,34 @@ def merge(target: DataFrame | None, incoming: DataFrame, key: list[str], order:
     return agg.select(*key, *[F.col("_w")[c].alias(c) for c in others])
 
 
+def table_location(spark: SparkSession, table: str) -> str:
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():
+        if (r["col_name"] or "").strip() == "Location":
+            return r["data_type"]
+    raise RuntimeError(f"table {table} has no location")
+
+
+def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key: list[str], order: list[str],
+                     version: int) -> str:
+    """Merge ``incoming`` into a Parquet target (C5) and swap the table to the result.
+
+    Parquet tables refuse MERGE INTO, and a job may not overwrite the files it reads,
+    so the merged rows are written to a new versioned folder beside the current one
+    (in the table's own, shared storage) and the table is pointed at it.  The write
+    also cuts the lineage: the next merge starts from files, not from this plan.
+    Iceberg targets run ``MERGE INTO`` instead.
+    """
+    current = table_location(spark, table)
+    base = current.rstrip("/").rsplit("/_v", 1)[0]
+    target = f"{base}/_v{version}"
+    cols = spark.table(table).columns
+    merged = merge(spark.table(table), incoming.select(*cols), key, order).select(*cols)
+    merged.write.mode("overwrite").parquet(target)
+    spark.sql(f"ALTER TABLE {table} SET LOCATION '{target}'")
+    spark.catalog.refreshTable(table)
+    return target
+
+
 def pull(landed: DataFrame, producer: str, watermark: dt.datetime, columns: list[layout.Column],
          pointer: str | None, merge_key: str) -> DataFrame:
     """S6 → C1 → C2 → C3/C6 → C4 for one producer."""

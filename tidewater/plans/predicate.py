@@ -60,15 +60,22 @@ def _kind(c: Column) -> Column:
     return F.schema_of_variant(c)
 
 
-def _numeric(c: Column) -> Column:
-    k = _kind(c)
-    return k.isin(*_NUMERIC_KINDS) | k.startswith("DECIMAL")
+def _numeric(kind: Column) -> Column:
+    return kind.isin(*_NUMERIC_KINDS) | kind.startswith("DECIMAL")
 
 
-def _integral(c: Column, sql_type: str) -> Column:
-    exact = F.try_variant_get(c, "$", "decimal(38,10)")
-    whole = F.try_variant_get(c, "$", sql_type)
-    return _numeric(c) & exact.isNotNull() & whole.isNotNull() & (whole.cast("decimal(38,10)") == exact)
+def _typed(node: _Node, sql_type: str) -> Column:
+    """Typed value read straight from the base by path (no intermediate variant copy)."""
+    rendered = variant_path(list(node.path)) if node.path else "$"
+    if rendered is None:
+        return F.try_variant_get(node.col(), "$", sql_type)
+    return F.try_variant_get(node.base, rendered, sql_type)
+
+
+def _integral(node: _Node, kind: Column, sql_type: str) -> Column:
+    exact = _typed(node, "decimal(38,10)")
+    whole = _typed(node, sql_type)
+    return _numeric(kind) & (whole.cast("decimal(38,10)") == exact)
 
 
 def _check(t: AvroType, node: _Node, depth: int) -> Column:
@@ -85,20 +92,21 @@ def _check(t: AvroType, node: _Node, depth: int) -> Column:
     x = node.col()
     if k == "null":
         return F.is_variant_null(x)
+    kind = _kind(x)
     if k == "boolean":
-        return _kind(x) == "BOOLEAN"
+        return kind == "BOOLEAN"
     if k == "int":
-        return _integral(x, "int")
+        return _integral(node, kind, "int")
     if k == "long":
-        return _integral(x, "bigint")
+        return _integral(node, kind, "bigint")
     if k in ("float", "double"):
-        return _numeric(x)
+        return _numeric(kind)
     if k in ("string", "bytes"):
-        return _kind(x) == "STRING"
+        return kind == "STRING"
     if k == "enum":
-        return (_kind(x) == "STRING") & F.try_variant_get(x, "$", "string").isin(*t.symbols)
+        return (kind == "STRING") & _typed(node, "string").isin(*t.symbols)
     if k == "fixed":
-        return (_kind(x) == "STRING") & (F.length(F.try_variant_get(x, "$", "string")) == t.size)
+        return (kind == "STRING") & (F.length(_typed(node, "string")) == t.size)
     if k == "array":
         arr = x.try_cast("array<variant>")
         return arr.isNotNull() & F.forall(

@@ -28,7 +28,5 @@ class Settings:
     route_broadcast_limit: int = 100_000
     # Salt buckets used by skew-safe per-producer operators.
     salt_buckets: int = 64
-    # Opt-in: also rename root "id" inside array bodies.
-    rename_in_arrays: bool = False
     base_tags: dict = field(default_factory=dict)
     table_format: str = "parquet"
