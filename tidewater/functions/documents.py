@@ -14,21 +14,30 @@ def is_json_media_type(content_type: Column) -> Column:
     return F.coalesce(main == "application/json", F.lit(False))
 
 
-def rename_root_id(body: Column, v: Column) -> Column:
+def rename_inputs(body: Column, v: Column) -> tuple[Column, Column]:
+    """Root keys in document order, and the root members (NULL unless an object without duplicates)."""
+    return F.json_object_keys(body), v.try_cast("map<string,variant>")
+
+
+def rename_from(body: Column, keys: Column, members: Column) -> Column:
     """Object root with "id" and without "push_event_id": rename it, keep root order.
 
     The document is re-serialised compactly; anything else is returned untouched.
-    ``v`` is the body parsed once by the gate (NULL for invalid JSON or duplicate keys).
+    ``keys`` / ``members`` come from :func:`rename_inputs`, ideally materialised once.
     """
-    keys = F.json_object_keys(body)
-    members = v.try_cast("map<string,variant>")
     wanted = (F.array_contains(keys, "id") & ~F.array_contains(keys, PUSH_EVENT_ID) & members.isNotNull())
     renamed = F.to_json(F.map_from_arrays(
         F.transform(keys, lambda k: F.when(k == "id", F.lit(PUSH_EVENT_ID)).otherwise(k)),
-        F.transform(keys, lambda k: F.try_element_at(members, k))))
+        F.transform(keys, lambda k: F.element_at(members, k))))
     return F.when(F.coalesce(wanted, F.lit(False)), renamed).otherwise(body)
 
 
+def rename_root_id(body: Column, v: Column) -> Column:
+    """P3 as one expression (``v`` is the body parsed once; NULL for invalid JSON or duplicate keys)."""
+    keys, members = rename_inputs(body, v)
+    return rename_from(body, keys, members)
+
+
 def utc_text(ts: Column) -> Column:
     """Fixed-width ISO-8601 UTC text: string order equals time order (session time zone is UTC)."""
     return F.date_format(ts, UTC_TEXT_FORMAT)

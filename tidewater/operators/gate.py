@@ -99,8 +99,12 @@ def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = No
     )
     gated = with_doc.withColumn("error_code", error_code)
     accepted = F.col("error_code").isNull()
-    payload = F.when(accepted & F.col("rename"), docs.rename_root_id(body, v)).when(accepted, body)
-    gated = gated.withColumn("payload", payload).withColumn(
+    renaming = accepted & F.coalesce(F.col("rename"), F.lit(False))
+    keys, members = docs.rename_inputs(body, v)
+    gated = gated.withColumns({"_keys": F.when(renaming, keys), "_members": F.when(renaming, members)})
+    payload = (F.when(renaming, docs.rename_from(body, F.col("_keys"), F.col("_members")))
+               .when(accepted, body))
+    gated = gated.withColumn("payload", payload).drop("_keys", "_members").withColumn(
         "payload_bytes", F.octet_length(F.col("payload")).cast("long"))
     cause = (F.when(F.col("error_code") == "serialization", F.lit("request body could not be read"))
              .when(F.col("error_code") == "schema_validation",
