@@ -41,3 +41,24 @@ def asof_time(left: DataFrame, right: DataFrame, by: list[str], left_t: Column,
     joined = marked.join(carry, on=[*by, _B], how="left")
     match = F.coalesce(F.col("_asof_within"), F.col("_asof_carry")) * sign
     return joined.withColumn(out, match).drop(_T, _SIDE, _B, "_asof_within", "_asof_carry")
+
+
+def neighbour(df: DataFrame, by: list[str], seq: str, width: int, out: str, forward: bool = True) -> DataFrame:
+    """The next (``forward``) or previous value of ``seq`` among rows with the same key.
+
+    ``lead``/``lag`` within (key, bucket of ``seq``), and for the first/last row of a
+    bucket the nearest value in the key's neighbouring non-empty bucket, taken from a
+    per-bucket summary.  A hot key is spread over its buckets; ``seq`` must be unique
+    per key.
+    """
+    b = F.floor(F.col(seq) / width)
+    w = Window.partitionBy(*by, _B).orderBy(seq)
+    within = F.lead(seq).over(w) if forward else F.lag(seq).over(w)
+    tagged = df.withColumn(_B, b).withColumn("_nb_within", within)
+    summary = df.withColumn(_B, b).groupBy(*by, _B).agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
+    ws = Window.partitionBy(*by).orderBy(_B)
+    edge = F.lead("_first").over(ws) if forward else F.lag("_last").over(ws)
+    summary = summary.select(*by, _B, edge.alias("_nb_edge"))
+    joined = tagged.join(summary, on=[*by, _B], how="left")
+    return joined.withColumn(out, F.coalesce(F.col("_nb_within"), F.col("_nb_edge"))).drop(
+        _B, "_nb_within", "_nb_edge")

@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.operators.asof import asof_time
+from tidewater.operators.asof import asof_time, neighbour
 
 UPSERTS = ("Added", "Modified")
 
@@ -43,9 +43,8 @@ def intervals(events: DataFrame, width: int = 1 << 16) -> DataFrame:
     name or the next reset, whichever comes first (``valid_to`` NULL = still live)."""
     eff = effective(events)
     named = eff.where(F.col("event_type") != "Reseted")
-    upserts = named.where(F.col("event_type").isin(*UPSERTS))
-    nxt_name = asof_time(upserts, named, ["name"], F.col("seq"), F.col("seq"), width,
-                         out="next_name_seq", forward=True, strict=True)
+    nxt_name = neighbour(named, ["name"], "seq", width, out="next_name_seq", forward=True).where(
+        F.col("event_type").isin(*UPSERTS))
     resets = eff.where(F.col("event_type") == "Reseted").select("seq")
     nxt = asof_time(nxt_name, resets, [], F.col("seq"), F.col("seq"), width,
                     out="next_reset_seq", forward=True, strict=True)
@@ -55,16 +54,16 @@ def intervals(events: DataFrame, width: int = 1 << 16) -> DataFrame:
 
 
 def changes(events: DataFrame, width: int = 1 << 16) -> DataFrame:
-    """Events that change the published snapshot (T2), with the route count after each.
+    """Events that change the published snapshot.
 
     An upsert changes it unless it repeats the name's live spec; a delete only when
-    the name was live; a reset only when anything was live.  The count after each
-    change is a running sum of +1/-1/-all, computed by bucket with carried totals.
+    the name was live.  Reset rows are returned with ``changed`` NULL: whether a reset
+    changes the snapshot is decided in :func:`reload_stats` (some route was live).
     """
     eff = effective(events)
     named = eff.where(F.col("event_type") != "Reseted")
     # previous event of the same name after the latest reset before it
-    prev = asof_time(named, named, ["name"], F.col("seq"), F.col("seq"), width, out="prev_seq", strict=True)
+    prev = neighbour(named, ["name"], "seq", width, out="prev_seq", forward=False)
     resets = eff.where(F.col("event_type") == "Reseted").select("seq")
     prev = asof_time(prev, resets, [], F.col("seq"), F.col("seq"), width, out="reset_before", strict=True)
     prior = named.select("name", F.col("seq").alias("prev_seq"), F.col("event_type").alias("prev_type"),
