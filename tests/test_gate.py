@@ -157,3 +157,23 @@ def test_gate_plan_is_one_narrow_stage(spark):
     plan = G.gate(df, table(spark, [route("a", "a", payloadSchema=ORDER)]), spark)._jdf.queryExecution() \
         .executedPlan().toString()
     assert "BroadcastHashJoin" in plan and "SortMergeJoin" not in plan
+
+
+def test_route_resources_from_json_and_collisions(spark, scratch):
+    from tidewater.operators.metrics import name_collisions
+    path = f"{scratch}/routes.json"
+    docs = [route("r1", "p1", iceberg=dict(TARGET, columns=[{"name": "source", "type": "string"},
+                                                             {"name": "Source", "type": "string"}])),
+            route("r2", "p2", iceberg=dict(TARGET, columns=[{"name": "a", "type": "int"}]),
+                  jsonExpressionPointer=" "),
+            {"name": "r3", "spec": {"consumerId": "p3"}}]          # incomplete: ignored
+    with open(path, "w") as f:
+        f.write("\n".join(json.dumps(d) for d in docs))
+    flat = R.flatten_routes(R.read_route_resources(spark, path))
+    rows = {r["route_name"]: r for r in flat.collect()}
+    assert set(rows) == {"r1", "r2"} and rows["r2"]["pointer"] is None
+    got = name_collisions(R.route_columns(flat)).collect()
+    assert [(r["route_name"], r["lower_name"], r["names"]) for r in got] == [("r1", "source", ["Source", "source"])]
+    # hand-written columns are not checked at compile (only schema-derived ones are); A8 reports them
+    tbl = compile_routes(flat, SETTINGS)
+    assert [c.name for c in tbl.by_producer()["p1"].columns][:2] == ["source", "Source"]

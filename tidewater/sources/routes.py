@@ -71,3 +71,10 @@ def flatten_routes(resources: DataFrame) -> DataFrame:
                 pointer.alias("pointer"),
                 F.when(has_target, s["iceberg"]).alias("iceberg"),
             ))
+
+
+def route_columns(flat_routes: DataFrame) -> DataFrame:
+    """(route_name, column_name, column_type) for every hand-written target column (A8 input)."""
+    return (flat_routes.where(F.col("iceberg").isNotNull())
+            .select("route_name", F.explode("iceberg.columns").alias("c"))
+            .select("route_name", F.col("c.name").alias("column_name"), F.col("c.type").alias("column_type")))
