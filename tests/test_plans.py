@@ -31,7 +31,7 @@ def test_keyed_last_write_aggregates_partially(spark):
     plan = optimized(S.keyed_lww(spark, SF))
     phys = S.keyed_lww(spark, SF)._jdf.queryExecution().executedPlan().toString()
     assert "max_by" in plan
-    assert re.search(r"partial_max_by.*\n(.*\n)*?.*|", phys) and "partial_max_by" in phys
+    assert "partial_max_by" in phys
     # the partial aggregate runs before the shuffle on the key
     assert phys.index("Exchange hashpartitioning(producer") < phys.index("partial_max_by")
 
