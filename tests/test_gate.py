@@ -177,3 +177,15 @@ def test_route_resources_from_json_and_collisions(spark, scratch):
     # hand-written columns are not checked at compile (only schema-derived ones are); A8 reports them
     tbl = compile_routes(flat, SETTINGS)
     assert [c.name for c in tbl.by_producer()["p1"].columns][:2] == ["source", "Source"]
+
+
+def test_route_join_falls_back_to_shuffle_above_limit(spark):
+    reqs = [req(i, p) for i, p in enumerate(["a", "b", "c", "a"])]
+    routes = [route("a", "a"), route("b", "b")]
+    small = run(spark, routes, reqs)
+    big = run(spark, routes, reqs, Settings(max_content_length=4096, route_broadcast_limit=0))
+    assert {k: r["status"] for k, r in small.items()} == {k: r["status"] for k, r in big.items()}
+    df = RQ.conform(spark.createDataFrame(reqs, RQ.REQUEST_SCHEMA))
+    tbl = table(spark, routes, Settings(route_broadcast_limit=0))
+    plan = G.gate(df, tbl, spark)._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan
