@@ -269,4 +269,14 @@ SELECT r.request_id, r.producer,
        CASE WHEN i.valid_from IS NOT NULL AND (i.valid_to IS NULL OR r.at < i.valid_to)
             THEN i.schema_subject END AS schema_subject
 FROM reqs r ASOF LEFT JOIN ivs i ON r.producer = i.producer AND r.at >= i.valid_from""",
+    "reject_rows": WITH + f"""
+SELECT request_id, {UTC_TEXT} AS received_at, producer, status, error_code, {MESSAGE} AS message
+FROM outcomes WHERE error_code IS NOT NULL""",
+    "route_first_seen": f"""WITH {ROUTE_EVENTS}
+SELECT producer, seq, name, schema_subject, schema_version FROM (
+  SELECT *, row_number() OVER (PARTITION BY producer ORDER BY seq) AS rn
+  FROM eff WHERE event_type IN ('Added', 'Modified'))
+WHERE rn = 1""",
+    "page_roundtrip": """
+SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS html_bytes, sha256(html) AS html_sha256 FROM pages""",
 }

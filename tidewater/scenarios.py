@@ -314,6 +314,53 @@ def route_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
                       F.when(F.col("routed"), F.col("schema_subject")).alias("schema_subject"))
 
 
+def reject_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The reject sink rows (S9): every failing request with its status and message."""
+    out = G.rejected(gated_events(spark, sf_dir))
+    return out.select("request_id", L.docs.utc_text(F.col("received_at")).alias("received_at"), "producer",
+                      "status", "error_code", "message")
+
+
+def route_first_seen(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The first complete spec per producer in the changelog (T3): what triggers provisioning."""
+    upserts = RL.effective(route_events(spark, sf_dir)).where(F.col("event_type").isin(*RL.UPSERTS))
+    flat = upserts.select("seq", "name", "spec.*")
+    return RL.first_seen(flat).select("producer", "seq", "name", "schema_subject", "schema_version")
+
+
+PAGE_SCHEMA = json.dumps({
+    "type": "record", "name": "Page", "namespace": "demo.web",
+    "fields": [{"name": "id", "type": "long"}, {"name": "url", "type": "string"}, {"name": "html", "type": "string"}],
+})
+
+
+def page_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Raw web pages pushed as JSON (escaping long HTML), validated, landed, pulled and decoded back."""
+    ensure_utc(spark)
+    pages = TD.table(spark, sf_dir, "pages")
+    body = F.to_json(F.struct(F.col("page_id").alias("id"), "url", "html"))
+    reqs = pages.select(
+        F.concat(F.lit("page-"), F.col("page_id").cast("string")).alias("request_id"),
+        F.timestamp_seconds(F.col("page_id") + F.lit(1_704_067_200)).alias("received_at"),
+        F.lit("v1").alias("api_version"),
+        F.concat(F.lit("pages-"), (F.col("page_id") % 3).cast("string")).alias("producer"),
+        F.lit("application/json; charset=utf-8").alias("content_type"),
+        F.octet_length(body).cast("long").alias("content_length"), body.alias("body"))
+    routes = [{"name": f"route-pages-{k}", "spec": {
+        "consumerId": f"pages-{k}", "schemaSubject": "pages", "schemaVersion": 1, "payloadSchema": PAGE_SCHEMA,
+        "iceberg": dict(TARGET, tableName=f"pages_{k}")}} for k in range(3)]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
+    wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
+    pulled = None
+    for r in table.routes:
+        part = P.pull(landed, r.producer, wm, r.columns, r.pointer, SETTINGS.merge_key)
+        pulled = part if pulled is None else pulled.unionByName(part)
+    return pulled.select(F.col("push_event_id").alias("page_id"), "url",
+                         F.octet_length("html").cast("long").alias("html_bytes"),
+                         F.sha2("html", 256).alias("html_sha256"))
+
+
 REGISTRY = {
     "gate_outcomes": gate_outcomes,
     "landing_rows": landing_rows,
@@ -337,4 +384,7 @@ REGISTRY = {
     "route_changes": route_changes,
     "route_reloads": route_reloads,
     "route_asof": route_asof,
+    "reject_rows": reject_rows,
+    "route_first_seen": route_first_seen,
+    "page_roundtrip": page_roundtrip,
 }
