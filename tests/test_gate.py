@@ -3,8 +3,6 @@
 import datetime as dt
 import json
 
-import pytest
-from pyspark.sql import functions as F
 
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L

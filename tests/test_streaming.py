@@ -1,6 +1,5 @@
 """Streaming (T4, T5, T7, S7, S9): the stream lands what one batch lands; drains are consume-once."""
 
-import os
 
 from pyspark.sql import functions as F
 
@@ -67,3 +66,35 @@ def test_metric_stream_matches_batch(spark, scratch):
     batch = gated.groupBy("producer").agg(F.count_if(F.col("status") == 202).alias("a"),
                                           F.count_if(F.col("status") != 202).alias("r"))
     assert sorted(streamed.collect()) == sorted(batch.collect())
+
+
+def test_replay_after_crash_is_collapsed_by_merge(spark, scratch):
+    """A batch landed but not committed (crash before the commit record) is landed again on
+    replay; the deterministic ids make the keyed merge collapse the copies."""
+    from tidewater.operators import pull as P
+    reqs = S.event_requests(spark, SF)
+    landing, rejects = f"{scratch}/landing", f"{scratch}/rejects"
+    gated = G.gate(reqs, S.event_routes(spark), spark)
+    L.write_landing(L.envelope(G.accepted(gated), 7), landing)          # first attempt, never committed
+    out = LS.land_batch(reqs, 7, lambda: S.event_routes(spark), landing, rejects, f"{landing}_commits")
+    assert not out.get("skipped")
+    landed = L.read_landing(spark, landing)
+    assert landed.count() == 2 * out["landed"]
+    route = S.event_routes(spark, ["signup"]).by_producer()["signup"]
+    wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
+    rows = P.pull(landed, "signup", wm, route.columns, route.pointer, "merge_key")
+    merged = P.merge(None, rows, ["merge_key"], ["timestampUTC"])
+    assert merged.count() == rows.count() // 2 == landed.where("producer = 'signup'").count() // 2
+
+
+def test_json_request_files_batch_and_stream(spark, scratch):
+    src = f"{scratch}/json_requests"
+    reqs = S.event_requests(spark, SF)
+    reqs.write.json(src)
+    batch = RQ.read_requests(spark, src, fmt="json")
+    assert batch.count() == reqs.count()
+    q = (RQ.stream_requests(spark, src, fmt="json").writeStream.format("memory").queryName("json_reqs")
+         .option("checkpointLocation", f"{scratch}/jck").trigger(availableNow=True).start())
+    q.awaitTermination()
+    assert spark.table("json_reqs").count() == reqs.count()
+    assert spark.table("json_reqs").exceptAll(batch).count() == 0

@@ -14,7 +14,6 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewater.functions import documents as docs
-from tidewater.settings import Settings
 
 LANDING_COLUMNS = ["producer", "timestampUTC", "ts", "id", "payload", "createdAt",
                    "schemaSubject", "schemaVersion", "schemaFingerprint", "batch_id"]

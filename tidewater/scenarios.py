@@ -21,7 +21,6 @@ from tidewater.session import ensure_utc
 from tidewater.settings import Settings
 from tidewater.sources import routes as R
 from tidewater.sources import testdata as TD
-from tidewater.plans.avro import fingerprint, parse_schema
 
 # The demo route configuration served to the event-derived pushes.
 EVENT_SCHEMA = json.dumps({
