@@ -53,6 +53,8 @@ def test_drain_is_consume_once(spark, scratch):
     second = LS.drain(spark, landing, "click", f"{scratch}/drain_ckpt", f"{scratch}/drain2")
     assert second.count() == 0
     assert LS.drain(spark, landing, "nobody", f"{scratch}/drain_ckpt3", f"{scratch}/drain3").count() == 0
+    newest = LS.drain(spark, landing, "click", f"{scratch}/drain_ckpt4", f"{scratch}/drain4", capacity=4).collect()
+    assert [r["ts"] for r in newest] == ts[-4:]
 
 
 def test_metric_stream_matches_batch(spark, scratch):

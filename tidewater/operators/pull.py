@@ -145,6 +145,8 @@ def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key:
     also cuts the lineage: the next merge starts from files, not from this plan.
     Iceberg targets run ``MERGE INTO`` instead.
     """
+    if _provider(spark, table) == "iceberg":
+        return _merge_into_iceberg(spark, table, incoming, key, order)
     current = table_location(spark, table)
     base = current.rstrip("/").rsplit("/_v", 1)[0]
     target = f"{base}/_v{version}"
@@ -156,6 +158,26 @@ def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key:
     return target
 
 
+def _provider(spark: SparkSession, table: str) -> str | None:
+    for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():
+        if (r["col_name"] or "").strip() == "Provider":
+            return (r["data_type"] or "").lower()
+    return None
+
+
+def _merge_into_iceberg(spark: SparkSession, table: str, incoming: DataFrame, key: list[str],
+                        order: list[str]) -> str:
+    """Iceberg targets: MERGE INTO from the batch, reduced first to one row per key."""
+    source = merge(None, incoming, key, order)
+    view = "_tidewater_merge_source"
+    source.createOrReplaceTempView(view)
+    on = " AND ".join(f"t.`{k}` = s.`{k}`" for k in key)
+    newer = " OR ".join(f"s.`{c}` > t.`{c}`" for c in order)
+    spark.sql(f"MERGE INTO {table} t USING {view} s ON {on} "
+              f"WHEN MATCHED AND ({newer}) THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
+    return table
+
+
 def pull(landed: DataFrame, producer: str, watermark: dt.datetime, columns: list[layout.Column],
          pointer: str | None, merge_key: str) -> DataFrame:
     """S6 → C1 → C2 → C3/C6 → C4 for one producer."""

@@ -21,6 +21,7 @@ from pyspark.sql.utils import AnalysisException
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
 from tidewater.plans.routes import RouteTable
+from tidewater.session import checkpoint_dir
 
 COMMIT_SCHEMA = T.StructType([
     T.StructField("batch_id", T.LongType()),
@@ -62,9 +63,16 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
 
 
 def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable], landing_path: str,
-                  rejects_path: str, checkpoint: str, trigger: dict | None = None, name: str | None = None):
-    """Start the landing stream (T5).  ``routes`` is called per micro-batch (T4)."""
+                  rejects_path: str, checkpoint: str | None = None, trigger: dict | None = None,
+                  name: str | None = None):
+    """Start the landing stream (T5).  ``routes`` is called per micro-batch (T4).
+
+    Without an explicit ``checkpoint`` the stream checkpoints under the session's
+    ``spark.checkpoint.dir`` (the cluster's shared folder), named after the query.
+    """
     commits = f"{landing_path.rstrip('/')}_commits"
+    if checkpoint is None:
+        checkpoint = f"{checkpoint_dir(requests_stream.sparkSession).rstrip('/')}/{name or 'landing'}"
 
     def each(batch: DataFrame, batch_id: int) -> None:
         land_batch(batch, batch_id, routes, landing_path, rejects_path, commits)
@@ -86,15 +94,21 @@ def landing_stream_schema() -> T.StructType:
     ])
 
 
-def drain(spark: SparkSession, landing_path: str, producer: str, checkpoint: str, out_path: str) -> DataFrame:
+def drain(spark: SparkSession, landing_path: str, producer: str, checkpoint: str, out_path: str,
+          capacity: int | None = None) -> DataFrame:
     """Everything landed for ``producer`` since the previous drain with this checkpoint, oldest
-    first (S7, W2).  An unknown producer drains nothing."""
+    first (S7, W2); ``out_path`` is a fresh folder per drain.  With ``capacity`` only the newest
+    ``capacity`` records are kept, as a
+    bounded per-producer buffer would (W1).  An unknown producer drains nothing."""
     stream = (spark.readStream.schema(landing_stream_schema()).parquet(landing_path)
               .where(F.col("producer") == F.lit(producer)))
     query = (stream.writeStream.format("parquet").option("path", out_path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     try:
-        return L.chronological(spark.read.schema(landing_stream_schema()).parquet(out_path))
+        drained = spark.read.schema(landing_stream_schema()).parquet(out_path)
     except AnalysisException:
         return spark.createDataFrame([], landing_stream_schema())
+    if capacity is not None:
+        drained = L.last_n(drained, ["producer"], [F.col("ts").desc()], capacity).drop("rank")
+    return L.chronological(drained)
