@@ -187,3 +187,15 @@ def test_route_join_falls_back_to_shuffle_above_limit(spark):
     tbl = table(spark, routes, Settings(route_broadcast_limit=0))
     plan = G.gate(df, tbl, spark)._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan
+
+
+def test_gate_same_with_check_programs(spark):
+    from tidewater import scenarios as S
+    from tidewater.sources import testdata as TD
+    reqs = TD.requests_from_events(TD.table(spark, "/root/testdata/sf0.001", "events"))
+    compiled = S.event_routes(spark)
+    programs = S.event_routes(spark, settings=Settings(compiled_schema_limit=0))
+    assert not compiled.uses_programs and programs.uses_programs
+    a = G.outcomes(G.gate(reqs, compiled, spark))
+    b = G.outcomes(G.gate(reqs, programs, spark))
+    assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0

@@ -24,6 +24,7 @@ from tidewater.functions import documents as docs
 from tidewater.functions import errors as E
 from tidewater.functions import pointer as jp
 from tidewater.plans import avro
+from tidewater.plans import checks as CK
 from tidewater.plans.predicate import conforms
 from tidewater.plans.routes import POINTER_INVALID, RECURSIVE, RouteTable
 
@@ -39,16 +40,26 @@ def _recursive_check(schema_texts: dict[str, str]):
 
 
 def schema_ok(table: RouteTable, key: Column, v: Column, body: Column) -> Column:
-    """True when the route has no active schema, else the compiled conformity verdict."""
+    """True when the route has no active schema, else the conformity verdict.
+
+    With few distinct schemas each is compiled into its own CASE branch; with many, the
+    schemas that have a check program are evaluated from the program on the route row
+    (``schema_checks``), keeping the expression size independent of the schema count.
+    """
     schemas = table.schemas()
     if not schemas:
         return F.lit(True)
+    programs = table.uses_programs
     expr = None
+    if programs:
+        expr = F.when(F.col("schema_checks").isNotNull(), CK.run(v, F.col("schema_checks")))
     recursive = {}
     for fp, route in schemas.items():
         if route.compile_status == RECURSIVE:
             recursive[fp] = route.payload_schema
             continue
+        if programs and route.checks is not None:
+            continue
         branch = conforms(route.schema, v)
         expr = F.when(key == fp, branch) if expr is None else expr.when(key == fp, branch)
     if recursive:

@@ -15,7 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import pointer as jp
-from tidewater.plans import avro, layout
+from tidewater.plans import avro, checks as CK, layout
 from tidewater.settings import Settings
 
 OK = "ok"
@@ -38,6 +38,7 @@ class CompiledRoute:
     compile_status: str = OK
     tokens: list = field(default_factory=list)
     columns: list | None = None               # target layout, when the route has a target
+    checks: list | None = None                # data-driven conformity program, when the schema allows one
     errors: list = field(default_factory=list)  # (stage, message)
 
     @property
@@ -66,6 +67,7 @@ ROUTE_COLUMNS = T.StructType([
     T.StructField("has_target", T.BooleanType()),
     T.StructField("rename", T.BooleanType()),
     T.StructField("compile_status", T.StringType()),
+    T.StructField("schema_checks", CK.CHECKS),
 ])
 
 ROUTE_ERRORS = T.StructType([
@@ -87,6 +89,8 @@ def compile_route(row: dict, settings: Settings) -> CompiledRoute:
             r.fingerprint = avro.fingerprint(r.schema)
             if avro.is_recursive(r.schema):
                 r.compile_status = RECURSIVE
+            else:
+                r.checks = CK.program(r.schema)
         except avro.AvroSchemaError as e:
             r.schema = None
             r.compile_status = SCHEMA_INVALID
@@ -139,7 +143,14 @@ class RouteTable:
         s = self.settings
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
                  r.fingerprint if r.validates else None, r.pointer, r.compile_status != POINTER_INVALID,
-                 r.has_target, r.renames, r.compile_status) for r in self.routes]
+                 r.has_target, r.renames, r.compile_status,
+                 r.checks if (r.validates and self.uses_programs) else None) for r in self.routes]
+
+    @property
+    def uses_programs(self) -> bool:
+        """Whether schemas with a check program are checked as data (many distinct schemas)."""
+        with_program = {r.fingerprint for r in self.routes if r.validates and r.checks is not None}
+        return len(with_program) > self.settings.compiled_schema_limit
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), ROUTE_COLUMNS)

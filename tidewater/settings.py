@@ -26,6 +26,9 @@ class Settings:
     merge_key: str = "merge_key"
     # Routes are broadcast to every task; above this many we fall back to a shuffle join.
     route_broadcast_limit: int = 100_000
+    # Up to this many distinct schemas are compiled into the gate expression; beyond it
+    # schemas are checked by data-driven programs (constant expression size).
+    compiled_schema_limit: int = 16
     # Salt buckets used by skew-safe per-producer operators.
     salt_buckets: int = 64
     base_tags: dict = field(default_factory=dict)
