@@ -199,3 +199,16 @@ def test_gate_same_with_check_programs(spark):
     a = G.outcomes(G.gate(reqs, compiled, spark))
     b = G.outcomes(G.gate(reqs, programs, spark))
     assert a.exceptAll(b).count() == 0 and b.exceptAll(a).count() == 0
+
+
+def test_pointer_paths_mode_matches_compiled(spark):
+    pointers = ["/payload", "/payload/amount", "/tags/1", "/a~1b", "/missing", "/tags/01"]
+    routes = [route(f"r{i}", f"p{i}", jsonExpressionPointer=p) for i, p in enumerate(pointers)]
+    body = '{"payload":{"amount":1},"tags":["x","y"],"a/b":null}'
+    reqs = [req(i, f"p{i}", body) for i in range(len(pointers))]
+    compiled = run(spark, routes, reqs)
+    by_paths = run(spark, routes, reqs, Settings(max_content_length=4096, compiled_schema_limit=0))
+    assert table(spark, routes, Settings(compiled_schema_limit=0)).uses_pointer_paths
+    got = {k: r["status"] for k, r in by_paths.items()}
+    assert got == {k: r["status"] for k, r in compiled.items()}
+    assert got == {"r0": 202, "r1": 202, "r2": 202, "r3": 202, "r4": 400, "r5": 202}

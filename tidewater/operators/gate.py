@@ -69,11 +69,22 @@ def schema_ok(table: RouteTable, key: Column, v: Column, body: Column) -> Column
 
 
 def pointer_ok(table: RouteTable, pointer: Column, v: Column) -> Column:
-    """True when the route has no pointer, else whether the pointer selects a value."""
+    """True when the route has no pointer, else whether the pointer selects a value.
+
+    Few distinct pointers are compiled into CASE branches with literal paths; with many,
+    each route row carries its pointer's candidate paths and one expression tries them.
+    """
     expr = None
-    for p, tokens in table.pointers().items():
-        branch = jp.resolve(v, tokens).isNotNull()
-        expr = F.when(pointer == p, branch) if expr is None else expr.when(pointer == p, branch)
+    by_paths = table.uses_pointer_paths
+    if by_paths:
+        paths = F.col("pointer_paths")
+        expr = F.when(paths.isNotNull(),
+                      F.exists(paths, lambda p: F.try_variant_get(v, p, "variant").isNotNull()))
+    for r in table.routes:
+        if r.pointer is None or r.compile_status == POINTER_INVALID or (by_paths and r.pointer_paths):
+            continue
+        branch = jp.resolve(v, r.tokens).isNotNull()
+        expr = F.when(pointer == r.pointer, branch) if expr is None else expr.when(pointer == r.pointer, branch)
     if expr is None:
         return F.lit(True)
     return F.when(pointer.isNull(), F.lit(True)).otherwise(F.coalesce(expr, F.lit(False)))

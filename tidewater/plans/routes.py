@@ -16,6 +16,7 @@ from pyspark.sql import types as T
 
 from tidewater.functions import pointer as jp
 from tidewater.plans import avro, checks as CK, layout
+from tidewater.plans.predicate import variant_path
 from tidewater.settings import Settings
 
 OK = "ok"
@@ -39,6 +40,7 @@ class CompiledRoute:
     tokens: list = field(default_factory=list)
     columns: list | None = None               # target layout, when the route has a target
     checks: list | None = None                # data-driven conformity program, when the schema allows one
+    pointer_paths: list | None = None         # candidate variant paths of the pointer, when all have a syntax
     errors: list = field(default_factory=list)  # (stage, message)
 
     @property
@@ -68,6 +70,7 @@ ROUTE_COLUMNS = T.StructType([
     T.StructField("rename", T.BooleanType()),
     T.StructField("compile_status", T.StringType()),
     T.StructField("schema_checks", CK.CHECKS),
+    T.StructField("pointer_paths", T.ArrayType(T.StringType())),
 ])
 
 ROUTE_ERRORS = T.StructType([
@@ -98,6 +101,9 @@ def compile_route(row: dict, settings: Settings) -> CompiledRoute:
                                        "— disabling validation for this route"))
     try:
         r.tokens = jp.segments(r.pointer)
+        if r.tokens:
+            rendered = [variant_path(p) for p in jp.candidate_paths(r.tokens)]
+            r.pointer_paths = rendered if all(p is not None for p in rendered) else None
     except jp.PointerError as e:
         r.compile_status = POINTER_INVALID
         r.errors.append(("pointer", str(e)))
@@ -144,7 +150,13 @@ class RouteTable:
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
                  r.fingerprint if r.validates else None, r.pointer, r.compile_status != POINTER_INVALID,
                  r.has_target, r.renames, r.compile_status,
-                 r.checks if (r.validates and self.uses_programs) else None) for r in self.routes]
+                 r.checks if (r.validates and self.uses_programs) else None,
+                 r.pointer_paths if self.uses_pointer_paths else None) for r in self.routes]
+
+    @property
+    def uses_pointer_paths(self) -> bool:
+        """Whether pointers are resolved from path lists on the route row (many distinct pointers)."""
+        return len({r.pointer for r in self.routes if r.pointer_paths}) > self.settings.compiled_schema_limit
 
     @property
     def uses_programs(self) -> bool:
