@@ -181,7 +181,7 @@ class RouteTable:
 
 def compile_routes(routes: DataFrame, settings: Settings) -> RouteTable:
     """Compile flattened routes.  Two routes naming one producer: the first by route name wins."""
-    rows = [_as_dict(r) for r in routes.orderBy("route_name").collect()]
+    rows = sorted((_as_dict(r) for r in routes.collect()), key=lambda r: r["route_name"])
     served: dict[str, CompiledRoute] = {}
     dups: list[CompiledRoute] = []
     for row in rows:
