@@ -76,36 +76,32 @@ def changes(events: DataFrame, width: int = 1 << 16) -> DataFrame:
                .otherwise(live_before))
     delta = (F.when(et.isin(*UPSERTS) & ~live_before, F.lit(1))
              .when((et == "Deleted") & live_before, F.lit(-1)).otherwise(F.lit(0)))
-    per_name = cmp.select("seq", "event_type", "name", changed.alias("changed"), delta.alias("delta"))
+    per_name = cmp.select("seq", "event_type", "name", changed.alias("changed"), delta.alias("delta"),
+                          "reset_before")
     reset_rows = resets.select("seq", F.lit("Reseted").alias("event_type"), F.lit(None).cast("string").alias("name"),
-                               F.lit(None).cast("boolean").alias("changed"), F.lit(0).alias("delta"))
+                               F.lit(None).cast("boolean").alias("changed"), F.lit(0).alias("delta"),
+                               F.lit(None).cast("long").alias("reset_before"))
     return per_name.unionByName(reset_rows)
 
 
 def reload_stats(events: DataFrame, width: int = 1 << 16) -> DataFrame:
     """Reload count (A3) and active routes after the log (A4).
 
-    The seed (empty) snapshot is always published once; every changing event publishes again.
-    A reset changes the snapshot when routes were live just before it.
+    The seed (empty) snapshot is published once; every changing event publishes again;
+    a reset publishes the empty snapshot when routes were live just before it.  Named
+    events carry their epoch (the latest reset before them) and a +1/-1/0 change of the
+    live count, so "live just before a reset" is the summed delta of the epoch it closes:
+    every epoch but the last one is closed by a reset.
     """
-    ch = changes(events, width)
-    snap = snapshot(events)
-    live_at_reset = _live_before_resets(events, width)
-    n_changes = ch.where(F.col("changed")).agg(F.count(F.lit(1)).alias("n"))
-    return n_changes.select(
-        (F.col("n") + F.lit(1) + live_at_reset.select(F.count(F.lit(1))).scalar()).alias("reloads"),
-        snap.select(F.count(F.lit(1))).scalar().alias("active_routes"))
-
-
-def _live_before_resets(events: DataFrame, width: int) -> DataFrame:
-    """Resets that found at least one live route (those publish an empty snapshot).
-
-    Sequence numbers are unique, so an interval whose ``valid_to`` equals a reset's
-    seq was ended by that reset.
-    """
-    resets = effective(events).where(F.col("event_type") == "Reseted").select("seq")
-    ended = intervals(events, width).where(F.col("valid_to").isNotNull()).select(F.col("valid_to").alias("seq"))
-    return resets.join(ended, on="seq", how="left_semi")
+    ch = changes(events, width).where(F.col("name").isNotNull())
+    n_changed = ch.where(F.col("changed")).select(F.count(F.lit(1))).scalar()
+    closed = (ch.groupBy("reset_before").agg(F.sum("delta").alias("live_at_end"))
+              .where((F.col("live_at_end") > 0)
+                     & ~F.col("reset_before").eqNullSafe(last_reset(events)))
+              .select(F.count(F.lit(1))).scalar())
+    n_active = snapshot(events).select(F.count(F.lit(1))).scalar()
+    return events.sparkSession.range(1).select(
+        (F.lit(1) + n_changed + closed).alias("reloads"), n_active.alias("active_routes"))
 
 
 def first_seen(routes: DataFrame, provisioned: DataFrame | None = None) -> DataFrame:
