@@ -212,3 +212,8 @@ def test_pointer_paths_mode_matches_compiled(spark):
     got = {k: r["status"] for k, r in by_paths.items()}
     assert got == {k: r["status"] for k, r in compiled.items()}
     assert got == {"r0": 202, "r1": 202, "r2": 202, "r3": 202, "r4": 400, "r5": 202}
+
+
+def test_route_table_sorted_by_producer(spark):
+    tbl = table(spark, [route("z", "b"), route("y", "c"), route("x", "a")])
+    assert [r.producer for r in tbl.routes] == ["a", "b", "c"]

@@ -183,3 +183,30 @@ def pull(landed: DataFrame, producer: str, watermark: dt.datetime, columns: list
     """S6 → C1 → C2 → C3/C6 → C4 for one producer."""
     docs = apply_pointer(explode_payload(pull_slice(landed, producer, watermark)), pointer)
     return decode(docs, columns, merge_key)
+
+
+def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer: str,
+                    columns: list[layout.Column], merge_key: str, version: int) -> dict:
+    """One consumer run for one target table (C2-C7 end to end).
+
+    The watermark comes from the table comment and the pointer from the table's
+    ``json-pointer-expression`` property, both written at provisioning; rows past the
+    watermark are decoded and merged by the merge key, and the watermark then moves to
+    the newest arrival merged.  A run that fails before the last step leaves the
+    watermark where it was, so the next run pulls the same rows again and the keyed
+    merge absorbs them.
+    """
+    from tidewater.settings import POINTER_PROPERTY
+    watermark = read_watermark(spark, table)
+    pointer = table_property(spark, table, POINTER_PROPERTY)
+    rows = pull(landed, producer, watermark, columns, pointer, merge_key).persist()
+    try:
+        newest = rows.agg(F.max(TIMESTAMP_COLUMN).alias("m"), F.count(F.lit(1)).alias("n")).first()
+        if not newest["n"]:
+            return {"table": table, "pulled": 0, "watermark": watermark}
+        merge_into_table(spark, table, rows, [merge_key], [TIMESTAMP_COLUMN], version)
+    finally:
+        rows.unpersist()
+    advanced = dt.datetime.strptime(newest["m"], "%Y-%m-%dT%H:%M:%S.%fZ")
+    advance_watermark(spark, table, advanced)
+    return {"table": table, "pulled": newest["n"], "watermark": advanced}

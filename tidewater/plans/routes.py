@@ -141,10 +141,6 @@ class RouteTable:
                 out.setdefault(r.fingerprint, r)
         return out
 
-    def pointers(self) -> dict[str, list]:
-        return {r.pointer: r.tokens for r in self.routes
-                if r.pointer is not None and r.compile_status != POINTER_INVALID}
-
     def rows(self) -> list[tuple]:
         s = self.settings
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
