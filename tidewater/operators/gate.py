@@ -102,7 +102,7 @@ def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = No
     routed = F.col("route_name").isNotNull()
     header_ok = (routed & docs.is_json_media_type(F.col("content_type")) & length.isNotNull()
                  & (length <= F.lit(s.max_content_length)) & (length > 0) & body.isNotNull()
-                 & (F.length(body) > 0))
+                 & (body != F.lit("")))
     needs_doc = F.col("schema_key").isNotNull() | F.col("pointer").isNotNull() | F.col("rename")
     with_doc = joined.withColumn("v", F.when(header_ok & needs_doc, F.try_parse_json(body)))
 
@@ -114,7 +114,7 @@ def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = No
         .when(length > F.lit(s.max_content_length), F.lit("too_large"))
         .when(length <= 0, F.lit("no_content"))
         .when(body.isNull(), F.lit("serialization"))
-        .when(F.length(body) == 0, F.lit("no_content"))
+        .when(body == F.lit(""), F.lit("no_content"))
         .when(~schema_ok(table, F.col("schema_key"), v, body), F.lit("schema_validation"))
         .when(F.col("compile_status") == POINTER_INVALID, F.lit("invalid_route"))
         .when(~pointer_ok(table, F.col("pointer"), v), F.lit("invalid_json_path"))

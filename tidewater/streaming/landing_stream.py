@@ -13,7 +13,7 @@ from __future__ import annotations
 import datetime as dt
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
@@ -47,13 +47,14 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
         return {"batch_id": batch_id, "skipped": True}
     table = routes()
     gated = G.gate(batch, table, spark).persist()
+    landed_n, rejected_n = Observation(f"landed_{batch_id}"), Observation(f"rejected_{batch_id}")
     try:
-        landed = L.envelope(G.accepted(gated), batch_id)
+        landed = L.envelope(G.accepted(gated), batch_id).observe(landed_n, F.count(F.lit(1)).alias("n"))
         L.write_landing(landed, landing_path)
-        rejects = G.rejected(gated).withColumn("batch_id", F.lit(batch_id).cast("long"))
+        rejects = (G.rejected(gated).withColumn("batch_id", F.lit(batch_id).cast("long"))
+                   .observe(rejected_n, F.count(F.lit(1)).alias("n")))
         rejects.write.mode("append").partitionBy("producer").parquet(rejects_path)
-        counts = gated.groupBy().agg(F.count_if(F.col("error_code").isNull()).alias("landed"),
-                                     F.count_if(F.col("error_code").isNotNull()).alias("rejected")).first()
+        counts = {"landed": landed_n.get["n"], "rejected": rejected_n.get["n"]}
     finally:
         gated.unpersist()
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
