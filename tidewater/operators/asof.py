@@ -33,10 +33,10 @@ def asof_time(left: DataFrame, right: DataFrame, by: list[str], left_t: Column,
     within = F.max(F.when(F.col(_SIDE) == 0, F.col(_T))).over(w)
     marked = both.withColumn("_asof_within", within).where(F.col(_SIDE) == 1)
 
-    summary = rgt.withColumn(_B, F.floor(F.col(_T) / width)).groupBy(*by, _B).agg(F.max(_T).alias("_asof_last"))
-    buckets = marked.select(*by, _B).distinct().join(summary, on=[*by, _B], how="full")
+    # one row per (key, bucket) holding any row, with its latest right time (NULL if none)
+    summary = both.groupBy(*by, _B).agg(F.max(F.when(F.col(_SIDE) == 0, F.col(_T))).alias("_asof_last"))
     carry_w = Window.partitionBy(*by).orderBy(_B).rowsBetween(Window.unboundedPreceding, -1)
-    carry = buckets.withColumn("_asof_carry", F.max("_asof_last").over(carry_w)).select(*by, _B, "_asof_carry")
+    carry = summary.withColumn("_asof_carry", F.max("_asof_last").over(carry_w)).select(*by, _B, "_asof_carry")
 
     joined = marked.join(carry, on=[*by, _B], how="left")
     match = F.coalesce(F.col("_asof_within"), F.col("_asof_carry")) * sign
