@@ -23,6 +23,10 @@ class PointerError(ValueError):
     """The pointer is not an RFC 6901 pointer."""
 
 
+# Fixed value: the message a pointer without a leading "/" reports.
+NOT_A_POINTER = "jsonExpressionPointer '{pointer}' must be an RFC 6901 JSON Pointer starting with '/', e.g. '/payload'"
+
+
 def normalise(pointer: str | None) -> str | None:
     """Blank or empty pointer means "whole document": stored as NULL once, at route load."""
     if pointer is None or not pointer.strip():
@@ -36,8 +40,7 @@ def segments(pointer: str | None) -> list[str]:
         return []
     expression = pointer.strip()
     if not expression.startswith("/"):
-        raise PointerError(
-            f"jsonExpressionPointer '{expression}' must be an RFC 6901 JSON Pointer starting with '/', e.g. '/payload'")
+        raise PointerError(NOT_A_POINTER.format(pointer=expression))
     return [t.replace("~1", "/").replace("~0", "~") for t in expression.split("/")[1:]]
 
 

@@ -20,6 +20,20 @@ class LayoutError(ValueError):
     """The route cannot be turned into a target table."""
 
 
+# The message texts a rejected layout reports (format placeholders in braces).
+MESSAGES = {
+    "not_record": "{what} must be an Avro record to derive iceberg columns from, got '{kind}'",
+    "no_field": ("jsonExpressionPointer '{pointer}' does not resolve against the payloadSchema: "
+                 "record '{record}' declares no field '{token}'"),
+    "selected_field": "field '{token}' selected by jsonExpressionPointer",
+    "unsupported_avro": "Unsupported avro type '{kind}' for payloadSchema field '{field}'",
+    "duplicates": ("payloadSchema declares duplicate iceberg columns: {names}. "
+                   "Rename the colliding fields, since iceberg resolves columns case-insensitively."),
+    "unsupported_column": ("Unsupported iceberg column type '{type}' for column '{column}'. "
+                           "Supported: string, int, long, double, float, boolean, binary, date, timestamp, variant."),
+}
+
+
 # The column type names a route may declare by hand, and their Spark types.
 COLUMN_TYPES = {
     "string": T.StringType(),
@@ -61,7 +75,7 @@ def unwrap_nullable(t: AvroType) -> tuple[AvroType, str | None]:
 
 def _require_record(t: AvroType, what: str) -> AvroType:
     if t.kind != "record":
-        raise LayoutError(f"{what} must be an Avro record to derive iceberg columns from, got '{t.kind}'")
+        raise LayoutError(MESSAGES["not_record"].format(what=what, kind=t.kind))
     return t
 
 
@@ -70,10 +84,8 @@ def resolve_payload_record(schema: AvroType, pointer: str | None) -> AvroType:
     for token in jp.segments(pointer):
         ftype = record.field(token)
         if ftype is None:
-            raise LayoutError(
-                f"jsonExpressionPointer '{pointer or ''}' does not resolve against the payloadSchema: "
-                f"record '{record.fullname}' declares no field '{token}'")
-        record = _require_record(unwrap_nullable(ftype)[0], f"field '{token}' selected by jsonExpressionPointer")
+            raise LayoutError(MESSAGES["no_field"].format(pointer=pointer or "", record=record.fullname, token=token))
+        record = _require_record(unwrap_nullable(ftype)[0], MESSAGES["selected_field"].format(token=token))
     return record
 
 
@@ -86,7 +98,7 @@ def derive_columns(schema_text: str, pointer: str | None = None) -> list[Column]
         inner, tag = unwrap_nullable(ftype)
         kind = AVRO_COLUMN_TYPES.get(inner.kind)
         if kind is None:
-            raise LayoutError(f"Unsupported avro type '{inner.kind}' for payloadSchema field '{name}'")
+            raise LayoutError(MESSAGES["unsupported_avro"].format(kind=inner.kind, field=name))
         out_name = PUSH_EVENT_ID if (renamed and name == "id") else name
         cols.append(Column(out_name, kind, source=out_name if renamed else name, union_tag=tag))
     lowered: dict[str, int] = {}
@@ -94,9 +106,7 @@ def derive_columns(schema_text: str, pointer: str | None = None) -> list[Column]
         lowered[c.name.lower()] = lowered.get(c.name.lower(), 0) + 1
     dups = [n for n, k in lowered.items() if k > 1]
     if dups:
-        raise LayoutError(
-            f"payloadSchema declares duplicate iceberg columns: {', '.join(dups)}. "
-            "Rename the colliding fields, since iceberg resolves columns case-insensitively.")
+        raise LayoutError(MESSAGES["duplicates"].format(names=", ".join(dups)))
     return cols
 
 
@@ -121,9 +131,7 @@ def spark_type(type_name: str, column: str) -> T.DataType:
     """Column type name → Spark type, case-insensitive."""
     t = COLUMN_TYPES.get(type_name.lower())
     if t is None:
-        raise LayoutError(
-            f"Unsupported iceberg column type '{type_name.lower()}' for column '{column}'. "
-            "Supported: string, int, long, double, float, boolean, binary, date, timestamp, variant.")
+        raise LayoutError(MESSAGES["unsupported_column"].format(type=type_name.lower(), column=column))
     return t
 
 
