@@ -217,3 +217,9 @@ def test_pointer_paths_mode_matches_compiled(spark):
 def test_route_table_sorted_by_producer(spark):
     tbl = table(spark, [route("z", "b"), route("y", "c"), route("x", "a")])
     assert [r.producer for r in tbl.routes] == ["a", "b", "c"]
+
+
+def test_no_routes_everything_unrouted(spark):
+    got = run(spark, [], [req(1, "a"), req(2, "b", body=None, length=None)])
+    assert {k: (r["status"], r["error_code"]) for k, r in got.items()} == {
+        "r1": (404, "unrouted"), "r2": (404, "unrouted")}
