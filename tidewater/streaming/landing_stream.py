@@ -31,19 +31,26 @@ COMMIT_SCHEMA = T.StructType([
 ])
 
 
-def _committed(spark: SparkSession, commits_path: str, batch_id: int) -> bool:
+def committed_batches(spark: SparkSession, commits_path: str) -> set[int]:
+    """Batch ids already recorded in the commit log (read once when a stream starts)."""
     try:
-        return spark.read.schema(COMMIT_SCHEMA).parquet(commits_path).where(
-            F.col("batch_id") == batch_id).limit(1).count() > 0
+        return {r[0] for r in spark.read.schema(COMMIT_SCHEMA).parquet(commits_path).select("batch_id").collect()}
     except AnalysisException:
-        return False
+        return set()
 
 
 def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable], landing_path: str,
-               rejects_path: str, commits_path: str) -> dict:
-    """Gate one batch and write both sinks; returns the batch counts."""
+               rejects_path: str, commits_path: str, committed: set[int] | None = None) -> dict:
+    """Gate one batch and write both sinks; returns the batch counts.
+
+    ``committed`` is the caller's set of committed batch ids; without it the commit
+    log is read.  Only replays after a restart can hit a committed id, so a stream
+    reads the log once at start and then tracks its own commits.
+    """
     spark = batch.sparkSession
-    if _committed(spark, commits_path, batch_id):
+    if committed is None:
+        committed = committed_batches(spark, commits_path)
+    if batch_id in committed:
         return {"batch_id": batch_id, "skipped": True}
     table = routes()
     gated = G.gate(batch, table, spark).persist()
@@ -60,6 +67,7 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
     now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
     spark.createDataFrame([(batch_id, counts["landed"], counts["rejected"], now)], COMMIT_SCHEMA) \
         .coalesce(1).write.mode("append").parquet(commits_path)
+    committed.add(batch_id)
     return {"batch_id": batch_id, "landed": counts["landed"], "rejected": counts["rejected"]}
 
 
@@ -75,8 +83,10 @@ def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable],
     if checkpoint is None:
         checkpoint = f"{checkpoint_dir(requests_stream.sparkSession).rstrip('/')}/{name or 'landing'}"
 
+    committed = committed_batches(requests_stream.sparkSession, commits)
+
     def each(batch: DataFrame, batch_id: int) -> None:
-        land_batch(batch, batch_id, routes, landing_path, rejects_path, commits)
+        land_batch(batch, batch_id, routes, landing_path, rejects_path, commits, committed)
 
     writer = requests_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if name:
