@@ -9,18 +9,38 @@ latest one of an earlier bucket.
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 _SIDE = "_asof_side"      # 0 = right, 1 = left
+_MIN_WIDTH = 1024
+
+
+def auto_width(*cols_of: tuple[DataFrame, Column]) -> int:
+    """A bucket width of about sqrt(time range): rows per bucket (times are unique per key)
+    and buckets per key both stay near sqrt(range).  Reads two scalars from the data."""
+    lo, hi = None, None
+    for df, c in cols_of:
+        row = df.agg(F.min(c).alias("lo"), F.max(c).alias("hi")).first()
+        if row["lo"] is not None:
+            lo = row["lo"] if lo is None else min(lo, row["lo"])
+            hi = row["hi"] if hi is None else max(hi, row["hi"])
+    if lo is None:
+        return _MIN_WIDTH
+    return max(_MIN_WIDTH, int(math.isqrt(int(hi) - int(lo) + 1)) + 1)
 _T = "_asof_t"
 _B = "_asof_b"
 
 
 def asof_time(left: DataFrame, right: DataFrame, by: list[str], left_t: Column, right_t: Column,
-              width: int, out: str = "match_t", forward: bool = False, strict: bool = False) -> DataFrame:
+              width: int | None, out: str = "match_t", forward: bool = False, strict: bool = False) -> DataFrame:
     """Left rows plus column ``out``: the greatest right time <= left time (backward), or the
-    least right time >= left time (``forward``); ``strict`` excludes equality.  Times are longs."""
+    least right time >= left time (``forward``); ``strict`` excludes equality.  Times are longs;
+    ``width=None`` picks the bucket width from the data (:func:`auto_width`)."""
+    if width is None:
+        width = auto_width((left, left_t), (right, right_t))
     sign = -1 if forward else 1
     lft = left.withColumn(_T, left_t.cast("long") * sign).withColumn(_SIDE, F.lit(1))
     rgt = right.select(*by, (right_t.cast("long") * sign).alias(_T)).withColumn(_SIDE, F.lit(0))
@@ -43,7 +63,8 @@ def asof_time(left: DataFrame, right: DataFrame, by: list[str], left_t: Column,
     return joined.withColumn(out, match).drop(_T, _SIDE, _B, "_asof_within", "_asof_carry")
 
 
-def neighbour(df: DataFrame, by: list[str], seq: str, width: int, out: str, forward: bool = True) -> DataFrame:
+def neighbour(df: DataFrame, by: list[str], seq: str, width: int | None, out: str,
+              forward: bool = True) -> DataFrame:
     """The next (``forward``) or previous value of ``seq`` among rows with the same key.
 
     ``lead``/``lag`` within (key, bucket of ``seq``), and for the first/last row of a
@@ -51,6 +72,8 @@ def neighbour(df: DataFrame, by: list[str], seq: str, width: int, out: str, forw
     per-bucket summary.  A hot key is spread over its buckets; ``seq`` must be unique
     per key.
     """
+    if width is None:
+        width = auto_width((df, F.col(seq)))
     b = F.floor(F.col(seq) / width)
     w = Window.partitionBy(*by, _B).orderBy(seq)
     within = F.lead(seq).over(w) if forward else F.lag(seq).over(w)

@@ -38,7 +38,7 @@ def snapshot(events: DataFrame) -> DataFrame:
             .select("name", F.col("last.seq").alias("seq"), "last.spec.*"))
 
 
-def intervals(events: DataFrame, width: int = 1 << 16) -> DataFrame:
+def intervals(events: DataFrame, width: int | None = None) -> DataFrame:
     """SCD2 validity per upsert (T1b): valid from its seq until the next event of the same
     name or the next reset, whichever comes first (``valid_to`` NULL = still live)."""
     eff = effective(events)
@@ -53,7 +53,7 @@ def intervals(events: DataFrame, width: int = 1 << 16) -> DataFrame:
                       "event_type", "spec.*")
 
 
-def changes(events: DataFrame, width: int = 1 << 16) -> DataFrame:
+def changes(events: DataFrame, width: int | None = None) -> DataFrame:
     """Events that change the published snapshot.
 
     An upsert changes it unless it repeats the name's live spec; a delete only when
@@ -84,7 +84,7 @@ def changes(events: DataFrame, width: int = 1 << 16) -> DataFrame:
     return per_name.unionByName(reset_rows)
 
 
-def reload_stats(events: DataFrame, width: int = 1 << 16) -> DataFrame:
+def reload_stats(events: DataFrame, width: int | None = None) -> DataFrame:
     """Reload count (A3) and active routes after the log (A4).
 
     The seed (empty) snapshot is published once; every changing event publishes again;
@@ -113,7 +113,7 @@ def first_seen(routes: DataFrame, provisioned: DataFrame | None = None) -> DataF
     return first
 
 
-def route_asof(requests: DataFrame, ivs: DataFrame, at: str, width: int) -> DataFrame:
+def route_asof(requests: DataFrame, ivs: DataFrame, at: str, width: int | None = None) -> DataFrame:
     """Requests joined with the route version live at their arrival.
 
     ``ivs``: (producer, valid_from, valid_to, ...) on the same long time axis as the

@@ -285,16 +285,16 @@ def route_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.intervals(route_events(spark, sf_dir), width=1024)
+    return RL.intervals(route_events(spark, sf_dir), width=None)
 
 
 def route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.changes(route_events(spark, sf_dir), width=1024).where(F.col("name").isNotNull()) \
+    return RL.changes(route_events(spark, sf_dir), width=None).where(F.col("name").isNotNull()) \
         .select("seq", "name", "changed")
 
 
 def route_reloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.reload_stats(route_events(spark, sf_dir), width=1024)
+    return RL.reload_stats(route_events(spark, sf_dir), width=None)
 
 
 def route_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -306,9 +306,9 @@ def route_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("request_id"),
         F.concat(F.lit("p-"), F.col("o_custkey").cast("string")).alias("producer"),
         F.col("l_orderkey").alias("at"))
-    ivs = RL.intervals(route_events(spark, sf_dir), width=1024).select(
+    ivs = RL.intervals(route_events(spark, sf_dir), width=None).select(
         "producer", "valid_from", "valid_to", "schema_subject")
-    out = RL.route_asof(reqs, ivs, "at", width=1024)
+    out = RL.route_asof(reqs, ivs, "at", width=None)
     return out.select("request_id", "producer", "routed",
                       F.when(F.col("routed"), F.col("schema_subject")).alias("schema_subject"))
 
