@@ -185,8 +185,26 @@ def pull(landed: DataFrame, producer: str, watermark: dt.datetime, columns: list
     return decode(docs, columns, merge_key)
 
 
+def append_missing(spark: SparkSession, table: str, incoming: DataFrame, key: list[str], ts_col: str) -> None:
+    """Merge for keys whose rows never change (C5 on landing ids): insert the keys not present.
+
+    A landing id is derived from the request, and a replayed request lands the same
+    row again, so a merge on it only ever has to skip keys already in the target.
+    Only the target's key column is read, and only for rows at or after the batch's
+    earliest ``ts_col`` (a copy can be no older), which Parquet statistics prune.
+    """
+    cols = spark.table(table).columns
+    batch = merge(None, incoming.select(*cols), key, [ts_col])
+    lo = batch.agg(F.min(ts_col)).first()[0]
+    if lo is None:
+        return
+    existing = spark.table(table).where(F.col(ts_col) >= F.lit(lo)).select(*key)
+    batch.join(existing, on=key, how="left_anti").select(*cols).write.insertInto(table)
+
+
 def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer: str,
-                    columns: list[layout.Column], merge_key: str, version: int) -> dict:
+                    columns: list[layout.Column], merge_key: str, version: int,
+                    insert_only: bool = True) -> dict:
     """One consumer run for one target table (C2-C7 end to end).
 
     The watermark comes from the table comment and the pointer from the table's
@@ -204,7 +222,10 @@ def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer
         newest = rows.agg(F.max(TIMESTAMP_COLUMN).alias("m"), F.count(F.lit(1)).alias("n")).first()
         if not newest["n"]:
             return {"table": table, "pulled": 0, "watermark": watermark}
-        merge_into_table(spark, table, rows, [merge_key], [TIMESTAMP_COLUMN], version)
+        if insert_only:
+            append_missing(spark, table, rows, [merge_key], TIMESTAMP_COLUMN)
+        else:
+            merge_into_table(spark, table, rows, [merge_key], [TIMESTAMP_COLUMN], version)
     finally:
         rows.unpersist()
     advanced = dt.datetime.strptime(newest["m"], "%Y-%m-%dT%H:%M:%S.%fZ")
