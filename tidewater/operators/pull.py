@@ -199,7 +199,9 @@ def append_missing(spark: SparkSession, table: str, incoming: DataFrame, key: li
     if lo is None:
         return
     existing = spark.table(table).where(F.col(ts_col) >= F.lit(lo)).select(*key)
-    batch.join(existing, on=key, how="left_anti").select(*cols).write.insertInto(table)
+    # files sorted by time keep row-group min/max ranges tight for the next run's pruning
+    (batch.join(existing, on=key, how="left_anti").select(*cols)
+     .sortWithinPartitions(ts_col).write.insertInto(table))
 
 
 def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer: str,
