@@ -279,4 +279,12 @@ SELECT producer, seq, name, schema_subject, schema_version FROM (
 WHERE rn = 1""",
     "page_roundtrip": """
 SELECT page_id, url, CAST(strlen(html) AS BIGINT) AS html_bytes, sha256(html) AS html_sha256 FROM pages""",
+    "metric_windows": WITH + f"""
+SELECT strftime(date_trunc('hour', received_at), '%Y-%m-%dT%H:%M:%S') AS window_start, producer,
+       count(*) FILTER (WHERE status = 202) AS requests_ok,
+       count(*) FILTER (WHERE status <> 202 AND error_code <> 'unrouted') AS requests_error,
+       CAST(coalesce(sum(CASE WHEN error_code IS NULL THEN strlen({RENAMED}) ELSE 0 END), 0) AS BIGINT) AS bytes,
+       count(*) FILTER (WHERE status = 202) AS accepted,
+       count(*) FILTER (WHERE status <> 202) AS rejected
+FROM outcomes GROUP BY 1, 2""",
 }

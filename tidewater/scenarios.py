@@ -360,6 +360,14 @@ def page_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.sha2("html", 256).alias("html_sha256"))
 
 
+def metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The metric stream's frame (T7) evaluated over the batch of requests, hourly windows."""
+    from tidewater.streaming import metric_stream as MS
+    out = MS.metric_frame(event_requests(spark, sf_dir), event_routes(spark), window="1 hour")
+    return out.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "producer",
+                      "requests_ok", "requests_error", "bytes", "accepted", "rejected")
+
+
 REGISTRY = {
     "gate_outcomes": gate_outcomes,
     "landing_rows": landing_rows,
@@ -386,4 +394,5 @@ REGISTRY = {
     "reject_rows": reject_rows,
     "route_first_seen": route_first_seen,
     "page_roundtrip": page_roundtrip,
+    "metric_windows": metric_windows,
 }
