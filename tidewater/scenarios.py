@@ -169,9 +169,10 @@ def oversize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("application/json").alias("content_type"),
         F.octet_length("text").cast("long").alias("content_length"), F.col("text").alias("body"))
     # one bare route per document source: the source vocabulary is small, and checked to be
-    sources = [r["source"] for r in docs.select("source").distinct().limit(MAX_ROUTES + 1).collect()]
-    if len(sources) > MAX_ROUTES:
+    distinct_sources = docs.select("source").distinct()
+    if distinct_sources.count() > MAX_ROUTES:
         raise ValueError(f"more than {MAX_ROUTES} document sources; route them by a coarser key")
+    sources = [r["source"] for r in distinct_sources.collect()]
     routes = [{"name": f"route-{src}", "spec": {"consumerId": src, "schemaSubject": f"{src}-text",
                                                 "schemaVersion": 1}} for src in sources]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), DOC_SETTINGS)
