@@ -55,9 +55,16 @@ EVENT_ROUTES = [
 SETTINGS = Settings()
 
 
+_COMPILED: dict = {}
+
+
 def event_routes(spark: SparkSession, names: list[str] | None = None, settings: Settings = SETTINGS) -> RouteTable:
-    chosen = [r for r in EVENT_ROUTES if names is None or r["spec"]["consumerId"] in names]
-    return compile_routes(R.flatten_routes(R.route_resources_df(spark, chosen)), settings)
+    """The demo routes, compiled once per session and settings (the configuration is constant)."""
+    key = (id(spark), tuple(names) if names is not None else None, repr(settings))
+    if key not in _COMPILED:
+        chosen = [r for r in EVENT_ROUTES if names is None or r["spec"]["consumerId"] in names]
+        _COMPILED[key] = compile_routes(R.flatten_routes(R.route_resources_df(spark, chosen)), settings)
+    return _COMPILED[key]
 
 
 def event_requests(spark: SparkSession, sf_dir: str) -> DataFrame:
