@@ -11,6 +11,7 @@ same deterministic ids again, which the keyed merge downstream collapses.
 from __future__ import annotations
 
 import datetime as dt
+import hashlib
 from collections.abc import Callable
 
 from pyspark.sql import DataFrame, Observation, SparkSession
@@ -77,11 +78,14 @@ def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable],
     """Start the landing stream (T5).  ``routes`` is called per micro-batch (T4).
 
     Without an explicit ``checkpoint`` the stream checkpoints under the session's
-    ``spark.checkpoint.dir`` (the cluster's shared folder), named after the query.
+    ``spark.checkpoint.dir`` (the cluster's shared folder) in a folder named after the
+    query and its landing path: restarting the same stream resumes it, while streams
+    landing elsewhere never share state.
     """
     commits = f"{landing_path.rstrip('/')}_commits"
     if checkpoint is None:
-        checkpoint = f"{checkpoint_dir(requests_stream.sparkSession).rstrip('/')}/{name or 'landing'}"
+        sink = hashlib.sha1(landing_path.rstrip("/").encode("utf-8")).hexdigest()[:16]
+        checkpoint = f"{checkpoint_dir(requests_stream.sparkSession).rstrip('/')}/{name or 'landing'}-{sink}"
 
     committed = committed_batches(requests_stream.sparkSession, commits)
 
