@@ -169,3 +169,16 @@ def test_consumer_absorbs_replays(spark, scratch):
     assert spark.table("pv.replay_tbl").count() == 4
     assert sorted(r[0] for r in spark.table("pv.replay_tbl").select("push_event_id").collect()) == \
         ["e0", "e1", "e2", "e3"]
+
+
+def test_merge_into_table_versions(spark, scratch):
+    spark.sql(f"CREATE TABLE default.mv (k STRING, v INT, t STRING) USING parquet LOCATION '{scratch}/mv'")
+    rows = spark.createDataFrame([("a", 1, "1"), ("b", 2, "1")], "k string, v int, t string")
+    first = P.merge_into_table(spark, "default.mv", rows, ["k"], ["t"])
+    assert first.endswith("/mv/_v1")
+    newer = spark.createDataFrame([("a", 9, "2")], "k string, v int, t string")
+    second = P.merge_into_table(spark, "default.mv", newer, ["k"], ["t"])
+    assert second.endswith("/mv/_v2")
+    assert sorted(tuple(r) for r in spark.table("default.mv").collect()) == [("a", 9, "2"), ("b", 2, "1")]
+    with pytest.raises(ValueError):
+        P.merge_into_table(spark, "default.mv", newer, ["k"], ["t"], version=2)

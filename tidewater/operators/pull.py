@@ -136,7 +136,7 @@ def table_location(spark: SparkSession, table: str) -> str:
 
 
 def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key: list[str], order: list[str],
-                     version: int) -> str:
+                     version: int | None = None) -> str:
     """Merge ``incoming`` into a Parquet target (C5) and swap the table to the result.
 
     Parquet tables refuse MERGE INTO, and a job may not overwrite the files it reads,
@@ -147,9 +147,15 @@ def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key:
     """
     if _provider(spark, table) == "iceberg":
         return _merge_into_iceberg(spark, table, incoming, key, order)
-    current = table_location(spark, table)
-    base = current.rstrip("/").rsplit("/_v", 1)[0]
+    current = table_location(spark, table).rstrip("/")
+    base, _, tail = current.rpartition("/_v")
+    if not base or not tail.isdigit():
+        base, tail = current, "0"
+    if version is None:
+        version = int(tail) + 1
     target = f"{base}/_v{version}"
+    if target == current:
+        raise ValueError(f"merge target {target} is the table's current location; use a new version")
     cols = spark.table(table).columns
     merged = merge(spark.table(table), incoming.select(*cols), key, order).select(*cols)
     merged.write.mode("overwrite").parquet(target)
