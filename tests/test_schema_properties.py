@@ -1,0 +1,105 @@
+"""Random schemas x random bodies: compiled predicate, check program and Python validator agree."""
+
+import json
+import random
+
+from hypothesis import given, settings, strategies as st
+from pyspark.sql import functions as F
+
+from tidewater.plans import avro
+from tidewater.plans import checks as CK
+from tidewater.plans.predicate import conforms
+
+SCALARS = ["string", "int", "long", "double", "float", "boolean", "bytes", "null"]
+
+
+def gen_schema(rng: random.Random, depth: int, names: list) -> dict | str:
+    roll = rng.random()
+    if depth > 0 and roll < 0.2:
+        names.append(f"R{len(names)}")
+        return {"type": "record", "name": names[-1],
+                "fields": [{"name": f"f{i}", "type": gen_schema(rng, depth - 1, names)} for i in range(rng.randint(0, 3))]}
+    if roll < 0.3:
+        names.append(f"E{len(names)}")
+        return {"type": "enum", "name": names[-1], "symbols": ["A", "B"]}
+    if roll < 0.35:
+        names.append(f"X{len(names)}")
+        return {"type": "fixed", "name": names[-1], "size": 2}
+    if roll < 0.45:
+        return {"type": rng.choice(["array", "map"]), ("items" if rng.random() < 0.5 else "values"): rng.choice(SCALARS[:7])}
+    if roll < 0.6:
+        inner = gen_schema(rng, depth - 1, names) if depth > 0 else rng.choice(SCALARS[:7])
+        if inner == "null" or isinstance(inner, list) or (isinstance(inner, dict) and inner.get("type") in ("array", "map")):
+            inner = "int"
+        return ["null", inner] if rng.random() < 0.5 else [inner, "null"]
+    return rng.choice(SCALARS)
+
+
+def fix_containers(s):
+    """Make array/map dicts carry the right key for their type."""
+    if isinstance(s, dict):
+        if s["type"] == "array" and "items" not in s:
+            s["items"] = s.pop("values")
+        if s["type"] == "map" and "values" not in s:
+            s["values"] = s.pop("items")
+        for f in s.get("fields", []):
+            f["type"] = fix_containers(f["type"])
+    if isinstance(s, list):
+        return [fix_containers(b) for b in s]
+    return s
+
+
+def gen_value(t: avro.AvroType, rng: random.Random):
+    k = t.kind
+    if k == "record":
+        return {n: gen_value(ft, rng) for n, ft in t.fields}
+    if k == "union":
+        b = rng.choice(t.branches)
+        return None if b.kind == "null" else {b.branch_name: gen_value(b, rng)}
+    return {"null": None, "boolean": True, "int": 7, "long": 2 ** 40, "float": 1.5, "double": -2.25,
+            "string": "s", "bytes": "b", "enum": "A", "fixed": "xy",
+            "array": [gen_value(t.items, rng)] if t.items else [],
+            "map": {"k": gen_value(t.values, rng)} if t.values else {}}[k]
+
+
+def mutate(v, rng: random.Random):
+    if isinstance(v, dict) and v and rng.random() < 0.7:
+        key = rng.choice(list(v))
+        out = dict(v)
+        choice = rng.random()
+        if choice < 0.3:
+            del out[key]
+        elif choice < 0.6:
+            out[key] = rng.choice([None, "x", 1, 1.5, [], {}, True, 2 ** 35])
+        else:
+            out[key] = mutate(v[key], rng)
+        return out
+    return rng.choice([None, "x", 1, 1.5, [1], {"a": 1}, True])
+
+
+@settings(max_examples=15, deadline=None)
+@given(st.integers(0, 10 ** 9))
+def test_three_evaluations_agree(spark, seed):
+    rng = random.Random(seed)
+    names: list = []
+    root = {"type": "record", "name": "Root",
+            "fields": [{"name": f"a{i}", "type": fix_containers(gen_schema(rng, 2, names))} for i in range(rng.randint(1, 4))]}
+    t = avro.parse_schema(json.dumps(root))
+    bodies = []
+    for _ in range(12):
+        v = gen_value(t, rng)
+        if rng.random() < 0.6:
+            v = mutate(v, rng)
+        bodies.append(json.dumps(v))
+    prog = CK.program(t)
+    df = spark.createDataFrame([(b, prog) for b in bodies], f"b string, checks {CK.CHECKS.simpleString()}")
+    v = F.try_parse_json("b")
+    cols = [conforms(t, v).alias("compiled")]
+    if prog is not None:
+        cols.append(CK.run(v, F.col("checks")).alias("program"))
+    got = df.select(*cols).collect()
+    for body, row in zip(bodies, got):
+        want = avro.conforms_text(t, body)
+        assert row["compiled"] is want, (json.dumps(root), body)
+        if prog is not None:
+            assert row["program"] is want, (json.dumps(root), body)
