@@ -26,7 +26,12 @@ def gen_schema(rng: random.Random, depth: int, names: list) -> dict | str:
         names.append(f"X{len(names)}")
         return {"type": "fixed", "name": names[-1], "size": 2}
     if roll < 0.45:
-        return {"type": rng.choice(["array", "map"]), ("items" if rng.random() < 0.5 else "values"): rng.choice(SCALARS[:7])}
+        item = rng.choice(SCALARS[:7])
+        if depth > 0 and rng.random() < 0.4:            # container of records
+            names.append(f"I{len(names)}")
+            item = {"type": "record", "name": names[-1],
+                    "fields": [{"name": f"g{i}", "type": gen_schema(rng, depth - 1, names)} for i in range(rng.randint(0, 2))]}
+        return {"type": rng.choice(["array", "map"]), ("items" if rng.random() < 0.5 else "values"): item}
     if roll < 0.6:
         inner = gen_schema(rng, depth - 1, names) if depth > 0 else rng.choice(SCALARS[:7])
         if inner == "null" or isinstance(inner, list) or (isinstance(inner, dict) and inner.get("type") in ("array", "map")):
@@ -44,6 +49,9 @@ def fix_containers(s):
             s["values"] = s.pop("items")
         for f in s.get("fields", []):
             f["type"] = fix_containers(f["type"])
+        for k in ("items", "values"):
+            if k in s:
+                s[k] = fix_containers(s[k])
     if isinstance(s, list):
         return [fix_containers(b) for b in s]
     return s

@@ -8,9 +8,10 @@ what must hold there.  The list rides on the broadcast route row, and a single
 constant-size ``forall`` evaluates whichever program the row's route carries.
 
 Covered: records (any depth), the primitive types, enum, fixed, arrays and maps of
-those, and ``["null", T]`` unions whose T is one of those or a record.  A schema
-using anything else (a union with two non-null branches, containers of records or
-containers) has no program and keeps the compiled predicate.
+those or of records (one level: the element carries its own program), and
+``["null", T]`` unions whose T is a scalar or a record.  A schema using anything
+else (a union with two non-null branches, containers nested inside containers)
+has no program and keeps the compiled predicate.
 """
 
 from __future__ import annotations
@@ -22,15 +23,18 @@ from pyspark.sql import types as T
 from tidewater.plans.avro import AvroType
 from tidewater.plans.predicate import variant_path
 
-CHECK = T.StructType([
-    T.StructField("path", T.StringType()),        # variant path from the document root
+_LEAF_FIELDS = [
+    T.StructField("path", T.StringType()),        # variant path from the document (or element) root
     T.StructField("kind", T.StringType()),        # what must hold at the path
     T.StructField("inner", T.StringType()),       # element kind (array/map) or branch kind (nullable)
     T.StructField("tag_path", T.StringType()),    # nullable: path of the tagged branch value
     T.StructField("symbols", T.ArrayType(T.StringType())),
     T.StructField("size", T.IntegerType()),
     T.StructField("guards", T.ArrayType(T.StringType())),   # vacuous when any guard path holds JSON null
-])
+]
+CHECK_LEAF = T.StructType(_LEAF_FIELDS)
+# Arrays / maps of records carry the record's own program, paths relative to each element.
+CHECK = T.StructType(_LEAF_FIELDS + [T.StructField("element", T.ArrayType(CHECK_LEAF))])
 CHECKS = T.ArrayType(CHECK)
 
 _SCALAR = {"string": "string", "bytes": "string", "int": "int", "long": "long", "float": "number",
@@ -49,15 +53,16 @@ def _scalar(t: AvroType) -> tuple[str, list | None, int | None]:
     return kind, (list(t.symbols) if t.kind == "enum" else None), (t.size if t.kind == "fixed" else None)
 
 
-def program(schema: AvroType) -> list[dict] | None:
-    """The check list for a record-rooted schema, or None when it needs the compiled predicate."""
-    if schema.kind != "record":
-        return None
+def _record_checks(record: AvroType, nested: bool) -> list[dict]:
+    """Checks for a record at the root of the document (or of a container element)."""
     out: list[dict] = []
 
-    def add(path, kind, guards, inner=None, tag_path=None, symbols=None, size=None):
-        out.append({"path": variant_path(path), "kind": kind, "inner": inner, "tag_path": tag_path,
-                    "symbols": symbols, "size": size, "guards": list(guards)})
+    def add(path, kind, guards, inner=None, tag_path=None, symbols=None, size=None, element=None):
+        check = {"path": variant_path(path), "kind": kind, "inner": inner, "tag_path": tag_path,
+                 "symbols": symbols, "size": size, "guards": list(guards)}
+        if not nested:
+            check["element"] = element
+        out.append(check)
 
     def walk(t: AvroType, path: list, guards: tuple):
         if variant_path(path) is None:
@@ -68,8 +73,14 @@ def program(schema: AvroType) -> list[dict] | None:
             for name, ftype in t.fields:
                 walk(ftype, path + [name], guards)
         elif t.kind in ("array", "map"):
-            kind, symbols, size = _scalar(t.items if t.kind == "array" else t.values)
-            add(path, t.kind, guards, inner=kind, symbols=symbols, size=size)
+            item = t.items if t.kind == "array" else t.values
+            if item.kind == "record":
+                if nested:
+                    raise _Complex("containers of records inside containers")
+                add(path, t.kind + "_records", guards, element=_record_checks(item, nested=True))
+            else:
+                kind, symbols, size = _scalar(item)
+                add(path, t.kind, guards, inner=kind, symbols=symbols, size=size)
         elif t.kind == "union":
             rest = [b for b in t.branches if b.kind != "null"]
             if len(rest) != 1 or len(t.branches) != 2:
@@ -80,9 +91,8 @@ def program(schema: AvroType) -> list[dict] | None:
                 raise _Complex("path")
             if branch.kind == "record":
                 add(path, "nullable_record", guards, tag_path=variant_path(tag))
-                if branch.fields:
-                    for name, ftype in branch.fields:
-                        walk(ftype, tag + [name], guards + (variant_path(path),))
+                for name, ftype in branch.fields:
+                    walk(ftype, tag + [name], guards + (variant_path(path),))
             else:
                 kind, symbols, size = _scalar(branch)
                 add(path, "nullable", guards, inner=kind, tag_path=variant_path(tag), symbols=symbols, size=size)
@@ -90,11 +100,18 @@ def program(schema: AvroType) -> list[dict] | None:
             kind, symbols, size = _scalar(t)
             add(path, kind, guards, symbols=symbols, size=size)
 
+    walk(record, [], ())
+    return out
+
+
+def program(schema: AvroType) -> list[dict] | None:
+    """The check list for a record-rooted schema, or None when it needs the compiled predicate."""
+    if schema.kind != "record":
+        return None
     try:
-        walk(schema, [], ())
+        return _record_checks(schema, nested=False)
     except _Complex:
         return None
-    return out
 
 
 def _leaf(x: Column, kind: Column, symbols: Column, size: Column) -> Column:
@@ -115,19 +132,23 @@ def _leaf(x: Column, kind: Column, symbols: Column, size: Column) -> Column:
             .otherwise(F.lit(False)))
 
 
-def _check_ok(v: Column, c: Column) -> Column:
+def _check_ok(v: Column, c: Column, nested: bool = False) -> Column:
     x = F.try_variant_get(v, c["path"], "variant")
     as_map = x.try_cast("map<string,variant>")
     as_arr = x.try_cast("array<variant>")
     tagged = F.try_variant_get(v, c["tag_path"], "variant")
     element = lambda e: F.coalesce(_leaf(e, c["inner"], c["symbols"], c["size"]), F.lit(False))
     body = (F.when(c["kind"] == "array", as_arr.isNotNull() & F.forall(as_arr, element))
-            .when(c["kind"] == "map", as_map.isNotNull() & F.forall(F.map_values(as_map), element))
-            .when(c["kind"] == "nullable",
-                  F.is_variant_null(x) | ((F.size(as_map) == 1) & _leaf(tagged, c["inner"], c["symbols"], c["size"])))
+            .when(c["kind"] == "map", as_map.isNotNull() & F.forall(F.map_values(as_map), element)))
+    if not nested:
+        record_ok = lambda e: F.forall(c["element"], lambda ec: _check_ok(e, ec, nested=True))
+        body = (body.when(c["kind"] == "array_records", as_arr.isNotNull() & F.forall(as_arr, record_ok))
+                .when(c["kind"] == "map_records",
+                      as_map.isNotNull() & F.forall(F.map_values(as_map), record_ok)))
+    body = (body.when(c["kind"] == "nullable",
+                      F.is_variant_null(x) | ((F.size(as_map) == 1) & _leaf(tagged, c["inner"], c["symbols"], c["size"])))
             .when(c["kind"] == "nullable_record",
-                  F.is_variant_null(x) | ((F.size(as_map) == 1)
-                                          & tagged.try_cast("map<string,variant>").isNotNull()))
+                  F.is_variant_null(x) | ((F.size(as_map) == 1) & tagged.try_cast("map<string,variant>").isNotNull()))
             .otherwise(_leaf(x, c["kind"], c["symbols"], c["size"])))
     vacuous = F.exists(c["guards"], lambda g: F.coalesce(
         F.is_variant_null(F.try_variant_get(v, g, "variant")), F.lit(False)))
