@@ -22,11 +22,9 @@ def _norm(v):
     if v is None:
         return None
     if isinstance(v, float):
-        if math.isnan(v):
-            return "nan"
-        return round(v, 6)
+        return "nan" if math.isnan(v) else v          # exact: both engines must agree bit for bit
     if isinstance(v, decimal.Decimal):
-        return round(float(v), 6)
+        return float(v)
     if isinstance(v, dt.datetime):
         return v.replace(tzinfo=None).isoformat()
     if isinstance(v, (list, tuple)):
