@@ -223,3 +223,11 @@ def test_no_routes_everything_unrouted(spark):
     got = run(spark, [], [req(1, "a"), req(2, "b", body=None, length=None)])
     assert {k: (r["status"], r["error_code"]) for k, r in got.items()} == {
         "r1": (404, "unrouted"), "r2": (404, "unrouted")}
+
+
+def test_pointer_without_path_syntax_in_path_list_mode(spark):
+    routes = [route(f"r{i}", f"p{i}", jsonExpressionPointer=p) for i, p in enumerate(["/a'b\"c", "/ok", "/a'b\"c/z"])]
+    body = json.dumps({"a'b\"c": 1, "ok": 2})
+    reqs = [req(i, f"p{i}", body) for i in range(3)]
+    got = run(spark, routes, reqs, Settings(max_content_length=4096, compiled_schema_limit=0))
+    assert {k: r["status"] for k, r in got.items()} == {"r0": 202, "r1": 202, "r2": 400}

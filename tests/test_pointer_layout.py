@@ -143,3 +143,12 @@ def test_types_and_properties(spark):
     assert layout.initial_properties({"comment": "x", "a": "b"}, "  ") == {"comment": "x", "a": "b"}
     assert layout.initial_properties({"a": "b"}, "/payload") == {
         "a": "b", "comment": EPOCH_WATERMARK, "json-pointer-expression": "/payload"}
+
+
+def test_pointer_key_with_both_quote_kinds(spark):
+    body = json.dumps({"a'b\"c": {"x": [10, 20]}, "plain": 1})
+    df = spark.createDataFrame([(body,)], "b string")
+    v = F.try_parse_json("b")
+    got = df.select(jp.extract_text(v, jp.segments("/a'b\"c/x/1")).alias("hit"),
+                    jp.extract_text(v, jp.segments("/a'b\"c/y")).alias("miss")).first()
+    assert got["hit"] == "20" and got["miss"] is None
