@@ -100,3 +100,19 @@ def test_json_request_files_batch_and_stream(spark, scratch):
     q.awaitTermination()
     assert spark.table("json_reqs").count() == reqs.count()
     assert spark.table("json_reqs").exceptAll(batch).count() == 0
+
+
+def test_landing_stream_metrics_match_batch(spark, scratch):
+    src = f"{scratch}/requests"
+    reqs = _write_request_files(spark, src, 3)
+    q = LS.start_landing(RQ.stream_requests(spark, src, max_files_per_trigger=1), lambda: S.event_routes(spark),
+                         f"{scratch}/landing", f"{scratch}/rejects", f"{scratch}/ckpt",
+                         metrics_path=f"{scratch}/metrics")
+    q.awaitTermination()
+    got = LS.read_metrics(spark, f"{scratch}/metrics").groupBy("producer").agg(
+        F.sum("accepted").alias("a"), F.sum("rejected").alias("r"), F.sum("bytes").alias("b"))
+    gated = G.gate(reqs, S.event_routes(spark), spark)
+    want = gated.groupBy("producer").agg(
+        F.count_if(F.col("status") == 202).alias("a"), F.count_if(F.col("status") != 202).alias("r"),
+        F.sum(F.when(F.col("status") == 202, F.col("payload_bytes")).otherwise(0)).alias("b"))
+    assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())

@@ -19,6 +19,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
+from tidewater.functions.errors import ACCEPTED
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
 from tidewater.plans.routes import RouteTable
@@ -40,8 +41,28 @@ def committed_batches(spark: SparkSession, commits_path: str) -> set[int]:
         return set()
 
 
+def batch_metrics(gated: DataFrame, batch_id: int, window: str = "1 minute") -> DataFrame:
+    """Per (window, producer) counts of one gated batch (A1, A2, A6); partial sums that
+    :func:`read_metrics` adds up across batches."""
+    ok = F.col("status") == ACCEPTED
+    routed = F.col("error_code").isNull() | (F.col("error_code") != "unrouted")
+    return (gated.groupBy(F.window("received_at", window).alias("window"), "producer")
+            .agg(F.count_if(ok & routed).alias("requests_ok"), F.count_if(~ok & routed).alias("requests_error"),
+                 F.sum(F.when(ok, F.col("payload_bytes")).otherwise(F.lit(0))).cast("long").alias("bytes"),
+                 F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
+            .withColumn("batch_id", F.lit(batch_id).cast("long")))
+
+
+def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
+    """Current metrics: the per-batch partial counts summed per (window, producer)."""
+    parts = spark.read.parquet(metrics_path)
+    return parts.groupBy("window", "producer").agg(*[F.sum(c).cast("long").alias(c) for c in (
+        "requests_ok", "requests_error", "bytes", "accepted", "rejected")])
+
+
 def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable], landing_path: str,
-               rejects_path: str, commits_path: str, committed: set[int] | None = None) -> dict:
+               rejects_path: str, commits_path: str, committed: set[int] | None = None,
+               metrics_path: str | None = None) -> dict:
     """Gate one batch and write both sinks; returns the batch counts.
 
     ``committed`` is the caller's set of committed batch ids; without it the commit
@@ -62,6 +83,9 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
         rejects = (G.rejected(gated).withColumn("batch_id", F.lit(batch_id).cast("long"))
                    .observe(rejected_n, F.count(F.lit(1)).alias("n")))
         rejects.write.mode("append").partitionBy("producer").parquet(rejects_path)
+        if metrics_path:
+            # metrics from the same gated frame: no second gate pass, and route swaps apply
+            batch_metrics(gated, batch_id).coalesce(1).write.mode("append").parquet(metrics_path)
         counts = {"landed": landed_n.get["n"], "rejected": rejected_n.get["n"]}
     finally:
         gated.unpersist()
@@ -74,7 +98,7 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
 
 def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable], landing_path: str,
                   rejects_path: str, checkpoint: str | None = None, trigger: dict | None = None,
-                  name: str | None = None):
+                  name: str | None = None, metrics_path: str | None = None):
     """Start the landing stream (T5).  ``routes`` is called per micro-batch (T4).
 
     Without an explicit ``checkpoint`` the stream checkpoints under the session's
@@ -90,7 +114,7 @@ def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable],
     committed = committed_batches(requests_stream.sparkSession, commits)
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        land_batch(batch, batch_id, routes, landing_path, rejects_path, commits, committed)
+        land_batch(batch, batch_id, routes, landing_path, rejects_path, commits, committed, metrics_path)
 
     writer = requests_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if name:
