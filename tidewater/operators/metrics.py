@@ -22,17 +22,29 @@ def _with_tags(df: DataFrame, tags: dict | None) -> DataFrame:
 
 
 def requests_total(gated: DataFrame, tags: dict | None = None) -> DataFrame:
-    """Requests by (producer, ok/error); unrouted requests are not counted (A1)."""
-    routed = gated.where(F.col("error_code").isNull() | (F.col("error_code") != "unrouted"))
-    status = F.when(F.col("status") < 300, F.lit("ok")).otherwise(F.lit("error")).alias("outcome")
-    out = routed.groupBy("producer", status).agg(F.count(F.lit(1)).alias("requests"))
+    """Requests by (producer, ok/error); unrouted requests are not counted (A1).
+
+    Conditional counts rather than a filter on ``error_code``: a filter would be pushed
+    below the gate's projection and evaluate its rule chain a second time.
+    """
+    routed = F.col("error_code").isNull() | (F.col("error_code") != "unrouted")
+    ok = F.col("status") < 300
+    per = gated.groupBy("producer").agg(F.count_if(routed & ok).alias("ok"), F.count_if(routed & ~ok).alias("error"))
+    rows = F.explode(F.array(F.struct(F.lit("ok").alias("outcome"), F.col("ok").alias("requests")),
+                             F.struct(F.lit("error").alias("outcome"), F.col("error").alias("requests"))))
+    out = per.select("producer", rows.alias("r")).select("producer", "r.outcome", "r.requests") \
+        .where(F.col("requests") > 0)
     return _with_tags(out, tags)
 
 
 def bytes_total(gated: DataFrame, tags: dict | None = None) -> DataFrame:
-    """Landed payload bytes by producer, accepted requests only (A2)."""
-    out = (gated.where(F.col("error_code").isNull())
-           .groupBy("producer").agg(F.sum("payload_bytes").cast("long").alias("bytes")))
+    """Landed payload bytes by producer, accepted requests only (A2); conditional sums, no filter
+    on the gate (see :func:`requests_total`)."""
+    accepted = F.col("error_code").isNull()
+    out = (gated.groupBy("producer")
+           .agg(F.sum(F.when(accepted, F.col("payload_bytes"))).cast("long").alias("bytes"),
+                F.count_if(accepted).alias("_n"))
+           .where(F.col("_n") > 0).drop("_n"))
     return _with_tags(out, tags)
 
 
@@ -91,3 +103,19 @@ def access_log(gated: DataFrame) -> DataFrame:
         docs.client_ip(F.col("x_forwarded_for"), F.col("x_real_ip"), F.col("remote_addr")).alias("client_ip"),
         "method", "path", "producer", "status",
     )
+
+
+WINDOW_COUNTS = ("requests_ok", "requests_error", "bytes", "accepted", "rejected")
+
+
+def window_counts(gated: DataFrame, window: str = "1 minute") -> DataFrame:
+    """A1 / A2 / A6 per (time window, producer): routed ok/error requests, landed bytes,
+    accepted and rejected (the counts the metric stream keeps current, T7)."""
+    ok = F.col("status") == ACCEPTED
+    routed = F.col("error_code").isNull() | (F.col("error_code") != "unrouted")
+    return (gated.groupBy(F.window("received_at", window).alias("window"), "producer")
+            .agg(F.count_if(ok & routed).alias("requests_ok"),
+                 F.count_if(~ok & routed).alias("requests_error"),
+                 F.sum(F.when(ok, F.col("payload_bytes")).otherwise(F.lit(0))).cast("long").alias("bytes"),
+                 F.count_if(ok).alias("accepted"),
+                 F.count_if(~ok).alias("rejected")))

@@ -19,8 +19,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
-from tidewater.functions.errors import ACCEPTED
 from tidewater.operators import gate as G
+from tidewater.operators import metrics as M
 from tidewater.operators import landing as L
 from tidewater.plans.routes import RouteTable
 from tidewater.session import checkpoint_dir
@@ -44,20 +44,13 @@ def committed_batches(spark: SparkSession, commits_path: str) -> set[int]:
 def batch_metrics(gated: DataFrame, batch_id: int, window: str = "1 minute") -> DataFrame:
     """Per (window, producer) counts of one gated batch (A1, A2, A6); partial sums that
     :func:`read_metrics` adds up across batches."""
-    ok = F.col("status") == ACCEPTED
-    routed = F.col("error_code").isNull() | (F.col("error_code") != "unrouted")
-    return (gated.groupBy(F.window("received_at", window).alias("window"), "producer")
-            .agg(F.count_if(ok & routed).alias("requests_ok"), F.count_if(~ok & routed).alias("requests_error"),
-                 F.sum(F.when(ok, F.col("payload_bytes")).otherwise(F.lit(0))).cast("long").alias("bytes"),
-                 F.count_if(ok).alias("accepted"), F.count_if(~ok).alias("rejected"))
-            .withColumn("batch_id", F.lit(batch_id).cast("long")))
+    return M.window_counts(gated, window).withColumn("batch_id", F.lit(batch_id).cast("long"))
 
 
 def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
     """Current metrics: the per-batch partial counts summed per (window, producer)."""
     parts = spark.read.parquet(metrics_path)
-    return parts.groupBy("window", "producer").agg(*[F.sum(c).cast("long").alias(c) for c in (
-        "requests_ok", "requests_error", "bytes", "accepted", "rejected")])
+    return parts.groupBy("window", "producer").agg(*[F.sum(c).cast("long").alias(c) for c in M.WINDOW_COUNTS])
 
 
 def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable], landing_path: str,

@@ -8,25 +8,16 @@ ours: they bound the aggregation state to the late-data horizon.
 from __future__ import annotations
 
 from pyspark.sql import DataFrame
-from pyspark.sql import functions as F
 
-from tidewater.functions.errors import ACCEPTED
 from tidewater.operators import gate as G
+from tidewater.operators import metrics as M
 from tidewater.plans.routes import RouteTable
 
 
 def metric_frame(requests_stream: DataFrame, table: RouteTable, window: str = "1 minute",
                  late: str = "10 minutes") -> DataFrame:
-    gated = G.gate(requests_stream, table)
-    ok = F.col("status") == ACCEPTED
-    routed = F.col("error_code").isNull() | (F.col("error_code") != "unrouted")
-    return (gated.withWatermark("received_at", late)
-            .groupBy(F.window("received_at", window).alias("window"), "producer")
-            .agg(F.count_if(ok & routed).alias("requests_ok"),
-                 F.count_if(~ok & routed).alias("requests_error"),
-                 F.sum(F.when(ok, F.col("payload_bytes")).otherwise(F.lit(0))).cast("long").alias("bytes"),
-                 F.count_if(ok).alias("accepted"),
-                 F.count_if(~ok).alias("rejected")))
+    gated = G.gate(requests_stream, table).withWatermark("received_at", late)
+    return M.window_counts(gated, window)
 
 
 def start_metrics(requests_stream: DataFrame, table: RouteTable, sink: str, checkpoint: str,
