@@ -98,6 +98,18 @@ def main() -> None:
     wm = landed.where(F.col("producer") == "signup").agg(F.percentile_approx("ts", 0.5)).first()[0]
     queries["pull_pruned"] = timed(lambda: run_noop(L.incremental_pull(landed, "signup", wm)), RUNS)
     queries["pull_full_scan"] = timed(lambda: run_noop(landed), RUNS)
+
+    # one consumer run into a provisioned target: watermark + pointer from the table, insert-missing merge
+    from tidewater.operators import provision as PV
+    from tidewater.operators import pull as P
+    signup = S.event_routes(spark, ["signup"])
+    PV.provision(spark, signup, location_root=f"{scratch}/targets")
+    route = signup.by_producer()["signup"]
+    target = PV.table_name(route.iceberg)
+    consumed = {}
+    queries["consume_run"] = timed(lambda: consumed.update(P.pull_into_table(
+        spark, landed, target, "signup", route.columns, S.SETTINGS.merge_key, version=1)))
+    extra["consume_rows"] = consumed.get("pulled")
     reqs.unpersist()
 
     headline = [k for k in queries]
