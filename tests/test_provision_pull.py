@@ -182,3 +182,22 @@ def test_merge_into_table_versions(spark, scratch):
     assert sorted(tuple(r) for r in spark.table("default.mv").collect()) == [("a", 9, "2"), ("b", 2, "1")]
     with pytest.raises(ValueError):
         P.merge_into_table(spark, "default.mv", newer, ["k"], ["t"], version=2)
+
+
+def test_hand_written_date_and_timestamp_columns(spark, scratch):
+    cols = [{"name": "day", "type": "DATE"}, {"name": "at", "type": "Timestamp"}, {"name": "n", "type": "long"}]
+    routes = [{"name": "h", "spec": {"consumerId": "h", "schemaSubject": "h", "schemaVersion": 1,
+                                     "iceberg": tgt("typed_tbl", columns=cols)}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), Settings())
+    PV.provision(spark, table, location_root=scratch)
+    types = {f.name: f.dataType.simpleString() for f in spark.table("pv.typed_tbl").schema.fields}
+    assert types == {"day": "date", "at": "timestamp", "n": "bigint", "timestampUTC": "string", "merge_key": "string"}
+    body = '{"day":"2024-02-29","at":"2024-02-29T10:11:12Z","n":5}'
+    req = {"request_id": "r1", "received_at": dt.datetime(2024, 3, 1), "api_version": "v1", "producer": "h",
+           "content_type": "application/json", "content_length": len(body), "body": body}
+    df = RQ.conform(spark.createDataFrame([req], RQ.REQUEST_SCHEMA))
+    landed = L.envelope(G.accepted(G.gate(df, table, spark)))
+    route = table.by_producer()["h"]
+    row = P.pull(landed, "h", dt.datetime(1970, 1, 1), route.columns, None, "merge_key").first()
+    assert row["day"] == dt.date(2024, 2, 29) and row["n"] == 5
+    assert row["at"] == dt.datetime(2024, 2, 29, 10, 11, 12)
