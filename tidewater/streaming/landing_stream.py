@@ -130,8 +130,8 @@ def drain(spark: SparkSession, landing_path: str, producer: str, checkpoint: str
           capacity: int | None = None) -> DataFrame:
     """Everything landed for ``producer`` since the previous drain with this checkpoint, oldest
     first (S7, W2); ``out_path`` is a fresh folder per drain.  With ``capacity`` only the newest
-    ``capacity`` records are kept, as a bounded per-producer buffer would (W1).  An unknown
-    producer drains nothing."""
+    ``capacity`` records are kept, as a bounded per-producer buffer would (W1; the service's
+    default is ``settings.DEFAULT_BUFFER_CAPACITY``).  An unknown producer drains nothing."""
     stream = (spark.readStream.schema(landing_stream_schema()).parquet(landing_path)
               .where(F.col("producer") == F.lit(producer)))
     query = (stream.writeStream.format("parquet").option("path", out_path)
