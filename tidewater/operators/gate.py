@@ -143,6 +143,12 @@ def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = No
             .withColumn("message", E.message_col(F.col("error_code"), values)))
 
 
+# What the sinks read from a gated batch (landing envelope, rejects, metrics): persisting only
+# these keeps the raw body and the parsed variant out of the cache.
+SINK_COLUMNS = ["request_id", "received_at", "producer", "payload", "payload_bytes", "schema_subject",
+                "schema_version", "schema_fingerprint", "status", "error_code", "message"]
+
+
 def _select_rows(gated: DataFrame, keep: Column, columns: list[str]) -> DataFrame:
     """Rows where ``keep`` holds, in one pass over the gate.
 

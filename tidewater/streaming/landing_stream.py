@@ -68,7 +68,7 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
     if batch_id in committed:
         return {"batch_id": batch_id, "skipped": True}
     table = routes()
-    gated = G.gate(batch, table, spark).persist()
+    gated = G.gate(batch, table, spark).select(*G.SINK_COLUMNS).persist()
     landed_n, rejected_n = Observation(f"landed_{batch_id}"), Observation(f"rejected_{batch_id}")
     try:
         landed = L.envelope(G.accepted(gated), batch_id).observe(landed_n, F.count(F.lit(1)).alias("n"))
