@@ -7,11 +7,14 @@ ours: they bound the aggregation state to the late-data horizon.
 
 from __future__ import annotations
 
+import hashlib
+
 from pyspark.sql import DataFrame
 
 from tidewater.operators import gate as G
 from tidewater.operators import metrics as M
 from tidewater.plans.routes import RouteTable
+from tidewater.session import checkpoint_dir
 
 
 def metric_frame(requests_stream: DataFrame, table: RouteTable, window: str = "1 minute",
@@ -20,9 +23,14 @@ def metric_frame(requests_stream: DataFrame, table: RouteTable, window: str = "1
     return M.window_counts(gated, window)
 
 
-def start_metrics(requests_stream: DataFrame, table: RouteTable, sink: str, checkpoint: str,
+def start_metrics(requests_stream: DataFrame, table: RouteTable, sink: str | None, checkpoint: str | None = None,
                   output_mode: str = "update", fmt: str = "memory", name: str = "ingestion_metrics",
                   trigger: dict | None = None):
+    """Start the metric stream.  Without an explicit ``checkpoint`` it lives under the session's
+    ``spark.checkpoint.dir``, named after the query and its sink so different sinks never share state."""
+    if checkpoint is None:
+        tag = hashlib.sha1(f"{name}|{fmt}|{sink}".encode("utf-8")).hexdigest()[:16]
+        checkpoint = f"{checkpoint_dir(requests_stream.sparkSession).rstrip('/')}/{name}-{tag}"
     writer = (metric_frame(requests_stream, table).writeStream.outputMode(output_mode)
               .option("checkpointLocation", checkpoint).trigger(**(trigger or {"availableNow": True})))
     if fmt == "memory":
