@@ -231,3 +231,13 @@ def test_pointer_without_path_syntax_in_path_list_mode(spark):
     reqs = [req(i, f"p{i}", body) for i in range(3)]
     got = run(spark, routes, reqs, Settings(max_content_length=4096, compiled_schema_limit=0))
     assert {k: r["status"] for k, r in got.items()} == {"r0": 202, "r1": 202, "r2": 400}
+
+
+def test_route_broadcast_checks_bytes_too(spark):
+    routes = [route("a", "a", payloadSchema=ORDER)]
+    assert table(spark, routes).broadcastable()
+    small = table(spark, routes, Settings(route_broadcast_bytes=10))
+    assert not small.broadcastable()
+    plan = G.gate(RQ.conform(spark.createDataFrame([req(1, "a")], RQ.REQUEST_SCHEMA)), small, spark) \
+        ._jdf.queryExecution().optimizedPlan().toString()
+    assert "strategy=broadcast" not in plan

@@ -163,10 +163,19 @@ class RouteTable:
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), ROUTE_COLUMNS)
 
+    def estimated_bytes(self) -> int:
+        """Size estimate of the join side from the rows themselves (they are on the driver already)."""
+        return sum(len(repr(row)) for row in self.rows())
+
+    def broadcastable(self) -> bool:
+        return (len(self.routes) <= self.settings.route_broadcast_limit
+                and self.estimated_bytes() <= self.settings.route_broadcast_bytes)
+
     def join_side(self, spark: SparkSession) -> DataFrame:
-        """Routes for the request join: broadcast when the (known) route count is within the limit."""
+        """Routes for the request join: broadcast only when both the (known) route count and the
+        estimated size are within their limits; otherwise a shuffle join."""
         df = self.to_df(spark)
-        return F.broadcast(df) if len(self.routes) <= self.settings.route_broadcast_limit else df
+        return F.broadcast(df) if self.broadcastable() else df
 
     def errors_df(self, spark: SparkSession) -> DataFrame:
         rows = [(r.route_name, r.producer, stage, msg) for r in self.routes for stage, msg in r.errors]

@@ -25,6 +25,8 @@ class Settings:
     merge_key: str = "merge_key"
     # Routes are broadcast to every task; above this many we fall back to a shuffle join.
     route_broadcast_limit: int = 100_000
+    # ... and above this estimated size in bytes (programs and schemas ride on the rows).
+    route_broadcast_bytes: int = 64 * 1024 * 1024
     # Up to this many distinct schemas are compiled into the gate expression; beyond it
     # schemas are checked by data-driven programs (constant expression size).
     compiled_schema_limit: int = 16
