@@ -143,11 +143,12 @@ class RouteTable:
 
     def rows(self) -> list[tuple]:
         s = self.settings
+        programs, paths = self.uses_programs, self.uses_pointer_paths     # once, not per route
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
                  r.fingerprint if r.validates else None, r.pointer, r.compile_status != POINTER_INVALID,
                  r.has_target, r.renames, r.compile_status,
-                 r.checks if (r.validates and self.uses_programs) else None,
-                 r.pointer_paths if self.uses_pointer_paths else None) for r in self.routes]
+                 r.checks if (r.validates and programs) else None,
+                 r.pointer_paths if paths else None) for r in self.routes]
 
     @property
     def uses_pointer_paths(self) -> bool:
