@@ -3,6 +3,8 @@
 import datetime as dt
 import json
 
+from pyspark.sql import functions as F
+
 
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
@@ -241,3 +243,10 @@ def test_route_broadcast_checks_bytes_too(spark):
     plan = G.gate(RQ.conform(spark.createDataFrame([req(1, "a")], RQ.REQUEST_SCHEMA)), small, spark) \
         ._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan
+
+
+def test_shared_pointer_compiles_to_one_branch(spark):
+    routes = [route(f"r{i}", f"p{i}", jsonExpressionPointer="/payload") for i in range(5)]
+    tbl = table(spark, routes)
+    expr = str(G.pointer_ok(tbl, F.col("pointer"), F.col("v")))
+    assert expr.count("/payload") == 1

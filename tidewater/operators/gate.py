@@ -80,11 +80,14 @@ def pointer_ok(table: RouteTable, pointer: Column, v: Column) -> Column:
         paths = F.col("pointer_paths")
         expr = F.when(paths.isNotNull(),
                       F.exists(paths, lambda p: F.try_variant_get(v, p, "variant").isNotNull()))
+    compiled: dict[str, list] = {}          # one branch per distinct pointer, not per route
     for r in table.routes:
         if r.pointer is None or r.compile_status == POINTER_INVALID or (by_paths and r.pointer_paths):
             continue
-        branch = jp.resolve(v, r.tokens).isNotNull()
-        expr = F.when(pointer == r.pointer, branch) if expr is None else expr.when(pointer == r.pointer, branch)
+        compiled.setdefault(r.pointer, r.tokens)
+    for p, tokens in compiled.items():
+        branch = jp.resolve(v, tokens).isNotNull()
+        expr = F.when(pointer == p, branch) if expr is None else expr.when(pointer == p, branch)
     if expr is None:
         return F.lit(True)
     return F.when(pointer.isNull(), F.lit(True)).otherwise(F.coalesce(expr, F.lit(False)))
