@@ -5,7 +5,6 @@ import json
 
 from pyspark.sql import functions as F
 
-
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
 from tidewater.operators import metrics as M
