@@ -201,3 +201,20 @@ def test_hand_written_date_and_timestamp_columns(spark, scratch):
     row = P.pull(landed, "h", dt.datetime(1970, 1, 1), route.columns, None, "merge_key").first()
     assert row["day"] == dt.date(2024, 2, 29) and row["n"] == 5
     assert row["at"] == dt.datetime(2024, 2, 29, 10, 11, 12)
+
+
+def test_durable_provision_log_retries_failures(spark, scratch):
+    log = f"{scratch}/provision_log"
+    bad = [{"name": "x", "spec": {"consumerId": "x", "schemaSubject": "x", "schemaVersion": 1,
+                                  "iceberg": tgt("retry_tbl", columns=[{"name": "k", "type": "decimal"}])}},
+           {"name": "y", "spec": {"consumerId": "y", "schemaSubject": "y", "schemaVersion": 1,
+                                  "iceberg": tgt("ok_tbl", columns=[{"name": "k", "type": "int"}])}}]
+    first = PV.provision(spark, compile_routes(R.flatten_routes(R.route_resources_df(spark, bad)), Settings()),
+                         location_root=scratch, log_path=log)
+    assert {r["producer"]: r["outcome"] for r in first.collect()} == {"x": "failed", "y": "created"}
+    fixed = [dict(bad[0], spec=dict(bad[0]["spec"], iceberg=tgt("retry_tbl", columns=[{"name": "k", "type": "long"}]))),
+             bad[1]]
+    second = PV.provision(spark, compile_routes(R.flatten_routes(R.route_resources_df(spark, fixed)), Settings()),
+                          location_root=scratch, log_path=log)
+    assert {r["producer"]: r["outcome"] for r in second.collect()} == {"x": "created"}   # y is skipped
+    assert PV.provisioned_producers(spark, log) == {"x", "y"}

@@ -11,7 +11,9 @@ from __future__ import annotations
 import datetime as dt
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
+from pyspark.sql.utils import AnalysisException
 
 from tidewater.plans import layout
 from tidewater.plans.routes import RouteTable
@@ -52,10 +54,26 @@ def create_statement(name: str, cols: list[layout.Column], declared: dict | None
     return stmt
 
 
+def provisioned_producers(spark: SparkSession, log_path: str) -> set[str]:
+    """Producers whose target a previous run created or found (T3: only successes count)."""
+    try:
+        log = spark.read.schema(PROVISION_LOG).parquet(log_path)
+    except AnalysisException:
+        return set()
+    return {r[0] for r in log.where(F.col("outcome").isin("created", "exists")).select("producer").distinct()
+            .collect()}
+
+
 def provision(spark: SparkSession, table: RouteTable, provisioned: set[str] | None = None,
-              location_root: str | None = None) -> DataFrame:
-    """Provision every route's target once; returns the provision log."""
+              location_root: str | None = None, log_path: str | None = None) -> DataFrame:
+    """Provision every route's target once; returns this run's provision log.
+
+    With ``log_path`` the log is durable: producers provisioned by earlier runs are
+    skipped, this run's outcomes are appended, and failed routes retry next time.
+    """
     done = set(provisioned or ())
+    if log_path:
+        done |= provisioned_producers(spark, log_path)
     log = []
     fmt = table.settings.table_format
     for r in table.routes:
@@ -78,4 +96,7 @@ def provision(spark: SparkSession, table: RouteTable, provisioned: set[str] | No
             done.add(r.producer)
         except Exception as e:  # one bad route must not stop the others
             log.append((r.producer, name, "failed", str(e).splitlines()[0][:500], now))
-    return spark.createDataFrame(log, PROVISION_LOG)
+    out = spark.createDataFrame(log, PROVISION_LOG)
+    if log_path and log:
+        out.coalesce(1).write.mode("append").parquet(log_path)
+    return out
