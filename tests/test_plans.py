@@ -18,7 +18,6 @@ def optimized(df) -> str:
 
 
 def test_gate_is_broadcast_and_pruned(spark):
-    plan = spark.createDataFrame([], "x int")  # noqa: F841  (session warm)
     df = S.gate_outcomes(spark, SF)
     phys = df._jdf.queryExecution().executedPlan().toString()
     assert "BroadcastHashJoin" in phys and "SortMergeJoin" not in phys and "SinglePartition" not in phys
