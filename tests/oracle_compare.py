@@ -42,6 +42,11 @@ def rows_of(columns, rows):
     return [columns[i] for i in order], sorted(out, key=repr)
 
 
+# Spark simple type names → DuckDB type names, for the schema part of the comparison.
+SPARK_TO_DUCKDB = {"string": "VARCHAR", "bigint": "BIGINT", "int": "INTEGER", "double": "DOUBLE",
+                   "boolean": "BOOLEAN", "float": "FLOAT", "smallint": "SMALLINT", "date": "DATE"}
+
+
 def duckdb_conn(sf_dir):
     import duckdb
     con = duckdb.connect()
@@ -65,14 +70,18 @@ def compare(spark, sf_dir, names=None, verbose=True):
             if verbose:
                 print(f"{name:24s} rows-only n={len(s_rows)} spark={t1 - t0:.1f}s")
             continue
-        rel = con.execute(sql[name])
-        d_cols = [d[0] for d in rel.description]
-        d_cols, d_rows = rows_of(d_cols, rel.fetchall())
-        ok = (s_cols == d_cols) and (s_rows == d_rows)
+        rel = con.sql(sql[name])
+        d_types = dict(zip(rel.columns, [str(t) for t in rel.types]))
+        d_cols, d_rows = rows_of(list(rel.columns), rel.fetchall())
+        type_diff = {c: (t, d_types.get(c)) for c, t in df.dtypes
+                     if SPARK_TO_DUCKDB.get(t, t) != d_types.get(c)}
+        ok = (s_cols == d_cols) and (s_rows == d_rows) and not type_diff
         results[name] = ok
         if verbose:
             print(f"{name:24s} {'OK  ' if ok else 'FAIL'} n={len(s_rows)}/{len(d_rows)} spark={t1 - t0:.1f}s")
             if not ok:
+                if type_diff:
+                    print("   types spark/duckdb:", type_diff)
                 if s_cols != d_cols:
                     print("   cols spark :", s_cols)
                     print("   cols duckdb:", d_cols)
