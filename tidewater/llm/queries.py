@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import line_dedup, oracle, pivot_topk, sentencepiece_codec, url_reputation, warc
+from tidewater.llm import decontaminate, line_dedup, oracle, pivot_topk, sentencepiece_codec, url_reputation, warc
 from tidewater.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
@@ -31,6 +31,10 @@ def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("page_id", "host", "path", "rule", "verdict")
 
 
+def op6_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontaminate.find_leaks(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def op7_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     kept = line_dedup.drop_repeated_lines(table(spark, sf_dir, "documents"))
     return kept.select("doc_id", "n_lines", "n_dropped", F.sha2(F.col("kept").cast("binary"), 256).alias("kept_sha256"))
@@ -44,6 +48,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op2_sentencepiece": op2_sentencepiece,
     "op3_pivot_topk": op3_pivot_topk,
     "op5_url_reputation": op5_url_reputation,
+    "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op10_warc": op10_warc,
 }
