@@ -9,12 +9,17 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import decontaminate, line_dedup, oracle, pivot_topk, quality_mil, sentencepiece_codec, url_reputation, warc
+from tidewater.llm import (decontaminate, html_extract, line_dedup, oracle, pivot_topk, quality_mil, sentencepiece_codec,
+                           url_reputation, warc)
 from tidewater.llm.common import table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
 
+def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html_extract.extract_text(table(spark, sf_dir, "pages")).withColumn("n_chars", F.length("text").cast("bigint"))
+
+
 def op2_sentencepiece(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sentencepiece_codec.encode_documents(table(spark, sf_dir, "documents"), public_tokenizers.path(PIECE_MODEL))
 
@@ -49,6 +54,7 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_html_extract": op1_html_extract,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_pivot_topk": op3_pivot_topk,
     "op5_url_reputation": op5_url_reputation,
