@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import (decontaminate, html_extract, line_dedup, oracle, pivot_topk, quality_mil, sentencepiece_codec,
+from tidewater.llm import (decontaminate, html_extract, line_dedup, minhash_odd, oracle, pivot_topk, quality_mil, sentencepiece_codec,
                            url_reputation, warc)
 from tidewater.llm.common import table
 
@@ -28,6 +28,10 @@ def op3_pivot_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     return pivot_topk.top_k(table(spark, sf_dir, "embeddings"), F.col("_id") % 100 == 0)
 
 
+def op4_minhash_odd(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash_odd.near_duplicates(table(spark, sf_dir, "documents"), words=2)
+
+
 def op5_url_reputation(spark: SparkSession, sf_dir: str) -> DataFrame:
     # a page's labelled outcome is the label under its id: bad if of low quality or toxic
     outcomes = table(spark, sf_dir, "labels").select(
@@ -57,6 +61,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_pivot_topk": op3_pivot_topk,
+    "op4_minhash_odd": op4_minhash_odd,
     "op5_url_reputation": op5_url_reputation,
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
