@@ -110,6 +110,7 @@ def _write_part(folder: str, block_lines: int):
         at = index_at = 0
         block: list[tuple[str, int, str]] = []
         rows = []
+        mark: tuple = ()
 
         def close_block():
             nonlocal index_at
@@ -120,13 +121,16 @@ def _write_part(folder: str, block_lines: int):
             block.clear()
 
         for b in batches:
-            if len(b) and warc is None:
-                fs.create_dir(root, recursive=True)
-                warc = fs.open_output_stream(f"{root}/{name}.warc.gz", compression=None)
-                index = fs.open_output_stream(f"{root}/{name}.cdx.gz", compression=None)
-            for key, sid, url, html, digest, refers in zip(b._key, b._id.tolist(), b._url, b._html, b._digest, b._refers):
-                refers = None if refers is None or refers != refers else int(refers)
-                member = _gzip(_record(sid, url, (html or "").encode("utf-8"), digest, refers))
+            for key, sid, url, html, digest, first in zip(b._key, b._id.tolist(), b._url, b._html, b._digest, b._first):
+                if html is None:                     # a mark: the next captures under this key are copies
+                    mark = (key, sid, digest, int(first))
+                    continue
+                if warc is None:
+                    fs.create_dir(root, recursive=True)
+                    warc = fs.open_output_stream(f"{root}/{name}.warc.gz", compression=None)
+                    index = fs.open_output_stream(f"{root}/{name}.cdx.gz", compression=None)
+                refers = mark[3] if mark[:3] == (key, sid, digest) else None
+                member = _gzip(_record(sid, url, html.encode("utf-8"), digest, refers))
                 warc.write(member)
                 block.append((key, sid, json.dumps({"offset": at, "length": len(member)})))
                 at += len(member)
@@ -146,19 +150,24 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
                   min_dedup_bytes: int = MIN_DEDUP_BYTES, block_lines: int = BLOCK_LINES) -> Archive:
     """Write one record per row of ``pages`` (null html: an empty payload; null url: key ``)``; null
     ids sort first; repeated rows: a record each, all ``response`` if they hold the smallest id).
-    The payload crosses the network for the deduplication join and for the sort, nothing else does."""
+
+    Payloads cross the network once, for the sort.  Copies are found on ids and digests alone; a copy's
+    mark sorts in right before its capture (same key, id and digest) and tells the writer what it
+    refers to."""
     spark = pages.sparkSession
     folder = new_folder(spark, "warc")
     html = F.coalesce(F.col(html_col).cast("string"), F.lit(""))
-    rows = pages.select(F.col(id_col).cast("bigint").alias("_page"), F.col(url_col).cast("string").alias("_url"),
-                        html.alias("_html"), F.sha2(html.cast("binary"), 256).alias("_digest"))
-    firsts = (rows.where(F.octet_length("_html") >= min_dedup_bytes).groupBy("_digest")
-              .agg(F.min("_page").alias("_first"), F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _first IS NOT NULL")
-              .drop("_n"))
-    captures = rows.join(firsts, "_digest", "left").select(
-        url_key(F.col("_url")).alias("_key"), F.coalesce("_page", F.lit(NO_ID)).alias("_id"), "_url", "_html", "_digest",
-        F.when(~F.col("_first").eqNullSafe(F.col("_page")), F.col("_first")).alias("_refers"))
-    parts = captures.repartitionByRange("_key", "_id").sortWithinPartitions("_key", "_id")
+    url = F.col(url_col).cast("string")
+    rows = pages.select(url_key(url).alias("_key"), F.coalesce(F.col(id_col).cast("bigint"), F.lit(NO_ID)).alias("_id"),
+                        url.alias("_url"), html.alias("_html"), F.sha2(html.cast("binary"), 256).alias("_digest"))
+    thin = rows.where(F.octet_length("_html") >= min_dedup_bytes).select("_key", "_id", "_digest")
+    firsts = thin.groupBy("_digest").agg(F.min(F.when(F.col("_id") != NO_ID, F.col("_id"))).alias("_first"),
+                                         F.count(F.lit(1)).alias("_n")).where("_n > 1 AND _first IS NOT NULL").drop("_n")
+    marks = thin.join(firsts, "_digest").where("_id <> _first").distinct().select(
+        "_key", "_id", F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_html"), "_digest", "_first")
+    captures = rows.withColumn("_first", F.lit(None).cast("bigint")).unionByName(marks)
+    parts = captures.repartitionByRange("_key", "_id").sortWithinPartitions(
+        "_key", "_id", "_digest", F.col("_html").isNotNull())
     return Archive(folder, written(parts.mapInPandas(_write_part(folder, block_lines), _DIRECTORY), "warc-directory"))
 
 
@@ -234,9 +243,11 @@ def lookup(archive: Archive, keys: DataFrame) -> DataFrame:
             out.append(hits)
         return pd.Series(out, dtype=object)
 
-    wanted = keys.select("_key", "_id").distinct().select("_key", "_id", F.explode(part_of("_key", "_id")).alias("part"))
+    count = max(1, len(names))                 # reading costs by the part, whatever the size of the keys
+    wanted = keys.select("_key", "_id").distinct().select("_key", "_id", F.explode(part_of("_key", "_id")).alias("part")) \
+        .repartition(count, "part")
     blocks = archive.directory.groupBy("part").agg(F.collect_list(F.struct(
-        "first_key", "first_id", "last_key", "last_id", "offset", "length", "part", "warc")).alias("_blocks"))
+        "first_key", "first_id", "last_key", "last_id", "offset", "length", "part", "warc")).alias("_blocks")).repartition(count, "part")
     folder = archive.folder
 
     def read(key, left, right):
