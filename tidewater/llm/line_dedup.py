@@ -153,6 +153,30 @@ def repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "tex
     return lost.groupBy("_id").agg(F.collect_set(F.struct("_k1", "_k2")).alias("keys"))
 
 
+def _without(text: str | None, keys, min_chars: int) -> tuple[str, int, int]:
+    """(text without the lines under ``keys``, lines before, lines dropped)."""
+    text = text or ""
+    lines = text.split("\n")
+    if keys is None or not len(keys):
+        return text, len(lines), 0
+    drop = {np.array([k["_k1"], k["_k2"]], np.int64).tobytes() for k in keys}
+    kept = [x for x, d in zip(lines, _digests(text, min_chars)) if d is None or d not in drop]
+    return "\n".join(kept), len(lines), len(lines) - len(kept)
+
+
+def rewrite_documents(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS, **settings) -> DataFrame:
+    """``docs`` with the repeated lines gone from ``text_col``; every other column as it is."""
+    lost = repeated_lines(docs, id_col, text_col, min_chars, **settings) \
+        .select(F.col("_id").alias("__lost_id"), F.col("keys").alias("__lost_keys"))
+
+    @F.pandas_udf("string")
+    def rewrite(text: pd.Series, keys: pd.Series) -> pd.Series:
+        return pd.Series([t if k is None else _without(t, k, min_chars)[0] for t, k in zip(text, keys)], dtype=object)
+
+    joined = docs.join(lost, F.col(id_col).cast("bigint") == F.col("__lost_id"), "left")
+    return joined.withColumn(text_col, rewrite(F.col(text_col), F.col("__lost_keys"))).select(docs.columns)
+
+
 def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", min_chars: int = MIN_CHARS,
                         min_docs: int = MIN_DOCS, bits_per_row: int = BITS_PER_ROW, max_bits: int = MAX_BITS) -> DataFrame:
     """``id_col, n_lines, n_dropped, kept``: every document without the lines whose key (stripped,
@@ -169,15 +193,8 @@ def drop_repeated_lines(docs: DataFrame, id_col: str = "doc_id", text_col: str =
         for b in batches:
             out = []
             for i, text, keys in zip(b["_id"].tolist(), b["_text"], b["keys"]):
-                text = text or ""
-                lines = text.split("\n")
-                gone = 0
-                if keys is not None and len(keys):
-                    drop = {np.array([k["_k1"], k["_k2"]], np.int64).tobytes() for k in keys}
-                    kept = [x for x, d in zip(lines, _digests(text, min_chars)) if d is None or d not in drop]
-                    gone = len(lines) - len(kept)
-                    text = "\n".join(kept)
-                out.append([None if i is None or i != i else int(i), len(lines), gone, text])
+                kept, lines, gone = _without(text, keys, min_chars)
+                out.append([None if i is None or i != i else int(i), lines, gone, kept])
             frame = pd.DataFrame(out, columns=[id_col, "n_lines", "n_dropped", "kept"])
             yield frame.astype({id_col: "Int64"})
 

@@ -213,3 +213,19 @@ def score(docs: DataFrame, model: AttentionModel, id_col: str = "doc_id", text_c
 def classify(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col: str = "text", **training) -> DataFrame:
     """``train`` on the labelled documents, then ``score`` all of them."""
     return score(docs, train(docs, labels, id_col, text_col, **training), id_col, text_col)
+
+
+def keep_good(docs: DataFrame, model: AttentionModel, text_col: str = "text", threshold: float = 0.5) -> DataFrame:
+    """The rows of ``docs``, all columns as they are, whose text scores at least ``threshold``."""
+    def run(batches):
+        import pyarrow as pa
+        for batch in batches:
+            texts = batch.column(batch.schema.get_field_index(text_col)).to_pylist()
+            keep: list[bool] = []
+            for at in range(0, len(texts), 256):
+                bags = [passages(t) for t in texts[at:at + 256]]
+                starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(np.int64)
+                keep += (model.score(np.concatenate(bags), starts) >= threshold).tolist()
+            yield batch.filter(pa.array(keep, pa.bool_()))
+
+    return docs.mapInArrow(run, docs.schema)
