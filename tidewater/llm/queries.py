@@ -9,7 +9,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import (decontaminate, html_extract, line_dedup, minhash_odd, oracle, pivot_topk, quality_mil, sentencepiece_codec,
+from tidewater.llm import (decontaminate, html_extract, line_dedup, minhash_odd, oracle, pivot_topk, quality_mil, sentencepiece_codec, suffix_dedup,
                            url_reputation, warc)
 from tidewater.llm.common import table
 
@@ -53,6 +53,12 @@ def op8_quality_mil(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_mil.classify(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_suffix_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    left = suffix_dedup.remove_repeats(table(spark, sf_dir, "documents"))
+    return left.select("doc_id", "n_bytes", "n_removed", F.expr("CAST(size(spans) / 2 AS BIGINT)").alias("n_spans"),
+                       F.sha2("kept", 256).alias("kept_sha256"))
+
+
 def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
@@ -66,6 +72,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op6_decontaminate": op6_decontaminate,
     "op7_line_dedup": op7_line_dedup,
     "op8_quality_mil": op8_quality_mil,
+    "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
 }
 
