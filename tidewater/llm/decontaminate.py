@@ -49,8 +49,8 @@ _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<slot {k}>")) for k in (NUMBER,
 _FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _classify(raw: str) -> tuple[int, int]:
-    """(hash of the lower-cased word, kind), the kind as far as the word alone tells it."""
+def _classify(raw: str) -> int:
+    """Hash of the lower-cased word with its kind, as far as the word alone tells it, in the two lowest bits."""
     start = _STARTS.match(raw)
     word = raw[start.end():] if start else raw
     low = word.lower()
@@ -62,7 +62,7 @@ def _classify(raw: str) -> tuple[int, int]:
         kind = NAME
     else:
         kind = LITERAL
-    return xxhash.xxh3_64_intdigest(low), kind
+    return xxhash.xxh3_64_intdigest(low) & ~3 | kind
 
 
 _WORDS = Memo(_classify, 300_000)
@@ -73,10 +73,9 @@ class Template:
 
     def __init__(self, text: str | None):
         self.raw = _TOKENS.findall("\n" + text) if text else []
-        pairs = list(map(_WORDS.__getitem__, self.raw))
-        flat = np.array(pairs, dtype=np.uint64).reshape(-1, 2)
-        self.word = flat[:, 0].copy()
-        kind = flat[:, 1].astype(np.int8)
+        known = np.fromiter(map(_WORDS.__getitem__, self.raw), np.uint64, len(self.raw))
+        self.word = known & ~np.uint64(3)
+        kind = (known & np.uint64(3)).astype(np.int8)
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = kind[:-1] == NUMBER
         kind[(kind == UNIT) & ~after_number] = LITERAL            # a unit is one behind a number only
