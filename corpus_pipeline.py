@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.llm import decontaminate, line_dedup, minhash_odd, quality_mil, sentencepiece_codec
-from tidewater.llm.common import table, written
+from tidewater.llm.common import ship_package, table, written
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -62,6 +62,7 @@ ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+    ship_package(spark)
     docs = table(spark, sf_dir, "documents")
     for name, stage in STAGES[:-1]:
         docs = written(stage(spark, docs, sf_dir), f"stage-{name}")

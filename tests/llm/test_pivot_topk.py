@@ -1,0 +1,71 @@
+import math
+
+import numpy as np
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import clashing, rows_of
+from tidewater.llm.pivot_topk import search_cell, top_k
+
+
+def brute(rows, k=10):
+    good = [(i, [math.floor(1024 * float(x)) for x in v]) for i, v in rows
+            if i is not None and v is not None and all(x is not None and math.isfinite(x) for x in v)]
+    out = set()
+    for i, q in good:
+        if i % 100 == 0:
+            best = {}
+            for j, v in good:
+                if j != i and len(v) == len(q):
+                    s = sum(a * b for a, b in zip(q, v))
+                    best[j] = max(best.get(j, s), s)
+            top = sorted(best.items(), key=lambda x: (-x[1], x[0]))[:k]
+            out |= {(i, n + 1, j, s) for n, (j, s) in enumerate(top)}
+    return sorted(out)
+
+
+def run(spark, rows, **settings):
+    df = top_k(clashing(spark, rows, "vec_id bigint, embedding array<float>"), F.col("_id") % 100 == 0, **settings)
+    return rows_of(df, "query_id", "rank", "vec_id", "score")
+
+
+def test_against_brute_force_over_many_cells(spark):
+    rng = np.random.default_rng(1)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8) * (1 + i % 3)]) for i in range(700)]
+    assert run(spark, rows, block=50, query_block=3) == sorted(brute(rows), key=repr)
+
+
+def test_ties_repeats_and_bad_vectors(spark):
+    same = [0.5, -0.25, 1.0]
+    rows = [(i, same) for i in range(0, 230)] + [(100, same), (300, None), (301, [0.1, None, 0.2]), (302, [float("nan"), 1.0, 2.0]),
+                                                 (303, [float("inf"), 1.0, 1.0]), (None, same), (400, [1.0, 2.0]), (401, [-1.0, 2.0]), (500, [])]
+    assert run(spark, rows) == sorted(brute(rows), key=repr)
+
+
+def test_fewer_than_k_and_empty(spark):
+    rows = [(0, [1.0]), (1, [2.0]), (2, [-3.0])]
+    assert run(spark, rows) == sorted(brute(rows), key=repr)
+    assert run(spark, []) == []
+
+
+def test_elimination_stops_early_and_exactly():
+    rng = np.random.default_rng(2)
+    centres = rng.integers(-20000, 20000, (20, 16))
+    x = centres[np.arange(4000) % 20] + rng.integers(-300, 300, (4000, 16))
+    q = x[:5]
+    d = lambda v: np.linalg.norm(v[:, None] - centres[None], axis=2)
+    seen = []
+
+    class Counting(np.ndarray):
+        def __getitem__(self, at):
+            out = super().__getitem__(at)
+            if isinstance(at, np.ndarray):
+                seen.append(len(at))
+            return out
+
+    got = list(search_cell(np.arange(5), q, d(q), np.arange(4000), x, d(x), 10))
+    for i in range(5):
+        s = x @ q[i]
+        order = [j for j in np.lexsort((np.arange(4000), -s)) if j != i][:10]
+        assert [(j, t) for a, j, t in got if a == i] == [(j, int(s[j])) for j in order]
+    list(search_cell(np.arange(5), q, d(q), np.arange(4000).view(Counting), x, d(x), 10))
+    assert sum(seen) < 5 * 4000                                  # most candidates were never scored

@@ -3,7 +3,11 @@ cut lineage, and vectorised 64-bit hashing."""
 
 from __future__ import annotations
 
+import os
+import tempfile
 import uuid
+import zipfile
+from pathlib import Path
 
 import numpy as np
 from pyspark.sql import DataFrame, SparkSession
@@ -36,6 +40,33 @@ def written(df: DataFrame, name: str) -> DataFrame:
     return spark.read.schema(df.schema).parquet(path)
 
 
+def bounded_sample(df: DataFrame, key: str, rows: int) -> DataFrame:
+    """At most ``rows`` rows of ``df``, those whose ``key`` has the smallest hashes.
+
+    A hash threshold comes first, so that tasks hand on about ``4 * rows`` rows in all however many there
+    are; it lies far enough above the share wanted to leave ``rows`` of them."""
+    n = df.count()
+    if n > 4 * rows:
+        df = df.where(F.pmod(F.xxhash64(key, F.lit(17)), F.lit(1 << 40)) < int((1 << 40) * 4 * rows / n))
+    return df.orderBy(F.xxhash64(key), key).limit(rows)
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Send this package to the executors, once a session, unless they find it as the driver does
+    (from PYTHONPATH, or from the working folder of a local session)."""
+    sc = spark.sparkContext
+    root = Path(__file__).resolve().parents[2]
+    paths = [Path(p).resolve() for p in os.environ.get("PYTHONPATH", "").split(os.pathsep) if p]
+    if root in paths or (sc.master.startswith("local[") and Path.cwd().resolve() == root) or getattr(sc, "_tidewater_sent", False):
+        return
+    target = Path(tempfile.mkdtemp()) / "tidewater.zip"            # read by the driver's own file server
+    with zipfile.ZipFile(target, "w", zipfile.ZIP_DEFLATED) as z:
+        for f in sorted((root / "tidewater").rglob("*.py")):
+            z.write(f, f.relative_to(root))
+    sc.addPyFile(str(target))
+    sc._tidewater_sent = True
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser over a uint64 array."""
     x = x ^ (x >> np.uint64(30))

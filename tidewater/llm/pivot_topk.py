@@ -17,7 +17,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import written
+from tidewater.llm.common import bounded_sample, written
 
 SCALE = 1024
 TOP = 10
@@ -41,10 +41,11 @@ def integer_vectors(frame: DataFrame, id_col: str, vector_col: str, scale: int =
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict[int, np.ndarray]:
     """Up to ``count`` pivots for each vector length, farthest-first among ``sample`` vectors drawn by
     hash (a bounded sample; it moves the bounds, never the result)."""
-    rows = vectors.orderBy(F.xxhash64("_id"), "_id").limit(sample).collect()
+    rows = bounded_sample(vectors, "_id", sample).collect()
     out: dict[int, np.ndarray] = {}
     for size in {len(r._v) for r in rows}:
-        x = np.array([r._v for r in rows if len(r._v) == size], np.float64).reshape(-1, size)
+        own = [r._v for r in rows if len(r._v) == size]
+        x = np.array(own, np.float64).reshape(len(own), size)
         chosen = [0]
         gap = np.linalg.norm(x - x[0], axis=1)
         while len(chosen) < min(count, len(x)) and gap.max() > 0:

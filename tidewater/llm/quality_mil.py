@@ -20,6 +20,8 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from tidewater.llm.common import bounded_sample
+
 PASSAGE_WORDS = 64
 MAX_DOCUMENTS = 4000
 MAX_PASSAGES = 64
@@ -164,7 +166,8 @@ def train(docs: DataFrame, labels: DataFrame, id_col: str = "doc_id", text_col:
     document the smallest counts."""
     chosen = labels.select(F.col(id_col).cast("bigint").alias("_id"), F.col(label_col).cast("int").alias("_label")) \
         .where("_id IS NOT NULL AND _label IN (0, 1)").where(~is_held_out(F.col("_id"))) \
-        .groupBy("_id").agg(F.min("_label").alias("_label")).orderBy(F.xxhash64("_id"), "_id").limit(max_documents)
+        .groupBy("_id").agg(F.min("_label").alias("_label"))
+    chosen = bounded_sample(chosen, "_id", max_documents)
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.col(text_col).cast("string").alias("_text")) \
         .join(F.broadcast(chosen), "_id")                       # max_documents rows at most
 

@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import (decontaminate, html_extract, line_dedup, minhash_odd, oracle, pivot_topk, quality_mil, sentencepiece_codec, suffix_dedup,
                            url_reputation, warc)
-from tidewater.llm.common import table
+from tidewater.llm.common import ship_package, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
 
@@ -63,7 +63,15 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
+    def run(spark: SparkSession, sf_dir: str) -> DataFrame:
+        ship_package(spark)
+        return query(spark, sf_dir)
+
+    return run
+
+
+_OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op1_html_extract": op1_html_extract,
     "op2_sentencepiece": op2_sentencepiece,
     "op3_pivot_topk": op3_pivot_topk,
@@ -76,4 +84,6 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op10_warc": op10_warc,
 }
 
+QUERIES = {name: _ready(query) for name, query in _OPERATORS.items()}
+
 ORACLE_SQL: dict[str, str] = dict(oracle.SQL)

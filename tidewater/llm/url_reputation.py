@@ -122,7 +122,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
     rate = shrunk(F.col("m_domain"), s_host)
     return hosts.join(domains, "domain").select(
         "host", "n", "bad", rate.alias("bad_rate"),
-        (rate - z * F.sqrt(rate * (1 - rate) / (F.col("n") + s_host + 1))).alias("bad_lower"))
+        F.greatest(F.lit(0.0), rate - z * F.sqrt(rate * (1 - rate) / (F.col("n") + s_host + 1))).alias("bad_lower"))
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z,
