@@ -1,0 +1,103 @@
+import pytest
+
+from tests.llm.helpers import clashing, prose, rows_of
+from tidewater.llm import boosted_trees
+from tidewater.llm.dom import elements, parse
+from tidewater.llm.html_extract import Page, extract_text, train
+from tidewater.llm.page_layouts import CONTENT, MARK, OTHER, training_pages
+
+
+def page(article, lang="en"):
+    return (f'<!DOCTYPE html><html lang="{lang}"><head><title>t</title><style>p{{x:1}}</style><script>var t="</p>";</script></head><body>'
+            f'<nav><ul><li><a href="/a">One</a></li><li><a href="/b">Two</a></li></ul></nav><!-- ad --><div class="ad">Buy {prose(3, 8)}.</div>'
+            f'<article>{article}</article><footer>&copy; site &middot; {prose(4, 6)}</footer></body></html>')
+
+
+SAMPLE = [page("".join(f"<p>{prose(100 * k + j, 40)}.</p>" for j in range(5))) for k in range(40)]
+
+
+@pytest.fixture(scope="module")
+def forest():
+    return train(SAMPLE, pages=500)
+
+
+def text_of(forest, html):
+    p = Page(html)
+    return p.decode(forest.log_odds(p.features))
+
+
+def test_trees_learn_an_interaction():
+    import numpy as np
+    rng = np.random.default_rng(0)
+    x = rng.normal(size=(3000, 6))
+    y = ((x[:, 0] > 0) ^ (x[:, 3] > 0.5)).astype(float)
+    f = boosted_trees.fit(x[:2000], y[:2000])
+    assert ((f.log_odds(x[2000:]) > 0) == (y[2000:] > 0)).mean() > 0.95
+    assert (boosted_trees.fit(x[:0], y[:0]).log_odds(x[:3]) == 0).all()
+
+
+@pytest.mark.parametrize("html, tags", [
+    ("<p><b>x<br><p>y", ["#root", "p", "b", "br", "p"]), ("<ul><li>a<li>b</ul>c", ["#root", "ul", "li", "li"]),
+    ("<div a='<p>'>x</div>", ["#root", "div"]), ("<div title=it's>x", ["#root", "div"]), ("<p cla", ["#root", "p"]),
+    ("<script>if (a<b) '<p>'</script>x", ["#root", "script"]), ("<!-- <p> --><i>", ["#root", "i"]), ("<!-- <p>", ["#root"]), ("a < b", ["#root"]),
+    ("<table><tr><td>1<td>2<tr><td>3</table>", ["#root", "table", "tr", "td", "td", "tr", "td"]), ("<h1>a</h2><p>b", ["#root", "h1", "p"]),
+    ("</p></div>x", ["#root"]), ("", ["#root"]), (None, ["#root"]),
+])
+def test_trees_of_broken_markup(html, tags):
+    assert [n.tag for n in elements(parse(html))] == tags
+
+
+def test_real_layout(forest):
+    got = text_of(forest, page("<h1>A  head\nline &amp more</h1><p><b>First &lt;one&gt;\t<br>goes on<br><p>Second &eacute;&nbsp;x, with <i>some</i> marks.</p>"))
+    assert got == "A head line & more\n\nFirst <one> goes on\n\nSecond é x, with some marks."
+
+
+def test_truncated_page(forest):
+    html = page(f"<p>{prose(1, 50)}</p><p>{prose(2, 30)}</p>")
+    assert text_of(forest, html[:html.index("</article>") - 10]).startswith(prose(1, 50))
+
+
+def test_generated_layouts_held_out(forest):
+    runs = [prose(k, 60) for k in range(50)]
+    exact = inside = total = 0
+    for html in training_pages(runs, 120, seed=5):
+        p = Page(html)
+        side = {}
+        for n in p.all:
+            side[n.index] = n.attrs.get(MARK) or (side[n.parent.index] if n.parent else OTHER)
+        gold = p._text([side[k] == CONTENT for k in range(len(p.all))])
+        got = p.decode(forest.log_odds(p.features))
+        exact += got == gold
+        a, b = set(got.split("\n\n")), set(gold.split("\n\n"))
+        inside += len(a & b)
+        total += len(a | b)
+    assert exact >= 90 and inside / total > 0.93
+
+
+def test_labels_never_contradict(forest):
+    import numpy as np
+    rng = np.random.default_rng(1)
+    for html in training_pages([prose(k, 40) for k in range(20)], 30, seed=9):
+        p = Page(html)
+        text = p.decode(rng.normal(0, 3, len(p.blocks)))         # whatever the odds, decoding holds together
+        assert text == "\n\n".join(" ".join(b.split()) for b in text.split("\n\n")) or text == ""
+
+
+def test_documents(spark):
+    rows = [(k, f"u{k}", h) for k, h in enumerate(SAMPLE[:20])] + [(50, None, None), (51, "u", ""), (None, "n", SAMPLE[0]), (52, "d", "<div>" * 3000 + "x"),
+                                                                   (0, "u0", SAMPLE[0]), (53, "long", page(f"<p>{prose(1, 40_000)}</p>"))]
+    out = extract_text(clashing(spark, rows, "page_id bigint, url string, html string"))
+    got = {(r.page_id, r.url): r.text for r in out.collect()}
+    assert out.count() == len(rows)
+    for k in range(20):
+        assert got[k, f"u{k}"] == "\n\n".join(f"{prose(100 * k + j, 40)}." for j in range(5))
+    assert got[50, None] == "" and got[51, "u"] == "" and got[None, "n"] == got[0, "u0"] and got[53, "long"] == prose(1, 40_000)
+    assert extract_text(spark.createDataFrame([], "page_id bigint, url string, html string")).count() == 0
+
+
+def test_query_counts_code_points(spark, scratch):
+    from tidewater.llm.queries import QUERIES
+    spark.createDataFrame([(k, "u", page(f"<p>{prose(k, 30)} 𝔘é</p><p>{prose(k + 99, 20)}</p>")) for k in range(30)],
+                          "page_id bigint, url string, html string").write.parquet(f"{scratch}/pages.parquet")
+    for _, text, n in rows_of(QUERIES["op1_html_extract"](spark, scratch), "page_id", "text", "n_chars"):
+        assert n == len(text) > 0

@@ -33,14 +33,16 @@ def fit(x: np.ndarray, y: np.ndarray, trees: int = 60, depth: int = 4, rate: flo
         min_weight: float = 2.0) -> Forest:
     """Newton boosting of the log loss; splits at up to ``bins`` quantiles of each feature."""
     n, width = x.shape
+    if not n:
+        x, y, n = np.zeros((1, width)), np.full(1, 0.5), 1
     cuts = [np.unique(np.quantile(x[:, j], np.linspace(0, 1, bins + 1)[1:-1])) for j in range(width)]
     binned = np.stack([np.searchsorted(c, x[:, j], side="left") for j, c in enumerate(cuts)], axis=1)
     flat = binned + np.arange(width) * bins
-    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3)) if n else 0.5
+    share = float(np.clip(y.mean(), 1e-3, 1 - 1e-3))
     forest = Forest(np.zeros((trees, 2 ** depth - 1), np.int64), np.full((trees, 2 ** depth - 1), np.inf), np.zeros((trees, 2 ** depth)),
                     float(np.log(share / (1 - share))), depth)
     margin = np.full(n, forest.base)
-    for k in range(trees if n else 0):
+    for k in range(trees):
         p = 1 / (1 + np.exp(-margin))
         grad, weight = y - p, p * (1 - p)
         at = np.zeros(n, np.int64)

@@ -23,6 +23,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm import boosted_trees
 from tidewater.llm.boosted_trees import Forest
+from tidewater.llm.common import bounded_sample
 from tidewater.llm.dom import INLINE, Node, elements, parse
 from tidewater.llm.page_layouts import CONTENT, MARK, OTHER, training_pages
 
@@ -261,13 +262,11 @@ def train(sample: list[str], pages: int = TRAINING_PAGES, seed: int = 11) -> For
     return boosted_trees.fit(x[y >= 0], y[y >= 0].astype(float))
 
 
-def sample_pages(pages: DataFrame, html_col: str = "html", max_sample: int = MAX_SAMPLE) -> list[str]:
-    """At most ``max_sample`` pages, drawn by a hash of the page, to train on; very long ones are cut
+def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_sample: int = MAX_SAMPLE) -> list[str]:
+    """At most ``max_sample`` pages, drawn by a hash of their ids, to train on; very long ones are cut
     here (never in extraction)."""
-    html = F.col(html_col).cast("string")
-    rows = pages.select(html.alias("h")).where("h IS NOT NULL").orderBy(F.xxhash64("h"), F.length("h")).limit(max_sample) \
-        .select(F.substring("h", 1, 20_000).alias("h")).collect()
-    return [r.h for r in rows]
+    rows = pages.select(F.col(id_col).cast("bigint").alias("i"), F.substring(F.col(html_col).cast("string"), 1, 20_000).alias("h"))
+    return [r.h for r in bounded_sample(rows.where("h IS NOT NULL"), "i", max_sample).collect()]
 
 
 def extract_text(pages: DataFrame, forest: Forest | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
@@ -277,7 +276,7 @@ def extract_text(pages: DataFrame, forest: Forest | None = None, id_col: str = "
     Null and empty pages have an empty text, so have pages without article text; null ids and urls pass
     through; repeated rows give a row each; an empty table gives none; other columns are not looked at."""
     if forest is None:
-        forest = train(sample_pages(pages, html_col, max_sample))
+        forest = train(sample_pages(pages, id_col, html_col, max_sample))
     rows = pages.select(F.col(id_col).cast("bigint").alias("page_id"), F.col(url_col).cast("string").alias("url"),
                         F.col(html_col).cast("string").alias("_html"))
 

@@ -98,10 +98,11 @@ class _Maker:
     def article(self) -> str:
         rng = self.rng
         out = [f"<h{rng.choice([1, 1, 1, 2])}>{self.text(2, 14)}</h1>"] if rng.random() < 0.85 else []
-        for _ in range(rng.randint(1, 14)):
+        brief = rng.random() < 0.25                          # some articles are a few short paragraphs
+        for _ in range(rng.randint(1, 4 if brief else 14)):
             pick = rng.random()
-            if pick < 0.62:
-                body = self.text(1, 140) if rng.random() < 0.8 else self.text(1, 8)
+            if pick < 0.62 or brief:
+                body = self.text(1, 140) if rng.random() < 0.8 and not brief else self.text(1, 10)
                 if rng.random() < 0.15:
                     body = f"<b>{body}<br>" if rng.random() < 0.5 else f'{body} <a href="/x">{self.text(1, 4)}</a> {self.text(1, 20)}'
                 out.append(f"<p>{body}</p>" if not body.endswith("<br>") else f"<p>{body}")
