@@ -83,10 +83,10 @@ def in_process(rows, length=50):
     Shared.value = b"\xff" * (buckets * bits // 8)
     contexts = suffix_dedup._contexts(Rows(), Shared, buckets, bits, length)
     decide, merge = suffix_dedup._answers(length), suffix_dedup._spans(length)
-    answers = pd.concat([decide(g) for _, g in contexts[contexts.bucket >= 0].groupby("bucket")])
+    answers = pd.concat([decide(g) for _, g in contexts.groupby("bucket")])
     out = {}
-    for chunk, places in contexts[contexts.bucket < 0].groupby("chunk"):
-        for r in merge((chunk,), places, answers[answers.chunk == chunk]).itertuples():
+    for _, group in answers.groupby("chunk"):
+        for r in merge(group).itertuples():
             out[r[1]] = r[3]
     return out
 
