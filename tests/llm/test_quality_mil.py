@@ -26,7 +26,7 @@ def corpus(n=1200):
     for i in range(n):
         bad = i % 5 == 0
         docs.append((i, junk(i // 5, 120) if bad else prose(i, 40 + i % 150)))
-        if i % 4 != 3:
+        if i % 7 != 3:
             labels.append((i, int(not bad), 0))
     return docs, labels
 
