@@ -162,7 +162,7 @@ def test_consumer_absorbs_replays(spark, scratch):
     landed = L.read_landing(spark, landing)
     assert landed.count() == 8
     out = P.pull_into_table(spark, landed, "pv.replay_tbl", "z", route.columns, "merge_key", version=1)
-    assert out["pulled"] == 8 and spark.table("pv.replay_tbl").count() == 4
+    assert out["pulled"] == 8 and out["inserted"] == 4 and spark.table("pv.replay_tbl").count() == 4
     # a crash before the watermark moved: the same rows are pulled and offered again
     rows = P.pull(landed, "z", dt.datetime(1970, 1, 1), route.columns, None, "merge_key")
     P.append_missing(spark, "pv.replay_tbl", rows, ["merge_key"], "timestampUTC")
@@ -218,3 +218,107 @@ def test_durable_provision_log_retries_failures(spark, scratch):
                           location_root=scratch, log_path=log)
     assert {r["producer"]: r["outcome"] for r in second.collect()} == {"x": "created"}   # y is skipped
     assert PV.provisioned_producers(spark, log) == {"x", "y"}
+
+
+def _land(spark, table, landing, requests):
+    df = RQ.conform(spark.createDataFrame(requests, RQ.REQUEST_SCHEMA))
+    L.write_landing(L.envelope(G.accepted(G.gate(df, table, spark))), landing)
+
+
+def _push(producer, i, body, at):
+    return {"request_id": f"{producer}-{i}", "received_at": at, "api_version": "v1", "producer": producer,
+            "content_type": "application/json", "content_length": len(body.encode()), "body": body}
+
+
+def _consumer(spark, scratch, name, schema=None, columns=None, **spec):
+    routes = [{"name": name, "spec": dict({"consumerId": name, "schemaSubject": name, "schemaVersion": 1, "payloadSchema": schema,
+                                           "iceberg": tgt(f"{name}_tbl", columns=columns or [])}, **spec)}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), Settings())
+    PV.provision(spark, table, location_root=scratch)
+    route = table.by_producer()[name]
+    landing = f"{scratch}/landing"
+    pull = lambda v=1: P.pull_into_table(spark, L.read_landing(spark, landing), f"pv.{name}_tbl", name, route.columns, "merge_key", v)
+    return table, landing, pull
+
+
+def test_every_element_of_an_array_body_is_kept(spark, scratch):
+    table, landing, pull = _consumer(spark, scratch, "arr", columns=[{"name": "x", "type": "int"}])
+    t0 = dt.datetime(2024, 1, 1)
+    _land(spark, table, landing, [_push("arr", 0, '[{"x":1},{"x":2},{"x":3}]', t0), _push("arr", 1, '{"x":9}', t0)])
+    assert pull()["inserted"] == 4
+    rows = spark.table("pv.arr_tbl").collect()
+    assert sorted(r["x"] for r in rows) == [1, 2, 3, 9] and len({r["merge_key"] for r in rows}) == 4
+    assert pull()["inserted"] == 0 and spark.table("pv.arr_tbl").count() == 4
+
+
+@pytest.mark.parametrize("stamp", ["2024-01-01T00:00:00Z", "2099-12-31T00:00:00Z", "no time at all"])
+def test_documents_move_neither_key_nor_watermark(spark, scratch, stamp):
+    name = f"own{abs(hash(stamp)) % 10 ** 6}"
+    schema = json.dumps({"type": "record", "name": "W", "fields": [
+        {"name": "x", "type": "int"}, {"name": "timestampUTC", "type": "string"}, {"name": "Merge_Key", "type": "string"}]})
+    table, landing, pull = _consumer(spark, scratch, name, schema)
+    t0 = dt.datetime(2024, 5, 1)
+    for i in range(2):
+        body = json.dumps({"x": i, "timestampUTC": stamp, "Merge_Key": "one"})
+        _land(spark, table, landing, [_push(name, i, body, t0 + dt.timedelta(minutes=i))])
+        out = pull()
+        assert out["pulled"] == 1 and out["watermark"] == t0 + dt.timedelta(minutes=i)
+    rows = sorted((r["x"], r["timestampUTC"]) for r in spark.table(f"pv.{name}_tbl").collect())
+    assert rows == [(0, "2024-05-01T00:00:00.000000Z"), (1, "2024-05-01T00:01:00.000000Z")]
+    assert P.read_watermark(spark, f"pv.{name}_tbl") == t0 + dt.timedelta(minutes=1)
+
+
+def test_hand_declared_envelope_column(spark, scratch):
+    table, landing, pull = _consumer(spark, scratch, "hand", columns=[{"name": "timestampUTC", "type": "string"}, {"name": "x", "type": "int"}])
+    _land(spark, table, landing, [_push("hand", 0, '{"x":5}', dt.datetime(2024, 1, 2))])
+    assert pull()["inserted"] == 1
+    assert [(r["timestampUTC"], r["x"]) for r in spark.table("pv.hand_tbl").collect()] == [("2024-01-02T00:00:00.000000Z", 5)]
+
+
+def test_rows_that_land_late_are_pulled(spark, scratch):
+    table, landing, pull = _consumer(spark, scratch, "late", columns=[{"name": "x", "type": "int"}])
+    t0 = dt.datetime(2024, 1, 1)
+    _land(spark, table, landing, [_push("late", 0, '{"x":0}', t0)])
+    assert pull()["inserted"] == 1
+    _land(spark, table, landing, [_push("late", 1, '{"x":1}', t0 - dt.timedelta(seconds=10))])
+    out = pull()
+    assert (out["pulled"], out["inserted"], out["watermark"]) == (0, 1, t0)
+    assert sorted(r["x"] for r in spark.table("pv.late_tbl").collect()) == [0, 1]
+
+
+def test_watermark_bound_ignores_the_process_time_zone(spark, monkeypatch):
+    import time
+    wm = P.parse_watermark('{"timestamp":"2024-01-15T00:00:00Z"}')
+    rows = spark.sql("SELECT 'a' AS producer, timestamp_micros(1705276800000000 + id * 3600000000) AS ts FROM range(-8, 8)")
+    counts = []
+    for zone in ("UTC", "America/New_York", "Asia/Tokyo"):
+        monkeypatch.setenv("TZ", zone)
+        time.tzset()
+        counts.append(L.incremental_pull(rows, "a", wm).count())
+        counts.append(L.incremental_pull(rows, "a", wm.replace(tzinfo=dt.timezone.utc)).count())
+    monkeypatch.undo()
+    time.tzset()
+    assert counts == [7] * 6
+
+
+def test_bytes_are_read_as_avro_writes_them(spark):
+    schema = json.dumps({"type": "record", "name": "B", "fields": [{"name": "b", "type": "bytes"}]})
+    from tidewater.plans import layout
+    cols = layout.derive_columns(schema)
+    df = P.explode_payload(spark.createDataFrame([("i", r'{"b":"\u00ff\u0000A"}')], "id string, payload string"))
+    assert bytes(P.decode(df, cols, "merge_key").first()["b"]) == b"\xff\x00A"
+
+
+def test_many_producers_in_one_pass(spark, scratch):
+    schema = json.dumps({"type": "record", "name": "M", "fields": [{"name": "x", "type": "int"}]})
+    routes = [{"name": f"m{k}", "spec": {"consumerId": f"m{k}", "schemaSubject": "m", "schemaVersion": 1, "payloadSchema": schema,
+                                         "iceberg": tgt(f"m{k}")}} for k in range(5)]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), Settings())
+    t0 = dt.datetime(2024, 1, 1)
+    _land(spark, table, f"{scratch}/landing", [_push(f"m{i % 5}", i, json.dumps({"x": i}), t0) for i in range(20)])
+    landed = L.read_landing(spark, f"{scratch}/landing")
+    wm = dt.datetime(1970, 1, 1)
+    out = P.pull_many(landed, table.routes[:4], wm, "merge_key")
+    one_by_one = sorted(r["x"] for t in table.routes[:4] for r in P.pull(landed, t.producer, wm, t.columns, t.pointer, "merge_key").collect())
+    assert sorted(r["x"] for r in out.collect()) == one_by_one
+    assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1

@@ -8,7 +8,6 @@ from tidewater.operators import gate as G
 from tidewater.operators import landing as L
 from tidewater.sources import requests as RQ
 from tidewater.streaming import landing_stream as LS
-from tidewater.streaming import metric_stream as MS
 
 SF = "/root/testdata/sf0.001"
 
@@ -33,10 +32,47 @@ def test_stream_equals_batch(spark, scratch):
     assert batch.select(*cols).exceptAll(streamed).count() == 0
     n_rejects = spark.read.parquet(rejects).count()
     assert n_rejects + streamed.count() == reqs.count()
-    commits = spark.read.schema(LS.COMMIT_SCHEMA).parquet(f"{landing}_commits")
+    commits = LS.read_commits(spark, f"{landing}_commits")
     assert commits.count() == 4 and commits.agg(F.sum("landed")).first()[0] == streamed.count()
-    # a replayed batch id that is already committed is skipped
-    assert LS.land_batch(reqs, 0, lambda: S.event_routes(spark), landing, rejects, f"{landing}_commits")["skipped"]
+
+
+def test_two_streams_into_one_path_lose_nothing(spark, scratch):
+    src = f"{scratch}/requests"
+    reqs = _write_request_files(spark, src, 2)
+    want = G.accepted(G.gate(reqs, S.event_routes(spark), spark)).count()
+    for k in range(2):
+        LS.start_landing(RQ.stream_requests(spark, src), lambda: S.event_routes(spark), f"{scratch}/landing", f"{scratch}/rej",
+                         f"{scratch}/ckpt{k}", metrics_path=f"{scratch}/metrics").awaitTermination()
+        # the same stream again has nothing to do
+        LS.start_landing(RQ.stream_requests(spark, src), lambda: S.event_routes(spark), f"{scratch}/landing", f"{scratch}/rej",
+                         f"{scratch}/ckpt{k}", metrics_path=f"{scratch}/metrics").awaitTermination()
+    assert L.read_landing(spark, f"{scratch}/landing").count() == 2 * want
+    assert LS.read_metrics(spark, f"{scratch}/metrics").agg(F.sum("accepted")).first()[0] == 2 * want
+
+
+def test_default_checkpoint_lies_beside_the_landing_data(spark, scratch):
+    src = f"{scratch}/requests"
+    reqs = _write_request_files(spark, src, 2)
+    for _ in range(2):
+        LS.start_landing(RQ.stream_requests(spark, src), lambda: S.event_routes(spark), f"{scratch}/landing", f"{scratch}/rej",
+                         name="again").awaitTermination()
+    want = G.accepted(G.gate(reqs, S.event_routes(spark), spark)).count()
+    assert L.read_landing(spark, f"{scratch}/landing").count() == want
+    assert spark.read.json(f"{scratch}/landing_checkpoints/again/metadata").count() == 1
+
+
+def test_landing_table_reads_what_the_stream_writes(spark, scratch):
+    src = f"{scratch}/requests"
+    _write_request_files(spark, src, 2)
+    name = "default.streamed_landing"
+    for k in range(2):
+        LS.start_landing(RQ.stream_requests(spark, src, max_files_per_trigger=1), lambda: S.event_routes(spark), f"{scratch}/landing",
+                         f"{scratch}/rej", f"{scratch}/ckpt{k}", table=name).awaitTermination()
+    rows = spark.table(name)
+    assert rows.count() == L.read_landing(spark, f"{scratch}/landing").count() > 0
+    plan = rows.where("producer = 'click'")._jdf.queryExecution().executedPlan().toString()
+    assert "PartitionFilters: [isnotnull(producer" in plan
+    assert spark.sql(f"SHOW PARTITIONS {name}").count() == rows.select("stream", "batch_id", "producer").distinct().count()
 
 
 def test_drain_is_consume_once(spark, scratch):
@@ -60,33 +96,40 @@ def test_drain_is_consume_once(spark, scratch):
 def test_metric_stream_matches_batch(spark, scratch):
     src = f"{scratch}/requests"
     reqs = _write_request_files(spark, src, 2)
-    q = MS.start_metrics(RQ.stream_requests(spark, src), S.event_routes(spark), None, f"{scratch}/mckpt",
-                         output_mode="complete", name="metrics_test")
-    q.awaitTermination()
-    streamed = spark.sql("SELECT producer, sum(accepted) AS a, sum(rejected) AS r FROM metrics_test GROUP BY 1")
+    for _ in range(2):                                   # the second run finds nothing new
+        LS.start_metrics(RQ.stream_requests(spark, src, max_files_per_trigger=1), lambda: S.event_routes(spark),
+                         f"{scratch}/metrics", f"{scratch}/mckpt").awaitTermination()
+    streamed = LS.read_metrics(spark, f"{scratch}/metrics").groupBy("producer").agg(F.sum("accepted").alias("a"), F.sum("rejected").alias("r"))
     gated = G.gate(reqs, S.event_routes(spark), spark)
     batch = gated.groupBy("producer").agg(F.count_if(F.col("status") == 202).alias("a"),
                                           F.count_if(F.col("status") != 202).alias("r"))
     assert sorted(streamed.collect()) == sorted(batch.collect())
 
 
-def test_replay_after_crash_is_collapsed_by_merge(spark, scratch):
-    """A batch landed but not committed (crash before the commit record) is landed again on
-    replay; the deterministic ids make the keyed merge collapse the copies."""
-    from tidewater.operators import pull as P
+def test_replay_after_crash_replaces_the_first_attempt(spark, scratch):
+    """A batch that landed in part before a crash runs again: landing, rejects and metrics hold it once, also
+    when the routes have changed in between."""
     reqs = S.event_requests(spark, SF)
-    landing, rejects = f"{scratch}/landing", f"{scratch}/rejects"
-    gated = G.gate(reqs, S.event_routes(spark), spark)
-    L.write_landing(L.envelope(G.accepted(gated), 7), landing)          # first attempt, never committed
-    out = LS.land_batch(reqs, 7, lambda: S.event_routes(spark), landing, rejects, f"{landing}_commits")
-    assert not out.get("skipped")
-    landed = L.read_landing(spark, landing)
-    assert landed.count() == 2 * out["landed"]
-    route = S.event_routes(spark, ["signup"]).by_producer()["signup"]
-    wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
-    rows = P.pull(landed, "signup", wm, route.columns, route.pointer, "merge_key")
-    merged = P.merge(None, rows, ["merge_key"], ["timestampUTC"])
-    assert merged.count() == rows.count() // 2 == landed.where("producer = 'signup'").count() // 2
+    landing, rejects, metrics = f"{scratch}/landing", f"{scratch}/rejects", f"{scratch}/metrics"
+    run = lambda routes: LS.land_batch(reqs, 7, routes, landing, rejects, f"{landing}_commits", "s1", metrics)
+    run(lambda: S.event_routes(spark))
+    out = run(lambda: S.event_routes(spark, ["click", "view"]))
+    assert L.read_landing(spark, landing).count() == out["landed"] > 0
+    assert L.read_landing(spark, landing).select("producer").distinct().count() == 2
+    assert spark.read.parquet(rejects).count() == out["rejected"] == reqs.count() - out["landed"]
+    assert LS.read_metrics(spark, metrics).agg(F.sum("accepted")).first()[0] == out["landed"]
+    assert LS.read_commits(spark, f"{landing}_commits").count() == 1
+    # another stream's batch of the same number is another slice
+    LS.land_batch(reqs, 7, lambda: S.event_routes(spark, ["click", "view"]), landing, rejects, f"{landing}_commits", "s2", metrics)
+    assert L.read_landing(spark, landing).count() == 2 * out["landed"]
+
+
+def test_callers_name_no_folders(spark, scratch):
+    import os
+    reqs = S.event_requests(spark, SF).withColumn("producer", F.concat(F.lit("any/"), F.col("request_id")))
+    assert reqs.count() > 0
+    LS.land_batch(reqs, 0, lambda: S.event_routes(spark), f"{scratch}/l", f"{scratch}/rej", f"{scratch}/c", "s")
+    assert os.listdir(f"{scratch}/rej/stream=s/batch_id=0") and not any("=" in f for f in os.listdir(f"{scratch}/rej/stream=s/batch_id=0"))
 
 
 def test_json_request_files_batch_and_stream(spark, scratch):

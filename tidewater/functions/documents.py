@@ -15,8 +15,10 @@ def is_json_media_type(content_type: Column) -> Column:
 
 
 def rename_inputs(body: Column, v: Column) -> tuple[Column, Column]:
-    """Root keys in document order, and the root members (NULL unless an object without duplicates)."""
-    return F.json_object_keys(body), v.try_cast("map<string,variant>")
+    """Root keys in document order, and the root members (NULL unless the whole text is one object
+    without duplicate keys: parsing alone would ignore what follows the first document)."""
+    alone = F.size(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).try_cast("array<variant>")) == 1
+    return F.json_object_keys(body), F.when(alone, v.try_cast("map<string,variant>"))
 
 
 def rename_from(body: Column, keys: Column, members: Column) -> Column:

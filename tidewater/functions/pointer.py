@@ -1,9 +1,8 @@
 """RFC 6901 JSON Pointer: tokenising (driver, per route) and resolution (Column, per row).
 
 A token addresses an object member by name or an array element by index.  A
-token like ``1`` could be either, so each numeric token yields two candidate
-variant paths; the first candidate that resolves wins.  JSON ``null`` counts as
-a value (``variant_get`` returns a variant null, not SQL NULL).
+token like ``1`` could be either; each step tries the member, then the element of
+what the steps before it reached.  JSON ``null`` counts as a value (``variant_get`` returns a variant null, not SQL NULL).
 """
 
 from __future__ import annotations
@@ -12,6 +11,7 @@ import re
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from tidewater.plans.predicate import variant_path
 
@@ -51,37 +51,44 @@ def _array_index(token: str) -> int | None:
     return None
 
 
-def candidate_paths(tokens: list[str]) -> list[list]:
-    """Every way to read the tokens as member names / array indexes."""
-    out: list[list] = [[]]
+# One token as data: a member name, its variant path where it has one, and its array index path.
+STEPS = T.ArrayType(T.StructType([
+    T.StructField("name", T.StringType()),
+    T.StructField("member", T.StringType()),
+    T.StructField("element", T.StringType()),
+]))
+
+
+def steps(tokens: list[str]) -> list[dict]:
+    """The tokens for :func:`follow`: linear in the pointer, however many tokens are numeric."""
+    out = []
     for t in tokens:
-        idx = _array_index(t)
-        nxt = [p + [t] for p in out]
-        if idx is not None:
-            nxt += [p + [idx] for p in out]
-        out = nxt
+        index = _array_index(t)
+        out.append({"name": t, "member": variant_path([t]), "element": None if index is None else variant_path([index])})
     return out
 
 
-def _resolve_one(v: Column, path: list) -> Column:
-    rendered = variant_path(path)
-    if rendered is not None:
-        return F.try_variant_get(v, rendered, "variant")
-    cur = v
-    for s in path:     # keys holding both quote kinds have no path syntax
-        if isinstance(s, int):
-            cur = F.try_element_at(cur.try_cast("array<variant>"), F.lit(s + 1))
-        else:
-            cur = F.try_element_at(cur.try_cast("map<string,variant>"), F.lit(s))
-    return cur
+def follow(v: Column, path: Column) -> Column:
+    """Resolve ``v`` step by step (``path``: an array of :data:`STEPS`); SQL NULL when it selects nothing.
+
+    A value is an object or an array, so at most one reading of a numeric token finds something.
+    Member names that hold both quote kinds have no path syntax and are looked up in a map.
+    """
+    def step(here: Column, s: Column) -> Column:
+        by_name = F.when(s["member"].isNotNull(), F.try_variant_get(here, s["member"], "variant")) \
+            .otherwise(F.try_element_at(here.try_cast("map<string,variant>"), s["name"]))
+        return F.coalesce(by_name, F.when(s["element"].isNotNull(), F.try_variant_get(here, s["element"], "variant")))
+
+    return F.aggregate(path, v, step)
 
 
 def resolve(v: Column, tokens: list[str]) -> Column:
     """The variant the pointer selects, SQL NULL when it selects nothing."""
     if not tokens:
         return v
-    cands = [_resolve_one(v, p) for p in candidate_paths(tokens)]
-    return cands[0] if len(cands) == 1 else F.coalesce(*cands)
+    literal = F.array(*[F.struct(*[F.lit(s[k]).cast("string").alias(k) for k in ("name", "member", "element")])
+                        for s in steps(tokens)])
+    return follow(v, literal)
 
 
 def extract_text(v: Column, tokens: list[str]) -> Column:

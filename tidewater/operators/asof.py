@@ -64,8 +64,9 @@ def asof_time(left: DataFrame, right: DataFrame, by: list[str], left_t: Column,
 
 
 def neighbour(df: DataFrame, by: list[str], seq: str, width: int | None, out: str,
-              forward: bool = True) -> DataFrame:
-    """The next (``forward``) or previous value of ``seq`` among rows with the same key.
+              forward: bool = True, carry: list[str] | None = None) -> DataFrame:
+    """The next (``forward``) or previous value of ``seq`` among rows with the same key; with ``carry``
+    a struct of that row's ``seq`` and those columns.
 
     ``lead``/``lag`` within (key, bucket of ``seq``), and for the first/last row of a
     bucket the nearest value in the key's neighbouring non-empty bucket, taken from a
@@ -74,14 +75,15 @@ def neighbour(df: DataFrame, by: list[str], seq: str, width: int | None, out: st
     """
     if width is None:
         width = auto_width((df, F.col(seq)))
-    b = F.floor(F.col(seq) / width)
+    value = F.struct(seq, *carry) if carry else F.col(seq)
+    tagged = df.withColumn(_B, F.floor(F.col(seq) / width))
     w = Window.partitionBy(*by, _B).orderBy(seq)
-    within = F.lead(seq).over(w) if forward else F.lag(seq).over(w)
-    tagged = df.withColumn(_B, b).withColumn("_nb_within", within)
-    summary = df.withColumn(_B, b).groupBy(*by, _B).agg(F.min(seq).alias("_first"), F.max(seq).alias("_last"))
+    within = F.lead(value).over(w) if forward else F.lag(value).over(w)
+    nearest = F.min_by if forward else F.max_by
+    summary = tagged.groupBy(*by, _B).agg(nearest(value, F.col(seq)).alias("_edge"))
     ws = Window.partitionBy(*by).orderBy(_B)
-    edge = F.lead("_first").over(ws) if forward else F.lag("_last").over(ws)
+    edge = F.lead("_edge").over(ws) if forward else F.lag("_edge").over(ws)
     summary = summary.select(*by, _B, edge.alias("_nb_edge"))
-    joined = tagged.join(summary, on=[*by, _B], how="left")
+    joined = tagged.withColumn("_nb_within", within).join(summary, on=[*by, _B], how="left")
     return joined.withColumn(out, F.coalesce(F.col("_nb_within"), F.col("_nb_edge"))).drop(
         _B, "_nb_within", "_nb_edge")

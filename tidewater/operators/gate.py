@@ -8,9 +8,9 @@ single CASE chain where the first failing rule wins:
   schema conformity 400 → invalid route 500 → pointer resolves 400 → accepted 202
 
 The body is parsed to a variant once, and only for rows that passed the cheap
-header checks on a route that needs it (schema, pointer or rename).  Conformity
-and pointer expressions are compiled per distinct schema / pointer on the driver
-and selected with a CASE on the route's schema key / pointer.
+header checks on a route that needs it (schema, pointer or rename).  Check programs
+and pointer steps are data on the route's row, so the expression does not grow with
+the number of routes; only schemas beyond what a program can say are CASE branches.
 """
 
 from __future__ import annotations
@@ -26,7 +26,7 @@ from tidewater.functions import pointer as jp
 from tidewater.plans import avro
 from tidewater.plans import checks as CK
 from tidewater.plans.predicate import conforms
-from tidewater.plans.routes import POINTER_INVALID, RECURSIVE, RouteTable
+from tidewater.plans.routes import RouteTable
 
 
 def _recursive_check(schema_texts: dict[str, str]):
@@ -42,55 +42,32 @@ def _recursive_check(schema_texts: dict[str, str]):
 def schema_ok(table: RouteTable, key: Column, v: Column, body: Column) -> Column:
     """True when the route has no active schema, else the conformity verdict.
 
-    With few distinct schemas each is compiled into its own CASE branch; with many, the
-    schemas that have a check program are evaluated from the program on the route row
-    (``schema_checks``), keeping the expression size independent of the schema count.
+    A schema with a check program is evaluated from the program on its route's row
+    (``schema_checks``), one expression for all of them; a schema without one (unions of several
+    types, containers in containers) is a CASE branch of its own, a recursive one goes to Python.
     """
     schemas = table.schemas()
     if not schemas:
         return F.lit(True)
-    programs = table.uses_programs
-    expr = None
-    if programs:
-        expr = F.when(F.col("schema_checks").isNotNull(), CK.run(v, F.col("schema_checks")))
+    expr = F.when(F.col("schema_checks").isNotNull(), CK.run(v, F.col("schema_checks")))
     recursive = {}
     for fp, route in schemas.items():
-        if route.compile_status == RECURSIVE:
+        if route.recursive:
             recursive[fp] = route.payload_schema
-            continue
-        if programs and route.checks is not None:
-            continue
-        branch = conforms(route.schema, v)
-        expr = F.when(key == fp, branch) if expr is None else expr.when(key == fp, branch)
+        elif route.checks is None:
+            expr = expr.when(key == fp, conforms(route.schema, v))
     if recursive:
-        fallback = _recursive_check(recursive)(key, body)
-        expr = F.when(key.isin(*recursive), fallback) if expr is None else expr.when(key.isin(*recursive), fallback)
+        expr = expr.when(key.isin(*recursive), _recursive_check(recursive)(key, body))
     return expr.otherwise(F.lit(True))
 
 
-def pointer_ok(table: RouteTable, pointer: Column, v: Column) -> Column:
-    """True when the route has no pointer, else whether the pointer selects a value.
-
-    Few distinct pointers are compiled into CASE branches with literal paths; with many,
-    each route row carries its pointer's candidate paths and one expression tries them.
-    """
-    expr = None
-    by_paths = table.uses_pointer_paths
-    if by_paths:
-        paths = F.col("pointer_paths")
-        expr = F.when(paths.isNotNull(),
-                      F.exists(paths, lambda p: F.try_variant_get(v, p, "variant").isNotNull()))
-    compiled: dict[str, list] = {}          # one branch per distinct pointer, not per route
-    for r in table.routes:
-        if r.pointer is None or r.compile_status == POINTER_INVALID or (by_paths and r.pointer_paths):
-            continue
-        compiled.setdefault(r.pointer, r.tokens)
-    for p, tokens in compiled.items():
-        branch = jp.resolve(v, tokens).isNotNull()
-        expr = F.when(pointer == p, branch) if expr is None else expr.when(pointer == p, branch)
-    if expr is None:
+def pointer_ok(table: RouteTable, v: Column) -> Column:
+    """True when the route has no pointer, else whether the pointer selects a value.  The steps ride
+    on the route's row, so one expression serves all pointers."""
+    if not any(r.tokens for r in table.routes):
         return F.lit(True)
-    return F.when(pointer.isNull(), F.lit(True)).otherwise(F.coalesce(expr, F.lit(False)))
+    steps = F.col("pointer_steps")
+    return F.when(steps.isNull(), F.lit(True)).otherwise(jp.follow(v, steps).isNotNull())
 
 
 def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = None) -> DataFrame:
@@ -119,8 +96,8 @@ def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = No
         .when(body.isNull(), F.lit("serialization"))
         .when(body == F.lit(""), F.lit("no_content"))
         .when(~schema_ok(table, F.col("schema_key"), v, body), F.lit("schema_validation"))
-        .when(F.col("compile_status") == POINTER_INVALID, F.lit("invalid_route"))
-        .when(~pointer_ok(table, F.col("pointer"), v), F.lit("invalid_json_path"))
+        .when(~F.col("pointer_ok"), F.lit("invalid_route"))
+        .when(~pointer_ok(table, v), F.lit("invalid_json_path"))
     )
     gated = with_doc.withColumn("error_code", error_code)
     accepted = F.col("error_code").isNull()

@@ -1,14 +1,19 @@
 """Landing: envelope stamp (P5-P7), landing sink (S3, S4), and landed-row readers
 (S6-S8, T6, W1, W2).
 
-The landing table is append-only Parquet partitioned by ``producer``; within a
-partition files are sorted by ``ts`` so the pull predicate ``ts > watermark``
-prunes row groups by min/max statistics.  Records never collapse on write; the
-keyed last-write-wins view (T6) is an explicit operator.
+The landing table is Parquet in slices: ``stream=<writer>/batch_id=<n>/producer=<p>``.
+A batch owns its slice and writes it by overwriting, so running a batch again replaces
+what its first attempt left and can neither double nor skip a record.  Files are sorted
+by ``ts``, so the pull predicate ``ts > watermark`` prunes row groups by min/max
+statistics; ``producer`` prunes folders.  Records never collapse on write; the keyed
+last-write-wins view (T6) is an explicit operator.
 """
 
 from __future__ import annotations
 
+import datetime as dt
+import uuid
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import Window
@@ -19,8 +24,9 @@ LANDING_COLUMNS = ["producer", "timestampUTC", "ts", "id", "payload", "createdAt
                    "schemaSubject", "schemaVersion", "schemaFingerprint", "batch_id"]
 
 LANDING_DDL = ("timestampUTC STRING, ts TIMESTAMP, id STRING, payload STRING, createdAt BIGINT, "
-               "schemaSubject STRING, schemaVersion INT, schemaFingerprint STRING, batch_id BIGINT, "
-               "producer STRING")
+               "schemaSubject STRING, schemaVersion INT, schemaFingerprint STRING, stream STRING, "
+               "batch_id BIGINT, producer STRING")
+SLICE_COLUMNS = ["stream", "batch_id", "producer"]
 
 
 def envelope(accepted: DataFrame, batch_id: int | Column = 0) -> DataFrame:
@@ -40,37 +46,68 @@ def envelope(accepted: DataFrame, batch_id: int | Column = 0) -> DataFrame:
     )
 
 
-def write_landing(landed: DataFrame, path: str, mode: str = "append") -> None:
-    """Append envelopes partitioned by producer, each file sorted by ts.
+def slice_path(path: str, stream: str, batch_id: int) -> str:
+    return f"{path.rstrip('/')}/stream={stream}/batch_id={batch_id}"
+
+
+def write_landing(landed: DataFrame, path: str, stream: str | None = None, batch_id: int = 0,
+                  table: str | None = None) -> None:
+    """Write a batch's slice, replacing what an earlier attempt at the same batch wrote (S3).
 
-    ``rebalance`` lets AQE size the write tasks from the data: a producer holding a
-    third of the batch is split into advisory-size partitions (no single task holds
-    it whole) and small producers are coalesced, so file sizes stay near the target.
+    Without ``stream`` the rows are a slice of their own.  ``rebalance`` lets AQE size the
+    write tasks from the data: a producer holding a third of the batch is split into
+    advisory-size partitions (no single task holds it whole) and small producers are
+    coalesced, so file sizes stay near the target.  With ``table`` the slice's partitions
+    are registered there (as many as the batch has producers, at most one per route).
     """
-    (landed.hint("rebalance", "producer")
+    stream = stream or f"once-{uuid.uuid4().hex}"
+    target = slice_path(path, stream, batch_id)
+    (landed.drop("batch_id", "stream").hint("rebalance", "producer")
      .sortWithinPartitions("producer", "ts")
-     .write.mode(mode).partitionBy("producer").parquet(path))
+     .write.mode("overwrite").partitionBy("producer").parquet(target))
+    if table:
+        register_slice(landed.sparkSession, table, target, stream, batch_id)
+
+
+def register_slice(spark: SparkSession, table: str, target: str, stream: str, batch_id: int) -> None:
+    """Tell the catalog of the slice's partitions, and nothing else's; a replay changes none."""
+    rows = spark.read.schema(LANDING_DDL).parquet(target)
+    written = [r[0] for r in rows.select("producer").distinct().collect()]
+    quoted = [p.replace("\\", "\\\\").replace("'", "\\'") for p in written]
+    if quoted:
+        specs = " ".join(f"PARTITION (stream='{stream}', batch_id={batch_id}, producer='{p}')" for p in quoted)
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {specs}")
+    spark.catalog.refreshTable(table)
 
 
 def ensure_landing_table(spark: SparkSession, name: str, path: str, auto_create: bool) -> bool:
     """Exists → use it; missing and auto_create → create it; missing otherwise → fail.
-    Returns True when the table was created."""
+    Returns True when the table was created.  The table reads what :func:`write_landing` writes."""
     if spark.catalog.tableExists(name):
         return False
     if not auto_create:
         raise RuntimeError(f"landing table {name} does not exist and auto-create is disabled")
     spark.sql(f"CREATE TABLE IF NOT EXISTS {name} ({LANDING_DDL}) USING parquet "
-              f"PARTITIONED BY (producer) LOCATION '{path}'")
+              f"PARTITIONED BY ({', '.join(SLICE_COLUMNS)}) LOCATION '{path}'")
     return True
 
 
 def read_landing(spark: SparkSession, path: str) -> DataFrame:
-    return spark.read.parquet(path)
+    return spark.read.schema(LANDING_DDL).parquet(path)
 
 
-def incremental_pull(landed: DataFrame, producer: str, watermark_ts) -> DataFrame:
+_EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
+
+
+def utc_literal(ts: dt.datetime) -> Column:
+    """A timestamp literal that no time zone of process or session moves; naive means UTC."""
+    aware = ts if ts.tzinfo else ts.replace(tzinfo=dt.timezone.utc)
+    return F.timestamp_micros(F.lit((aware - _EPOCH) // dt.timedelta(microseconds=1)))
+
+
+def incremental_pull(landed: DataFrame, producer: str, watermark_ts: dt.datetime) -> DataFrame:
     """``producer = X AND ts > watermark`` (S6): partition pruning plus Parquet pushdown."""
-    return landed.where((F.col("producer") == F.lit(producer)) & (F.col("ts") > F.lit(watermark_ts)))
+    return landed.where((F.col("producer") == F.lit(producer)) & (F.col("ts") > utc_literal(watermark_ts)))
 
 
 def producers(landed: DataFrame) -> DataFrame:
@@ -105,7 +142,7 @@ def last_n(landed: DataFrame, partition: list[str], order: list[Column], n: int,
     n * salt_buckets survivors per key.  Exact: the global top n of a key is
     contained in the union of its per-salt top n.
     """
-    salt = (F.abs(F.xxhash64(F.col(tie))) % salt_buckets).alias("_salt")
+    salt = F.pmod(F.xxhash64(F.col(tie)), F.lit(salt_buckets))
     salted = landed.withColumn("_salt", salt)
     w1 = Window.partitionBy(*partition, "_salt").orderBy(*order, F.col(tie).desc())
     phase1 = salted.withColumn("_r", F.row_number().over(w1)).where(F.col("_r") <= n)
@@ -113,6 +150,3 @@ def last_n(landed: DataFrame, partition: list[str], order: list[Column], n: int,
     return (phase1.withColumn("rank", F.row_number().over(w2)).where(F.col("rank") <= n)
             .drop("_salt", "_r"))
 
-
-def landing_summary(landed: DataFrame) -> DataFrame:
-    return landed.groupBy("producer").agg(F.count(F.lit(1)).alias("n"), F.max("ts").alias("last_ts"))

@@ -6,6 +6,10 @@ array (C1), the route's pointer applied (C2), members decoded into the target's
 typed columns with containers kept as variant (C3, C6), the envelope appended
 (C4), and the batch merged by key into the target (C5).  The watermark lives in
 the table comment (C7).
+
+Envelope values always come from the landed row, also where the target declares
+columns of their names: what a producer writes into its documents moves neither the
+merge key nor the watermark.  An element of an array body has a key of its own.
 """
 
 from __future__ import annotations
@@ -13,15 +17,21 @@ from __future__ import annotations
 import json
 import datetime as dt
 
+from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.functions import pointer as jp
+from tidewater.operators.landing import incremental_pull, utc_literal
 from tidewater.plans import layout
 from tidewater.plans.predicate import variant_path
 from tidewater.settings import COMMENT_PROPERTY, TIMESTAMP_COLUMN
 
 
+#: How far before the watermark a run looks for rows that landed late.
+LATE_OVERLAP = dt.timedelta(hours=1)
+
+
 class WatermarkError(RuntimeError):
     """The target table has no readable watermark; refuse to pull."""
 
@@ -67,16 +77,16 @@ def advance_watermark(spark: SparkSession, table: str, ts: dt.datetime) -> None:
     spark.sql(f"ALTER TABLE {table} SET TBLPROPERTIES ('{COMMENT_PROPERTY}' = '{text}')")
 
 
-def pull_slice(landed: DataFrame, producer: str, watermark: dt.datetime) -> DataFrame:
-    """One producer's rows past the watermark."""
-    return landed.where((F.col("producer") == F.lit(producer)) & (F.col("ts") > F.lit(watermark)))
-
-
 def explode_payload(landed: DataFrame) -> DataFrame:
-    """One row per document: an array payload yields its elements, anything else itself."""
+    """One row per document: an array payload yields its elements, anything else itself.
+    ``doc_key`` names the document: the landed id, with the position for an array's elements."""
     v = F.try_parse_json(F.col("payload"))
-    docs = F.coalesce(v.try_cast("array<variant>"), F.array(v))
-    return landed.select("*", F.posexplode(docs).alias("doc_pos", "doc"))
+    elements = v.try_cast("array<variant>")
+    keyed = F.concat_ws("-", F.col("id"), F.col("doc_pos").cast("string")) if "id" in landed.columns else F.lit(None).cast("string")
+    rows = landed.select("*", elements.isNotNull().alias("_in_array"),
+                         F.posexplode(F.coalesce(elements, F.array(v))).alias("doc_pos", "doc"))
+    single = F.col("id") if "id" in landed.columns else F.lit(None).cast("string")
+    return rows.withColumn("doc_key", F.when(F.col("_in_array"), keyed).otherwise(single)).drop("_in_array")
 
 
 def apply_pointer(df: DataFrame, pointer: str | None) -> DataFrame:
@@ -91,27 +101,27 @@ def decode_member(doc: Column, col: layout.Column) -> Column:
     """Typed value of one member; nullable-union values may arrive tagged."""
     t = layout.spark_type(col.type, col.name)
     target = "variant" if isinstance(t, type(layout.COLUMN_TYPES["variant"])) else t.simpleString()
+    # Avro's JSON encoding writes each byte of ``bytes`` as the character of its number
+    read, done = ("string", lambda c: F.encode(c, "ISO-8859-1")) if target == "binary" else (target, lambda c: c)
     path = variant_path([col.source])
     if path is None:
         member = F.try_element_at(doc.try_cast("map<string,variant>"), F.lit(col.source))
-        return member if target == "variant" else member.try_cast(target)
-    plain = F.try_variant_get(doc, path, target)
+        return member if target == "variant" else done(member.try_cast(read))
+    plain = F.try_variant_get(doc, path, read)
     if col.union_tag is None:
-        return plain
-    tagged = F.try_variant_get(doc, variant_path([col.source, col.union_tag]), target)
-    return F.coalesce(tagged, plain)
+        return done(plain)
+    tagged = F.try_variant_get(doc, variant_path([col.source, col.union_tag]), read)
+    return done(F.coalesce(tagged, plain))
 
 
 def decode(df: DataFrame, columns: list[layout.Column], merge_key: str) -> DataFrame:
-    """Project documents onto the target columns, envelope appended."""
+    """Project documents onto the target columns, envelope values in theirs."""
+    envelope = {TIMESTAMP_COLUMN.lower(): "timestampUTC", merge_key.lower(): "doc_key"}
     out = []
     for c in columns:
-        if c.name == TIMESTAMP_COLUMN and c.source is None:
-            out.append(F.col("timestampUTC").alias(c.name))
-        elif c.name == merge_key and c.source is None:
-            out.append(F.col("id").alias(c.name))
-        else:
-            out.append(decode_member(F.col("doc"), c).alias(c.name))
+        landed = envelope.get(c.name.lower())
+        value = decode_member(F.col("doc"), c) if landed is None else F.col(landed).cast(layout.spark_type(c.type, c.name))
+        out.append(value.alias(c.name))
     return df.select(*out)
 
 
@@ -187,55 +197,97 @@ def _merge_into_iceberg(spark: SparkSession, table: str, incoming: DataFrame, ke
 def pull(landed: DataFrame, producer: str, watermark: dt.datetime, columns: list[layout.Column],
          pointer: str | None, merge_key: str) -> DataFrame:
     """S6 → C1 → C2 → C3/C6 → C4 for one producer."""
-    docs = apply_pointer(explode_payload(pull_slice(landed, producer, watermark)), pointer)
+    docs = apply_pointer(explode_payload(incremental_pull(landed, producer, watermark)), pointer)
     return decode(docs, columns, merge_key)
 
 
-def append_missing(spark: SparkSession, table: str, incoming: DataFrame, key: list[str], ts_col: str) -> None:
-    """Merge for keys whose rows never change (C5 on landing ids): insert the keys not present.
+def pull_many(landed: DataFrame, routes: list, watermark: dt.datetime, merge_key: str) -> DataFrame:
+    """:func:`pull` for many producers in one pass over ``landed``: routes that share a layout and a
+    pointer are decoded together, so the plan grows with distinct layouts and not with producers."""
+    groups: dict[tuple, list] = {}
+    for r in routes:
+        groups.setdefault((tuple(r.columns), r.pointer), []).append(r.producer)
+    past = explode_payload(landed.where(F.col("producer").isin(*[r.producer for r in routes])
+                                        & (F.col("ts") > utc_literal(watermark))))
+    if len(groups) == 1:
+        (columns, pointer), _ = next(iter(groups.items()))
+        return decode(apply_pointer(past, pointer), list(columns), merge_key)
+    names = {tuple(c.name for c in columns) for columns, _ in groups}
+    if len(names) > 1:
+        raise ValueError("routes pulled together must have the same column names")
+    parts = []
+    for (columns, pointer), members in groups.items():
+        parts.append(decode(apply_pointer(past.where(F.col("producer").isin(*members)), pointer), list(columns), merge_key))
+    out = parts[0]
+    for part in parts[1:]:
+        out = out.unionByName(part)
+    return out
+
+
+def append_missing(spark: SparkSession, table: str, incoming: DataFrame, key: list[str], ts_col: str,
+                   since: str | None = None) -> int:
+    """Merge for keys whose rows never change (C5 on landing ids): insert the keys not present and
+    return how many those were.
 
     A landing id is derived from the request, and a replayed request lands the same
     row again, so a merge on it only ever has to skip keys already in the target.
-    Only the target's key column is read, and only for rows at or after the batch's
-    earliest ``ts_col`` (a copy can be no older), which Parquet statistics prune.
+    Only the target's key column is read, and only for rows at or after ``since`` (the
+    batch's earliest ``ts_col``; a copy can be no older), which Parquet statistics prune.
     """
     cols = spark.table(table).columns
     batch = merge(None, incoming.select(*cols), key, [ts_col])
-    lo = batch.agg(F.min(ts_col)).first()[0]
-    if lo is None:
-        return
-    existing = spark.table(table).where(F.col(ts_col) >= F.lit(lo)).select(*key)
-    # files sorted by time keep row-group min/max ranges tight for the next run's pruning
-    (batch.join(existing, on=key, how="left_anti").select(*cols)
-     .sortWithinPartitions(ts_col).write.insertInto(table))
+    if since is None:
+        since = batch.agg(F.min(ts_col)).first()[0]
+        if since is None:
+            return 0
+    existing = spark.table(table).where(F.col(ts_col) >= F.lit(since)).select(*key)
+    fresh = batch.join(existing, on=key, how="left_anti").select(*cols).persist(StorageLevel.DISK_ONLY_2)
+    try:
+        n = fresh.count()
+        if n:
+            # files sorted by time keep row-group min/max ranges tight for the next run's pruning
+            fresh.sortWithinPartitions(ts_col).write.insertInto(table)
+    finally:
+        fresh.unpersist()
+    return n
 
 
 def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer: str,
                     columns: list[layout.Column], merge_key: str, version: int,
-                    insert_only: bool = True) -> dict:
+                    insert_only: bool = True, overlap: dt.timedelta = LATE_OVERLAP) -> dict:
     """One consumer run for one target table (C2-C7 end to end).
 
     The watermark comes from the table comment and the pointer from the table's
-    ``json-pointer-expression`` property, both written at provisioning; rows past the
-    watermark are decoded and merged by the merge key, and the watermark then moves to
-    the newest arrival merged.  A run that fails before the last step leaves the
-    watermark where it was, so the next run pulls the same rows again and the keyed
-    merge absorbs them.
+    ``json-pointer-expression`` property, both written at provisioning.  Rows are decoded and
+    merged by the merge key, and the watermark then moves to the newest *landing* time
+    among them.  Rows land out of order (several files, several streams), so a run reads
+    again what landed up to ``overlap`` before the watermark; the keyed merge skips what
+    it knows.  A run that fails before the last step leaves the watermark where it was.
+
+    Returns the table, ``pulled`` (landed rows past the watermark), ``inserted`` (documents new to
+    the table, late ones included; None with ``insert_only=False``) and the watermark.
     """
     from tidewater.settings import POINTER_PROPERTY
     watermark = read_watermark(spark, table)
     pointer = table_property(spark, table, POINTER_PROPERTY)
-    rows = pull(landed, producer, watermark, columns, pointer, merge_key).persist()
-    try:
-        newest = rows.agg(F.max(TIMESTAMP_COLUMN).alias("m"), F.count(F.lit(1)).alias("n")).first()
-        if not newest["n"]:
-            return {"table": table, "pulled": 0, "watermark": watermark}
-        if insert_only:
-            append_missing(spark, table, rows, [merge_key], TIMESTAMP_COLUMN)
-        else:
-            merge_into_table(spark, table, rows, [merge_key], [TIMESTAMP_COLUMN], version)
-    finally:
-        rows.unpersist()
-    advanced = dt.datetime.strptime(newest["m"], "%Y-%m-%dT%H:%M:%S.%fZ")
-    advance_watermark(spark, table, advanced)
-    return {"table": table, "pulled": newest["n"], "watermark": advanced}
+    bound = max(watermark - overlap, dt.datetime(1970, 1, 1))
+    rows = incremental_pull(landed, producer, bound)
+    past = F.col("ts") > utc_literal(watermark)
+    # of the landing columns alone; what lands meanwhile is left to the next run
+    seen = rows.agg(F.max(F.unix_micros("ts")).alias("newest"), F.min("timestampUTC").alias("since"),
+                    F.count_if(past).alias("n")).first()
+    if seen["newest"] is None:
+        return {"table": table, "pulled": 0, "inserted": 0, "watermark": watermark}
+    newest = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=seen["newest"])
+    docs = pull(landed.where(F.col("ts") <= utc_literal(newest)), producer, bound, columns, pointer, merge_key)
+    ts_col = next(c.name for c in columns if c.name.lower() == TIMESTAMP_COLUMN.lower())
+    key = next(c.name for c in columns if c.name.lower() == merge_key.lower())
+    inserted = None
+    if insert_only:
+        text = next(c for c in columns if c.name == ts_col).type.lower() == "string"
+        inserted = append_missing(spark, table, docs, [key], ts_col, seen["since"] if text else None)
+    else:
+        merge_into_table(spark, table, docs, [key], [ts_col], version)
+    if newest > watermark:
+        advance_watermark(spark, table, newest)
+    return {"table": table, "pulled": seen["n"], "inserted": inserted, "watermark": max(newest, watermark)}

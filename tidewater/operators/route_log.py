@@ -12,7 +12,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.operators.asof import asof_time, neighbour
+from tidewater.operators.asof import asof_time, auto_width, neighbour
 
 UPSERTS = ("Added", "Modified")
 
@@ -29,7 +29,7 @@ def last_reset(events: DataFrame):
 
 
 def snapshot(events: DataFrame) -> DataFrame:
-    """Live routes after the whole log (T1a), ordered by producer."""
+    """Live routes after the whole log (T1a); :func:`ordered` gives them by producer."""
     eff = effective(events).where(F.col("event_type") != "Reseted")
     after = eff.where(F.col("seq") > F.coalesce(last_reset(events), F.lit(-(2 ** 63))))
     last = after.groupBy("name").agg(
@@ -38,9 +38,20 @@ def snapshot(events: DataFrame) -> DataFrame:
             .select("name", F.col("last.seq").alias("seq"), "last.spec.*"))
 
 
+def ordered(routes: DataFrame) -> DataFrame:
+    """Routes by producer, then name."""
+    return routes.orderBy("producer", "name")
+
+
+def _width(events: DataFrame, width: int | None) -> int:
+    """The bucket width, from the log's own range (one aggregate of its source) unless given."""
+    return width or auto_width((events, F.col("seq")))
+
+
 def intervals(events: DataFrame, width: int | None = None) -> DataFrame:
     """SCD2 validity per upsert (T1b): valid from its seq until the next event of the same
     name or the next reset, whichever comes first (``valid_to`` NULL = still live)."""
+    width = _width(events, width)
     eff = effective(events)
     named = eff.where(F.col("event_type") != "Reseted")
     nxt_name = neighbour(named, ["name"], "seq", width, out="next_name_seq", forward=True).where(
@@ -53,74 +64,92 @@ def intervals(events: DataFrame, width: int | None = None) -> DataFrame:
                       "event_type", "spec.*")
 
 
-def changes(events: DataFrame, width: int | None = None) -> DataFrame:
-    """Events that change the published snapshot.
-
-    An upsert changes it unless it repeats the name's live spec; a delete only when
-    the name was live.  Reset rows are returned with ``changed`` NULL: whether a reset
-    changes the snapshot is decided in :func:`reload_stats` (some route was live).
-    """
+def _judged(events: DataFrame, width: int) -> DataFrame:
+    """Named events with ``reset_before``, ``changed`` and ``delta``, the change of the live count."""
     eff = effective(events)
     named = eff.where(F.col("event_type") != "Reseted")
-    # previous event of the same name after the latest reset before it
-    prev = neighbour(named, ["name"], "seq", width, out="prev_seq", forward=False)
     resets = eff.where(F.col("event_type") == "Reseted").select("seq")
+    prev = neighbour(named, ["name"], "seq", width, out="prev", forward=False, carry=["event_type", "spec"])
     prev = asof_time(prev, resets, [], F.col("seq"), F.col("seq"), width, out="reset_before", strict=True)
-    prior = named.select("name", F.col("seq").alias("prev_seq"), F.col("event_type").alias("prev_type"),
-                         F.col("spec").alias("prev_spec"))
-    cmp = prev.join(prior, on=["name", "prev_seq"], how="left")
-    live_before = (F.col("prev_seq").isNotNull() & F.col("prev_type").isin(*UPSERTS)
-                   & (F.col("reset_before").isNull() | (F.col("prev_seq") > F.col("reset_before"))))
-    et = F.col("event_type")
-    changed = (F.when(et.isin(*UPSERTS), ~live_before | (F.to_json("spec") != F.to_json("prev_spec")))
-               .otherwise(live_before))
-    delta = (F.when(et.isin(*UPSERTS) & ~live_before, F.lit(1))
-             .when((et == "Deleted") & live_before, F.lit(-1)).otherwise(F.lit(0)))
-    per_name = cmp.select("seq", "event_type", "name", changed.alias("changed"), delta.alias("delta"),
-                          "reset_before")
-    reset_rows = resets.select("seq", F.lit("Reseted").alias("event_type"), F.lit(None).cast("string").alias("name"),
-                               F.lit(None).cast("boolean").alias("changed"), F.lit(0).alias("delta"),
-                               F.lit(None).cast("long").alias("reset_before"))
-    return per_name.unionByName(reset_rows)
+    p = F.col("prev")
+    live_before = F.coalesce(p["event_type"].isin(*UPSERTS) & (F.col("reset_before").isNull()
+                                                               | (p["seq"] > F.col("reset_before"))), F.lit(False))
+    upsert = F.col("event_type").isin(*UPSERTS)
+    changed = F.when(upsert, ~live_before | (F.to_json("spec") != F.to_json(p["spec"]))).otherwise(live_before)
+    delta = (F.when(upsert & ~live_before, F.lit(1))
+             .when((F.col("event_type") == "Deleted") & live_before, F.lit(-1)).otherwise(F.lit(0)))
+    return prev.select("seq", "event_type", "name", "reset_before", changed.alias("changed"), delta.alias("delta"))
+
+
+def changes(events: DataFrame, width: int | None = None) -> DataFrame:
+    """``seq, event_type, name, changed``: which events change the published snapshot.
+
+    An upsert changes it unless it repeats the name's live spec; a delete only when the name
+    was live; a reset when any route was live just before it.
+    """
+    width = _width(events, width)
+    judged = _judged(events, width)
+    live = judged.groupBy("reset_before").agg(F.sum("delta").alias("live"))
+    resets = effective(events).where(F.col("event_type") == "Reseted").select("seq")
+    since = neighbour(resets, [], "seq", width, out="reset_before", forward=False)
+    decided = since.alias("r").join(live.alias("l"), F.col("r.reset_before").eqNullSafe(F.col("l.reset_before")), "left") \
+        .select("r.seq", F.lit("Reseted").alias("event_type"), F.lit(None).cast("string").alias("name"),
+                (F.coalesce("l.live", F.lit(0)) > 0).alias("changed"))
+    return judged.select("seq", "event_type", "name", "changed").unionByName(decided)
 
 
 def reload_stats(events: DataFrame, width: int | None = None) -> DataFrame:
-    """Reload count (A3) and active routes after the log (A4).
+    """Reload count (A3) and active routes after the log (A4), in one aggregation of the judged log.
 
-    The seed (empty) snapshot is published once; every changing event publishes again;
-    a reset publishes the empty snapshot when routes were live just before it.  Named
-    events carry their epoch (the latest reset before them) and a +1/-1/0 change of the
-    live count, so "live just before a reset" is the summed delta of the epoch it closes:
-    every epoch but the last one is closed by a reset.
+    The seed (empty) snapshot is published once; every changing event publishes again; a reset
+    publishes the empty snapshot when routes were live just before it.  Events are summed by epoch
+    (the reset before them; a reset opens its own): an epoch's deltas are its live routes at its end, and
+    every epoch but the last is closed by a reset.
     """
-    ch = changes(events, width).where(F.col("name").isNotNull())
-    n_changed = ch.where(F.col("changed")).select(F.count(F.lit(1))).scalar()
-    closed = (ch.groupBy("reset_before").agg(F.sum("delta").alias("live_at_end"))
-              .where((F.col("live_at_end") > 0)
-                     & ~F.col("reset_before").eqNullSafe(last_reset(events)))
-              .select(F.count(F.lit(1))).scalar())
-    n_active = snapshot(events).select(F.count(F.lit(1))).scalar()
-    return events.sparkSession.range(1).select(
-        (F.lit(1) + n_changed + closed).alias("reloads"), n_active.alias("active_routes"))
+    first = F.lit(-(2 ** 63))
+    named = _judged(events, _width(events, width)).select(F.coalesce("reset_before", first).alias("epoch"), "changed", "delta")
+    opened = effective(events).where(F.col("event_type") == "Reseted").select(
+        F.col("seq").alias("epoch"), F.lit(False).alias("changed"), F.lit(0).alias("delta"))
+    epochs = named.unionByName(opened).groupBy("epoch").agg(F.count_if("changed").alias("n"), F.sum("delta").alias("live"))
+    last = F.coalesce(F.max_by("live", "epoch"), F.lit(0))
+    return epochs.agg((F.lit(1) + F.coalesce(F.sum("n"), F.lit(0)) + F.count_if(F.col("live") > 0)
+                       - F.when(last > 0, F.lit(1)).otherwise(F.lit(0))).alias("reloads"),
+                      last.alias("active_routes"))
 
 
 def first_seen(routes: DataFrame, provisioned: DataFrame | None = None) -> DataFrame:
-    """First spec per producer that should trigger provisioning (T3): earliest per producer,
-    minus producers already provisioned successfully."""
+    """First spec per producer that should trigger provisioning (T3): the earliest that has a target,
+    minus producers already provisioned successfully.  Rows without a ``has_target`` column count as
+    having one."""
+    if "has_target" in routes.columns:
+        routes = routes.where("has_target")
     first = routes.groupBy("producer").agg(F.min_by(F.struct(*routes.columns), F.col("seq")).alias("r")).select("r.*")
     if provisioned is not None:
         first = first.join(provisioned.select("producer"), on="producer", how="left_anti")
     return first
 
 
-def route_asof(requests: DataFrame, ivs: DataFrame, at: str, width: int | None = None) -> DataFrame:
+#: Intervals up to this many are broadcast by :func:`route_asof`.
+BROADCAST_INTERVALS = 200_000
+
+
+def route_asof(requests: DataFrame, ivs: DataFrame, at: str, broadcast_limit: int = BROADCAST_INTERVALS) -> DataFrame:
     """Requests joined with the route version live at their arrival.
 
-    ``ivs``: (producer, valid_from, valid_to, ...) on the same long time axis as the
-    request column ``at``.  Matched as of arrival per producer, then routed only when
-    the matched version had not ended yet.
+    ``ivs``: (producer, valid_from, valid_to, ...) on the same long time axis as the request
+    column ``at``.  A producer's versions are configuration: they become one row with a sorted
+    array, searched inside the request's row.  Up to ``broadcast_limit`` intervals (counted) that table is
+    broadcast and no request moves; beyond, requests meet it in a shuffle join whose one row per
+    producer lets the adaptive skew join split a hot producer's requests.
     """
-    tagged = asof_time(requests, ivs, ["producer"], F.col(at), F.col("valid_from"), width, out="valid_from")
-    joined = tagged.join(ivs, on=["producer", "valid_from"], how="left")
+    columns = [c for c in ivs.columns if c != "producer"]
+    version = F.struct("valid_from", *[c for c in columns if c != "valid_from"])
+    versions = ivs.groupBy("producer").agg(F.sort_array(F.collect_list(version)).alias("_versions"))
+    if ivs.limit(broadcast_limit + 1).count() <= broadcast_limit:
+        versions = F.broadcast(versions)
+    joined = requests.join(versions, "producer", "left")
+    known = F.filter("_versions", lambda i: i["valid_from"] <= F.col(at))
+    found = joined.withColumn("_version", F.try_element_at(known, F.lit(-1)))
+    out = found.select(*requests.columns, *[F.col("_version")[c].alias(c) for c in columns])
     live = F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
-    return joined.withColumn("routed", live)
+    return out.withColumn("routed", live)

@@ -7,11 +7,11 @@ checks every verdict.
 
 from __future__ import annotations
 
-from tidewater.plans import avro
-from tidewater.scenarios import EVENT_SCHEMA, SETTINGS
+from tidewater.scenarios import DOC_SOURCES, MIX_UNIONS, MIX_VALUES, SETTINGS
 
 MAX_LEN = SETTINGS.max_content_length
-EVENT_FP = avro.fingerprint(avro.parse_schema(EVENT_SCHEMA))
+# Fixed value: the CRC-64-AVRO fingerprint of the demo event schema.
+EVENT_FP = "3ac5718106bde79d"
 
 REQUESTS = f"""
 requests AS (
@@ -235,10 +235,11 @@ FROM (SELECT event_id, '{"m":{"a/b":{"t~1":[' || user_id || ',' || event_id || '
       FROM events)""",
     "oversize_docs": """
 SELECT 'doc-' || doc_id AS request_id, source AS producer,
-       CAST(CASE WHEN strlen(text) > 16384 THEN 413 WHEN strlen(text) <= 0 THEN 400 ELSE 202 END AS INTEGER) AS status,
+       CAST(CASE WHEN NOT routed THEN 404 WHEN strlen(text) > 16384 THEN 413 WHEN strlen(text) <= 0 THEN 400
+                 ELSE 202 END AS INTEGER) AS status,
        CAST(strlen(text) AS BIGINT) AS content_length,
-       CAST(CASE WHEN strlen(text) BETWEEN 1 AND 16384 THEN strlen(text) END AS BIGINT) AS payload_bytes
-FROM documents""",
+       CAST(CASE WHEN routed AND strlen(text) BETWEEN 1 AND 16384 THEN strlen(text) END AS BIGINT) AS payload_bytes
+FROM (SELECT *, source IN (@SOURCES@) AS routed FROM documents)""".replace("@SOURCES@", ", ".join(f"'{x}'" for x in DOC_SOURCES)),
     "incremental_pull": WITH + f"""
 SELECT 'evt-' || event_id AS push_event_id, user_id AS seq, CAST(json_extract(props, '$.k') AS INTEGER) AS k,
        {UTC_TEXT} AS timestampUTC, {ID} AS merge_key
@@ -255,7 +256,10 @@ WHERE rn = 1""",
 SELECT vec_id AS push_event_id, CAST(len(embedding) AS INTEGER) AS n_elems, label FROM embeddings""",
     "route_snapshot": f"WITH {ROUTE_EVENTS}\nSELECT * FROM snap",
     "route_intervals": f"WITH {ROUTE_EVENTS}\nSELECT * FROM ivs",
-    "route_changes": f"WITH {ROUTE_EVENTS}\nSELECT seq, name, changed FROM chg",
+    "route_changes": f"""WITH {ROUTE_EVENTS}
+SELECT c.seq, e.event_type, c.name, c.changed FROM chg c JOIN eff e ON c.seq = e.seq
+UNION ALL
+SELECT seq, 'Reseted' AS event_type, NULL AS name, seq IN (SELECT valid_to FROM ivs WHERE valid_to IS NOT NULL) AS changed FROM resets""",
     "route_reloads": f"""WITH {ROUTE_EVENTS}
 SELECT CAST(1 + (SELECT count(*) FROM chg WHERE changed)
             + (SELECT count(*) FROM resets WHERE seq IN (SELECT valid_to FROM ivs)) AS BIGINT) AS reloads,
@@ -287,4 +291,18 @@ SELECT strftime(date_trunc('hour', received_at), '%Y-%m-%dT%H:%M:%S') AS window_
        count(*) FILTER (WHERE status = 202) AS accepted,
        count(*) FILTER (WHERE status <> 202) AS rejected
 FROM outcomes GROUP BY 1, 2""",
+    "array_merge": """
+SELECT l_orderkey, l_linenumber, l_partkey, strftime(o_orderdate, '%Y-%m-%dT%H:%M:%S.%fZ') AS timestampUTC
+FROM lineitem JOIN orders ON l_orderkey = o_orderkey""",
+    "declared_envelope": """
+SELECT event_id AS key, strftime(ts, '%Y-%m-%dT%H:%M:%S.%fZ') AS stamp,
+       substr(h, 1, 8) || '-' || substr(h, 9, 4) || '-' || substr(h, 13, 4) || '-' || substr(h, 17, 4) || '-' || substr(h, 21, 12)
+         AS merge_key
+FROM (SELECT *, sha256('stamped|st-' || event_id) AS h FROM events)""",
+    "conformity_mix": """
+SELECT 'mx-' || event_id AS request_id, CAST(CASE WHEN ok THEN 202 ELSE 400 END AS INTEGER) AS status,
+       CASE WHEN NOT ok THEN 'schema_validation' END AS error_code
+FROM (SELECT event_id, [@VALUES@][event_id % @NV@ + 1] AND [@UNIONS@][(event_id // @NV@) % @NU@ + 1] AS ok FROM events)"""
+    .replace("@VALUES@", ", ".join(str(ok).lower() for _, ok in MIX_VALUES)).replace("@NV@", str(len(MIX_VALUES)))
+    .replace("@UNIONS@", ", ".join(str(ok).lower() for _, ok in MIX_UNIONS)).replace("@NU@", str(len(MIX_UNIONS))),
 }

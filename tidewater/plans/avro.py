@@ -16,6 +16,7 @@ from __future__ import annotations
 
 import json
 import re
+import struct
 from dataclasses import dataclass, field
 
 # Fixed values from the Avro specification.
@@ -72,6 +73,7 @@ def _fullname(name: str, namespace: str | None) -> tuple[str, str | None]:
 class _Parser:
     def __init__(self) -> None:
         self.names: dict[str, AvroType] = {}
+        self.defaults: dict[str, dict] = {}          # record → field → default, for nested defaults
 
     def lookup(self, name: str, namespace: str | None) -> AvroType:
         if name in PRIMITIVES:
@@ -136,7 +138,12 @@ class _Parser:
                     seen.add(fname)
                     if "type" not in f:
                         raise AvroSchemaError(f"No field type: {json.dumps(f)}")
-                    t.fields.append((fname, self.parse(f["type"], inner_space)))
+                    ftype = self.parse(f["type"], inner_space)
+                    t.fields.append((fname, ftype))
+                    if "default" in f:
+                        if not _default_fits(ftype, f["default"], self.defaults):
+                            raise AvroSchemaError(f"Invalid default for field {fname}: {json.dumps(f['default'])}")
+                        self.defaults.setdefault(full, {})[fname] = f["default"]
                 return t
             if kind == "enum":
                 symbols = node.get("symbols")
@@ -167,12 +174,44 @@ class _Parser:
         return self.lookup(kind, namespace)
 
 
+_COMMENT_RE = re.compile(r'"(?:[^"\\]|\\.)*"|/\*.*?\*/|//[^\n]*', re.S)
+
+
+def _without_comments(text: str) -> str:
+    """Schema texts may hold ``/* */`` and ``//`` comments; inside strings they are text."""
+    return _COMMENT_RE.sub(lambda m: m[0] if m[0].startswith('"') else " ", text)
+
+
+def _default_fits(t: AvroType, value, defaults: dict) -> bool:
+    """Whether ``value`` may be the default of a field of type ``t`` (a union: of any branch)."""
+    k = t.kind
+    if k == "null":
+        return value is None
+    if k == "boolean":
+        return isinstance(value, bool)
+    if k in ("int", "long"):
+        return isinstance(value, int) and _integral(value, 32 if k == "int" else 64)
+    if k in ("float", "double"):
+        return isinstance(value, (int, float)) and not isinstance(value, bool)
+    if k in ("string", "bytes", "enum", "fixed"):
+        return isinstance(value, str)
+    if k == "array":
+        return isinstance(value, list) and all(_default_fits(t.items, x, defaults) for x in value)
+    if k == "map":
+        return isinstance(value, dict) and all(_default_fits(t.values, x, defaults) for x in value.values())
+    if k == "union":
+        return any(_default_fits(b, value, defaults) for b in t.branches)
+    own = defaults.get(t.fullname, {})
+    return isinstance(value, dict) and all(
+        _default_fits(ft, value.get(n, own.get(n)), defaults) and (n in value or n in own) for n, ft in t.fields)
+
+
 def parse_schema(text: str) -> AvroType:
     """Parse Avro schema JSON text; raises AvroSchemaError when it is invalid."""
     if text is None:
         raise AvroSchemaError("schema text is missing")
     try:
-        node = json.loads(text)
+        node = json.loads(_without_comments(text))
     except json.JSONDecodeError as e:
         raise AvroSchemaError(f"schema is not JSON: {e}") from e
     return _Parser().parse(node, None)
@@ -246,18 +285,15 @@ def is_recursive(t: AvroType) -> bool:
 # oracle for the Column predicate.
 # ---------------------------------------------------------------------------
 
-_INT_RANGE = (-(2 ** 31), 2 ** 31 - 1)
-_LONG_RANGE = (-(2 ** 63), 2 ** 63 - 1)
-
-
-def _integral(value, bounds) -> bool:
+def _integral(value, bits: int) -> bool:
+    """As :func:`tidewater.plans.predicate.is_integral`, for a value that ``json`` has read."""
     if isinstance(value, bool) or not isinstance(value, (int, float)):
         return False
-    if isinstance(value, float):
-        if value != value or value in (float("inf"), float("-inf")) or not value.is_integer():
-            return False
-        value = int(value)
-    return bounds[0] <= value <= bounds[1]
+    if isinstance(value, int):
+        return -(2 ** (bits - 1)) <= value < 2 ** (bits - 1)
+    if bits == 32 and abs(value) < 3.5e38:
+        value = struct.unpack("f", struct.pack("f", value))[0]
+    return value == value and abs(value) <= 2 ** (bits - 1) and value.is_integer()
 
 
 def conforms_value(t: AvroType, value) -> bool:
@@ -267,9 +303,9 @@ def conforms_value(t: AvroType, value) -> bool:
     if k == "boolean":
         return isinstance(value, bool)
     if k == "int":
-        return _integral(value, _INT_RANGE)
+        return _integral(value, 32)
     if k == "long":
-        return _integral(value, _LONG_RANGE)
+        return _integral(value, 64)
     if k in ("float", "double"):
         return isinstance(value, (int, float)) and not isinstance(value, bool)
     if k in ("string", "bytes"):

@@ -1,8 +1,7 @@
 """Schema conformity as data: a flat check program per schema, one expression for all.
 
 Compiling every schema into its own Column (``plans.predicate``) makes the gate's
-expression grow with the number of distinct schemas; past a few dozen, code
-generation and compilation dominate every job.  Here a schema is flattened on the
+expression grow with the number of distinct schemas.  Here a schema is flattened on the
 driver into a list of checks, each naming a variant path from the document root and
 what must hold there.  The list rides on the broadcast route row, and a single
 constant-size ``forall`` evaluates whichever program the row's route carries.
@@ -21,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.plans.avro import AvroType
-from tidewater.plans.predicate import variant_path
+from tidewater.plans.predicate import is_integral, variant_path
 
 _LEAF_FIELDS = [
     T.StructField("path", T.StringType()),        # variant path from the document (or element) root
@@ -118,11 +117,11 @@ def _leaf(x: Column, kind: Column, symbols: Column, size: Column) -> Column:
     """One scalar value against a scalar kind."""
     k = F.schema_of_variant(x)
     numeric = k.isin(*_NUMERIC_KINDS) | k.startswith("DECIMAL")
-    exact = F.try_variant_get(x, "$", "decimal(38,10)")
+    read = lambda sql_type: F.try_variant_get(x, "$", sql_type)
     text = F.try_variant_get(x, "$", "string")
     return (F.when(kind == "string", k == "STRING")
-            .when(kind == "int", numeric & (F.try_variant_get(x, "$", "int").cast("decimal(38,10)") == exact))
-            .when(kind == "long", numeric & (F.try_variant_get(x, "$", "bigint").cast("decimal(38,10)") == exact))
+            .when(kind == "int", is_integral(k, read, 32))
+            .when(kind == "long", is_integral(k, read, 64))
             .when(kind == "number", numeric)
             .when(kind == "boolean", k == "BOOLEAN")
             .when(kind == "null", F.is_variant_null(x))

@@ -8,7 +8,7 @@ whole-stage codegen with no Python on the hot path.
 Rules follow Avro's JSON decoding: record fields may come in any order, extra
 fields are ignored, missing fields are rejected (defaults are not applied), union
 values other than null are tagged with a one-key object naming the branch, and
-integers must be integral and within range.
+integers must be integral and within range (see :func:`is_integral`).
 """
 
 from __future__ import annotations
@@ -72,10 +72,19 @@ def _typed(node: _Node, sql_type: str) -> Column:
     return F.try_variant_get(node.base, rendered, sql_type)
 
 
-def _integral(node: _Node, kind: Column, sql_type: str) -> Column:
-    exact = _typed(node, "decimal(38,10)")
-    whole = _typed(node, sql_type)
-    return _numeric(kind) & (whole.cast("decimal(38,10)") == exact)
+def is_integral(kind: Column, read, bits: int) -> Column:
+    """Whether a number is an Avro int (``bits`` 32) or long (64); ``read(type)`` gives its typed value.
+
+    An integer must fit.  A number written with a fraction or an exponent counts when its nearest
+    float (int) or double (long) is whole and in range, which is how Avro's JSON decoding reads it.
+    Integers beyond 64 bits, and numbers like 7.0, are decimals without a fraction here: those must fit.
+    """
+    narrow, wide = ("int", "float") if bits == 32 else ("bigint", "double")
+    whole = read(narrow).isNotNull()
+    f = read(wide)
+    floating = f.isNotNull() & (f == F.rint(f.cast("double"))) & (F.abs(f.cast("double")) <= float(2 ** (bits - 1)))
+    return F.when(kind.isin("BIGINT", "INT", "SMALLINT", "TINYINT") | (kind.startswith("DECIMAL") & kind.endswith(",0)")), whole) \
+        .when(_numeric(kind), floating).otherwise(F.lit(False))
 
 
 def _check(t: AvroType, node: _Node, depth: int) -> Column:
@@ -96,9 +105,9 @@ def _check(t: AvroType, node: _Node, depth: int) -> Column:
     if k == "boolean":
         return kind == "BOOLEAN"
     if k == "int":
-        return _integral(node, kind, "int")
+        return is_integral(kind, lambda sql_type: _typed(node, sql_type), 32)
     if k == "long":
-        return _integral(node, kind, "bigint")
+        return is_integral(kind, lambda sql_type: _typed(node, sql_type), 64)
     if k in ("float", "double"):
         return _numeric(kind)
     if k in ("string", "bytes"):

@@ -16,7 +16,6 @@ from pyspark.sql import types as T
 
 from tidewater.functions import pointer as jp
 from tidewater.plans import avro, checks as CK, layout
-from tidewater.plans.predicate import variant_path
 from tidewater.settings import Settings
 
 OK = "ok"
@@ -36,11 +35,12 @@ class CompiledRoute:
     iceberg: dict | None = None
     schema: avro.AvroType | None = None
     fingerprint: str | None = None
-    compile_status: str = OK
+    compile_status: str = OK                  # the last finding, for reports; what rules is below
+    recursive: bool = False                   # of the schema
+    pointer_valid: bool = True                # of the pointer
     tokens: list = field(default_factory=list)
     columns: list | None = None               # target layout, when the route has a target
     checks: list | None = None                # data-driven conformity program, when the schema allows one
-    pointer_paths: list | None = None         # candidate variant paths of the pointer, when all have a syntax
     errors: list = field(default_factory=list)  # (stage, message)
 
     @property
@@ -70,7 +70,7 @@ ROUTE_COLUMNS = T.StructType([
     T.StructField("rename", T.BooleanType()),
     T.StructField("compile_status", T.StringType()),
     T.StructField("schema_checks", CK.CHECKS),
-    T.StructField("pointer_paths", T.ArrayType(T.StringType())),
+    T.StructField("pointer_steps", jp.STEPS),
 ])
 
 ROUTE_ERRORS = T.StructType([
@@ -90,24 +90,22 @@ def compile_route(row: dict, settings: Settings) -> CompiledRoute:
         try:
             r.schema = avro.parse_schema(r.payload_schema)
             r.fingerprint = avro.fingerprint(r.schema)
-            if avro.is_recursive(r.schema):
+            r.recursive = avro.is_recursive(r.schema)
+            if r.recursive:
                 r.compile_status = RECURSIVE
             else:
                 r.checks = CK.program(r.schema)
         except avro.AvroSchemaError as e:
             r.schema = None
             r.compile_status = SCHEMA_INVALID
-            r.errors.append(("schema", f"invalid Avro payloadSchema for {r.producer}: {e} "
-                                       "— disabling validation for this route"))
+            r.errors.append(("schema", f"payloadSchema of {r.producer} is no Avro schema ({e}); bodies go unchecked"))
     try:
         r.tokens = jp.segments(r.pointer)
-        if r.tokens:
-            rendered = [variant_path(p) for p in jp.candidate_paths(r.tokens)]
-            r.pointer_paths = rendered if all(p is not None for p in rendered) else None
     except jp.PointerError as e:
+        r.pointer_valid = False
         r.compile_status = POINTER_INVALID
         r.errors.append(("pointer", str(e)))
-    if r.has_target and r.compile_status != POINTER_INVALID:
+    if r.has_target and r.pointer_valid:
         hand = [(c["name"], c["type"]) for c in (r.iceberg.get("columns") or [])]
         try:
             cols = layout.resolve_columns(r.payload_schema, hand, r.pointer, settings.merge_key)
@@ -143,23 +141,10 @@ class RouteTable:
 
     def rows(self) -> list[tuple]:
         s = self.settings
-        programs, paths = self.uses_programs, self.uses_pointer_paths     # once, not per route
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
-                 r.fingerprint if r.validates else None, r.pointer, r.compile_status != POINTER_INVALID,
-                 r.has_target, r.renames, r.compile_status,
-                 r.checks if (r.validates and programs) else None,
-                 r.pointer_paths if paths else None) for r in self.routes]
-
-    @property
-    def uses_pointer_paths(self) -> bool:
-        """Whether pointers are resolved from path lists on the route row (many distinct pointers)."""
-        return len({r.pointer for r in self.routes if r.pointer_paths}) > self.settings.compiled_schema_limit
-
-    @property
-    def uses_programs(self) -> bool:
-        """Whether schemas with a check program are checked as data (many distinct schemas)."""
-        with_program = {r.fingerprint for r in self.routes if r.validates and r.checks is not None}
-        return len(with_program) > self.settings.compiled_schema_limit
+                 r.fingerprint if r.validates else None, r.pointer, r.pointer_valid,
+                 r.has_target, r.renames, r.compile_status, r.checks if r.validates else None,
+                 jp.steps(r.tokens) if r.tokens else None) for r in self.routes]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), ROUTE_COLUMNS)

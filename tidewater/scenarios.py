@@ -16,9 +16,11 @@ from tidewater.operators import landing as L
 from tidewater.operators import metrics as M
 from tidewater.operators import pull as P
 from tidewater.operators import route_log as RL
+from tidewater.plans import layout as LY
 from tidewater.plans.routes import RouteTable, compile_routes
 from tidewater.session import ensure_utc
 from tidewater.settings import Settings
+from tidewater.sources import requests as RQ
 from tidewater.sources import routes as R
 from tidewater.sources import testdata as TD
 
@@ -60,7 +62,7 @@ _COMPILED: dict = {}
 
 def event_routes(spark: SparkSession, names: list[str] | None = None, settings: Settings = SETTINGS) -> RouteTable:
     """The demo routes, compiled once per session and settings (the configuration is constant)."""
-    key = (id(spark), tuple(names) if names is not None else None, repr(settings))
+    key = (spark.sparkContext.applicationId, tuple(names) if names is not None else None, repr(settings))
     if key not in _COMPILED:
         chosen = [r for r in EVENT_ROUTES if names is None or r["spec"]["consumerId"] in names]
         _COMPILED[key] = compile_routes(R.flatten_routes(R.route_resources_df(spark, chosen)), settings)
@@ -161,7 +163,8 @@ def pointer_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 DOC_SETTINGS = Settings(max_content_length=16_384)
-MAX_ROUTES = 10_000
+# The document sources that have a route; documents of other sources are unrouted.
+DOC_SOURCES = [f"src{i}" for i in range(64)]
 
 
 def oversize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -175,13 +178,8 @@ def oversize_docs(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.lit("v1").alias("api_version"), F.col("source").alias("producer"),
         F.lit("application/json").alias("content_type"),
         F.octet_length("text").cast("long").alias("content_length"), F.col("text").alias("body"))
-    # one bare route per document source: the source vocabulary is small, and checked to be
-    distinct_sources = docs.select("source").distinct()
-    if distinct_sources.count() > MAX_ROUTES:
-        raise ValueError(f"more than {MAX_ROUTES} document sources; route them by a coarser key")
-    sources = [r["source"] for r in distinct_sources.collect()]
     routes = [{"name": f"route-{src}", "spec": {"consumerId": src, "schemaSubject": f"{src}-text",
-                                                "schemaVersion": 1}} for src in sources]
+                                                "schemaVersion": 1}} for src in DOC_SOURCES]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), DOC_SETTINGS)
     return G.gate(reqs, table, spark).select("request_id", "producer", "status", "content_length",
                                              "payload_bytes")
@@ -207,12 +205,11 @@ ORDER_LINES = json.dumps({
 })
 
 
-def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Orders pushed as JSON arrays of their lines, landed, exploded and decoded.
+def landed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders pushed as JSON arrays of their lines, landed.
 
     ``l_comment`` is a nullable union, so it arrives tagged (``{"string": ...}``) on even lines.
     """
-    from tidewater.plans import layout as LY
     ensure_utc(spark)
     li = TD.table(spark, sf_dir, "lineitem")
     comment = F.when(F.col("l_linenumber") % 2 == 0, F.struct(
@@ -231,7 +228,12 @@ def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     routes = [{"name": f"route-orders-{i}", "spec": {"consumerId": f"orders-{i}", "schemaSubject": "orders-lines",
                                                      "schemaVersion": 1}} for i in range(1, 6)]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
-    landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
+    return L.envelope(G.accepted(G.gate(RQ.conform(reqs), table, spark)))
+
+
+def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders pushed as JSON arrays of their lines, exploded and decoded."""
+    landed = landed_orders(spark, sf_dir)
     cols = LY.with_envelope_columns(LY.derive_columns(ORDER_LINES), SETTINGS.merge_key)
     out = P.decode(P.explode_payload(landed), cols, SETTINGS.merge_key)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_comment")
@@ -247,6 +249,7 @@ def merge_target(spark: SparkSession, sf_dir: str) -> DataFrame:
                          F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
 
 
+EPOCH = '{"timestamp":"1970-01-01T00:00:00Z"}'
 EMBEDDING_SCHEMA = json.dumps({
     "type": "record", "name": "Embedding", "namespace": "demo.vectors",
     "fields": [{"name": "id", "type": "long"}, {"name": "embedding", "type": {"type": "array", "items": "float"}},
@@ -271,13 +274,7 @@ def embedding_variant(spark: SparkSession, sf_dir: str) -> DataFrame:
         "payloadSchema": EMBEDDING_SCHEMA, "iceberg": dict(TARGET, tableName=f"vectors_{k}")}} for k in labels]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
     landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
-    wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
-    pulled = None
-    for k in labels:
-        route = table.by_producer()[f"vectors-{k}"]
-        part = P.pull(landed, route.producer, wm, route.columns, route.pointer, SETTINGS.merge_key)
-        pulled = part if pulled is None else pulled.unionByName(part)
-    rows = pulled
+    rows = P.pull_many(landed, table.routes, P.parse_watermark(EPOCH), SETTINGS.merge_key)
     return rows.select("push_event_id", F.array_size(F.col("embedding").try_cast("array<variant>")).alias("n_elems"),
                        "label")
 
@@ -289,20 +286,19 @@ def route_events(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def route_snapshot(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.snapshot(route_events(spark, sf_dir))
+    return RL.ordered(RL.snapshot(route_events(spark, sf_dir)))
 
 
 def route_intervals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.intervals(route_events(spark, sf_dir), width=None)
+    return RL.intervals(route_events(spark, sf_dir))
 
 
 def route_changes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.changes(route_events(spark, sf_dir), width=None).where(F.col("name").isNotNull()) \
-        .select("seq", "name", "changed")
+    return RL.changes(route_events(spark, sf_dir)).select("seq", "event_type", "name", "changed")
 
 
 def route_reloads(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return RL.reload_stats(route_events(spark, sf_dir), width=None)
+    return RL.reload_stats(route_events(spark, sf_dir))
 
 
 def route_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -314,9 +310,9 @@ def route_asof(spark: SparkSession, sf_dir: str) -> DataFrame:
         .alias("request_id"),
         F.concat(F.lit("p-"), F.col("o_custkey").cast("string")).alias("producer"),
         F.col("l_orderkey").alias("at"))
-    ivs = RL.intervals(route_events(spark, sf_dir), width=None).select(
+    ivs = RL.intervals(route_events(spark, sf_dir)).select(
         "producer", "valid_from", "valid_to", "schema_subject")
-    out = RL.route_asof(reqs, ivs, "at", width=None)
+    out = RL.route_asof(reqs, ivs, "at")
     return out.select("request_id", "producer", "routed",
                       F.when(F.col("routed"), F.col("schema_subject")).alias("schema_subject"))
 
@@ -358,24 +354,78 @@ def page_roundtrip(spark: SparkSession, sf_dir: str) -> DataFrame:
         "iceberg": dict(TARGET, tableName=f"pages_{k}")}} for k in range(3)]
     table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
     landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
-    wm = P.parse_watermark('{"timestamp":"1970-01-01T00:00:00Z"}')
-    pulled = None
-    for r in table.routes:
-        part = P.pull(landed, r.producer, wm, r.columns, r.pointer, SETTINGS.merge_key)
-        pulled = part if pulled is None else pulled.unionByName(part)
+    pulled = P.pull_many(landed, table.routes, P.parse_watermark(EPOCH), SETTINGS.merge_key)
     return pulled.select(F.col("push_event_id").alias("page_id"), "url",
                          F.octet_length("html").cast("long").alias("html_bytes"),
                          F.sha2("html", 256).alias("html_sha256"))
 
 
 def metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """The metric stream's frame (T7) evaluated over the batch of requests, hourly windows."""
-    from tidewater.streaming import metric_stream as MS
-    out = MS.metric_frame(event_requests(spark, sf_dir), event_routes(spark), window="1 hour")
+    """What a metric batch writes (T7), over the batch of requests in hourly windows."""
+    out = M.window_counts(gated_events(spark, sf_dir), "1 hour")
     return out.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "producer",
                       "requests_ok", "requests_error", "bytes", "accepted", "rejected")
 
 
+def array_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Orders pushed as arrays of their lines, exploded, decoded and merged by key: every line stays."""
+    cols = LY.with_envelope_columns(LY.derive_columns(ORDER_LINES), SETTINGS.merge_key)
+    rows = P.decode(P.explode_payload(landed_orders(spark, sf_dir)), cols, SETTINGS.merge_key)
+    merged = P.merge(None, rows.unionByName(rows), [SETTINGS.merge_key], ["timestampUTC"])
+    return merged.select("l_orderkey", "l_linenumber", "l_partkey", "timestampUTC")
+
+
+DECLARED_SCHEMA = json.dumps({
+    "type": "record", "name": "Stamped", "namespace": "demo.events",
+    "fields": [{"name": "key", "type": "long"}, {"name": "TimestampUTC", "type": "string"}, {"name": "merge_key", "type": "string"}],
+})
+
+
+def declared_envelope(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A route whose schema declares the envelope's columns: they hold landing values, not the document's."""
+    ensure_utc(spark)
+    ev = TD.table(spark, sf_dir, "events")
+    body = F.to_json(F.struct(F.col("event_id").alias("key"), F.lit("2099-01-01T00:00:00Z").alias("TimestampUTC"),
+                              F.lit("same").alias("merge_key")))
+    reqs = ev.select(
+        F.concat(F.lit("st-"), F.col("event_id").cast("string")).alias("request_id"), F.col("ts").cast("timestamp").alias("received_at"),
+        F.lit("v1").alias("api_version"), F.lit("stamped").alias("producer"), F.lit("application/json").alias("content_type"),
+        F.octet_length(body).cast("long").alias("content_length"), body.alias("body"))
+    routes = [{"name": "route-stamped", "spec": {"consumerId": "stamped", "schemaSubject": "stamped", "schemaVersion": 1,
+                                                 "payloadSchema": DECLARED_SCHEMA, "iceberg": dict(TARGET, tableName="stamped")}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    landed = L.envelope(G.accepted(G.gate(reqs, table, spark)))
+    route = table.by_producer()["stamped"]
+    rows = P.pull(landed, "stamped", P.parse_watermark(EPOCH), route.columns, route.pointer, SETTINGS.merge_key)
+    return rows.select("key", F.col("TimestampUTC").alias("stamp"), "merge_key")
+
+
+def conformity_mix(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bodies with fractional, out-of-range, tagged and untagged values against one schema."""
+    ensure_utc(spark)
+    ev = TD.table(spark, sf_dir, "events")
+    k = F.col("event_id") % len(MIX_VALUES)
+    number = F.element_at(F.array(*[F.lit(v) for v, _ in MIX_VALUES]), (k + 1).cast("int"))
+    union = F.element_at(F.array(*[F.lit(v) for v, _ in MIX_UNIONS]), (F.floor(F.col("event_id") / len(MIX_VALUES)) % len(MIX_UNIONS) + 1).cast("int"))
+    body = F.concat(F.lit('{"n":'), number, F.lit(',"u":'), union, F.lit("}"))
+    reqs = ev.select(
+        F.concat(F.lit("mx-"), F.col("event_id").cast("string")).alias("request_id"), F.col("ts").cast("timestamp").alias("received_at"),
+        F.lit("v1").alias("api_version"), F.lit("mix").alias("producer"), F.lit("application/json").alias("content_type"),
+        F.octet_length(body).cast("long").alias("content_length"), body.alias("body"))
+    routes = [{"name": "route-mix", "spec": {"consumerId": "mix", "schemaSubject": "mix", "schemaVersion": 1, "payloadSchema": MIX_SCHEMA}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    return G.outcomes(G.gate(RQ.conform(reqs), table, spark)).select("request_id", "status", "error_code")
+
+
+MIX_SCHEMA = json.dumps({"type": "record", "name": "Mix", "fields": [
+    {"name": "n", "type": "int"}, {"name": "u", "type": ["null", "long"]}]})
+# JSON texts and whether they hold an int, and a nullable long in Avro's JSON encoding.
+MIX_VALUES = [("7", True), ("7.0", True), ("7.5", False), ("2147483647", True), ("2147483648", False), ("1e-11", False), ('"7"', False),
+              ("null", False), ("-2147483648", True), ("1e3", True), ("true", False)]
+MIX_UNIONS = [("null", True), ('{"long":5}', True), ("5", False), ('{"int":5}', False), ('{"long":9223372036854775808}', False),
+              ('{"long":1,"x":2}', False)]
+
+
 REGISTRY = {
     "gate_outcomes": gate_outcomes,
     "landing_rows": landing_rows,
@@ -403,4 +453,7 @@ REGISTRY = {
     "route_first_seen": route_first_seen,
     "page_roundtrip": page_roundtrip,
     "metric_windows": metric_windows,
+    "array_merge": array_merge,
+    "declared_envelope": declared_envelope,
+    "conformity_mix": conformity_mix,
 }

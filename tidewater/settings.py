@@ -27,9 +27,6 @@ class Settings:
     route_broadcast_limit: int = 100_000
     # ... and above this estimated size in bytes (programs and schemas ride on the rows).
     route_broadcast_bytes: int = 64 * 1024 * 1024
-    # Up to this many distinct schemas are compiled into the gate expression; beyond it
-    # schemas are checked by data-driven programs (constant expression size).
-    compiled_schema_limit: int = 16
     # Salt buckets used by skew-safe per-producer operators.
     salt_buckets: int = 64
     table_format: str = "parquet"

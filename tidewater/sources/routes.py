@@ -1,7 +1,8 @@
 """Route-table source (S2): route resources → one flat row per route.
 
-A route resource is a JSON document ``{"name": ..., "spec": {...}}`` (one per
-line for ``spark.read.json``).  The spec fields follow the route definition:
+A route resource is a JSON document ``{"name": ..., "spec": {...}}`` or, as custom
+resources are written, ``{"metadata": {"name": ...}, "spec": {...}}`` (one per line for
+``spark.read.json``).  The spec fields follow the route definition:
 consumerId, schemaSubject, schemaVersion, payloadSchema?, jsonExpressionPointer?
 and an optional iceberg block.
 """
@@ -39,6 +40,7 @@ ROUTE_SPEC = T.StructType([
 ROUTE_RESOURCE = T.StructType([
     T.StructField("name", T.StringType()),
     T.StructField("spec", ROUTE_SPEC),
+    T.StructField("metadata", T.StructType([T.StructField("name", T.StringType())])),
 ])
 
 
@@ -52,18 +54,41 @@ def route_resources_df(spark: SparkSession, resources: list[dict]) -> DataFrame:
     return spark.createDataFrame(resources, ROUTE_RESOURCE)
 
 
+def _name(resources: DataFrame):
+    named = F.col("name")
+    return F.coalesce(named, F.col("metadata.name")) if "metadata" in resources.columns else named
+
+
+def _complete(resources: DataFrame):
+    s = F.col("spec")
+    return (_name(resources).isNotNull() & s.isNotNull() & s["consumerId"].isNotNull()
+            & s["schemaSubject"].isNotNull() & s["schemaVersion"].isNotNull())
+
+
+def incomplete_resources(resources: DataFrame) -> DataFrame:
+    """``route_name, producer, stage, message`` of every resource that :func:`flatten_routes` drops,
+    in the shape of the route errors."""
+    s = F.col("spec")
+    missing = F.concat_ws(", ", F.when(_name(resources).isNull(), F.lit("name")), F.when(s.isNull(), F.lit("spec")),
+                          *[F.when(s.isNotNull() & s[c].isNull(), F.lit(f"spec.{c}"))
+                            for c in ("consumerId", "schemaSubject", "schemaVersion")])
+    return resources.where(~_complete(resources)).select(
+        _name(resources).alias("route_name"), s["consumerId"].alias("producer"), F.lit("resource").alias("stage"),
+        F.concat(F.lit("incomplete route resource, without "), missing).alias("message"))
+
+
 def flatten_routes(resources: DataFrame) -> DataFrame:
-    """Flatten route resources: incomplete resources dropped, blank pointer → NULL, and the
-    iceberg block kept only when it declares columns or the route has a payload schema."""
+    """Flatten route resources: incomplete resources dropped (see :func:`incomplete_resources`), blank
+    pointer → NULL, and the iceberg block kept only when it declares columns or the route has a payload
+    schema."""
     s = F.col("spec")
     pointer = F.when(F.length(F.trim(s["jsonExpressionPointer"])) > 0, s["jsonExpressionPointer"])
     has_target = s["iceberg"].isNotNull() & (
         (F.coalesce(F.size(s["iceberg"]["columns"]), F.lit(0)) > 0) | s["payloadSchema"].isNotNull())
     return (resources
-            .where(F.col("name").isNotNull() & s.isNotNull() & s["consumerId"].isNotNull()
-                   & s["schemaSubject"].isNotNull() & s["schemaVersion"].isNotNull())
+            .where(_complete(resources))
             .select(
-                F.col("name").alias("route_name"),
+                _name(resources).alias("route_name"),
                 s["consumerId"].alias("producer"),
                 s["schemaSubject"].alias("schema_subject"),
                 s["schemaVersion"].cast("int").alias("schema_version"),

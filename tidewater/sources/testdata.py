@@ -64,28 +64,6 @@ def requests_from_events(events: DataFrame, max_content_length: int = DEFAULT_MA
     )
 
 
-def requests_from_documents(documents: DataFrame) -> DataFrame:
-    """One push per document: the text as a JSON string member; size checked against the header."""
-    body = F.to_json(F.struct(F.concat(F.lit("doc-"), _s(F.col("doc_id"))).alias("id"),
-                              F.col("text").alias("text")))
-    return documents.select(
-        F.concat(F.lit("doc-"), _s(F.col("doc_id"))).alias("request_id"),
-        F.lit(None).cast("string").alias("x_correlation_id"),
-        F.timestamp_seconds(F.col("doc_id")).alias("received_at"),
-        F.lit("v1").alias("api_version"),
-        F.col("source").alias("producer"),
-        F.lit("application/json").alias("content_type"),
-        F.octet_length(body).cast("long").alias("content_length"),
-        body.alias("body"),
-        F.lit("POST").alias("method"),
-        F.concat(F.lit("/api/v1/"), F.col("source"), F.lit("/data")).alias("path"),
-        F.lit(None).cast("string").alias("x_forwarded_for"),
-        F.lit(None).cast("string").alias("x_real_ip"),
-        F.lit(None).cast("string").alias("remote_addr"),
-        F.lit(None).cast("long").alias("duration_ms"),
-    )
-
-
 def route_events_from_orders(orders: DataFrame) -> DataFrame:
     """A route changelog: one event per order, resource name per customer.
 

@@ -1,50 +1,45 @@
 """Continuous landing (T4, T5, S3, S9) and consume-once drains.
 
 Each micro-batch: reload and compile the routes (hot route swap, T4), gate the
-batch once (persisted, since both sinks read it), append accepted envelopes to
-the landing table and rejects to the reject table, then record the batch in a
-commit log.  A replayed batch that is already in the commit log is skipped; a
-batch replayed after a crash between its writes and its commit record lands the
-same deterministic ids again, which the keyed merge downstream collapses.
+batch once (persisted, since all sinks read it), and write accepted envelopes,
+rejects, metrics and the batch's commit record, each into the slice of (stream, batch
+id) and nowhere else.  The stream's id is the one its checkpoint holds, so two streams,
+or one started over with a new checkpoint, never share a slice; a batch that runs
+again overwrites its own slices, so nothing is skipped and nothing lands twice.
 """
 
 from __future__ import annotations
 
-import datetime as dt
-import hashlib
 from collections.abc import Callable
 
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.utils import AnalysisException
 
 from tidewater.operators import gate as G
-from tidewater.operators import metrics as M
 from tidewater.operators import landing as L
+from tidewater.operators import metrics as M
 from tidewater.plans.routes import RouteTable
-from tidewater.session import checkpoint_dir
 
 COMMIT_SCHEMA = T.StructType([
-    T.StructField("batch_id", T.LongType()),
     T.StructField("landed", T.LongType()),
     T.StructField("rejected", T.LongType()),
     T.StructField("committed_at", T.TimestampType()),
+    T.StructField("stream", T.StringType()),
+    T.StructField("batch_id", T.LongType()),
 ])
 
 
-def committed_batches(spark: SparkSession, commits_path: str) -> set[int]:
-    """Batch ids already recorded in the commit log (read once when a stream starts)."""
-    try:
-        return {r[0] for r in spark.read.schema(COMMIT_SCHEMA).parquet(commits_path).select("batch_id").collect()}
-    except AnalysisException:
-        return set()
+def write_slice(df: DataFrame, path: str, stream: str, batch_id: int) -> None:
+    """Overwrite what an earlier attempt at the same batch wrote; touch nothing else."""
+    df.write.mode("overwrite").parquet(L.slice_path(path, stream, batch_id))
 
 
-def batch_metrics(gated: DataFrame, batch_id: int, window: str = "1 minute") -> DataFrame:
+def batch_metrics(gated: DataFrame, window: str = "1 minute") -> DataFrame:
     """Per (window, producer) counts of one gated batch (A1, A2, A6); partial sums that
     :func:`read_metrics` adds up across batches."""
-    return M.window_counts(gated, window).withColumn("batch_id", F.lit(batch_id).cast("long"))
+    return M.window_counts(gated, window)
 
 
 def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
@@ -53,94 +48,108 @@ def read_metrics(spark: SparkSession, metrics_path: str) -> DataFrame:
     return parts.groupBy("window", "producer").agg(*[F.sum(c).cast("long").alias(c) for c in M.WINDOW_COUNTS])
 
 
+def read_commits(spark: SparkSession, commits_path: str) -> DataFrame:
+    return spark.read.schema(COMMIT_SCHEMA).parquet(commits_path)
+
+
 def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable], landing_path: str,
-               rejects_path: str, commits_path: str, committed: set[int] | None = None,
-               metrics_path: str | None = None) -> dict:
-    """Gate one batch and write both sinks; returns the batch counts.
+               rejects_path: str, commits_path: str, stream: str, metrics_path: str | None = None,
+               table: str | None = None) -> dict:
+    """Gate one batch and write its slice of every sink; returns the batch counts.
 
-    ``committed`` is the caller's set of committed batch ids; without it the commit
-    log is read.  Only replays after a restart can hit a committed id, so a stream
-    reads the log once at start and then tracks its own commits.
+    Rejects are foldered by batch alone: what callers put into a request never names a folder.
     """
     spark = batch.sparkSession
-    if committed is None:
-        committed = committed_batches(spark, commits_path)
-    if batch_id in committed:
-        return {"batch_id": batch_id, "skipped": True}
-    table = routes()
-    gated = G.gate(batch, table, spark).select(*G.SINK_COLUMNS).persist()
-    landed_n, rejected_n = Observation(f"landed_{batch_id}"), Observation(f"rejected_{batch_id}")
+    gated = G.gate(batch, routes(), spark).select(*G.SINK_COLUMNS).persist()
     try:
-        landed = L.envelope(G.accepted(gated), batch_id).observe(landed_n, F.count(F.lit(1)).alias("n"))
-        L.write_landing(landed, landing_path)
-        rejects = (G.rejected(gated).withColumn("batch_id", F.lit(batch_id).cast("long"))
-                   .observe(rejected_n, F.count(F.lit(1)).alias("n")))
-        rejects.write.mode("append").partitionBy("producer").parquet(rejects_path)
+        L.write_landing(L.envelope(G.accepted(gated), batch_id), landing_path, stream, batch_id, table)
+        write_slice(G.rejected(gated).hint("rebalance"), rejects_path, stream, batch_id)
         if metrics_path:
             # metrics from the same gated frame: no second gate pass, and route swaps apply
-            batch_metrics(gated, batch_id).coalesce(1).write.mode("append").parquet(metrics_path)
-        counts = {"landed": landed_n.get["n"], "rejected": rejected_n.get["n"]}
+            write_slice(batch_metrics(gated), metrics_path, stream, batch_id)
+        counts = gated.agg(F.count_if(F.col("error_code").isNull()).alias("landed"),
+                           F.count_if(F.col("error_code").isNotNull()).alias("rejected")).first().asDict()
     finally:
         gated.unpersist()
-    now = dt.datetime.now(dt.timezone.utc).replace(tzinfo=None)
-    spark.createDataFrame([(batch_id, counts["landed"], counts["rejected"], now)], COMMIT_SCHEMA) \
-        .coalesce(1).write.mode("append").parquet(commits_path)
-    committed.add(batch_id)
-    return {"batch_id": batch_id, "landed": counts["landed"], "rejected": counts["rejected"]}
+    record = spark.range(1).select(F.lit(counts["landed"]).cast("long").alias("landed"),
+                                   F.lit(counts["rejected"]).cast("long").alias("rejected"),
+                                   F.current_timestamp().alias("committed_at"))
+    write_slice(record.coalesce(1), commits_path, stream, batch_id)
+    return {"stream": stream, "batch_id": batch_id, **counts}
 
 
-def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable], landing_path: str,
-                  rejects_path: str, checkpoint: str | None = None, trigger: dict | None = None,
-                  name: str | None = None, metrics_path: str | None = None):
-    """Start the landing stream (T5).  ``routes`` is called per micro-batch (T4).
+def stream_id(spark: SparkSession, checkpoint: str) -> str:
+    """The id that the checkpoint holds: the same after a restart, new with a new checkpoint."""
+    return spark.read.json(f"{checkpoint.rstrip('/')}/metadata").first()["id"]
 
-    Without an explicit ``checkpoint`` the stream checkpoints under the session's
-    ``spark.checkpoint.dir`` (the cluster's shared folder) in a folder named after the
-    query and its landing path: restarting the same stream resumes it, while streams
-    landing elsewhere never share state.
-    """
-    commits = f"{landing_path.rstrip('/')}_commits"
-    if checkpoint is None:
-        sink = hashlib.sha1(landing_path.rstrip("/").encode("utf-8")).hexdigest()[:16]
-        checkpoint = f"{checkpoint_dir(requests_stream.sparkSession).rstrip('/')}/{name or 'landing'}-{sink}"
 
-    committed = committed_batches(requests_stream.sparkSession, commits)
+def _per_batch(requests_stream: DataFrame, checkpoint: str, name: str | None, trigger: dict | None,
+               run: Callable[[DataFrame, int, str], None]):
+    """Start a query that calls ``run(batch, batch_id, stream)`` for each micro-batch."""
+    ids: list[str] = []
 
     def each(batch: DataFrame, batch_id: int) -> None:
-        land_batch(batch, batch_id, routes, landing_path, rejects_path, commits, committed, metrics_path)
+        if not ids:
+            ids.append(stream_id(batch.sparkSession, checkpoint))
+        run(batch, batch_id, ids[0])
 
     writer = requests_stream.writeStream.foreachBatch(each).option("checkpointLocation", checkpoint)
     if name:
         writer = writer.queryName(name)
-    writer = writer.trigger(**(trigger or {"availableNow": True}))
-    return writer.start()
+    return writer.trigger(**(trigger or {"availableNow": True})).start()
+
+
+def start_landing(requests_stream: DataFrame, routes: Callable[[], RouteTable], landing_path: str,
+                  rejects_path: str, checkpoint: str | None = None, trigger: dict | None = None,
+                  name: str | None = None, metrics_path: str | None = None, table: str | None = None,
+                  auto_create: bool = True):
+    """Start the landing stream (T5).  ``routes`` is called per micro-batch (T4).
+
+    With ``table`` the landing table is ensured first (S4) and every batch is registered there.
+    Without an explicit ``checkpoint`` the stream checkpoints beside the landing data, in a folder
+    named after the query: restarting the same stream resumes it.
+    """
+    root = landing_path.rstrip("/")
+    if table:
+        L.ensure_landing_table(requests_stream.sparkSession, table, landing_path, auto_create)
+
+    def run(batch: DataFrame, batch_id: int, stream: str) -> None:
+        land_batch(batch, batch_id, routes, landing_path, rejects_path, f"{root}_commits", stream, metrics_path, table)
+
+    return _per_batch(requests_stream, checkpoint or f"{root}_checkpoints/{name or 'landing'}", name, trigger, run)
+
 
+def start_metrics(requests_stream: DataFrame, routes: Callable[[], RouteTable], metrics_path: str,
+                  checkpoint: str | None = None, trigger: dict | None = None, name: str | None = None,
+                  window: str = "1 minute"):
+    """Keep A1/A2/A6 current without landing anything (T7): each micro-batch is gated with the routes
+    of the moment and its partial counts are written; :func:`read_metrics` reads them."""
+    def run(batch: DataFrame, batch_id: int, stream: str) -> None:
+        gated = G.gate(batch, routes(), batch.sparkSession).select(*G.SINK_COLUMNS)
+        write_slice(batch_metrics(gated, window), metrics_path, stream, batch_id)
 
-def landing_stream_schema() -> T.StructType:
-    return T.StructType([
-        T.StructField("timestampUTC", T.StringType()), T.StructField("ts", T.TimestampType()),
-        T.StructField("id", T.StringType()), T.StructField("payload", T.StringType()),
-        T.StructField("createdAt", T.LongType()), T.StructField("schemaSubject", T.StringType()),
-        T.StructField("schemaVersion", T.IntegerType()), T.StructField("schemaFingerprint", T.StringType()),
-        T.StructField("batch_id", T.LongType()), T.StructField("producer", T.StringType()),
-    ])
+    return _per_batch(requests_stream, checkpoint or f"{metrics_path.rstrip('/')}_checkpoints/{name or 'metrics'}",
+                      name, trigger, run)
 
 
 def drain(spark: SparkSession, landing_path: str, producer: str, checkpoint: str, out_path: str,
           capacity: int | None = None) -> DataFrame:
     """Everything landed for ``producer`` since the previous drain with this checkpoint, oldest
-    first (S7, W2); ``out_path`` is a fresh folder per drain.  With ``capacity`` only the newest
-    ``capacity`` records are kept, as a bounded per-producer buffer would (W1; the service's
-    default is ``settings.DEFAULT_BUFFER_CAPACITY``).  An unknown producer drains nothing."""
-    stream = (spark.readStream.schema(landing_stream_schema()).parquet(landing_path)
+    first and each record once (S7, W2); ``out_path`` is a fresh folder per drain.  With
+    ``capacity`` only the newest ``capacity`` records are kept, as a bounded per-producer buffer
+    would (W1; the service's default is ``settings.DEFAULT_BUFFER_CAPACITY``).  An unknown
+    producer drains nothing."""
+    stream = (spark.readStream.schema(L.LANDING_DDL).parquet(landing_path)
               .where(F.col("producer") == F.lit(producer)))
     query = (stream.writeStream.format("parquet").option("path", out_path)
              .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
     query.awaitTermination()
     try:
-        drained = spark.read.schema(landing_stream_schema()).parquet(out_path)
+        drained = spark.read.schema(L.LANDING_DDL).parquet(out_path)
     except AnalysisException:
-        return spark.createDataFrame([], landing_stream_schema())
+        return spark.createDataFrame([], L.LANDING_DDL)
+    # a slice that a replay has written again is new files to the reader, with the same ids
+    drained = L.keyed_last_write(drained, ["id"], ["batch_id", "stream"]).select(*drained.columns)
     if capacity is not None:
         drained = L.last_n(drained, ["producer"], [F.col("ts").desc()], capacity).drop("rank")
     return L.chronological(drained)
