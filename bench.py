@@ -56,10 +56,14 @@ def main() -> None:
     # warm up the JVM and Python workers on the smallest scale
     run_noop(S.gate_outcomes(spark, "/root/testdata/sf0.001"))
 
-    queries = {name: timed(lambda fn=fn: run_noop(fn(spark, sf_dir)), RUNS) for name, fn in S.REGISTRY.items()}
+    queries, builds = {}, {}
+    for name, fn in S.REGISTRY.items():
+        builds[name] = timed(lambda fn=fn: fn(spark, sf_dir), RUNS)      # plan construction and route compile alone
+        queries[name] = timed(lambda fn=fn: run_noop(fn(spark, sf_dir)), RUNS)
 
     extra = {}
-    reqs = S.event_requests(spark, sf_dir).persist()
+    # the events table is one file: deal its requests out, or one core gates them all
+    reqs = S.event_requests(spark, sf_dir).repartition(int(cpus), "request_id").persist()
     n_req = reqs.count()
     table = S.event_routes(spark)
     gated = G.gate(reqs, table, spark)
@@ -115,7 +119,7 @@ def main() -> None:
     headline = [k for k in queries]
     print(json.dumps({
         "metric": "total_query_seconds", "value": round(sum(queries[k] for k in headline), 3), "unit": "sec",
-        "queries": queries, "throughput": extra, "rows": n_req, "sf": float(sf) if sf else sf_dir,
+        "queries": queries, "build_sec": builds, "throughput": extra, "rows": n_req, "sf": float(sf) if sf else sf_dir,
         "cpus": int(cpus), "timing": f"best of {RUNS} runs per query (landing writes: one run)",
     }))
     spark.stop()

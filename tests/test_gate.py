@@ -122,6 +122,17 @@ def test_route_swap_applies_to_later_requests(spark):
     assert (after["r1"]["status"], after["r2"]["status"]) == (404, 202)
 
 
+def test_watched_routes_compile_only_on_change(spark):
+    from tidewater.plans.routes import watched_routes
+    current = [route("a", "a", payloadSchema=TIDE)]
+    routes = watched_routes(lambda: R.flatten_routes(R.route_resources_df(spark, current)), SETTINGS)
+    first = routes()
+    assert routes() is first and [r.producer for r in first.routes] == ["a"]
+    current.append(route("b", "b"))
+    second = routes()
+    assert second is not first and [r.producer for r in second.routes] == ["a", "b"] and routes() is second
+
+
 def test_recursive_schema_uses_fallback(spark):
     node = '{"type":"record","name":"Node","fields":[{"name":"v","type":"int"},{"name":"next","type":["null","Node"]}]}'
     got = run(spark, [route("r", "r", payloadSchema=node)],

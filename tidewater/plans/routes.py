@@ -8,6 +8,7 @@ target layout; failures become ``route_errors`` rows instead of stopping others.
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass, field
 
 from pyspark.sql import DataFrame, SparkSession
@@ -172,10 +173,13 @@ class RouteTable:
 
 def compile_routes(routes: DataFrame, settings: Settings) -> RouteTable:
     """Compile flattened routes.  Two routes naming one producer: the first by route name wins."""
-    rows = sorted((_as_dict(r) for r in routes.collect()), key=lambda r: r["route_name"])
+    return _compile([_as_dict(r) for r in routes.collect()], settings)
+
+
+def _compile(rows: list[dict], settings: Settings) -> RouteTable:
     served: dict[str, CompiledRoute] = {}
     dups: list[CompiledRoute] = []
-    for row in rows:
+    for row in sorted(rows, key=lambda r: r["route_name"]):
         compiled = compile_route(row, settings)
         if compiled.producer in served:
             dups.append(compiled)
@@ -183,3 +187,16 @@ def compile_routes(routes: DataFrame, settings: Settings) -> RouteTable:
             served[compiled.producer] = compiled
     ordered = sorted(served.values(), key=lambda r: r.producer)
     return RouteTable(ordered, settings, dups)
+
+
+def watched_routes(load: Callable[[], DataFrame], settings: Settings) -> Callable[[], RouteTable]:
+    """A ``routes`` callable for streams: reads the routes each time, compiles them when they changed."""
+    last: list = [None, None]
+
+    def routes() -> RouteTable:
+        rows = sorted((_as_dict(r) for r in load().collect()), key=repr)
+        if rows != last[0]:
+            last[:] = [rows, _compile(rows, settings)]
+        return last[1]
+
+    return routes
