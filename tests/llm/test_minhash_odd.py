@@ -56,6 +56,13 @@ def test_cases(spark):
     assert run(spark, [(1, ""), (2, None)], words=2) == [(1, 0, 1, True), (2, 0, 2, True)]
 
 
+def test_many_unlinked_documents_in_one_family(spark):
+    shared = prose(7, 60)                                        # alike enough for a family, not for a link
+    rows = [(i, f"{shared} {prose(100 + i, 35)}") for i in range(60)] + [(100 + i, f"{shared} {prose(100 + i, 34)} x") for i in range(6)]
+    want = brute(rows, 2)
+    assert run(spark, rows, words=2, block=5) == want and len({c for _, _, c, _ in want}) == 60
+
+
 def test_threshold_is_inclusive(spark):
     a = " ".join(f"w{i}" for i in range(19))                     # 18 shingles; 16 of 20 shared below
     b = " ".join([f"w{i}" for i in range(17)] + ["x1", "x2"])
