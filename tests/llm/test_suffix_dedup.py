@@ -69,16 +69,17 @@ def test_small_chunks_pieces_and_indexes(spark, monkeypatch):
 
 def in_process(rows, length=50):
     import pandas as pd
+    import pyarrow as pa
 
     class Shared:
         value = b""
 
-    batch = pd.DataFrame({"_id": [i for i, _ in rows], "_mark": [0] * len(rows), "_text": [t for _, t in rows]})
+    batch = pa.RecordBatch.from_pydict({"_id": [i for i, _ in rows], "_mark": [0] * len(rows), "_text": [t for _, t in rows]})
     buckets, bits = 64, 1 << 13
 
     class Rows:
-        def mapInPandas(self, f, schema):
-            return pd.concat(list(f(iter([batch]))))
+        def mapInArrow(self, f, schema):
+            return pd.concat([b.to_pandas() for b in f(iter([batch]))])
 
     Shared.value = b"\xff" * (buckets * bits // 8)
     contexts = suffix_dedup._contexts(Rows(), Shared, buckets, bits, length)

@@ -3,6 +3,7 @@ cut lineage, and vectorised 64-bit hashing."""
 
 from __future__ import annotations
 
+import ctypes
 import os
 import tempfile
 import uuid
@@ -67,6 +68,17 @@ def ship_package(spark: SparkSession) -> None:
     sc._tidewater_sent = True
 
 
+def release_memory() -> None:
+    """Give memory that this worker has freed back to the system, which allocators keep otherwise: two
+    workers share an executor's overhead with its JVM."""
+    import pyarrow as pa
+    pa.default_memory_pool().release_unused()
+    try:
+        ctypes.CDLL(None).malloc_trim(0)
+    except (AttributeError, OSError):        # only glibc has it
+        pass
+
+
 def mix64(x: np.ndarray) -> np.ndarray:
     """SplitMix64's finaliser over a uint64 array."""
     x = x ^ (x >> np.uint64(30))

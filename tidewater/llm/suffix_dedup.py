@@ -20,27 +20,30 @@ more buckets.
 
 from __future__ import annotations
 
-import uuid
 import zlib
 from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
+import xxhash
 import zstandard
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import mix64, written
+from tidewater.llm.common import mix64, release_memory, written
 from tidewater.llm.run_index import RunIndex
 
 LENGTH = 50
 ANCHOR = 24
-CHUNK_BYTES = 32 << 20
-ROWS_PER_BUCKET = 16384
+CHUNK_BYTES = 6 << 20
+ROWS_PER_BUCKET = 1024
+BUCKET_BITS = 1 << 19
 MIN_BUCKETS = 64
 MAX_BITS = 1 << 30
-INDEX_BYTES = 1 << 20
-_PIECE = 1 << 21                       # bytes hashed at a time
+INDEX_BYTES = 1 << 18
+_PIECE = 1 << 18                       # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)             # room for a position in a piece
 _GONE = np.uint32(0xFFFFFFFF)
 
@@ -116,23 +119,29 @@ def _pieces(ids: np.ndarray, texts: list[bytes], length: int):
         yield close()
 
 
-def _chunks(batches: Iterator[pd.DataFrame]):
-    """Batches put together to chunks of about CHUNK_BYTES: (ids, text hashes, texts as bytes)."""
+def _chunks(batches: Iterator[pa.RecordBatch]):
+    """Batches put together to chunks of about CHUNK_BYTES: (ids, text hashes, texts as UTF-8 bytes)."""
     ids, marks, texts, size = [], [], [], 0
     for b in batches:
-        for i, m, t in zip(b["_id"].tolist(), b["_mark"].tolist(), b["_text"]):
-            raw = (t or "").encode("utf-8", "surrogatepass")
+        raw = b.column("_text").cast(pa.binary())
+        for k, (i, m) in enumerate(zip(b.column("_id").to_pylist(), b.column("_mark").to_pylist())):
+            texts.append(raw[k].as_py())
             ids.append(i)
             marks.append(m)
-            texts.append(raw)
-            size += len(raw)
+            size += len(texts[-1])
             if size >= CHUNK_BYTES:
                 yield np.array(ids, np.int64), np.array(marks, np.int64), texts
                 ids, marks, texts, size = [], [], [], 0
+                release_memory()
     if ids:
         yield np.array(ids, np.int64), np.array(marks, np.int64), texts
 
 
+def _rows(rows: list[tuple], **columns) -> pa.RecordBatch:
+    """A batch of ``rows`` with the named columns of the given Arrow types."""
+    return pa.RecordBatch.from_arrays([pa.array(list(c), t) for c, t in zip(zip(*rows), columns.values())], names=list(columns))
+
+
 def _short(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     """(bucket, the next 32 bits) of anchor hashes."""
     top = np.uint64(buckets.bit_length() - 1)
@@ -142,27 +151,34 @@ def _short(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
 
 def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int) -> bytes:
     """A bitmap, ``bits`` a bucket, over anchors that lie in two documents or more."""
+    def distinct(ids, texts):
+        found, many = [], []
+        for data, windows, number, _ in _pieces(ids, texts, length):
+            begin, _, hashes, _ = anchors(data, windows, length)
+            owner = number[np.searchsorted(windows, begin)]
+            order = np.lexsort((owner, hashes))
+            h, o = hashes[order], owner[order]
+            new = np.ones(len(h), bool)
+            new[1:] = h[1:] != h[:-1]
+            many.append(h[1:][~new[1:] & (o[1:] != o[:-1])])
+            found.append(h[new])
+        if not found:
+            return None
+        h, n = np.unique(np.concatenate(found), return_counts=True)
+        twice = np.unique(np.concatenate([h[n > 1], *many]))
+        bucket, short = _short(h, buckets)
+        bucket2, short2 = _short(twice, buckets)
+        cut, cut2 = (np.searchsorted(b, np.arange(buckets + 1)) for b in (bucket, bucket2))
+        return _rows([(k, short[cut[k]:cut[k + 1]].tobytes(), short2[cut2[k]:cut2[k + 1]].tobytes())
+                      for k in range(buckets) if cut[k] < cut[k + 1]], bucket=pa.int32(), seen=pa.binary(), twice=pa.binary())
+
     def collect(batches):
         for ids, _, texts in _chunks(batches):
-            found, many = [], []
-            for data, windows, number, _ in _pieces(ids, texts, length):
-                begin, _, hashes, _ = anchors(data, windows, length)
-                owner = number[np.searchsorted(windows, begin)]
-                order = np.lexsort((owner, hashes))
-                h, o = hashes[order], owner[order]
-                new = np.ones(len(h), bool)
-                new[1:] = h[1:] != h[:-1]
-                many.append(h[1:][~new[1:] & (o[1:] != o[:-1])])
-                found.append(h[new])
-            if not found:
-                continue
-            h, n = np.unique(np.concatenate(found), return_counts=True)
-            twice = np.unique(np.concatenate([h[n > 1], *many]))
-            bucket, short = _short(h, buckets)
-            bucket2, short2 = _short(twice, buckets)
-            cut, cut2 = (np.searchsorted(b, np.arange(buckets + 1)) for b in (bucket, bucket2))
-            yield pd.DataFrame([(k, short[cut[k]:cut[k + 1]].tobytes(), short2[cut2[k]:cut2[k + 1]].tobytes())
-                                for k in range(buckets) if cut[k] < cut[k + 1]], columns=["bucket", "seen", "twice"])
+            out = distinct(ids, texts)
+            if out is not None:
+                yield out
+            del ids, texts, out
+        release_memory()
 
     def decide(group: pd.DataFrame) -> pd.DataFrame:
         seen = np.concatenate([np.frombuffer(x, np.uint32) for x in group["seen"]])
@@ -172,7 +188,7 @@ def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int) ->
         flags[repeated >> np.uint32(33 - bits.bit_length())] = 1
         return pd.DataFrame([(int(group["bucket"].iloc[0]), zlib.compress(np.packbits(flags).tobytes(), 1))], columns=["bucket", "bits"])
 
-    found = rows.mapInPandas(collect, "bucket int, seen binary, twice binary").groupBy("bucket") \
+    found = rows.mapInArrow(collect, "bucket int, seen binary, twice binary").groupBy("bucket") \
         .applyInPandas(decide, "bucket int, bits binary")
     out = np.zeros((buckets, bits // 8), np.uint8)
     for r in found.toLocalIterator():                            # MAX_BITS in all, whatever the input
@@ -182,7 +198,7 @@ def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int) ->
 
 def _pack(*arrays: np.ndarray) -> bytes:
     head = np.array([len(arrays), *[a.nbytes for a in arrays]], np.int64).tobytes()
-    return zstandard.ZstdCompressor(level=1).compress(head + b"".join(a.tobytes() for a in arrays))
+    return zstandard.ZstdCompressor(level=6).compress(head + b"".join(a.tobytes() for a in arrays))
 
 
 def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
@@ -192,46 +208,61 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
     return [np.frombuffer(raw, k, int(s) // np.dtype(k).itemsize, int(a)) for k, s, a in zip(kinds, sizes, at)]
 
 
+_MESSAGE = "bucket int, chunk string, blob binary"
+
+
 def _contexts(rows: DataFrame, repeated, buckets: int, bits: int, length: int) -> DataFrame:
-    """``chunk, bucket, blob``: for each chunk and bucket its distinct contexts under repeated anchors, and
-    with bucket -1 where in the chunk's documents they lie."""
+    """``bucket, chunk, blob``: for each chunk and bucket its distinct contexts under repeated anchors, and
+    under a bucket below 0 where in the chunk's documents they lie."""
+    def messages(bitmap, ids, marks, texts, part_id, serial):
+        parts = []
+        for data, windows, number, shift in _pieces(ids, texts, length):
+            begin, count, hashes, context = anchors(data, windows, length)
+            bucket, short = _short(hashes, buckets)
+            place = bucket * bits + (short >> np.uint32(33 - bits.bit_length())).astype(np.int64)
+            hit = np.flatnonzero((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            begin, w = begin[hit], np.searchsorted(windows, begin[hit])
+            size = count[hit] + length - 1
+            parts.append((number[w], begin + shift[w], size, hashes[hit], context[hit]))
+        if not parts:
+            return None
+        number, offset, size, hashes, context = (np.concatenate(x) for x in zip(*parts))
+        if not len(number):
+            return None
+        # distinct contexts in order of anchor, the document of smallest id first
+        order = np.lexsort((ids[number], context, hashes))
+        new = np.ones(len(order), bool)
+        new[1:] = (context[order][1:] != context[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+        one = order[new]
+        local = np.empty(len(order), np.uint32)
+        local[order] = np.cumsum(new) - 1
+        bucket, short = _short(hashes[one], buckets)
+        cut = np.searchsorted(bucket, np.arange(buckets + 1))
+        # the same on a second attempt at this task, so that answers and places still meet
+        digest = xxhash.xxh3_64_hexdigest(ids.tobytes() + marks.tobytes())
+        chunk = f"{digest}-{part_id}-{serial}"
+        out = []
+        for k in np.flatnonzero(np.diff(cut)).tolist():
+            some = one[cut[k]:cut[k + 1]]
+            text = b"".join([texts[d][a:a + n] for d, a, n in zip(number[some].tolist(), offset[some].tolist(), size[some].tolist())])
+            out.append((k, chunk, _pack(short[cut[k]:cut[k + 1]], ids[number[some]], size[some].astype(np.uint8),
+                                        np.frombuffer(text, np.uint8))))
+        out.append((-1 - int(digest[:6], 16), chunk, _pack(ids, marks, number.astype(np.uint32), offset.astype(np.int64),
+                                                          size.astype(np.uint8), local)))
+        return _rows(out, bucket=pa.int32(), chunk=pa.string(), blob=pa.binary())
+
     def run(batches):
         bitmap = np.frombuffer(repeated.value, np.uint8)
-        for ids, marks, texts in _chunks(batches):
-            parts = []
-            for data, windows, number, shift in _pieces(ids, texts, length):
-                begin, count, hashes, context = anchors(data, windows, length)
-                bucket, short = _short(hashes, buckets)
-                place = bucket * bits + (short >> np.uint32(33 - bits.bit_length())).astype(np.int64)
-                hit = np.flatnonzero((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
-                begin, w = begin[hit], np.searchsorted(windows, begin[hit])
-                size = count[hit] + length - 1
-                parts.append((number[w], begin + shift[w], size, hashes[hit], context[hit]))
-            if not parts:
-                continue
-            number, offset, size, hashes, context = (np.concatenate(x) for x in zip(*parts))
-            if not len(number):
-                continue
-            # distinct contexts in order of anchor, the document of smallest id first
-            order = np.lexsort((ids[number], context, hashes))
-            new = np.ones(len(order), bool)
-            new[1:] = (context[order][1:] != context[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
-            one = order[new]
-            local = np.empty(len(order), np.uint32)
-            local[order] = np.cumsum(new) - 1
-            bucket, _ = _short(hashes[one], buckets)
-            cut = np.searchsorted(bucket, np.arange(buckets + 1))
-            chunk = uuid.uuid4().hex
-            out = []
-            for k in np.flatnonzero(np.diff(cut)).tolist():
-                some = one[cut[k]:cut[k + 1]]
-                text = b"".join([texts[d][a:a + n] for d, a, n in zip(number[some].tolist(), offset[some].tolist(), size[some].tolist())])
-                out.append((chunk, k, _pack(hashes[some], context[some], ids[number[some]], size[some].astype(np.uint8),
-                                            np.frombuffer(text, np.uint8))))
-            out.append((chunk, -1, _pack(ids, marks, number.astype(np.uint32), offset.astype(np.int64), size.astype(np.uint8), local)))
-            yield pd.DataFrame(out, columns=["chunk", "bucket", "blob"])
+        task = TaskContext.get()
+        part_id = task.partitionId() if task else 0
+        for serial, (ids, marks, texts) in enumerate(_chunks(batches)):
+            out = messages(bitmap, ids, marks, texts, part_id, serial)
+            if out is not None:
+                yield out
+            del ids, marks, texts, out
+        release_memory()
 
-    return rows.mapInPandas(run, "chunk string, bucket int, blob binary")
+    return rows.mapInArrow(run, _MESSAGE)
 
 
 def _masks(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, begin: np.ndarray, text: np.ndarray, length: int) -> np.ndarray:
@@ -258,22 +289,29 @@ def _masks(hashes: np.ndarray, owner: np.ndarray, size: np.ndarray, begin: np.nd
 
 
 def _answers(length: int):
-    """Per bucket: for each chunk's contexts, whether a smaller document holds all of it or which windows."""
+    """Per bucket: for each chunk's contexts, whether a smaller document holds all of it or which windows.
+    The chunks' own notes of where their contexts lie pass through to the next shuffle."""
     def decide(group: pd.DataFrame) -> pd.DataFrame:
-        parts = [_unpack(x, np.uint64, np.uint64, np.int64, np.uint8, np.uint8) for x in group["blob"]]
-        hashes, context, owner, size, text = (np.concatenate(x) for x in zip(*parts))
+        if group["bucket"].iloc[0] < 0:
+            return group
+        release_memory()
+        parts = [_unpack(x, np.uint32, np.int64, np.uint8, np.uint8) for x in group["blob"]]
+        short, owner, size, text = (np.concatenate(x) for x in zip(*parts))
         size = size.astype(np.int64)
-        begin = np.cumsum(size) - size
-        order = np.lexsort((owner, context, hashes))
+        end = np.cumsum(size)
+        begin = end - size
+        view = memoryview(text)
+        context = np.fromiter((xxhash.xxh3_64_intdigest(view[a:b]) for a, b in zip(begin.tolist(), end.tolist())), np.uint64, len(size))
+        order = np.lexsort((owner, context, short))
         new = np.ones(len(order), bool)
-        new[1:] = (context[order][1:] != context[order][:-1]) | (hashes[order][1:] != hashes[order][:-1])
+        new[1:] = (context[order][1:] != context[order][:-1]) | (short[order][1:] != short[order][:-1])
         one = order[new]
         which = np.empty(len(order), np.int64)
         which[order] = np.cumsum(new) - 1
-        masks = _masks(hashes[one], owner[one], size[one], begin[one], text, length)
+        masks = _masks(short[one], owner[one], size[one], begin[one], text, length)
         code = np.where(owner[one][which] < owner, _GONE, masks[which])
         cuts = np.cumsum([len(p[0]) for p in parts])[:-1]
-        return pd.DataFrame({"chunk": group["chunk"].tolist(), "bucket": group["bucket"].tolist(),
+        return pd.DataFrame({"bucket": group["bucket"].tolist(), "chunk": group["chunk"].tolist(),
                              "blob": [_pack(c) for c in np.split(code.astype(np.uint32), cuts)]})
 
     return decide
@@ -281,10 +319,11 @@ def _answers(length: int):
 
 def _spans(length: int):
     """Per chunk: where its contexts lie, and the answers, to merged spans of each document."""
-    def merge(key, places: pd.DataFrame, answers: pd.DataFrame) -> pd.DataFrame:
-        ids, marks, number, offset, size, local = _unpack(places["blob"].iloc[0], np.int64, np.int64, np.uint32, np.int64, np.uint8, np.uint32)
-        answers = answers.sort_values("bucket")
-        code = np.concatenate([_unpack(x, np.uint32)[0] for x in answers["blob"]])
+    def merge(group: pd.DataFrame) -> pd.DataFrame:
+        release_memory()
+        group = group.sort_values("bucket")                       # the places, then the answers in order of bucket
+        ids, marks, number, offset, size, local = _unpack(group["blob"].iloc[0], np.int64, np.int64, np.uint32, np.int64, np.uint8, np.uint32)
+        code = np.concatenate([_unpack(x, np.uint32)[0] for x in group["blob"].iloc[1:]])
         size = size.astype(np.int64)
         smallest = np.full(len(code), np.iinfo(np.int64).max)
         np.minimum.at(smallest, local, ids[number])
@@ -322,12 +361,10 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     spark = docs.sparkSession
     n = docs.count()
     buckets = max(MIN_BUCKETS, 1 << max(0, (n // ROWS_PER_BUCKET).bit_length()))
-    bits = min(1 << 21, MAX_BITS // buckets)
+    bits = min(BUCKET_BITS, MAX_BITS // buckets)
     repeated = spark.sparkContext.broadcast(_repeated_anchors(docs, buckets, bits, length))
-    contexts = written(_contexts(docs, repeated, buckets, bits, length), "contexts")
-    answers = contexts.where("bucket >= 0").groupBy("bucket").applyInPandas(_answers(length), "chunk string, bucket int, blob binary")
-    return contexts.where("bucket < 0").groupBy("chunk").cogroup(answers.groupBy("chunk")).applyInPandas(
-        _spans(length), "_id bigint, _mark bigint, _spans array<bigint>")
+    return _contexts(docs, repeated, buckets, bits, length).groupBy("bucket").applyInPandas(_answers(length), _MESSAGE) \
+        .groupBy("chunk").applyInPandas(_spans(length), "_id bigint, _mark bigint, _spans array<bigint>")
 
 
 def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
@@ -350,7 +387,10 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
                 kept = b"".join([raw[a:e] for a, e in zip(edges[::2], edges[1::2])])
                 out.append((None if i is None or i != i else int(i), len(raw), len(raw) - len(kept), s, kept))
             frame = pd.DataFrame(out, columns=["doc_id", "n_bytes", "n_removed", "spans", "kept"])
+            del out
             yield frame.astype({"doc_id": "Int64"})
+            del frame
+            release_memory()
 
     return rows.join(spans, ["_id", "_mark"], "left").mapInPandas(
         cut, "doc_id bigint, n_bytes bigint, n_removed bigint, spans array<bigint>, kept binary")
