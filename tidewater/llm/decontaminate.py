@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Memo, mix64, written
+from tidewater.llm.common import Memo, mix64, release_memory, written
 
 WINDOW = 5
 MIN_LITERALS = 3
@@ -65,7 +65,7 @@ def _classify(raw: str) -> int:
     return xxhash.xxh3_64_intdigest(low) & ~3 | kind
 
 
-_WORDS = Memo(_classify, 300_000)
+_WORDS = Memo(_classify, 150_000)
 
 
 class Template:
@@ -209,6 +209,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVE
                     found.append(own.view(np.int64))
             if ids:
                 yield pd.DataFrame({"_doc": np.concatenate(ids), "_hash": np.concatenate(found)})
+            del ids, found
+            release_memory()
 
     candidates = rows.mapInPandas(hits, "_doc bigint, _hash bigint").join(anchors, "_hash").select("_doc", "_item").distinct()
     per_doc = candidates.join(texts, "_item").groupBy("_doc").agg(

@@ -20,7 +20,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import ASCII_SPACE, mix64, py_ascii_lower, written
+from tidewater.llm.common import ASCII_SPACE, mix64, py_ascii_lower, release_memory, written
 
 MIN_CHARS = 20
 MIN_DOCS = 3
@@ -85,6 +85,8 @@ def _twice_filter(docs: DataFrame, bits: int, min_chars: int) -> np.ndarray:
                 words = _as_words(keys)
                 for at in _positions(words, bits):
                     marks.add(at)
+            del keys
+            release_memory()
         rows = []
         for s in range(0, bits // 8, segment):
             once = marks.once[s:s + segment]

@@ -22,7 +22,7 @@ import xxhash
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Memo, mix64, written
+from tidewater.llm.common import Memo, mix64, release_memory, written
 from tidewater.llm.components import components
 
 THRESHOLD = 80                 # percent
@@ -39,7 +39,7 @@ _ADD = (mix64(np.arange(_K + 1, 2 * _K + 1, dtype=np.uint64)) >> np.uint64(32)).
 _FACTORS = mix64(np.arange(1001, 1065, dtype=np.uint64)) | np.uint64(1)
 _SAMPLE = np.arange(_K, dtype=np.uint64) << np.uint64(32)
 _BAND = mix64(np.arange(2001, 2001 + BANDS, dtype=np.uint64))
-_WORDS = Memo(xxhash.xxh3_64_intdigest, 500_000)
+_WORDS = Memo(xxhash.xxh3_64_intdigest, 120_000)
 
 
 def shingles(text: str | None, words: int) -> np.ndarray:
@@ -104,6 +104,8 @@ def signatures(docs: DataFrame, words: int) -> DataFrame:
                 m = minhashes(s)
                 rows.append((i, len(s), int(d[0]), int(d[1]), band_keys(m), odd_sketch(m)))
             yield pd.DataFrame(rows, columns=["_id", "_n", "_d1", "_d2", "_bands", "_sketch"])
+            del rows
+            release_memory()
 
     return docs.mapInPandas(run, "_id bigint, _n bigint, _d1 bigint, _d2 bigint, _bands array<bigint>, _sketch array<bigint>")
 

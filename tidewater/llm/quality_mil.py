@@ -20,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import bounded_sample
+from tidewater.llm.common import bounded_sample, release_memory
 
 PASSAGE_WORDS = 64
 MAX_DOCUMENTS = 4000
@@ -230,5 +230,7 @@ def keep_good(docs: DataFrame, model: AttentionModel, text_col: str = "text", th
                 starts = np.concatenate([[0], np.cumsum([len(x) for x in bags])[:-1]]).astype(np.int64)
                 keep += (model.score(np.concatenate(bags), starts) >= threshold).tolist()
             yield batch.filter(pa.array(keep, pa.bool_()))
+            del texts
+            release_memory()
 
     return docs.mapInArrow(run, docs.schema)

@@ -24,11 +24,11 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from tidewater.llm.common import Memo
+from tidewater.llm.common import Memo, release_memory
 
 SPACE = "▁"
 END_ID = 2
-_MEMO = 500_000
+_MEMO = 220_000
 
 
 class PieceCodec:
@@ -65,7 +65,7 @@ class PieceCodec:
             if self._merge(p) == [p]:               # a piece that merging never reaches is no match
                 self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
-        self.compatible = Memo(lambda ab: self._merge(ab[0] + ab[1]) == [ab[0], ab[1]], _MEMO)
+        self.compatible = Memo(lambda ab: self._merge(ab[0] + ab[1]) == [ab[0], ab[1]], 100_000)
         self.word = Memo(self._word, 20_000)
         self.run = Memo(self._run, 10_000)
 
@@ -247,7 +247,9 @@ def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", t
                 rows.append(row + [list(map(int, ids.split())), decoded] if with_ids else row)
             out = pd.DataFrame(rows, columns=[c.split()[0] for c in schema.split(", ")])
             out[id_col] = out[id_col].astype("Int64")
+            del rows
             yield out
+            release_memory()
 
     return docs.select(F.col(id_col).cast("bigint").alias(id_col), F.col(text_col).cast("string").alias("_text")) \
         .mapInPandas(run, schema)
