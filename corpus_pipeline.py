@@ -15,6 +15,8 @@ from tidewater.llm import decontaminate, line_dedup, minhash_odd, quality_mil, s
 from tidewater.llm.common import ship_package, table, written
 
 PIECE_MODEL = "piece_bpe_32k.model"
+#: Chunks that a worker's encoder remembers; the workers of the other stages are the same processes.
+REMEMBERED = 220_000
 
 
 def _without(docs: DataFrame, ids: DataFrame) -> DataFrame:
@@ -46,7 +48,7 @@ def benchmark_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFr
 
 def tokens(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Token counts and digests of what is left, encoded and decoded."""
-    return sentencepiece_codec.encode_documents(docs, public_tokenizers.path(PIECE_MODEL))
+    return sentencepiece_codec.encode_documents(docs, public_tokenizers.path(PIECE_MODEL), remembered=REMEMBERED)
 
 
 STAGES = [

@@ -28,13 +28,13 @@ from tidewater.llm.common import Memo, release_memory
 
 SPACE = "▁"
 END_ID = 2
-_MEMO = 220_000
+REMEMBERED = 500_000
 
 
 class PieceCodec:
     """Encoder and decoder for one model file.  ``special`` tokens in a text are ordinary text."""
 
-    def __init__(self, model_file: str):
+    def __init__(self, model_file: str, remembered: int = REMEMBERED):
         import sentencepiece
         sp = sentencepiece.SentencePieceProcessor(model_file=model_file)
         self.ids: dict[str, int] = {}
@@ -65,7 +65,7 @@ class PieceCodec:
             if self._merge(p) == [p]:               # a piece that merging never reaches is no match
                 self.automaton.add_word(p, (p, len(p)))
         self.automaton.make_automaton()
-        self.compatible = Memo(lambda ab: self._merge(ab[0] + ab[1]) == [ab[0], ab[1]], 100_000)
+        self.compatible = Memo(lambda ab: self._merge(ab[0] + ab[1]) == [ab[0], ab[1]], remembered)
         self.word = Memo(self._word, 20_000)
         self.run = Memo(self._run, 10_000)
 
@@ -198,8 +198,8 @@ def _spaced(text: str) -> str:
 class _Digester:
     """Encodes whole texts to (count, ids as text, decoded text), each chunk's part remembered."""
 
-    def __init__(self, model_file: str):
-        codec = self.codec = PieceCodec(model_file)
+    def __init__(self, model_file: str, remembered: int = REMEMBERED):
+        codec = self.codec = PieceCodec(model_file, remembered)
 
         def one(chunk: str) -> tuple[int, str, str]:
             ids = codec.chunk(chunk)
@@ -207,7 +207,7 @@ class _Digester:
             text = codec.decode([codec.ids[SPACE], *ids])
             return len(ids), " ".join(map(str, ids)), text
 
-        self.parts = Memo(one, _MEMO)
+        self.parts = Memo(one, remembered)
 
     def __call__(self, text: str | None) -> tuple[int, str, str]:
         if not text:
@@ -218,26 +218,26 @@ class _Digester:
         return sum(counts) + 1, f"{' '.join(ids)} {END_ID}", whole[1:] if whole.startswith(" ") else whole
 
 
-@lru_cache(maxsize=2)
-def _digester(model_file: str) -> _Digester:
-    return _Digester(model_file)
+@lru_cache(maxsize=1)
+def _digester(model_file: str, remembered: int) -> _Digester:
+    return _Digester(model_file, remembered)
 
 
 def encode_documents(docs: DataFrame, model_file: str, id_col: str = "doc_id", text_col: str = "text",
-                     with_ids: bool = False) -> DataFrame:
+                     with_ids: bool = False, remembered: int = REMEMBERED) -> DataFrame:
     """Encode every whole text with an end id, decode it back, and return
     ``id_col, n_tokens, ids_sha256, decoded_sha256`` (``with_ids``: also ``ids``, ``decoded``).
 
     Null and empty texts are the end id alone; null ids pass through; repeated rows give a row each;
     an empty table gives none; other columns are not looked at.  One narrow pass, no shuffle; a
-    worker remembers at most a fixed number of chunks, whatever the vocabulary.
+    worker remembers at most twice ``remembered`` chunks, whatever the vocabulary: memory against time.
     """
     schema = f"{id_col} bigint, n_tokens bigint, ids_sha256 string, decoded_sha256 string"
     if with_ids:
         schema += ", ids array<int>, decoded string"
 
     def run(batches):
-        digest = _digester(model_file)
+        digest = _digester(model_file, remembered)
         sha = lambda s: hashlib.sha256(s.encode("utf-8", "surrogatepass")).hexdigest()
         for b in batches:
             rows = []
