@@ -41,6 +41,20 @@ def test_ties_repeats_and_bad_vectors(spark):
     assert run(spark, rows) == sorted(brute(rows), key=repr)
 
 
+def test_repeated_ids_take_one_place(spark):
+    rng = np.random.default_rng(3)
+    rows = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(60)]
+    best = brute(rows)[0][2]
+    near = [(best, [x * (1 + n / 64) for x in dict(rows)[best]]) for n in range(25)]      # other vectors of the best row's id
+    for more in (rows, [(best, dict(rows)[best])] * 11, near):
+        assert run(spark, rows + more) == sorted(brute(rows + more), key=repr)
+        assert run(spark, rows + more, block=16) == sorted(brute(rows + more), key=repr)
+    ids = np.repeat(np.arange(30), 12)
+    x = np.repeat(rng.integers(-900, 900, (30, 4)), 12, axis=0)
+    got = list(search_cell(np.array([99]), x[:1], np.zeros((1, 0)), ids, x, np.zeros((360, 0)), 10))
+    assert len(got) == 10 == len({j for _, j, _ in got})
+
+
 def test_fewer_than_k_and_empty(spark):
     rows = [(0, [1.0]), (1, [2.0]), (2, [-3.0])]
     assert run(spark, rows) == sorted(brute(rows), key=repr)

@@ -70,7 +70,9 @@ def _with_distances(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFr
 
 def search_cell(q_ids, q, q_d, x_ids, x, x_d, k: int):
     """Top-k of each query among the candidates of one cell: yields (query id, vector id, score).
-    All arrays hold vectors of one length, candidates in ascending id."""
+    All arrays hold vectors of one length, candidates in ascending id.  Candidates that share an id take
+    one of the k places, with their best score."""
+    repeats = bool((x_ids[1:] == x_ids[:-1]).any())
     big = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * max(q.shape[1], 1)
     exact = np.float64 if float(big) < 2 ** 52 else np.int64     # whole numbers below 2^53 are exact
     xe, qe = x.astype(exact), q.astype(exact)
@@ -87,8 +89,10 @@ def search_cell(q_ids, q, q_d, x_ids, x, x_d, k: int):
             part = order[at:at + _STEP]
             part = part[x_ids[part] != q_ids[i]]
             ids, scores = np.concatenate([ids, x_ids[part]]), np.concatenate([scores, xe[part] @ qe[i]])
-            best = np.lexsort((ids, -scores))[:k]
-            ids, scores = ids[best], scores[best]
+            best = np.lexsort((ids, -scores))
+            if repeats:
+                best = best[np.sort(np.unique(ids[best], return_index=True)[1])]
+            ids, scores = ids[best[:k]], scores[best[:k]]
         for j, s in zip(ids.tolist(), scores.tolist()):
             yield int(q_ids[i]), j, int(s)
 
@@ -102,8 +106,8 @@ def top_k(frame: DataFrame, query_filter, k: int = TOP, id_col: str = "vec_id",
     (never each other's neighbours) and once in a result; empty tables give no rows; other columns are
     not looked at."""
     vectors = integer_vectors(frame, id_col, vector_col, scale)
-    measured = written(_with_distances(vectors, choose_pivots(vectors, pivots)), "pivot-table")
-    queries = measured.where(query_filter).dropDuplicates(["_id", "_v"])
+    measured = written(_with_distances(vectors.dropDuplicates(["_id", "_v"]), choose_pivots(vectors, pivots)), "pivot-table")
+    queries = measured.where(query_filter)
     n_block = max(1, -(-measured.count() // block))
     q_block = max(1, -(-queries.count() // query_block))
     own = lambda salt, n: F.expr(f"CAST(pmod(xxhash64(_id, {salt}), {n}) AS INT)")
