@@ -27,6 +27,30 @@ def test_names_are_typed_inside_sentences_only():
     assert t.kind.tolist() == [0, 0, 3, 0, 0]
 
 
+APPLES = "Tom has 5 apples. Tom buys 3 more apples at the shop. Tom then eats 2 of them. How many apples does Tom have left?"
+
+
+@pytest.mark.parametrize("name, found", [
+    ("Anna", True), ("New York", True), ("McDonald", True), ("NASA", True), ("Anna Maria de", False),
+])
+def test_names_that_begin_sentences(name, found):
+    changed = APPLES.replace("Tom", name).replace("5", "9").replace("3", "4")
+    assert (covered(Template(f"Some text. {changed} More."), Template(APPLES)) >= 0.8) == found
+    assert (covered(Template(APPLES), Template(changed)) >= 0.8) == found
+
+
+def test_names_that_begin_sentences_map_to_one():
+    two = APPLES.replace("Tom buys", "Anna buys").replace("Tom then", "Carl then")
+    assert covered(Template(two), Template(APPLES)) < 0.8
+    assert covered(Template(APPLES.lower()), Template(APPLES)) == 1 == covered(Template(APPLES.upper()), Template(APPLES))
+
+
+def test_names_that_begin_sentences_over_tables(spark):
+    changed = APPLES.replace("Tom", "New York").replace("5", "9")
+    docs = [(i, prose(i, 100)) for i in range(20)] + [(100, f"{prose(7, 40)}. {changed}"), (101, APPLES.replace("apples", "cats")), (102, "Tom Anna. Bob")]
+    assert leaks(spark, docs, [(1, APPLES), (2, "Tom Anna Bob Carl Dora Emil")]) == [(100, 1)]
+
+
 def test_needed():
     assert [needed(n, 0.8) for n in (1, 2, 4, 5, 6, 10)] == [1, 2, 4, 4, 5, 8]
 

@@ -1,7 +1,9 @@
 """Benchmark decontamination by template canonicalisation.
 
 Words are lower-cased and typed slots replaced: numbers and units in the *literal* template, names
-(capitalised inside a sentence) as well in the *typed* one.  A benchmark item is found in a document
+(capitalised inside a sentence) as well in the *typed* one.  The *open* one takes every word with a capital
+for a name, also one that begins a sentence or is all capitals, unless it is a function word, and a run of
+them for one name.  Names in a text all of capitals cannot be told.  A benchmark item is found in a document
 when at least ``min_coverage`` of its windows of five template words lie there, close to one diagonal,
 and every slot value of the item maps to one value of the document throughout; so verbatim copies, case
 changes and re-parameterised questions are caught and chance phrases are not.
@@ -41,16 +43,24 @@ UNITS = frozenset("mm cm m km in inch inches ft foot feet yard yards mile miles
                   "pound pounds oz ounce ounces ton tons ml l liter liters litre litres gallon gallons s sec second seconds "
                   "min minute minutes h hr hour hours day days week weeks month months year years hz khz mhz ghz w kw mw v a "
                   "n j kj pa kpa c f k degree degrees percent dollar dollars usd euro euros eur cent cents mph kmh".split())
+COMMON = frozenset("a an the this that these those i you he she it we they me him her us them my your his its our their who whom "
+                   "whose which what when where why how if then else so because since as while until before after during although "
+                   "though unless and or but nor yet for of in on at by to from with without into onto over under between among "
+                   "through about against above below near per than is are was were be been being am do does did has have had can "
+                   "could will would shall should may might must not no yes there here now later next finally also each every all "
+                   "both some any many much more most few less least another other such same only just again once let".split())
 
 _TOKENS = re.compile(r"(?:[.!?\n]\W*)?(?:\d+(?:[.,]\d+)*|\w+)")
 _STARTS = re.compile(r"[.!?\n]\W*")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
+_CAPITAL, _START = 4, 8               # flags beside a word's kind
 _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<slot {k}>")) for k in (NUMBER, UNIT, NAME)}
 _FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
 def _classify(raw: str) -> int:
-    """Hash of the lower-cased word with its kind, as far as the word alone tells it, in the two lowest bits."""
+    """Hash of the lower-cased word with its kind, as far as the word alone tells it, in the two lowest bits,
+    then whether the open template takes it for a name, and whether it begins a sentence."""
     start = _STARTS.match(raw)
     word = raw[start.end():] if start else raw
     low = word.lower()
@@ -62,19 +72,20 @@ def _classify(raw: str) -> int:
         kind = NAME
     else:
         kind = LITERAL
-    return xxhash.xxh3_64_intdigest(low) & ~3 | kind
+    capital = kind in (LITERAL, NAME) and word[0].isupper() and low not in COMMON
+    return xxhash.xxh3_64_intdigest(low) & ~15 | kind | _CAPITAL * capital | _START * bool(start)
 
 
 _WORDS = Memo(_classify, 150_000)
 
 
 class Template:
-    """A text's words: hashes, kinds, and window hashes of its literal and its typed template."""
+    """A text's words: hashes, kinds, and window hashes of its literal, its typed and its open template."""
 
     def __init__(self, text: str | None):
         self.raw = _TOKENS.findall("\n" + text) if text else []
         known = np.fromiter(map(_WORDS.__getitem__, self.raw), np.uint64, len(self.raw))
-        self.word = known & ~np.uint64(3)
+        self.word = known & ~np.uint64(15)
         kind = (known & np.uint64(3)).astype(np.int8)
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = kind[:-1] == NUMBER
@@ -90,35 +101,61 @@ class Template:
         self.size = min(WINDOW, len(kind))
         self.literal = self._windows(literal)
         self.typed = self.literal if typed is literal else self._windows(typed)
+        self.name = (known & np.uint64(_CAPITAL)) != 0
+        inner = self.name.copy()                                  # goes on with the name before it
+        inner[1:] &= self.name[:-1] & ((known[1:] & np.uint64(_START)) == 0)
+        inner[:1] = False
+        self.first = np.flatnonzero(~inner)                       # where the open template's words begin
+        if len(self.first) == len(kind) and (self.name == (kind == NAME)).all():
+            self.open = self.typed
+        else:
+            free = literal.copy()
+            free[self.name] = _SLOT[NAME]
+            self.open = self._windows(free[self.first])
 
     def _windows(self, words: np.ndarray) -> np.ndarray:
         """Hashes of all windows; a text of fewer words is one window."""
         if not len(words):
             return np.zeros(0, np.uint64)
-        n = len(words) - self.size + 1
-        out = np.full(n, len(words) if self.size < WINDOW else 0, np.uint64)
-        for j in range(self.size):
+        size = min(WINDOW, len(words))
+        n = len(words) - size + 1
+        out = np.full(n, len(words) if size < WINDOW else 0, np.uint64)
+        for j in range(size):
             out += words[j:j + n] * _FACTORS[j]
         return mix64(out)
 
-    def value(self, at: int) -> str:
+    def windows(self) -> list[np.ndarray]:
+        """The window hashes of all templates that differ."""
+        return [self.literal] + [self.typed] * (self.typed is not self.literal) + [self.open] * (self.open is not self.typed)
+
+    def _word(self, at: int) -> str:
         start = _STARTS.match(self.raw[at])
         return (self.raw[at][start.end():] if start else self.raw[at]).lower()
 
-    def families(self) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
-        """(window hashes, which words are slots, positions of the windows that count) of the literal
-        and, if there are names, of the typed template."""
+    def value(self, at: int, family: str = "literal") -> str:
+        """A word of a template; in the open one a name may be of several words."""
+        if family != "open":
+            return self._word(at)
+        end = self.first[at + 1] if at + 1 < len(self.first) else len(self.raw)
+        return " ".join(map(self._word, range(self.first[at], end)))
+
+    def families(self) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
+        """(name, window hashes, which words are slots, positions of the windows that count) of the literal
+        and, if there are names, of the typed and the open template."""
         out = []
-        for hashes, slot in ((self.literal, (self.kind == NUMBER) | (self.kind == UNIT)), (self.typed, self.kind != LITERAL)):
-            if out and hashes is self.literal:
-                break
+        measure = (self.kind == NUMBER) | (self.kind == UNIT)
+        for family, hashes, slot, same in (("literal", self.literal, measure, None), ("typed", self.typed, self.kind != LITERAL, self.literal),
+                                           ("open", self.open, (measure | self.name)[self.first], self.typed)):
+            if hashes is same:
+                continue
+            size = min(WINDOW, len(slot))
             sums = np.concatenate([[0], np.cumsum(~slot)])
-            literals = sums[self.size:] - sums[:-self.size] if self.size else np.zeros(0, int)
-            counts = np.flatnonzero(literals >= min(MIN_LITERALS, self.size))
+            literals = sums[size:] - sums[:-size] if size else np.zeros(0, int)
+            counts = np.flatnonzero(literals >= min(MIN_LITERALS, size))
             if len(counts):
-                out.append((hashes, slot, counts))
+                out.append((family, hashes, slot, counts))
             elif not out:
-                out.append((hashes, slot, np.arange(len(hashes))))
+                out.append((family, hashes, slot, np.arange(len(hashes))))
         return out
 
 
@@ -128,9 +165,10 @@ def needed(n: int, coverage: float) -> int:
 
 def covered(doc: Template, item: Template, coverage: float = MIN_COVERAGE) -> float:
     """The best share of the item's windows found in the document near one diagonal with consistent
-    slots, over both templates; below ``coverage`` it may be reported lower than it is."""
+    slots, over all templates; below ``coverage`` it may be reported lower than it is."""
     best = 0.0
-    for (hashes, slot, counts), doc_hashes in zip(item.families(), (doc.literal, doc.typed)):
+    for family, hashes, slot, counts in item.families():
+        doc_hashes, size = getattr(doc, family), min(WINDOW, len(slot))
         at = defaultdict(list)
         for q in counts.tolist():
             at[hashes[q]].append(q)
@@ -149,11 +187,11 @@ def covered(doc: Template, item: Template, coverage: float = MIN_COVERAGE) -> fl
                 continue
             votes: dict[str, Counter] = defaultdict(Counter)
             for _, p, q in run:
-                for j in np.flatnonzero(slot[q:q + item.size]).tolist():
-                    votes[item.value(q + j)][doc.value(p + j)] += 1
+                for j in np.flatnonzero(slot[q:q + size]).tolist():
+                    votes[item.value(q + j, family)][doc.value(p + j, family)] += 1
             means = {k: v.most_common(1)[0][0] for k, v in votes.items()}
-            good = {q for _, p, q in run if all(means[item.value(q + j)] == doc.value(p + j)
-                                                for j in np.flatnonzero(slot[q:q + item.size]).tolist())}
+            good = {q for _, p, q in run if all(means[item.value(q + j, family)] == doc.value(p + j, family)
+                                                for j in np.flatnonzero(slot[q:q + size]).tolist())}
             best = max(best, len(good) / len(counts))
     return best
 
@@ -164,7 +202,7 @@ def _anchors(items: DataFrame, coverage: float) -> DataFrame:
         for b in batches:
             rows = []
             for i, text in zip(b["_item"].tolist(), b["_text"]):
-                for f, (hashes, _, counts) in enumerate(Template(text).families()):
+                for f, (_, hashes, _, counts) in enumerate(Template(text).families()):
                     rows += [(i, f, len(counts), h) for h in hashes[counts].view(np.int64).tolist()]
             yield pd.DataFrame(rows, columns=["_item", "_family", "_n", "_hash"]).astype("int64")
 
@@ -201,12 +239,13 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVE
         for b in batches:
             ids, found = [], []
             for i, text in zip(b["_doc"].tolist(), b["_text"]):
-                t = Template(text)
-                for hashes in (t.literal,) if t.typed is t.literal else (t.literal, t.typed):
+                own = []
+                for hashes in Template(text).windows():
                     at = hashes & np.uint64(BITMAP_BITS - 1)
-                    own = np.unique(hashes[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
-                    ids.append(np.full(len(own), i, np.int64))
-                    found.append(own.view(np.int64))
+                    own.append(hashes[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
+                own = np.unique(np.concatenate(own))
+                ids.append(np.full(len(own), i, np.int64))
+                found.append(own.view(np.int64))
             if ids:
                 yield pd.DataFrame({"_doc": np.concatenate(ids), "_hash": np.concatenate(found)})
             del ids, found
