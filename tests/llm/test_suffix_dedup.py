@@ -92,6 +92,42 @@ def in_process(rows, length=50):
     return out
 
 
+def phrases(n):
+    """Documents that share a phrase among words of their own, some of them the words of another too."""
+    out = [(i, f"{prose(4000 + i, 6)} the one phrase that all of them hold {prose(7000 + i, 6)}") for i in range(n)]
+    return out + [(n + i, f"x{out[3 * i][1]}") for i in range(n // 4)]
+
+
+def test_hot_anchors_are_split_exactly(spark):
+    rows = corpus()[:60] + [(5000 + i, t) for i, t in phrases(80)]
+    want = brute(rows)
+    for hot in (0, 3, 40):
+        assert run(spark, rows, hot_contexts=hot) == want
+
+
+def test_a_hot_anchor_is_spread_over_buckets(spark):
+    """The largest group stays small however many documents hold the phrase."""
+    docs = spark.createDataFrame([(i, 0, t) for i, t in phrases(1000)], "_id bigint, _mark bigint, _text string")
+    buckets, bits = 64, 1 << 13
+    bitmap, hot = suffix_dedup._repeated_anchors(docs, buckets, bits, 50, 100)
+    assert len(hot)
+
+    class Shared:
+        def __init__(self, value):
+            self.value = value
+
+    def largest(split):
+        found = suffix_dedup._contexts(docs, Shared(bitmap), buckets, bits, 50, split).where("bucket >= 0").collect()
+        sizes = {}
+        for r in found:
+            short = suffix_dedup._unpack(r.blob, np.uint32, np.int64, np.uint8, np.uint8)[0]
+            for h, k in zip(*np.unique(short, return_counts=True)):
+                sizes[r.bucket, int(h)] = sizes.get((r.bucket, int(h)), 0) + int(k)
+        return max(sizes.values())
+
+    assert largest(None) > 900 and largest(Shared(hot)) <= 100
+
+
 def test_cases(spark):
     line = prose(1, 12)[:60]
     rows = [(1, None), (2, ""), (3, line[:49]), (4, line[:50]), (5, f"{line[:50]}"), (6, f"é{line[:50]}é"), (7, line[:50] * 3), (8, "x" * 400),

@@ -14,8 +14,12 @@ A byte goes if a ``length``-byte string that covers it also starts in a document
   which of a context's windows lie in another context of a smaller document.
 * Answers go back to the chunks, which turn them into spans; a last pass cuts the spans out of the texts.
 
-No group is unbounded: what all documents share comes once from each chunk, and more input means
-more buckets.
+* *Hot anchors*, with more than ``HOT_CONTEXTS`` contexts over all chunks (a phrase of 24 bytes or the
+  edge of a passage, among other words in each document), are split: each of their windows is a context
+  of its own under the window's hash, so equal windows still meet while the anchor's spread over all buckets.
+
+So a group is bounded: what all documents share comes once from each chunk, an anchor brings at most
+``HOT_CONTEXTS`` contexts, a window one from each chunk, and more input means more buckets.
 """
 
 from __future__ import annotations
@@ -43,6 +47,7 @@ BUCKET_BITS = 1 << 19
 MIN_BUCKETS = 64
 MAX_BITS = 1 << 30
 INDEX_BYTES = 1 << 18
+HOT_CONTEXTS = 1 << 12
 _PIECE = 1 << 18                       # bytes hashed at a time
 _LOW = np.uint64(0xFFFFFF)             # room for a position in a piece
 _GONE = np.uint32(0xFFFFFFFF)
@@ -149,12 +154,17 @@ def _short(hashes: np.ndarray, buckets: int) -> tuple[np.ndarray, np.ndarray]:
     return bucket, ((hashes >> (np.uint64(32) - top)) & np.uint64(0xFFFFFFFF)).astype(np.uint32)
 
 
-def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int) -> bytes:
-    """A bitmap, ``bits`` a bucket, over anchors that lie in two documents or more."""
+def _keys(bucket: np.ndarray, short: np.ndarray) -> np.ndarray:
+    return bucket.astype(np.uint64) << np.uint64(32) | short
+
+
+def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int, hot_contexts: int) -> tuple[bytes, bytes]:
+    """A bitmap, ``bits`` a bucket, over anchors that lie in two documents or more, and the sorted keys
+    of those with more than ``hot_contexts`` contexts, counted once a chunk."""
     def distinct(ids, texts):
-        found, many = [], []
+        found, many, pairs = [], [], []
         for data, windows, number, _ in _pieces(ids, texts, length):
-            begin, _, hashes, _ = anchors(data, windows, length)
+            begin, _, hashes, context = anchors(data, windows, length)
             owner = number[np.searchsorted(windows, begin)]
             order = np.lexsort((owner, hashes))
             h, o = hashes[order], owner[order]
@@ -162,15 +172,26 @@ def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int) ->
             new[1:] = h[1:] != h[:-1]
             many.append(h[1:][~new[1:] & (o[1:] != o[:-1])])
             found.append(h[new])
+            pairs.append((hashes, context))
         if not found:
             return None
+        # contexts beyond an anchor's first, each once
+        hashes, context = (np.concatenate(x) for x in zip(*pairs))
+        order = np.lexsort((context, hashes))
+        hashes, context = hashes[order], context[order]
+        more, weight = np.unique(hashes[1:][(hashes[1:] == hashes[:-1]) & (context[1:] != context[:-1])], return_counts=True)
+        del pairs, hashes, context, order
         h, n = np.unique(np.concatenate(found), return_counts=True)
         twice = np.unique(np.concatenate([h[n > 1], *many]))
         bucket, short = _short(h, buckets)
         bucket2, short2 = _short(twice, buckets)
-        cut, cut2 = (np.searchsorted(b, np.arange(buckets + 1)) for b in (bucket, bucket2))
-        return _rows([(k, short[cut[k]:cut[k + 1]].tobytes(), short2[cut2[k]:cut2[k + 1]].tobytes())
-                      for k in range(buckets) if cut[k] < cut[k + 1]], bucket=pa.int32(), seen=pa.binary(), twice=pa.binary())
+        bucket3, short3 = _short(more, buckets)
+        weight = weight.astype(np.uint32)
+        cut, cut2, cut3 = (np.searchsorted(b, np.arange(buckets + 1)) for b in (bucket, bucket2, bucket3))
+        return _rows([(k, short[cut[k]:cut[k + 1]].tobytes(), short2[cut2[k]:cut2[k + 1]].tobytes(),
+                       short3[cut3[k]:cut3[k + 1]].tobytes(), weight[cut3[k]:cut3[k + 1]].tobytes())
+                      for k in range(buckets) if cut[k] < cut[k + 1]],
+                     bucket=pa.int32(), seen=pa.binary(), twice=pa.binary(), more=pa.binary(), weight=pa.binary())
 
     def collect(batches):
         for ids, _, texts in _chunks(batches):
@@ -186,14 +207,32 @@ def _repeated_anchors(rows: DataFrame, buckets: int, bits: int, length: int) ->
         repeated = np.concatenate([seen[1:][seen[1:] == seen[:-1]], *[np.frombuffer(x, np.uint32) for x in group["twice"]]])
         flags = np.zeros(bits, np.uint8)
         flags[repeated >> np.uint32(33 - bits.bit_length())] = 1
-        return pd.DataFrame([(int(group["bucket"].iloc[0]), zlib.compress(np.packbits(flags).tobytes(), 1))], columns=["bucket", "bits"])
-
-    found = rows.mapInArrow(collect, "bucket int, seen binary, twice binary").groupBy("bucket") \
-        .applyInPandas(decide, "bucket int, bits binary")
-    out = np.zeros((buckets, bits // 8), np.uint8)
+        # contexts of an anchor: one for each chunk, and those beyond the first in a chunk
+        edge = np.flatnonzero(np.append(True, seen[1:] != seen[:-1]))
+        names, load = seen[edge], np.diff(np.append(edge, len(seen)))
+        more, weight = (np.concatenate([np.frombuffer(x, np.uint32) for x in group[c]]) for c in ("more", "weight"))
+        np.add.at(load, np.searchsorted(names, more), weight)
+        return pd.DataFrame([(int(group["bucket"].iloc[0]), zlib.compress(np.packbits(flags).tobytes(), 1),
+                              names[load > hot_contexts].tobytes())], columns=["bucket", "bits", "hot"])
+
+    found = rows.mapInArrow(collect, "bucket int, seen binary, twice binary, more binary, weight binary").groupBy("bucket") \
+        .applyInPandas(decide, "bucket int, bits binary, hot binary")
+    out, hot = np.zeros((buckets, bits // 8), np.uint8), [np.zeros(0, np.uint64)]
     for r in found.toLocalIterator():                            # MAX_BITS in all, whatever the input
         out[r.bucket] = np.frombuffer(zlib.decompress(r.bits), np.uint8)
-    return out.tobytes()
+        short = np.frombuffer(r.hot, np.uint32)                  # one for every HOT_CONTEXTS contexts at most
+        hot.append(_keys(np.full(len(short), r.bucket), short))
+    return out.tobytes(), np.sort(np.concatenate(hot)).tobytes()
+
+
+def _single_windows(data: np.ndarray, begin: np.ndarray, count: np.ndarray, length: int) -> tuple[np.ndarray, np.ndarray]:
+    """(position, hash) of each window of the given contexts."""
+    at = np.repeat(begin - np.cumsum(count) + count, count) + np.arange(int(count.sum()))
+    powers = _power_tables(len(data))[0]
+    out = np.zeros(len(at), np.uint64)
+    for j in range(length):
+        out += _BYTE[data[at + j]] * powers[j]
+    return at, mix64(out)
 
 
 def _pack(*arrays: np.ndarray) -> bytes:
@@ -211,16 +250,22 @@ def _unpack(blob: bytes, *kinds) -> list[np.ndarray]:
 _MESSAGE = "bucket int, chunk string, blob binary"
 
 
-def _contexts(rows: DataFrame, repeated, buckets: int, bits: int, length: int) -> DataFrame:
+def _contexts(rows: DataFrame, repeated, buckets: int, bits: int, length: int, split=None) -> DataFrame:
     """``bucket, chunk, blob``: for each chunk and bucket its distinct contexts under repeated anchors, and
-    under a bucket below 0 where in the chunk's documents they lie."""
-    def messages(bitmap, ids, marks, texts, part_id, serial):
+    under a bucket below 0 where in the chunk's documents they lie.  Anchors in ``split`` go window by window."""
+    def messages(bitmap, hot, ids, marks, texts, part_id, serial):
         parts = []
         for data, windows, number, shift in _pieces(ids, texts, length):
             begin, count, hashes, context = anchors(data, windows, length)
             bucket, short = _short(hashes, buckets)
             place = bucket * bits + (short >> np.uint32(33 - bits.bit_length())).astype(np.int64)
             hit = np.flatnonzero((bitmap[place >> 3] >> (7 - (place & 7)).astype(np.uint8)) & 1)
+            if len(hot):
+                big = np.isin(_keys(bucket[hit], short[hit]), hot)
+                at, own = _single_windows(data, begin[hit[big]], count[hit[big]], length)
+                w = np.searchsorted(windows, at)
+                parts.append((number[w], at + shift[w], np.full(len(at), length), own, own))
+                hit = hit[~big]
             begin, w = begin[hit], np.searchsorted(windows, begin[hit])
             size = count[hit] + length - 1
             parts.append((number[w], begin + shift[w], size, hashes[hit], context[hit]))
@@ -253,10 +298,11 @@ def _contexts(rows: DataFrame, repeated, buckets: int, bits: int, length: int) -
 
     def run(batches):
         bitmap = np.frombuffer(repeated.value, np.uint8)
+        hot = np.frombuffer(split.value if split else b"", np.uint64)
         task = TaskContext.get()
         part_id = task.partitionId() if task else 0
         for serial, (ids, marks, texts) in enumerate(_chunks(batches)):
-            out = messages(bitmap, ids, marks, texts, part_id, serial)
+            out = messages(bitmap, hot, ids, marks, texts, part_id, serial)
             if out is not None:
                 yield out
             del ids, marks, texts, out
@@ -353,7 +399,7 @@ def _spans(length: int):
     return merge
 
 
-def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
+def repeated_spans(docs: DataFrame, length: int = LENGTH, hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """``_id, _mark, _spans``: for each document (id and text hash) that loses bytes the begins and ends, in
     turn, of its maximal spans.  ``docs`` has ``_id`` (not null), ``_mark`` (hash of the text) and ``_text``."""
     if not ANCHOR < length <= 56:
@@ -362,12 +408,13 @@ def repeated_spans(docs: DataFrame, length: int = LENGTH) -> DataFrame:
     n = docs.count()
     buckets = max(MIN_BUCKETS, 1 << max(0, (n // ROWS_PER_BUCKET).bit_length()))
     bits = min(BUCKET_BITS, MAX_BITS // buckets)
-    repeated = spark.sparkContext.broadcast(_repeated_anchors(docs, buckets, bits, length))
-    return _contexts(docs, repeated, buckets, bits, length).groupBy("bucket").applyInPandas(_answers(length), _MESSAGE) \
+    repeated, split = map(spark.sparkContext.broadcast, _repeated_anchors(docs, buckets, bits, length, hot_contexts))
+    return _contexts(docs, repeated, buckets, bits, length, split).groupBy("bucket").applyInPandas(_answers(length), _MESSAGE) \
         .groupBy("chunk").applyInPandas(_spans(length), "_id bigint, _mark bigint, _spans array<bigint>")
 
 
-def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text",
+                   hot_contexts: int = HOT_CONTEXTS) -> DataFrame:
     """``doc_id, n_bytes, n_removed, spans, kept`` for every row: ``kept`` the bytes left of the UTF-8 text.
 
     Null and empty texts have no bytes; rows without id hold nothing back from others and keep their text;
@@ -375,7 +422,7 @@ def remove_repeats(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id"
     other columns are not looked at."""
     text = F.coalesce(F.col(text_col).cast("string"), F.lit(""))
     rows = docs.select(F.col(id_col).cast("bigint").alias("_id"), F.xxhash64(text).alias("_mark"), text.alias("_text"))
-    spans = written(repeated_spans(rows.where("_id IS NOT NULL"), length), "repeated-spans").dropDuplicates(["_id", "_mark"])
+    spans = written(repeated_spans(rows.where("_id IS NOT NULL"), length, hot_contexts), "repeated-spans").dropDuplicates(["_id", "_mark"])
 
     def cut(batches):
         for b in batches:
