@@ -4,6 +4,7 @@ transform with sampled run ends, and streamed matching statistics.
 Rows of the transform are the suffixes of all strings in order, each string's empty suffix included;
 equal suffixes go by string number, so the LF mapping is exact.  Only runs are kept: where each begins,
 its character's LF target, and the text position of its last row.
+``matches`` finds smallest owners in a table of suffix intervals; the sampled run ends serve ``locate`` alone.
 """
 
 from __future__ import annotations
