@@ -1,0 +1,108 @@
+import re
+from collections import Counter
+from itertools import permutations
+
+import numpy as np
+import pyarrow as pa
+import pytest
+from pyspark.sql import functions as F
+
+from tests.llm.helpers import clashing, prose, rows_of
+from tidewater.llm import filter_audit as FA
+from tidewater.llm.text_bytes import groups
+
+WORDS = re.compile("[^\x20\x09-\x0D]+")
+MEASURES = ("words", "distinct_words", "capitals", "code_points", "symbols")
+
+
+def measured(text):
+    w = WORDS.findall(text or "")
+    return (len(w), len(set(w)), len(re.findall("[A-Z]", text or "")), len(text or ""), len(re.findall(r"[#$%&*|]", text or "")))
+
+
+def brute(docs, labels, orders):
+    """``docs``: (id, text, lang); per (part, order, step) the counts, by walking every document through every order."""
+    good = {i for i, q, t in labels if i is not None and q == 1}
+    toxic = {i for i, q, t in labels if i is not None and t == 1}
+    fails = []
+    for i, text, lang in docs:
+        n, distinct, capitals, points, symbols = measured(text)
+        f = {"A": n < 100, "B": 100 * distinct < 80 * n, "C": 100 * capitals > 10 * points, "D": symbols > 0,
+             "E": i is not None and any(j is not None and j < i and (u or "") == (text or "") for j, u, _ in docs)}
+        fails.append((lang or "", {k for k, v in f.items() if v}, i in good, i in toxic))
+    rows, shapley = {}, Counter()
+    for part in {f[0] for f in fails}:
+        here = [f for f in fails if f[0] == part]
+        for order in permutations("ABCDE"):
+            left = here
+            for s, letter in enumerate(order):
+                gone = [f for f in left if letter in f[1]]
+                left = [f for f in left if letter not in f[1]]
+                shapley[part, letter] += len(gone)
+                rows[part, "".join(order), s + 1] = (
+                    len(left), len(gone), sum(letter in f[1] for f in here) - len(gone), sum(f[1] == {letter} for f in here),
+                    sum(f[2] for f in gone), sum(f[3] for f in gone))
+    return sorted((*k, *v, shapley[k[0], k[1][k[2] - 1]]) for k, v in rows.items() if k[1] in orders)
+
+
+COLUMNS = ("part", "filter_order", "step", "kept", "removed", "redundant", "unique_fails", "good_lost", "toxic_lost", "shapley")
+LONG = prose(1, 150, 4000)
+DOCS = [
+    (1, LONG, "en"), (2, LONG, "en"), (3, LONG, "fr"), (4, None, "en"), (5, "", None), (6, "", "en"), (7, LONG.upper(), "en"), (8, LONG + " #", "fr"),
+    (9, "a b " * 90, "fr"), (10, "A|", None), (None, LONG, "en"), (None, "", "fr"), (2, LONG, "en"), (2, "other", "fr"), (11, prose(3, 3000), ""),
+    (12, "É é ñ 中 😀 " * 30, "de"), (13, "x" * 5000, "de"), (14, "\t\n \x0b", "de"), (15, prose(2, 120, 4000), "en"),
+]
+LABELS = [(1, 1, 0), (2, 0, 1), (3, 1, None), (7, 1, 1), (9, None, 1), (10, 0, 0), (None, 1, 1), (2, 1, 0), (99, 1, 1), (15, 1, 0)]
+
+
+def tables(spark, docs=DOCS, labels=LABELS):
+    return (clashing(spark, docs, "doc_id bigint, text string, lang string").drop("part"),
+            spark.createDataFrame(labels, "doc_id bigint, quality int, toxic int").withColumn("good", F.lit("x")))
+
+
+@pytest.mark.parametrize("block", [1, 7, 64, 1 << 22])
+def test_transducer_over_blocks_and_groups(monkeypatch, block):
+    rng = np.random.default_rng(3)
+    pool = ["a", "b", " ", "é", "\x0b", "A", "#", "longerword", "中", "\n", "x" * 300, "x" * 299 + "y"]
+    texts = ["", "  a b  a", "x" * 900, None, "aa a aa a"] + ["".join(rng.choice(pool, rng.integers(40))) for _ in range(150)]
+    monkeypatch.setattr(FA, "BLOCK_BYTES", block)
+    for most in (1, 50, 1 << 22):
+        got = np.concatenate([FA.measure_group(d, o) for _, _, d, o in groups(pa.array(texts), most)])
+        assert got.tolist() == [list(measured(t)) for t in texts]
+
+
+def test_table_compares_bytes_and_not_hashes_alone(monkeypatch):
+    words = [f"{a}{b}" for a in "abcdefgh" for b in range(40)]
+    data = np.frombuffer(" ".join(words * 2).encode(), np.uint8)
+    monkeypatch.setattr(FA.SpanTable, "_hash", lambda self, owner, start, length: np.zeros(len(start), np.int64))   # all collide
+    counts = FA.measure_group(data, np.array([0, len(data)]))
+    assert counts[0, :2].tolist() == [640, 320]
+
+
+def test_measures(spark):
+    docs, _ = tables(spark)
+    got = rows_of(FA.measure(docs), "doc_id", "part", *MEASURES)
+    assert got == sorted(((i, lang or "", *measured(t)) for i, t, lang in DOCS), key=repr)
+
+
+def test_audit_against_brute_force(spark):
+    docs, labels = tables(spark)
+    wanted = {"ABCDE", "EDCBA", "CABED", "BEADC", "DCEAB"}
+    got = FA.audit(docs.repartition(3), labels)
+    assert got.count() == 120 * 5 * len({lang or "" for _, _, lang in DOCS})
+    assert rows_of(got.where(F.col("filter_order").isin(*wanted)), *COLUMNS) == sorted(brute(DOCS, LABELS, wanted), key=repr)
+
+
+def test_empty_tables(spark):
+    docs, labels = tables(spark, [], [])
+    assert FA.audit(docs, labels).count() == 0
+    some, _ = tables(spark)
+    assert FA.audit(some, labels).agg(F.sum("good_lost"), F.sum("toxic_lost")).first()[:] == (0, 0)
+
+
+def test_other_filters(spark):
+    docs, labels = tables(spark)
+    got = FA.audit(docs, labels, {"x": F.col("words") == 0, "y": F.col("symbols") > 0}, repeat=None)
+    assert {r["filter_order"] for r in got.collect()} == {"xy", "yx"}
+    with pytest.raises(ValueError):
+        FA.interactions(got, "abcdefg")

@@ -87,9 +87,76 @@ SELECT d.page_id, payload_bytes, d.payload_digest,
 FROM d LEFT JOIN f USING (payload_digest)
 """
 
+_SPACES = r"\x20\x09-\x0D"
+
+OP11 = rf"""
+WITH words AS (
+  SELECT doc_id, coalesce(lang, '') AS part, coalesce(text, '') AS text,
+         regexp_extract_all(coalesce(text, ''), '[^{_SPACES}]+') AS w FROM documents
+), d AS (
+  SELECT doc_id, part, min(doc_id) OVER (PARTITION BY text) < doc_id AS repeat,
+         len(w) < 100 AS a, 100 * len(list_distinct(w)) < 80 * len(w) AS b,
+         100 * length(regexp_replace(text, '[^A-Z]', '', 'g')) > 10 * length(text) AS c,
+         regexp_matches(text, '[#$%&*|]') AS d
+  FROM words
+), l AS (
+  SELECT doc_id, bool_or(quality = 1) AS good, bool_or(toxic = 1) AS toxic FROM labels GROUP BY doc_id
+), f AS (
+  SELECT part, (a::INT + 2 * b::INT + 4 * c::INT + 8 * d::INT + 16 * coalesce(repeat, false)::INT) AS bits,
+         coalesce(good, false) AS good, coalesce(toxic, false) AS toxic, count(*) AS n
+  FROM d LEFT JOIN l USING (doc_id) GROUP BY ALL
+), letters(letter, bit) AS (VALUES ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)),
+orders AS (
+  SELECT v.letter || w.letter || x.letter || y.letter || z.letter AS filter_order, [v.bit, w.bit, x.bit, y.bit, z.bit] AS o
+  FROM letters v JOIN letters w ON w.bit <> v.bit JOIN letters x ON x.bit NOT IN (v.bit, w.bit)
+  JOIN letters y ON y.bit NOT IN (v.bit, w.bit, x.bit) JOIN letters z ON z.bit NOT IN (v.bit, w.bit, x.bit, y.bit)
+), steps AS (
+  SELECT filter_order, s::INT AS step, o[s] AS bit, coalesce(list_sum(o[1:s - 1]), 0)::INT AS before
+  FROM orders, (SELECT unnest([1, 2, 3, 4, 5]) AS s)
+), r AS (
+  SELECT part, filter_order, step, bit, bits, good, toxic, n, bits & bit <> 0 AS fails, bits & before <> 0 AS earlier FROM f, steps
+), t AS (
+  SELECT part, filter_order, step, any_value(bit) AS bit,
+         coalesce(sum(n) FILTER (NOT fails AND NOT earlier), 0)::BIGINT AS kept,
+         coalesce(sum(n) FILTER (fails AND NOT earlier), 0)::BIGINT AS removed,
+         coalesce(sum(n) FILTER (fails AND earlier), 0)::BIGINT AS redundant,
+         coalesce(sum(n) FILTER (bits = bit), 0)::BIGINT AS unique_fails,
+         coalesce(sum(n) FILTER (fails AND NOT earlier AND good), 0)::BIGINT AS good_lost,
+         coalesce(sum(n) FILTER (fails AND NOT earlier AND toxic), 0)::BIGINT AS toxic_lost
+  FROM r GROUP BY part, filter_order, step
+)
+SELECT part, filter_order, step, kept, removed, redundant, unique_fails, good_lost, toxic_lost,
+       (sum(removed) OVER (PARTITION BY part, bit))::BIGINT AS shapley
+FROM t
+"""
+
+OP13 = rf"""
+WITH t AS (
+  SELECT doc_id, coalesce(text, '') AS text, sha256('42:' || coalesce(doc_id::VARCHAR, '')) AS h,
+         regexp_extract_all(coalesce(text, ''), '[{_SPACES}]*[^{_SPACES}]+|[{_SPACES}]+') AS w FROM documents
+), n AS (
+  SELECT doc_id, text, w, len(w)::BIGINT AS n, ('0x' || h[1:8])::BIGINT AS h1, ('0x' || h[9:16])::BIGINT AS h2,
+         ('0x' || h[17:24])::BIGINT AS h3, ('0x' || h[25:32])::BIGINT AS h4 FROM t
+), f AS (
+  SELECT *, least(h1 % (n + 1), h2 % (n + 1)) AS a, greatest(h1 % (n + 1), h2 % (n + 1)) AS b,
+         CASE WHEN text = '' OR contains(text, '<P>') OR contains(text, '<S>') OR contains(text, '<M>') OR h3 % 100 >= 50 THEN 'plain'
+              WHEN h4 % 100 < 80 THEN 'spm' ELSE 'psm' END AS form FROM n
+), c AS (
+  SELECT *, CASE WHEN a = 0 THEN '' ELSE array_to_string(w[1:a], '') END AS p, CASE WHEN b <= a THEN '' ELSE array_to_string(w[a + 1:b], '') END AS m,
+         CASE WHEN b >= n THEN '' ELSE array_to_string(w[b + 1:n], '') END AS s FROM f
+)
+SELECT doc_id, n, form, CASE WHEN form <> 'plain' THEN length(p) END::BIGINT AS prefix_chars,
+       CASE WHEN form <> 'plain' THEN length(m) END::BIGINT AS middle_chars,
+       sha256(CASE form WHEN 'plain' THEN text WHEN 'psm' THEN '<P>' || p || '<S>' || s || '<M>' || m
+                        ELSE '<S>' || s || '<P>' || p || '<M>' || m END) AS output_sha256, sha256(text) AS restored_sha256
+FROM c
+"""
+
 SQL: dict[str, str] = {
     "op3_pivot_topk": OP3,
     "op5_url_reputation": OP5,
     "op7_line_dedup": OP7,
     "op10_warc": OP10,
+    "op11_filter_audit": OP11,
+    "op13_fill_middle": OP13,
 }

@@ -9,11 +9,12 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from tidewater.llm import (decontaminate, html_extract, line_dedup, minhash_odd, oracle, pivot_topk, quality_mil, sentencepiece_codec, suffix_dedup,
-                           url_reputation, warc)
+from tidewater.llm import (decontaminate, fill_middle, filter_audit, html_extract, line_dedup, minhash_odd, oracle, pivot_topk, quality_mil,
+                           sentencepiece_codec, suffix_dedup, url_reputation, warc, window_packing)
 from tidewater.llm.common import ship_package, table
 
 PIECE_MODEL = "piece_bpe_32k.model"
+BYTE_BPE = "byte_bpe_50k.json"
 
 
 def op1_html_extract(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -63,6 +64,21 @@ def op10_warc(spark: SparkSession, sf_dir: str) -> DataFrame:
     return warc.archive_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_filter_audit(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return filter_audit.audit(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+def op12_window_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return window_packing.pack(table(spark, sf_dir, "documents"), public_tokenizers.path(BYTE_BPE))
+
+
+def op13_fill_middle(spark: SparkSession, sf_dir: str) -> DataFrame:
+    made = fill_middle.transform(table(spark, sf_dir, "documents"))
+    digest = lambda text: F.sha2(text.cast("binary"), 256)
+    return made.select("doc_id", "n", "form", "prefix_chars", "middle_chars", digest(F.col("output")).alias("output_sha256"),
+                       digest(fill_middle.restored(F.col("output"), F.col("form"))).alias("restored_sha256"))
+
+
 def _ready(query: Callable[[SparkSession, str], DataFrame]) -> Callable[[SparkSession, str], DataFrame]:
     def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         ship_package(spark)
@@ -82,6 +98,9 @@ _OPERATORS: dict[str, Callable[[SparkSession, str], DataFrame]] = {
     "op8_quality_mil": op8_quality_mil,
     "op9_suffix_dedup": op9_suffix_dedup,
     "op10_warc": op10_warc,
+    "op11_filter_audit": op11_filter_audit,
+    "op12_window_packing": op12_window_packing,
+    "op13_fill_middle": op13_fill_middle,
 }
 
 QUERIES = {name: _ready(query) for name, query in _OPERATORS.items()}
