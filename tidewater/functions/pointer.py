@@ -8,6 +8,7 @@ what the steps before it reached.  JSON ``null`` counts as a value (``variant_ge
 from __future__ import annotations
 
 import re
+from itertools import product
 
 from pyspark.sql import Column
 from pyspark.sql import functions as F
@@ -82,10 +83,27 @@ def follow(v: Column, path: Column) -> Column:
     return F.aggregate(path, v, step)
 
 
+#: Numeric tokens up to which a pointer is spelled out as whole paths: each doubles them.
+_MOST_NUMERIC = 2
+
+
+def paths(tokens: list[str]) -> list[str] | None:
+    """Whole variant paths of the pointer, one for each reading of its numeric tokens (at most one finds something), or None
+    where a member name has no path syntax or the readings are too many."""
+    readings = [[t] if (n := _array_index(t)) is None else [t, n] for t in tokens]
+    if sum(len(r) > 1 for r in readings) > _MOST_NUMERIC:
+        return None
+    out = [variant_path(list(r)) for r in product(*readings)]
+    return None if None in out else out
+
+
 def resolve(v: Column, tokens: list[str]) -> Column:
     """The variant the pointer selects, SQL NULL when it selects nothing."""
     if not tokens:
         return v
+    whole = paths(tokens)
+    if whole is not None:
+        return F.coalesce(*[F.try_variant_get(v, p, "variant") for p in whole])
     literal = F.array(*[F.struct(*[F.lit(s[k]).cast("string").alias(k) for k in ("name", "member", "element")])
                         for s in steps(tokens)])
     return follow(v, literal)

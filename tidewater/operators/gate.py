@@ -62,12 +62,16 @@ def schema_ok(table: RouteTable, key: Column, v: Column, body: Column) -> Column
 
 
 def pointer_ok(table: RouteTable, v: Column) -> Column:
-    """True when the route has no pointer, else whether the pointer selects a value.  The steps ride
-    on the route's row, so one expression serves all pointers."""
+    """True when the route has no pointer, else whether the pointer selects a value.  Whole paths, or the
+    steps of a pointer that has none, ride on the route's row, so one expression serves all pointers."""
     if not any(r.tokens for r in table.routes):
         return F.lit(True)
-    steps = F.col("pointer_steps")
-    return F.when(steps.isNull(), F.lit(True)).otherwise(jp.follow(v, steps).isNotNull())
+    whole, steps = F.col("pointer_paths"), F.col("pointer_steps")
+    found = F.exists(whole, lambda p: F.try_variant_get(v, p, "variant").isNotNull())
+    expr = F.when(steps.isNull(), F.lit(True)).when(whole.isNotNull(), found)
+    if any(r.tokens and jp.paths(r.tokens) is None for r in table.routes):
+        expr = expr.otherwise(jp.follow(v, steps).isNotNull())
+    return expr
 
 
 def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = None) -> DataFrame:

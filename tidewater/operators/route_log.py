@@ -13,6 +13,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from tidewater.operators.asof import asof_time, auto_width, neighbour
+from tidewater.session import materialised
 
 UPSERTS = ("Added", "Modified")
 
@@ -88,7 +89,7 @@ def changes(events: DataFrame, width: int | None = None) -> DataFrame:
     was live; a reset when any route was live just before it.
     """
     width = _width(events, width)
-    judged = _judged(events, width)
+    judged = materialised(_judged(events, width), "judged")       # read twice: for its rows and for the live counts
     live = judged.groupBy("reset_before").agg(F.sum("delta").alias("live"))
     resets = effective(events).where(F.col("event_type") == "Reseted").select("seq")
     since = neighbour(resets, [], "seq", width, out="reset_before", forward=False)

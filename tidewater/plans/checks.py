@@ -20,7 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.plans.avro import AvroType
-from tidewater.plans.predicate import is_integral, variant_path
+from tidewater.plans.predicate import variant_path
 
 _LEAF_FIELDS = [
     T.StructField("path", T.StringType()),        # variant path from the document (or element) root
@@ -38,7 +38,6 @@ CHECKS = T.ArrayType(CHECK)
 
 _SCALAR = {"string": "string", "bytes": "string", "int": "int", "long": "long", "float": "number",
            "double": "number", "boolean": "boolean", "null": "null", "enum": "enum", "fixed": "fixed"}
-_NUMERIC_KINDS = ("BIGINT", "INT", "SMALLINT", "TINYINT", "DOUBLE", "FLOAT")
 
 
 class _Complex(Exception):
@@ -113,47 +112,61 @@ def program(schema: AvroType) -> list[dict] | None:
         return None
 
 
-def _leaf(x: Column, kind: Column, symbols: Column, size: Column) -> Column:
-    """One scalar value against a scalar kind."""
-    k = F.schema_of_variant(x)
-    numeric = k.isin(*_NUMERIC_KINDS) | k.startswith("DECIMAL")
-    read = lambda sql_type: F.try_variant_get(x, "$", sql_type)
-    text = F.try_variant_get(x, "$", "string")
-    return (F.when(kind == "string", k == "STRING")
-            .when(kind == "int", is_integral(k, read, 32))
-            .when(kind == "long", is_integral(k, read, 64))
-            .when(kind == "number", numeric)
-            .when(kind == "boolean", k == "BOOLEAN")
-            .when(kind == "null", F.is_variant_null(x))
-            .when(kind == "enum", (k == "STRING") & F.array_contains(symbols, text))
-            .when(kind == "fixed", (k == "STRING") & (F.length(text) == size))
-            .when(kind == "object", x.try_cast("map<string,variant>").isNotNull())
-            .otherwise(F.lit(False)))
-
-
-def _check_ok(v: Column, c: Column, nested: bool = False) -> Column:
-    x = F.try_variant_get(v, c["path"], "variant")
-    as_map = x.try_cast("map<string,variant>")
-    as_arr = x.try_cast("array<variant>")
-    tagged = F.try_variant_get(v, c["tag_path"], "variant")
-    element = lambda e: F.coalesce(_leaf(e, c["inner"], c["symbols"], c["size"]), F.lit(False))
-    body = (F.when(c["kind"] == "array", as_arr.isNotNull() & F.forall(as_arr, element))
-            .when(c["kind"] == "map", as_map.isNotNull() & F.forall(F.map_values(as_map), element)))
+# The evaluation is one constant SQL text: building it out of Column calls would cost seconds a plan, and every value
+# is bound to a lambda's field once instead of being spelled out again wherever it is looked at.
+
+_INTEGERS = "'BIGINT', 'INT', 'SMALLINT', 'TINYINT'"
+
+
+def integral_sql(x: str, k: str, bits: int) -> str:
+    """:func:`tidewater.plans.predicate.is_integral` as SQL over the value ``x`` and its kind ``k``."""
+    narrow, wide = ("int", "float") if bits == 32 else ("bigint", "double")
+    whole = f"try_variant_get({x}, '$', '{narrow}') IS NOT NULL"
+    f = f"cast(try_variant_get({x}, '$', '{wide}') AS double)"
+    return (f"(CASE WHEN {k} IN ({_INTEGERS}) OR ({k} LIKE 'DECIMAL%' AND {k} LIKE '%,0)') THEN {whole} "
+            f"WHEN {k} IN ('DOUBLE', 'FLOAT') OR {k} LIKE 'DECIMAL%' THEN {f} = rint({f}) AND abs({f}) <= {float(2 ** (bits - 1))!r}D "
+            "ELSE false END)")
+
+
+def leaf_sql(x: str, k: str, kind: str, symbols: str, size: str) -> str:
+    """One value ``x`` of kind ``k`` (its ``schema_of_variant``) against a scalar kind; NULL counts as no."""
+    text = f"try_variant_get({x}, '$', 'string')"
+    return (f"(CASE {kind} WHEN 'string' THEN {k} = 'STRING' WHEN 'int' THEN {integral_sql(x, k, 32)} WHEN 'long' THEN {integral_sql(x, k, 64)} "
+            f"WHEN 'number' THEN {k} IN ({_INTEGERS}, 'DOUBLE', 'FLOAT') OR {k} LIKE 'DECIMAL%' "
+            f"WHEN 'boolean' THEN {k} = 'BOOLEAN' WHEN 'null' THEN is_variant_null({x}) "
+            f"WHEN 'enum' THEN {k} = 'STRING' AND array_contains({symbols}, {text}) "
+            f"WHEN 'fixed' THEN {k} = 'STRING' AND length({text}) = {size} "
+            f"WHEN 'object' THEN try_cast({x} AS map<string,variant>) IS NOT NULL ELSE false END)")
+
+
+def _run_sql(v: str, checks: str, nested: bool = False) -> str:
+    """``v`` passes all of ``checks``: each check's value is fetched once, its kind once, then judged."""
+    c, s, e, g = ("c2", "s2", "e2", "g2") if nested else ("c1", "s1", "e1", "g1")
+    held = (f"transform({checks}, {c} -> named_struct('c', {c}, "
+            f"'free', exists({c}.guards, {g} -> coalesce(is_variant_null(try_variant_get({v}, {g}, 'variant')), false)), "
+            f"'x', try_variant_get({v}, {c}.path, 'variant'), "
+            f"'y', CASE WHEN {c}.kind = 'nullable' THEN try_variant_get({v}, {c}.tag_path, 'variant') "
+            f"WHEN {c}.kind NOT IN ('array', 'map', 'array_records', 'map_records', 'nullable_record', 'object') THEN try_variant_get({v}, {c}.path, 'variant') END))")
+    elements = (f"CASE WHEN {s}.c.kind LIKE 'array%' THEN try_cast({s}.x AS array<variant>) "
+                f"ELSE map_values(try_cast({s}.x AS map<string,variant>)) END")
+    leaves = f"coalesce(forall({elements}, {e} -> coalesce({leaf_sql(e, f'schema_of_variant({e})', f'{s}.c.inner', f'{s}.c.symbols', f'{s}.c.size')}, false)), false)"
+    one_key = f"size(try_cast({s}.x AS map<string,variant>)) = 1"
+    scalar = leaf_sql(f"{s}.y", f"schema_of_variant({s}.y)", f"CASE {s}.c.kind WHEN 'nullable' THEN {s}.c.inner ELSE {s}.c.kind END",
+                      f"{s}.c.symbols", f"{s}.c.size")
+    body = f"WHEN {s}.c.kind IN ('array', 'map') THEN {leaves} "
     if not nested:
-        record_ok = lambda e: F.forall(c["element"], lambda ec: _check_ok(e, ec, nested=True))
-        body = (body.when(c["kind"] == "array_records", as_arr.isNotNull() & F.forall(as_arr, record_ok))
-                .when(c["kind"] == "map_records",
-                      as_map.isNotNull() & F.forall(F.map_values(as_map), record_ok)))
-    body = (body.when(c["kind"] == "nullable",
-                      F.is_variant_null(x) | ((F.size(as_map) == 1) & _leaf(tagged, c["inner"], c["symbols"], c["size"])))
-            .when(c["kind"] == "nullable_record",
-                  F.is_variant_null(x) | ((F.size(as_map) == 1) & tagged.try_cast("map<string,variant>").isNotNull()))
-            .otherwise(_leaf(x, c["kind"], c["symbols"], c["size"])))
-    vacuous = F.exists(c["guards"], lambda g: F.coalesce(
-        F.is_variant_null(F.try_variant_get(v, g, "variant")), F.lit(False)))
-    return F.coalesce(vacuous | body, F.lit(False))
+        body += (f"WHEN {s}.c.kind IN ('array_records', 'map_records') THEN "
+                 f"coalesce(forall({elements}, {e} -> {_run_sql(e, f'{s}.c.element', nested=True)}), false) ")
+    body += (f"WHEN {s}.c.kind = 'object' THEN try_cast({s}.x AS map<string,variant>) IS NOT NULL "
+             f"WHEN {s}.c.kind = 'nullable_record' THEN is_variant_null({s}.x) OR ({one_key} AND "
+             f"try_cast(try_variant_get({v}, {s}.c.tag_path, 'variant') AS map<string,variant>) IS NOT NULL) "
+             f"WHEN {s}.c.kind = 'nullable' THEN is_variant_null({s}.x) OR ({one_key} AND {scalar}) ELSE {scalar} END")
+    return f"forall({held}, {s} -> coalesce(CASE WHEN {s}.free THEN true {body}, false))"
+
+
+_PROGRAM = f"r0 -> coalesce(r0.v IS NOT NULL AND {_run_sql('r0.v', 'r0.checks')}, false)"
 
 
 def run(v: Column, checks: Column) -> Column:
     """Boolean Column: the parsed body ``v`` passes every check of the row's program."""
-    return F.coalesce(v.isNotNull() & F.forall(checks, lambda c: _check_ok(v, c)), F.lit(False))
+    return F.call_function("exists", F.array(F.struct(v.alias("v"), checks.alias("checks"))), F.expr(_PROGRAM))

@@ -72,6 +72,7 @@ ROUTE_COLUMNS = T.StructType([
     T.StructField("compile_status", T.StringType()),
     T.StructField("schema_checks", CK.CHECKS),
     T.StructField("pointer_steps", jp.STEPS),
+    T.StructField("pointer_paths", T.ArrayType(T.StringType())),
 ])
 
 ROUTE_ERRORS = T.StructType([
@@ -145,7 +146,7 @@ class RouteTable:
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
                  r.fingerprint if r.validates else None, r.pointer, r.pointer_valid,
                  r.has_target, r.renames, r.compile_status, r.checks if r.validates else None,
-                 jp.steps(r.tokens) if r.tokens else None) for r in self.routes]
+                 jp.steps(r.tokens) if r.tokens else None, jp.paths(r.tokens) if r.tokens else None) for r in self.routes]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), ROUTE_COLUMNS)

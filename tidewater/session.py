@@ -3,8 +3,9 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
 
 CHECKPOINT_CONF = "spark.checkpoint.dir"
 
@@ -38,17 +39,28 @@ def ensure_utc(spark: SparkSession) -> None:
 def checkpoint_dir(spark: SparkSession) -> str:
     """The shared folder the cluster names in spark.checkpoint.dir.
 
-    Only when it is unset (local tests) do we pick a private temporary folder.
+    Only when it is unset and the master is local (tests) do we pick a private temporary folder; a
+    cluster's executors could not see it.
     """
     configured = spark.conf.get(CHECKPOINT_CONF, None) or spark.sparkContext.getCheckpointDir()
     if configured:
         return configured
+    if not spark.sparkContext.master.startswith("local["):
+        raise RuntimeError(f"set {CHECKPOINT_CONF} to a folder that driver and executors share")
     local = tempfile.mkdtemp(prefix="tidewater-ckpt-")
     spark.conf.set(CHECKPOINT_CONF, local)
     spark.sparkContext.setCheckpointDir(local)
     return local
 
 
+def materialised(df: DataFrame, name: str) -> DataFrame:
+    """``df`` written to the shared checkpoint folder and read back: computed once for several readers, and no
+    lineage behind it that a lost executor would make Spark repeat."""
+    path = f"{checkpoint_dir(df.sparkSession).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
+
+
 def cluster_conf(executors: int = 1000, cores_per_executor: int = 8) -> dict[str, str]:
     """Settings for a large cluster run (about 100 TB of requests / landed rows).
 
