@@ -3,7 +3,8 @@
 
 The landing table is Parquet in slices: ``stream=<writer>/batch_id=<n>/producer=<p>``.
 A batch owns its slice and writes it by overwriting, so running a batch again replaces
-what its first attempt left and can neither double nor skip a record.  Files are sorted
+what its first attempt left and can neither double nor skip a record.  The manifest beside the
+table (:mod:`tidewater.operators.manifest`) says which slices are committed.  Files are sorted
 by ``ts``, so the pull predicate ``ts > watermark`` prunes row groups by min/max
 statistics; ``producer`` prunes folders.  Records never collapse on write; the keyed
 last-write-wins view (T6) is an explicit operator.
@@ -19,6 +20,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import Window
 
 from tidewater.functions import documents as docs
+from tidewater.operators.manifest import record_slice
 
 LANDING_COLUMNS = ["producer", "timestampUTC", "ts", "id", "payload", "createdAt",
                    "schemaSubject", "schemaVersion", "schemaFingerprint", "batch_id"]
@@ -51,8 +53,9 @@ def slice_path(path: str, stream: str, batch_id: int) -> str:
 
 
 def write_landing(landed: DataFrame, path: str, stream: str | None = None, batch_id: int = 0,
-                  table: str | None = None) -> None:
-    """Write a batch's slice, replacing what an earlier attempt at the same batch wrote (S3).
+                  table: str | None = None, stats: list[tuple] | None = None) -> None:
+    """Write a batch's slice, replacing what an earlier attempt at the same batch wrote, and commit it in the
+    manifest (S3); ``stats`` are its rows by producer where the caller has them.
 
     Without ``stream`` the rows are a slice of their own.  ``rebalance`` lets AQE size the
     write tasks from the data: a producer holding a third of the batch is split into
@@ -67,6 +70,7 @@ def write_landing(landed: DataFrame, path: str, stream: str | None = None, batch
      .write.mode("overwrite").partitionBy("producer").parquet(target))
     if table:
         register_slice(landed.sparkSession, table, target, stream, batch_id)
+    record_slice(landed.sparkSession, path, target, stream, batch_id, stats)
 
 
 def register_slice(spark: SparkSession, table: str, target: str, stream: str, batch_id: int) -> None:
@@ -99,10 +103,15 @@ def read_landing(spark: SparkSession, path: str) -> DataFrame:
 _EPOCH = dt.datetime(1970, 1, 1, tzinfo=dt.timezone.utc)
 
 
+def utc_micros(ts: dt.datetime) -> int:
+    """Microseconds since the epoch; naive means UTC."""
+    aware = ts if ts.tzinfo else ts.replace(tzinfo=dt.timezone.utc)
+    return (aware - _EPOCH) // dt.timedelta(microseconds=1)
+
+
 def utc_literal(ts: dt.datetime) -> Column:
     """A timestamp literal that no time zone of process or session moves; naive means UTC."""
-    aware = ts if ts.tzinfo else ts.replace(tzinfo=dt.timezone.utc)
-    return F.timestamp_micros(F.lit((aware - _EPOCH) // dt.timedelta(microseconds=1)))
+    return F.timestamp_micros(F.lit(utc_micros(ts)))
 
 
 def incremental_pull(landed: DataFrame, producer: str, watermark_ts: dt.datetime) -> DataFrame:

@@ -1,11 +1,11 @@
 """Pull landed rows into a target table.
 
-``producer = X AND ts > watermark`` reads one producer's new rows (partition
-pruning + Parquet min/max pushdown), each payload is exploded when it is an
+One producer's new rows are those of batches committed since the last run (C7; :func:`pull` reads them by
+``ts > watermark`` instead, with partition pruning and Parquet min/max pushdown), each payload is exploded when it is an
 array (C1), the route's pointer applied (C2), members decoded into the target's
 typed columns with containers kept as variant (C3, C6), the envelope appended
 (C4), and the batch merged by key into the target (C5).  The watermark lives in
-the table comment (C7).
+the table comment.
 
 Envelope values always come from the landed row, also where the target declares
 columns of their names: what a producer writes into its documents moves neither the
@@ -23,15 +23,12 @@ from pyspark.sql import functions as F
 
 from tidewater.functions import pointer as jp
 from tidewater.operators.landing import incremental_pull, utc_literal
+from tidewater.operators.manifest import PositionLog, past, read_new
 from tidewater.plans import layout
 from tidewater.plans.predicate import variant_path
 from tidewater.settings import COMMENT_PROPERTY, TIMESTAMP_COLUMN
 
 
-#: How far before the watermark a run looks for rows that landed late.
-LATE_OVERLAP = dt.timedelta(hours=1)
-
-
 class WatermarkError(RuntimeError):
     """The target table has no readable watermark; refuse to pull."""
 
@@ -252,34 +249,48 @@ def append_missing(spark: SparkSession, table: str, incoming: DataFrame, key: li
     return n
 
 
-def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer: str,
-                    columns: list[layout.Column], merge_key: str, version: int,
-                    insert_only: bool = True, overlap: dt.timedelta = LATE_OVERLAP) -> dict:
+def position_log(spark: SparkSession, table: str) -> PositionLog:
+    """The target's own log of how far it has read the landing table, beside its data."""
+    base, _, tail = table_location(spark, table).rstrip("/").rpartition("/_v")
+    return PositionLog(spark, f"{base if base and tail.isdigit() else table_location(spark, table).rstrip('/')}_positions")
+
+
+def pull_into_table(spark: SparkSession, landed: DataFrame | str, table: str, producer: str,
+                    columns: list[layout.Column], merge_key: str, version: int, insert_only: bool = True) -> dict:
     """One consumer run for one target table (C2-C7 end to end).
 
-    The watermark comes from the table comment and the pointer from the table's
-    ``json-pointer-expression`` property, both written at provisioning.  Rows are decoded and
-    merged by the merge key, and the watermark then moves to the newest *landing* time
-    among them.  Rows land out of order (several files, several streams), so a run reads
-    again what landed up to ``overlap`` before the watermark; the keyed merge skips what
-    it knows.  A run that fails before the last step leaves the watermark where it was.
+    A run reads what *landed* since the last one: the target's log holds the last batch read of each stream, so a row is
+    pulled by the run after its batch was committed, however old its ``ts`` is, and once.  ``landed`` is the landing
+    path, read through its manifest, or a frame with its columns.  The pointer comes from the table's
+    ``json-pointer-expression`` property and the watermark from the table comment, both written at provisioning; the
+    watermark is the newest landing time merged, and only reports (a table without a readable one is refused).  Rows
+    are decoded and merged by the merge key before the position and then the watermark move, so a run that fails in
+    between is repeated, and the keyed merge skips what it knows.
 
-    Returns the table, ``pulled`` (landed rows past the watermark), ``inserted`` (documents new to
-    the table, late ones included; None with ``insert_only=False``) and the watermark.
+    Returns the table, ``read`` (landed rows of new batches), ``pulled`` (those past the watermark), ``inserted``
+    (documents new to the table; None with ``insert_only=False``) and the watermark.
     """
     from tidewater.settings import POINTER_PROPERTY
     watermark = read_watermark(spark, table)
     pointer = table_property(spark, table, POINTER_PROPERTY)
-    bound = max(watermark - overlap, dt.datetime(1970, 1, 1))
-    rows = incremental_pull(landed, producer, bound)
-    past = F.col("ts") > utc_literal(watermark)
-    # of the landing columns alone; what lands meanwhile is left to the next run
+    log = position_log(spark, table)
+    position, _ = log.last()
+    if isinstance(landed, str):
+        rows, position = read_new(spark, landed, producer, position)
+    else:
+        landed = landed if "stream" in landed.columns else landed.withColumn("stream", F.lit(""))
+        rows = landed.where((F.col("producer") == F.lit(producer)) & past(position))
+        heads = {r["stream"]: r["head"] for r in rows.groupBy("stream").agg(F.max("batch_id").alias("head")).collect()}
+        # what lands meanwhile is left to the next run
+        rows = rows.where(~past({**position, **heads})) if heads else rows.limit(0)
+        position = {**position, **heads}
+    newer = F.col("ts") > utc_literal(watermark)
     seen = rows.agg(F.max(F.unix_micros("ts")).alias("newest"), F.min("timestampUTC").alias("since"),
-                    F.count_if(past).alias("n")).first()
-    if seen["newest"] is None:
-        return {"table": table, "pulled": 0, "inserted": 0, "watermark": watermark}
+                    F.count(F.lit(1)).alias("n"), F.count_if(newer).alias("past")).first()
+    if not seen["n"]:
+        return {"table": table, "read": 0, "pulled": 0, "inserted": 0, "watermark": watermark}
     newest = dt.datetime(1970, 1, 1) + dt.timedelta(microseconds=seen["newest"])
-    docs = pull(landed.where(F.col("ts") <= utc_literal(newest)), producer, bound, columns, pointer, merge_key)
+    docs = decode(apply_pointer(explode_payload(rows), pointer), columns, merge_key)
     ts_col = next(c.name for c in columns if c.name.lower() == TIMESTAMP_COLUMN.lower())
     key = next(c.name for c in columns if c.name.lower() == merge_key.lower())
     inserted = None
@@ -288,6 +299,7 @@ def pull_into_table(spark: SparkSession, landed: DataFrame, table: str, producer
         inserted = append_missing(spark, table, docs, [key], ts_col, seen["since"] if text else None)
     else:
         merge_into_table(spark, table, docs, [key], [ts_col], version)
+    log.commit(position)
     if newest > watermark:
         advance_watermark(spark, table, newest)
-    return {"table": table, "pulled": seen["n"], "inserted": inserted, "watermark": max(newest, watermark)}
+    return {"table": table, "read": seen["n"], "pulled": seen["past"], "inserted": inserted, "watermark": max(newest, watermark)}

@@ -15,10 +15,10 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
-from pyspark.sql.utils import AnalysisException
 
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
+from tidewater.operators import manifest as MF
 from tidewater.operators import metrics as M
 from tidewater.plans.routes import RouteTable
 
@@ -62,13 +62,17 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
     spark = batch.sparkSession
     gated = G.gate(batch, routes(), spark).select(*G.SINK_COLUMNS).persist()
     try:
-        L.write_landing(L.envelope(G.accepted(gated), batch_id), landing_path, stream, batch_id, table)
+        # one pass that also fills the cache: rejects in all (they may name any producer), accepted by producer, one a route
+        ok, us = F.col("error_code").isNull(), F.unix_micros("received_at")
+        per = gated.groupBy(F.when(ok, F.col("producer")).alias("producer"), ok.alias("ok")).agg(
+            F.count(F.lit(1)).alias("n"), F.min(us).alias("first"), F.max(us).alias("last")).collect()
+        stats = [(r["producer"], r["n"], r["first"], r["last"]) for r in per if r["ok"]]
+        counts = {"landed": sum(s[1] for s in stats), "rejected": sum(r["n"] for r in per if not r["ok"])}
+        L.write_landing(L.envelope(G.accepted(gated), batch_id), landing_path, stream, batch_id, table, stats)
         write_slice(G.rejected(gated).hint("rebalance"), rejects_path, stream, batch_id)
         if metrics_path:
             # metrics from the same gated frame: no second gate pass, and route swaps apply
             write_slice(batch_metrics(gated), metrics_path, stream, batch_id)
-        counts = gated.agg(F.count_if(F.col("error_code").isNull()).alias("landed"),
-                           F.count_if(F.col("error_code").isNotNull()).alias("rejected")).first().asDict()
     finally:
         gated.unpersist()
     record = spark.range(1).select(F.lit(counts["landed"]).cast("long").alias("landed"),
@@ -134,22 +138,25 @@ def start_metrics(requests_stream: DataFrame, routes: Callable[[], RouteTable],
 
 def drain(spark: SparkSession, landing_path: str, producer: str, checkpoint: str, out_path: str,
           capacity: int | None = None) -> DataFrame:
-    """Everything landed for ``producer`` since the previous drain with this checkpoint, oldest
-    first and each record once (S7, W2); ``out_path`` is a fresh folder per drain.  With
-    ``capacity`` only the newest ``capacity`` records are kept, as a bounded per-producer buffer
-    would (W1; the service's default is ``settings.DEFAULT_BUFFER_CAPACITY``).  An unknown
-    producer drains nothing."""
-    stream = (spark.readStream.schema(L.LANDING_DDL).parquet(landing_path)
-              .where(F.col("producer") == F.lit(producer)))
-    query = (stream.writeStream.format("parquet").option("path", out_path)
-             .option("checkpointLocation", checkpoint).trigger(availableNow=True).start())
-    query.awaitTermination()
-    try:
-        drained = spark.read.schema(L.LANDING_DDL).parquet(out_path)
-    except AnalysisException:
-        return spark.createDataFrame([], L.LANDING_DDL)
-    # a slice that a replay has written again is new files to the reader, with the same ids
-    drained = L.keyed_last_write(drained, ["id"], ["batch_id", "stream"]).select(*drained.columns)
-    if capacity is not None:
-        drained = L.last_n(drained, ["producer"], [F.col("ts").desc()], capacity).drop("rank")
-    return L.chronological(drained)
+    """Everything committed for ``producer`` since the previous drain with this checkpoint, oldest first and each record
+    once (S7, W2), any number of times.
+
+    The checkpoint holds the last batch read of each stream, so what a batch that runs again rewrites is not drained a
+    second time, nor rows that compaction has moved.  ``out_path`` is a folder of each drain's own: its rows are
+    written there before the position moves, and a drain that died, before or after that, is repeated whole by calling
+    it again with the same folder.  With ``capacity`` only the newest ``capacity`` records are kept, as a bounded
+    per-producer buffer would (W1; the service's default is ``settings.DEFAULT_BUFFER_CAPACITY``).  An unknown producer
+    drains nothing.
+    """
+    out_path = out_path.rstrip("/")
+    log = MF.PositionLog(spark, checkpoint)
+    position, done = log.last()
+    if done != out_path:
+        rows, position = MF.read_new(spark, landing_path, producer, position)
+        # two streams that landed one request, or an attempt whose slice was read before it was rewritten: one id, one record
+        rows = L.keyed_last_write(rows, ["id"], ["batch_id", "stream"]).select(*rows.columns)
+        if capacity is not None:
+            rows = L.last_n(rows, ["producer"], [F.col("ts").desc()], capacity).drop("rank")
+        rows.write.mode("overwrite").parquet(out_path)
+        log.commit(position, out_path)
+    return L.chronological(spark.read.schema(L.LANDING_DDL).parquet(out_path))
