@@ -155,3 +155,18 @@ def test_pointer_key_with_both_quote_kinds(spark):
     got = df.select(jp.extract_text(v, jp.segments("/a'b\"c/x/1")).alias("hit"),
                     jp.extract_text(v, jp.segments("/a'b\"c/y")).alias("miss")).first()
     assert got["hit"] == "20" and got["miss"] is None
+
+
+@pytest.mark.parametrize("body, want", [
+    ('{ "a" : {"id":2} ,\t"id" : 123456789012345678901234567890123456789012 }', '{ "a" : {"id":2} ,\t"push_event_id" : 123456789012345678901234567890123456789012 }'),
+    ('{"z":{"b":1.50,"a":2},"id":1e0}', '{"z":{"b":1.50,"a":2},"push_event_id":1e0}'),
+    (r'{"a":"x\"id\":","\u0069d":[1,  2]}', r'{"a":"x\"id\":","push_event_id":[1,  2]}'),
+    (r'{"a":[{"id":1},{"id":2}],"id":"😀\\","c":"]}"}', r'{"a":[{"id":1},{"id":2}],"push_event_id":"😀\\","c":"]}"}'),
+    ('\n{"id"\n:\r3,"é\\n":"id"}\n', '\n{"push_event_id"\n:\r3,"é\\n":"id"}\n'),
+    ('{"id":"id"}', '{"push_event_id":"id"}'), ('{"x":"id"}', '{"x":"id"}'), ('{"id":1}{"id":2}', '{"id":1}{"id":2}'), ('{"id":1,"id":2}', '{"id":1,"id":2}'),
+    ('{"k":[' + '{"id":0},' * 3000 + '0],"id":1}', '{"k":[' + '{"id":0},' * 3000 + '0],"push_event_id":1}'),
+    ('{"s":"' + '\\"{[' * 5000 + '","id":1}', '{"s":"' + '\\"{[' * 5000 + '","push_event_id":1}'),
+])
+def test_rename_changes_nothing_but_the_name(spark, body, want):
+    df = spark.createDataFrame([(body,)], "b string")
+    assert df.select(rename_root_id(F.col("b"), F.try_parse_json("b"))).first()[0] == want

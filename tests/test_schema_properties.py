@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 
 from tidewater.plans import avro
 from tidewater.plans import checks as CK
+from tidewater.plans import tree_checks as TC
 from tidewater.plans.predicate import conforms
 
 SCALARS = ["string", "int", "long", "double", "float", "boolean", "bytes", "null"]
@@ -100,14 +101,75 @@ def test_three_evaluations_agree(spark, seed):
             v = mutate(v, rng)
         bodies.append(json.dumps(v))
     prog = CK.program(t)
-    df = spark.createDataFrame([(b, prog) for b in bodies], f"b string, checks {CK.CHECKS.simpleString()}")
+    df = spark.createDataFrame([(b, prog, TC.program(t)) for b in bodies],
+                               f"b string, checks {CK.CHECKS.simpleString()}, nodes {TC.NODES.simpleString()}")
     v = F.try_parse_json("b")
-    cols = [conforms(t, v).alias("compiled")]
+    cols = [conforms(t, v).alias("compiled"), TC.run(v, F.col("b"), F.col("nodes"), F.lit(TC.levels(t))).alias("tree"),
+            TC.run(v, F.col("b"), F.col("nodes"), F.lit(None)).alias("tree_by_document")]
     if prog is not None:
         cols.append(CK.run(v, F.col("checks")).alias("program"))
     got = df.select(*cols).collect()
     for body, row in zip(bodies, got):
         want = avro.conforms_text(t, body)
         assert row["compiled"] is want, (json.dumps(root), body)
+        assert row["tree"] is want and row["tree_by_document"] is want, (json.dumps(root), body)
         if prog is not None:
             assert row["program"] is want, (json.dumps(root), body)
+
+
+NODE = {"type": "record", "name": "Node", "fields": [
+    {"name": "v", "type": ["int", "string", {"type": "array", "items": "Node"}]}, {"name": "next", "type": ["null", "Node"]}]}
+
+
+def gen_node(rng, depth):
+    v = rng.choice([{"int": 3}, {"string": "x"}] * 5 + [{"int": "3"}, {"long": 3}, None])
+    if depth and rng.random() < 0.4:
+        v = {"array": [gen_node(rng, depth - 1) for _ in range(rng.randrange(3))]}
+    return {"v": v, "next": {"Node": gen_node(rng, depth - 1)} if depth and rng.random() < 0.7 else None}
+
+
+def test_types_that_refer_to_themselves(spark):
+    rng = random.Random(4)
+    t = avro.parse_schema(json.dumps(NODE))
+    assert avro.is_recursive(t) and TC.levels(t) is None
+    docs = [gen_node(rng, rng.randrange(6)) for _ in range(300)]
+    deep = {"v": {"int": 1}, "next": None}
+    for _ in range(150):
+        deep = {"v": {"int": 1}, "next": {"Node": deep}}
+    bad = json.loads(json.dumps(deep).replace('"next": null', '"next": 5'))
+    texts = [json.dumps(d) for d in [*docs, deep, bad]]
+    df = spark.createDataFrame([(b, TC.program(t)) for b in texts], f"b string, nodes {TC.NODES.simpleString()}").repartition(4)
+    got = dict(df.select("b", TC.run(F.try_parse_json("b"), F.col("b"), F.col("nodes"), F.lit(None))).collect())
+    want = {b: avro.conforms_text(t, b) for b in texts}
+    assert got == want and 20 < sum(want.values()) < len(want) - 20 and want[texts[-2]] and not want[texts[-1]]
+
+
+def test_a_union_at_the_root(spark):
+    t = avro.parse_schema(json.dumps(["null", "string", {"type": "record", "name": "R", "fields": [{"name": "a", "type": "int"}]}]))
+    texts = ['{"R":{"a":1}}', '{"R":{"a":"1"}}', "null", '{"string":"x"}', '{"a":1}', "5"]
+    only = avro.parse_schema('"string"')
+    df = spark.createDataFrame([(b, TC.program(t), TC.program(only)) for b in texts], f"b string, nodes {TC.NODES.simpleString()}, "
+                               f"only {TC.NODES.simpleString()}")
+    v = F.try_parse_json("b")
+    got = df.select(TC.run(v, F.col("b"), F.col("nodes"), F.lit(TC.levels(t))), TC.run(v, F.col("b"), F.col("only"), F.lit(1))).collect()
+    assert [r[0] for r in got] == [avro.conforms_text(t, b) for b in texts] == [True, False, False, False, False, False]
+    assert not any(r[1] for r in got)
+
+
+def test_a_thousand_schemas_plan_like_one(spark):
+    from tests.test_gate import SETTINGS, route, table
+    from tidewater.operators import gate as G
+    from tidewater.sources import requests as RQ
+
+    def schema(k):
+        return json.dumps({"type": "record", "name": f"R{k}", "fields": [
+            {"name": f"f{k}", "type": ["null", "int", "string"]}, {"name": "m", "type": {"type": "map", "values": {"type": "array", "items": "int"}}}]})
+
+    reqs = RQ.conform(spark.createDataFrame([], RQ.REQUEST_SCHEMA))
+    sizes = []
+    for n in (1, 1000):
+        gated = G.gate(reqs, table(spark, [route(f"p{k}", f"p{k}", payloadSchema=schema(k)) for k in range(n)]), spark)
+        plan = gated._jdf.queryExecution().analyzed().toString()
+        assert "PythonUDF" not in plan and SETTINGS is not None
+        sizes.append(sum(len(line) for line in plan.splitlines() if "LocalRelation" not in line and "LogicalRDD" not in line))
+    assert sizes[1] < sizes[0] * 1.05

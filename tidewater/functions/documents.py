@@ -14,30 +14,40 @@ def is_json_media_type(content_type: Column) -> Column:
     return F.coalesce(main == "application/json", F.lit(False))
 
 
-def rename_inputs(body: Column, v: Column) -> tuple[Column, Column]:
-    """Root keys in document order, and the root members (NULL unless the whole text is one object
-    without duplicate keys: parsing alone would ignore what follows the first document)."""
-    alone = F.size(F.try_parse_json(F.concat(F.lit("["), body, F.lit("]"))).try_cast("array<variant>")) == 1
-    return F.json_object_keys(body), F.when(alone, v.try_cast("map<string,variant>"))
+# One string of a JSON text after the other: what lies outside strings before it moves the depth, and a string at depth 1
+# that a colon follows is a member's name.  Escapes are blanked out first, two characters for two, so every quote left is
+# a string's edge and places stay what they are in the text.
+_COUNT = "length({0}) - length(translate({0}, '{1}', ''))"
+_SCAN = rf"""aggregate(
+  CASE WHEN size(s0.parts) > 2 THEN sequence(0, size(s0.parts) - 3, 2) ELSE cast(array() AS array<int>) END,
+  named_struct('depth', 0, 'seen', 0, 'at', 0, 'found', -1, 'width', 0),
+  (a0, i0) -> transform(array(named_struct(
+      'depth', a0.depth + {_COUNT.format('s0.parts[i0]', '{[')} - ({_COUNT.format('s0.parts[i0]', '}]')}),
+      'start', a0.at + length(s0.parts[i0]) + 1, 'width', length(s0.parts[i0 + 1]))), t0 -> transform(array(
+        a0.seen + CASE WHEN t0.depth = 1 AND s0.parts[i0 + 2] RLIKE r'^[ \t\n\r]*:' THEN 1 ELSE 0 END), n0 -> named_struct(
+      'depth', t0.depth, 'seen', n0, 'at', t0.start + t0.width + 1,
+      'found', CASE WHEN n0 = s0.nth AND a0.seen < n0 THEN t0.start ELSE a0.found END,
+      'width', CASE WHEN n0 = s0.nth AND a0.seen < n0 THEN t0.width ELSE a0.width END))[0])[0])"""
+_FIRST = r"^[ \t\n\r]*\{[ \t\n\r]*"              # before the first member: most documents begin with their id
+_RENAME = rf"""r0 -> CASE WHEN array_contains(json_object_keys(r0.body), 'id') AND NOT array_contains(json_object_keys(r0.body), '{PUSH_EVENT_ID}')
+    AND try_cast(r0.v AS map<string,variant>) IS NOT NULL
+    AND size(try_cast(try_parse_json(concat('[', r0.body, ']')) AS array<variant>)) = 1
+  THEN CASE WHEN r0.body RLIKE r'{_FIRST}"id"[ \t\n\r]*:' THEN regexp_replace(r0.body, r'({_FIRST})"id"', '$1"{PUSH_EVENT_ID}"')
+    ELSE transform(array(named_struct('parts', split(regexp_replace(r0.body, r'(?s)\\.', '__'), '"'),
+                                    'nth', cast(array_position(json_object_keys(r0.body), 'id') AS int))),
+    s0 -> transform(array({_SCAN}), f0 -> CASE WHEN f0.found < 0 THEN r0.body ELSE concat(
+      left(r0.body, f0.found - 1), '"{PUSH_EVENT_ID}"', substring(r0.body, f0.found + f0.width + 2)) END)[0])[0] END
+  ELSE r0.body END"""
 
 
-def rename_from(body: Column, keys: Column, members: Column) -> Column:
-    """Object root with "id" and without "push_event_id": rename it, keep root order.
+def rename_root_id(body: Column, v: Column) -> Column:
+    """Object root with "id" and without "push_event_id": rename that member (P3), every other character as it was sent.
 
-    The document is re-serialised compactly; anything else is returned untouched.
-    ``keys`` / ``members`` come from :func:`rename_inputs`, ideally materialised once.
+    ``v`` is the body parsed once (NULL for invalid JSON or duplicate keys).  The whole text must be one object: parsing
+    alone would ignore what follows the first document.  Anything else is returned untouched.
     """
-    wanted = (F.array_contains(keys, "id") & ~F.array_contains(keys, PUSH_EVENT_ID) & members.isNotNull())
-    renamed = F.to_json(F.map_from_arrays(
-        F.transform(keys, lambda k: F.when(k == "id", F.lit(PUSH_EVENT_ID)).otherwise(k)),
-        F.transform(keys, lambda k: F.element_at(members, k))))
-    return F.when(F.coalesce(wanted, F.lit(False)), renamed).otherwise(body)
-
-
-def rename_root_id(body: Column, v: Column) -> Column:
-    """P3 as one expression (``v`` is the body parsed once; NULL for invalid JSON or duplicate keys)."""
-    keys, members = rename_inputs(body, v)
-    return rename_from(body, keys, members)
+    renamed = F.call_function("transform", F.array(F.struct(body.alias("body"), v.alias("v"))), F.expr(_RENAME))
+    return F.coalesce(renamed.getItem(0), body)
 
 
 def utc_text(ts: Column) -> Column:

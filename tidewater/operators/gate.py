@@ -9,55 +9,35 @@ single CASE chain where the first failing rule wins:
 
 The body is parsed to a variant once, and only for rows that passed the cheap
 header checks on a route that needs it (schema, pointer or rename).  Check programs
-and pointer steps are data on the route's row, so the expression does not grow with
-the number of routes; only schemas beyond what a program can say are CASE branches.
+and pointer paths are data on the route's row, so the expression does not grow with
+the number of routes; its Columns are built once a session.
 """
 
 from __future__ import annotations
 
-import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
-from pyspark.sql import types as T
 
 from tidewater.functions import documents as docs
 from tidewater.functions import errors as E
 from tidewater.functions import pointer as jp
-from tidewater.plans import avro
 from tidewater.plans import checks as CK
-from tidewater.plans.predicate import conforms
+from tidewater.plans import tree_checks as TC
 from tidewater.plans.routes import RouteTable
 
 
-def _recursive_check(schema_texts: dict[str, str]):
-    parsed = {k: avro.parse_schema(v) for k, v in schema_texts.items()}
-
-    @F.pandas_udf(T.BooleanType())
-    def check(key: pd.Series, body: pd.Series) -> pd.Series:
-        return pd.Series([bool(avro.conforms_text(parsed[k], b)) if k in parsed else True
-                          for k, b in zip(key, body)])
-    return check
-
-
-def schema_ok(table: RouteTable, key: Column, v: Column, body: Column) -> Column:
+def schema_ok(table: RouteTable, v: Column, body: Column) -> Column:
     """True when the route has no active schema, else the conformity verdict.
 
-    A schema with a check program is evaluated from the program on its route's row
-    (``schema_checks``), one expression for all of them; a schema without one (unions of several
-    types, containers in containers) is a CASE branch of its own, a recursive one goes to Python.
+    A schema is evaluated from the program on its route's row: a flat list of checks where that can say it, a table of
+    nodes otherwise (unions of several types, containers in containers, types that refer to themselves).  Both are one
+    expression for all routes, and the second is left out where no route needs it.
     """
-    schemas = table.schemas()
-    if not schemas:
+    if not table.schemas():
         return F.lit(True)
     expr = F.when(F.col("schema_checks").isNotNull(), CK.run(v, F.col("schema_checks")))
-    recursive = {}
-    for fp, route in schemas.items():
-        if route.recursive:
-            recursive[fp] = route.payload_schema
-        elif route.checks is None:
-            expr = expr.when(key == fp, conforms(route.schema, v))
-    if recursive:
-        expr = expr.when(key.isin(*recursive), _recursive_check(recursive)(key, body))
+    if any(r.nodes for r in table.schemas().values()):
+        expr = expr.when(F.col("schema_nodes").isNotNull(), TC.run(v, body, F.col("schema_nodes"), F.col("schema_levels")))
     return expr.otherwise(F.lit(True))
 
 
@@ -74,57 +54,61 @@ def pointer_ok(table: RouteTable, v: Column) -> Column:
     return expr
 
 
-def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = None) -> DataFrame:
-    """Annotate every request with status, error_code, message and the payload to land."""
-    spark = spark or requests.sparkSession
+_BUILT: dict[tuple, dict[str, Column]] = {}
+
+
+def _columns(table: RouteTable, spark: SparkSession) -> dict[str, Column]:
+    """The gate's Columns, in the order they are added.  They name columns only, so every plan of a session with the same
+    limit and kinds of routes shares them; building them costs more than planning a small batch."""
     s = table.settings
-    routes = table.join_side(spark)
-    joined = requests.join(routes, on=["api_version", "producer"], how="left")
-
-    length = F.col("content_length")
-    body = F.col("body")
-    routed = F.col("route_name").isNotNull()
-    header_ok = (routed & docs.is_json_media_type(F.col("content_type")) & length.isNotNull()
-                 & (length <= F.lit(s.max_content_length)) & (length > 0) & body.isNotNull()
+    key = (spark.sparkContext.applicationId, s.max_content_length, bool(table.schemas()), any(r.nodes for r in table.schemas().values()),
+           any(r.tokens for r in table.routes), any(r.tokens and jp.paths(r.tokens) is None for r in table.routes))
+    if key in _BUILT:
+        return _BUILT[key]
+    length, body, v, code = F.col("content_length"), F.col("body"), F.col("v"), F.col("error_code")
+    routed, is_json = F.col("route_name").isNotNull(), docs.is_json_media_type(F.col("content_type"))
+    header_ok = (routed & is_json & length.isNotNull() & (length <= F.lit(s.max_content_length)) & (length > 0) & body.isNotNull()
                  & (body != F.lit("")))
     needs_doc = F.col("schema_key").isNotNull() | F.col("pointer").isNotNull() | F.col("rename")
-    with_doc = joined.withColumn("v", F.when(header_ok & needs_doc, F.try_parse_json(body)))
-
-    v = F.col("v")
     error_code = (
         F.when(~routed, F.lit("unrouted"))
-        .when(~docs.is_json_media_type(F.col("content_type")), F.lit("content_type"))
+        .when(~is_json, F.lit("content_type"))
         .when(length.isNull(), F.lit("length_required"))
         .when(length > F.lit(s.max_content_length), F.lit("too_large"))
         .when(length <= 0, F.lit("no_content"))
         .when(body.isNull(), F.lit("serialization"))
         .when(body == F.lit(""), F.lit("no_content"))
-        .when(~schema_ok(table, F.col("schema_key"), v, body), F.lit("schema_validation"))
+        .when(~schema_ok(table, v, body), F.lit("schema_validation"))
         .when(~F.col("pointer_ok"), F.lit("invalid_route"))
         .when(~pointer_ok(table, v), F.lit("invalid_json_path"))
     )
-    gated = with_doc.withColumn("error_code", error_code)
-    accepted = F.col("error_code").isNull()
-    renaming = accepted & F.coalesce(F.col("rename"), F.lit(False))
-    keys, members = docs.rename_inputs(body, v)
-    gated = gated.withColumns({"_keys": F.when(renaming, keys), "_members": F.when(renaming, members)})
-    payload = (F.when(renaming, docs.rename_from(body, F.col("_keys"), F.col("_members")))
+    accepted = code.isNull()
+    payload = (F.when(accepted & F.coalesce(F.col("rename"), F.lit(False)), docs.rename_root_id(body, v))
                .when(accepted, body))
-    gated = gated.withColumn("payload", payload).drop("_keys", "_members").withColumn(
-        "payload_bytes", F.octet_length(F.col("payload")).cast("long"))
-    cause = (F.when(F.col("error_code") == "serialization", F.lit("request body could not be read"))
-             .when(F.col("error_code") == "schema_validation",
+    cause = (F.when(code == "serialization", F.lit("request body could not be read"))
+             .when(code == "schema_validation",
                    F.concat(F.lit("body does not conform to schema "), F.col("schema_subject"), F.lit(" v"),
                             F.col("schema_version").cast("string")))
-             .when(F.col("error_code") == "invalid_route",
+             .when(code == "invalid_route",
                    F.concat(F.lit("invalid jsonExpressionPointer '"), F.col("pointer"), F.lit("'"))))
+    payload_bytes = F.octet_length(F.col("payload")).cast("long")
     values = {
         "producer": F.col("producer"), "length": length, "max": F.lit(s.max_content_length),
-        "pointer": F.coalesce(F.col("pointer"), F.lit("")), "cause": cause, "bytes": F.col("payload_bytes"),
+        "pointer": F.coalesce(F.col("pointer"), F.lit("")), "cause": cause, "bytes": payload_bytes,
     }
-    return (gated
-            .withColumn("status", E.status_col(F.col("error_code")))
-            .withColumn("message", E.message_col(F.col("error_code"), values)))
+    _BUILT[key] = {"v": F.when(header_ok & needs_doc, F.try_parse_json(body)), "error_code": error_code, "payload": payload,
+                   "payload_bytes": payload_bytes, "status": E.status_col(code), "message": E.message_col(code, values)}
+    return _BUILT[key]
+
+
+def gate(requests: DataFrame, table: RouteTable, spark: SparkSession | None = None) -> DataFrame:
+    """Annotate every request with status, error_code, message and the payload to land."""
+    spark = spark or requests.sparkSession
+    columns = dict(_columns(table, spark))
+    gated = requests.join(table.join_side(spark), on=["api_version", "producer"], how="left")
+    for name in ("v", "error_code", "payload"):                 # each reads the one before
+        gated = gated.withColumn(name, columns.pop(name))
+    return gated.withColumns(columns)
 
 
 # What the sinks read from a gated batch (landing envelope, rejects, metrics): persisting only

@@ -1,6 +1,6 @@
 """Schema conformity as data: a flat check program per schema, one expression for all.
 
-Compiling every schema into its own Column (``plans.predicate``) makes the gate's
+Compiling every schema into its own Column (``plans.predicate``) would make the gate's
 expression grow with the number of distinct schemas.  Here a schema is flattened on the
 driver into a list of checks, each naming a variant path from the document root and
 what must hold there.  The list rides on the broadcast route row, and a single
@@ -10,7 +10,7 @@ Covered: records (any depth), the primitive types, enum, fixed, arrays and maps
 those or of records (one level: the element carries its own program), and
 ``["null", T]`` unions whose T is a scalar or a record.  A schema using anything
 else (a union with two non-null branches, containers nested inside containers)
-has no program and keeps the compiled predicate.
+has no flat program and gets a table of nodes (``plans.tree_checks``).
 """
 
 from __future__ import annotations
@@ -103,7 +103,7 @@ def _record_checks(record: AvroType, nested: bool) -> list[dict]:
 
 
 def program(schema: AvroType) -> list[dict] | None:
-    """The check list for a record-rooted schema, or None when it needs the compiled predicate."""
+    """The check list for a record-rooted schema, or None when it needs a table of nodes."""
     if schema.kind != "record":
         return None
     try:

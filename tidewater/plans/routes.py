@@ -16,13 +16,13 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from tidewater.functions import pointer as jp
-from tidewater.plans import avro, checks as CK, layout
+from tidewater.plans import avro, checks as CK, layout, tree_checks as TC
 from tidewater.settings import Settings
 
 OK = "ok"
 SCHEMA_INVALID = "schema_invalid"          # served without validation or fingerprint
 POINTER_INVALID = "pointer_invalid"        # requests rejected with invalid_route
-RECURSIVE = "unsupported_recursive"        # validated through the Python fallback
+RECURSIVE = "recursive"                     # a type refers to itself
 
 
 @dataclass
@@ -41,7 +41,9 @@ class CompiledRoute:
     pointer_valid: bool = True                # of the pointer
     tokens: list = field(default_factory=list)
     columns: list | None = None               # target layout, when the route has a target
-    checks: list | None = None                # data-driven conformity program, when the schema allows one
+    checks: list | None = None                # flat conformity program, when the schema allows one
+    nodes: list | None = None                 # ... otherwise its node table
+    levels: int | None = None                 # ... and the levels it takes, where they do not depend on the document
     errors: list = field(default_factory=list)  # (stage, message)
 
     @property
@@ -73,6 +75,8 @@ ROUTE_COLUMNS = T.StructType([
     T.StructField("schema_checks", CK.CHECKS),
     T.StructField("pointer_steps", jp.STEPS),
     T.StructField("pointer_paths", T.ArrayType(T.StringType())),
+    T.StructField("schema_nodes", TC.NODES),
+    T.StructField("schema_levels", T.IntegerType()),
 ])
 
 ROUTE_ERRORS = T.StructType([
@@ -97,6 +101,8 @@ def compile_route(row: dict, settings: Settings) -> CompiledRoute:
                 r.compile_status = RECURSIVE
             else:
                 r.checks = CK.program(r.schema)
+            if r.checks is None:
+                r.nodes, r.levels = TC.program(r.schema), TC.levels(r.schema)
         except avro.AvroSchemaError as e:
             r.schema = None
             r.compile_status = SCHEMA_INVALID
@@ -146,7 +152,8 @@ class RouteTable:
         return [(s.api_version, r.producer, r.route_name, r.schema_subject, r.schema_version, r.fingerprint,
                  r.fingerprint if r.validates else None, r.pointer, r.pointer_valid,
                  r.has_target, r.renames, r.compile_status, r.checks if r.validates else None,
-                 jp.steps(r.tokens) if r.tokens else None, jp.paths(r.tokens) if r.tokens else None) for r in self.routes]
+                 jp.steps(r.tokens) if r.tokens else None, jp.paths(r.tokens) if r.tokens else None,
+                 r.nodes if r.validates else None, r.levels) for r in self.routes]
 
     def to_df(self, spark: SparkSession) -> DataFrame:
         return spark.createDataFrame(self.rows(), ROUTE_COLUMNS)
