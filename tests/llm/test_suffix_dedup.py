@@ -187,3 +187,14 @@ def test_lengths_that_do_not_fit(spark):
         RunIndex(np.zeros(9, np.uint8), np.array([0]), np.array([0]), 3)
     assert rows_of(remove_repeats(spark.createDataFrame([(1, prose(1, 9)), (2, prose(1, 9))], "doc_id bigint, text string"), length=30),
                    "doc_id", "n_removed") == [(1, 0), (2, len(prose(1, 9)))]
+
+
+def test_buckets_fill_evenly():
+    texts = [prose(k, 400, 5000).encode() for k in range(60)]
+    found = []
+    for data, windows, _, _ in suffix_dedup._pieces(np.arange(len(texts)), texts, 50):
+        found.append(suffix_dedup.anchors(data, windows, 50)[2])
+    hashes = np.unique(np.concatenate(found))
+    for buckets in (16, 64):
+        counts = np.bincount(suffix_dedup._short(hashes, buckets)[0], minlength=buckets)
+        assert len(hashes) > 50 * buckets and counts.max() < 2 * counts.mean() and counts.min() > 0

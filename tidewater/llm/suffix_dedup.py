@@ -72,6 +72,9 @@ def _power_tables(n: int) -> tuple[np.ndarray, np.ndarray]:
     return _POWERS[size]
 
 
+_SPREAD = np.uint64(0x9E3779B97F4A7C15)
+
+
 def anchors(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, anchor: int = ANCHOR):
     """(first window, number of windows, anchor hash, context hash) of each context of ``data``, where
     ``windows`` are the sorted positions at which a window may begin."""
@@ -94,7 +97,8 @@ def anchors(data: np.ndarray, windows: np.ndarray, length: int = LENGTH, anchor:
     begin = windows[first]
     count = np.diff(np.append(first, len(windows)))
     context = mix64((sums[begin + count - 1 + length] - sums[begin]) * inverse[begin] + count.astype(np.uint64))
-    return begin, count, hashes[at[first]], context
+    # an anchor is the smallest of many hashes, so its top bits are mostly zero: mixed once more, buckets and bitmaps fill evenly
+    return begin, count, mix64(hashes[at[first]] ^ _SPREAD), context
 
 
 def _pieces(ids: np.ndarray, texts: list[bytes], length: int):
