@@ -1,6 +1,7 @@
 import math
 
 import numpy as np
+import pytest
 from pyspark.sql import functions as F
 
 from tests.llm.helpers import clashing, rows_of
@@ -83,3 +84,18 @@ def test_elimination_stops_early_and_exactly():
         assert [(j, t) for a, j, t in got if a == i] == [(j, int(s[j])) for j in order]
     list(search_cell(np.arange(5), q, d(q), np.arange(4000).view(Counting), x, d(x), 10))
     assert sum(seen) < 5 * 4000                                  # most candidates were never scored
+
+
+@pytest.mark.parametrize("size", [1e6, 1e7, 1e9, 1e16, 1e150, 1e300])
+def test_large_components_rank_exactly(spark, size):
+    rng = np.random.default_rng(5)
+    rows = [(i, [float(x) for x in rng.normal(size=4) * size]) for i in range(0, 4000, 20)] + [(7, [size, -size, size, size]), (9, [1.0, 2.0, 3.0, 4.0]),
+            (11, [1e308, 0.0, 0.0, 0.0])]
+    got = rows_of(top_k(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>"), F.col("_id") % 100 == 0, block=64),
+                  "query_id", "rank", "vec_id", "score")
+    whole = {i: [int(x * 1024 // 1) for x in v] for i, v in rows if all(np.isfinite(x * 1024) for x in v)}
+    want = []
+    for q in [i for i in whole if i % 100 == 0]:
+        best = sorted((-sum(a * b for a, b in zip(whole[q], v)), i) for i, v in whole.items() if i != q)[:10]
+        want += [(q, k + 1, i, min(max(-s, -2 ** 63), 2 ** 63 - 1)) for k, (s, i) in enumerate(best)]
+    assert got == sorted(want, key=repr)

@@ -29,13 +29,14 @@ _STEP = 256
 
 
 def integer_vectors(frame: DataFrame, id_col: str, vector_col: str, scale: int = SCALE) -> DataFrame:
-    """``_id, _v``: floor(scale * x) of each component as double; vectors that are null or hold a null
-    or non-finite component, and rows without id, are left out."""
-    v = F.col(vector_col).cast("array<double>")
+    """``_id, _v``: floor(scale * x) of each component, whole numbers as doubles; vectors that are null or hold a component
+    that is null or not finite (scaled or not), and rows without id, are left out."""
+    v = F.transform(F.col(vector_col).cast("array<double>"), lambda x: x * scale)
     finite = lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))
+    whole = lambda x: F.when(F.abs(x) < 2.0 ** 53, F.floor(x).cast("double")).otherwise(x)  # noqa: E731  (beyond, doubles are whole)
     return frame.select(F.col(id_col).cast("bigint").alias("_id"), v.alias("_x")) \
         .where(F.col("_id").isNotNull() & F.col("_x").isNotNull() & F.forall("_x", finite)) \
-        .select("_id", F.transform("_x", lambda x: F.floor(x * scale)).alias("_v"))
+        .select("_id", F.transform("_x", whole).alias("_v"))
 
 
 def choose_pivots(vectors: DataFrame, count: int = PIVOTS, sample: int = PIVOT_SAMPLE) -> dict[int, np.ndarray]:
@@ -65,7 +66,7 @@ def _with_distances(vectors: DataFrame, pivots: dict[int, np.ndarray]) -> DataFr
                 rows.append(np.linalg.norm(p - x, axis=1) if p is not None else np.zeros(0))
             yield b.assign(_d=rows)
 
-    return vectors.mapInPandas(measure, "_id bigint, _v array<bigint>, _d array<double>")
+    return vectors.mapInPandas(measure, "_id bigint, _v array<double>, _d array<double>")
 
 
 def search_cell(q_ids, q, q_d, x_ids, x, x_d, k: int):
@@ -73,16 +74,18 @@ def search_cell(q_ids, q, q_d, x_ids, x, x_d, k: int):
     All arrays hold vectors of one length, candidates in ascending id.  Candidates that share an id take
     one of the k places, with their best score."""
     repeats = bool((x_ids[1:] == x_ids[:-1]).any())
-    big = max(np.abs(q).max(initial=0), 1) * max(np.abs(x).max(initial=0), 1) * max(q.shape[1], 1)
-    exact = np.float64 if float(big) < 2 ** 52 else np.int64     # whole numbers below 2^53 are exact
-    xe, qe = x.astype(exact), q.astype(exact)
-    xx, qq = (x.astype(np.float64) ** 2).sum(1), (q.astype(np.float64) ** 2).sum(1)
+    big = int(max(np.abs(q).max(initial=0), 1)) * int(max(np.abs(x).max(initial=0), 1)) * max(q.shape[1], 1)
+    xe, qe = (x, q) if big < 2 ** 52 else (_integers(x, big), _integers(q, big))     # below, doubles are exact
+    with np.errstate(over="ignore", invalid="ignore"):
+        xx, qq = (x ** 2).sum(1), (q ** 2).sum(1)
     for i in range(len(q)):
-        lower = np.abs(x_d - q_d[i]).max(axis=1, initial=0.0)
-        bound = (qq[i] + xx - lower * lower) / 2
-        bound += 1e-9 * (qq[i] + xx) + 1                          # above any rounding of the distances
+        with np.errstate(over="ignore", invalid="ignore"):
+            lower = np.abs(x_d - q_d[i]).max(axis=1, initial=0.0)
+            bound = (qq[i] + xx - lower * lower) / 2
+            bound += 1e-9 * (qq[i] + xx) + 1                      # above any rounding of the distances
+        bound[~np.isfinite(bound)] = np.inf                       # squares beyond doubles bound nothing
         order = np.argsort(-bound, kind="stable")
-        ids, scores = np.zeros(0, np.int64), np.zeros(0, exact)
+        ids, scores = np.zeros(0, np.int64), np.zeros(0, xe.dtype)
         for at in range(0, len(order), _STEP):
             if len(ids) >= k and scores[k - 1] > bound[order[at]]:
                 break
@@ -97,11 +100,27 @@ def search_cell(q_ids, q, q_d, x_ids, x, x_d, k: int):
             yield int(q_ids[i]), j, int(s)
 
 
+def _reported(score: int) -> tuple[int, str]:
+    """A score as a long, the nearest one where it passes them; then a text by which those still sort exactly."""
+    if -2 ** 63 < score < 2 ** 63:
+        return score, ""
+    digits = str(abs(score))
+    if score > 0:
+        return 2 ** 63 - 1, f"1{len(digits):04}{digits}"
+    return -2 ** 63, f"0{9999 - len(digits):04}{digits.translate(str.maketrans('0123456789', '9876543210'))}"
+
+
+def _integers(v: np.ndarray, big: int) -> np.ndarray:
+    """Whole doubles as 64-bit integers where no inner product passes them, else as Python's, which have no end."""
+    return v.astype(np.int64) if big < 2 ** 62 else np.array([[int(c) for c in row] for row in v], object).reshape(v.shape)
+
+
 def top_k(frame: DataFrame, query_filter, k: int = TOP, id_col: str = "vec_id", vector_col: str = "embedding",
           scale: int = SCALE, pivots: int = PIVOTS, block: int = BLOCK, query_block: int = QUERY_BLOCK) -> DataFrame:
     """``query_id, rank, vec_id, score``: for each row that ``query_filter`` (a condition on ``_id``)
     picks, its ``k`` highest inner products with all other rows, ties to the smaller id.
 
+    Scores are whole numbers of any size and ranked as such; one beyond a long is reported as the nearest long.
     Vectors of different lengths are not compared.  Rows that share an id count as that id's own row
     (never each other's neighbours) and once in a result; empty tables give no rows; other columns are
     not looked at."""
@@ -120,17 +139,19 @@ def top_k(frame: DataFrame, query_filter, k: int = TOP, id_col: str = "vec_id",
         if len(qs) and len(xs):
             xs = xs.sort_values("_id")
             sizes_q, sizes_x = qs["_v"].map(len).to_numpy(), xs["_v"].map(len).to_numpy()
-            stack = lambda col, width: np.array(col.tolist()).reshape(len(col), width)
+            stack = lambda col, width: np.array(col.tolist(), np.float64).reshape(len(col), width)
             for size in np.intersect1d(sizes_q, sizes_x):
                 a, b = qs[sizes_q == size], xs[sizes_x == size]
                 width = len(a["_d"].iloc[0])
-                rows += search_cell(a["_id"].to_numpy(), stack(a["_v"], size), stack(a["_d"], width),
-                                    b["_id"].to_numpy(), stack(b["_v"], size), stack(b["_d"], width), k)
-        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score"]).astype("int64")
+                rows += [(q, x, *_reported(s)) for q, x, s in search_cell(
+                    a["_id"].to_numpy(), stack(a["_v"], size), stack(a["_d"], width),
+                    b["_id"].to_numpy(), stack(b["_v"], size), stack(b["_d"], width), k)]
+        return pd.DataFrame(rows, columns=["query_id", "vec_id", "score", "key"]).astype({"query_id": "int64", "vec_id": "int64", "score": "int64"})
 
     found = left.groupBy("_b", "_q").cogroup(right.groupBy("_b", "_q")).applyInPandas(
-        cell, "query_id bigint, vec_id bigint, score bigint")
-    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"))
-    order = Window.partitionBy("query_id").orderBy(F.desc("score"), "vec_id")
+        cell, "query_id bigint, vec_id bigint, score bigint, key string")
+    best = found.groupBy("query_id", "vec_id").agg(F.max("score").alias("score"), F.max("key").alias("key"))
+    limits = F.col("score").isin(2 ** 63 - 1, -2 ** 63)           # the key of another row with this id says nothing
+    order = Window.partitionBy("query_id").orderBy(F.desc("score"), F.desc(F.when(limits, F.col("key")).otherwise(F.lit(""))), "vec_id")
     return best.withColumn("rank", F.row_number().over(order)).where(F.col("rank") <= k) \
         .select("query_id", F.col("rank").cast("int").alias("rank"), "vec_id", "score")
