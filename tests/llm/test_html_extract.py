@@ -2,7 +2,7 @@ import pytest
 
 from tests.llm.helpers import clashing, prose, rows_of
 from tidewater.llm import boosted_trees
-from tidewater.llm.dom import elements, parse
+from tidewater.llm.dom import elements, is_block, parse
 from tidewater.llm.html_extract import Page, extract_text, train
 from tidewater.llm.page_layouts import CONTENT, MARK, OTHER, training_pages
 
@@ -101,3 +101,25 @@ def test_query_counts_code_points(spark, scratch):
                           "page_id bigint, url string, html string").write.parquet(f"{scratch}/pages.parquet")
     for _, text, n in rows_of(QUERIES["op1_html_extract"](spark, scratch), "page_id", "text", "n_chars"):
         assert n == len(text) > 0
+
+
+FIRST, SECOND = "Words before it. " * 20, "Words behind it. " * 20
+
+
+@pytest.mark.parametrize("between, inside", [
+    ('<svg class="icon"/>', ""), ('<svg viewBox="0 0 1 1"><title>icon</title><path d="M0"/></svg>', ""), ("<iframe src='x'/>", ""), ("<template/>", ""),
+    ("<noscript>no script", None), ("<iframe src='x'>", None), ("<template><b>x", None), ("<script>var a = '<p>x</p>';</script>", ""),
+    ("<style>p{}</style >", ""), ("<SVG/>", ""),
+])
+def test_nothing_is_lost_behind_raw_elements(between, inside):
+    page = f"<html><body><article><div><p>{FIRST}</p>{between}</div><p>{SECOND}</p></article></body></html>"
+    text = " ".join(x for n in elements(parse(page)) for x in n.items if isinstance(x, str))
+    assert FIRST in text and SECOND in text and "var a" not in text and "no script" not in text and "p{}" not in text
+
+
+def test_formulas_stay_in_their_line():
+    tree = parse("<p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p><p>next</p>")
+    paragraphs = [n for n in elements(tree) if n.tag == "p"]
+    assert len(paragraphs) == 2 and all(not is_block(n) for n in elements(paragraphs[0])[1:])
+    page = Page("<article><p>where <math><mi>x</mi><mo>=</mo><mn>2</mn></math> holds</p></article>")
+    assert "x=2" in "".join(x for n in page.all for x in n.items if isinstance(x, str))

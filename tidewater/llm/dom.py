@@ -8,11 +8,18 @@ from __future__ import annotations
 
 import html
 import re
+from functools import lru_cache
 
 VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
-RAW = frozenset("script style textarea title noscript template iframe svg math xmp noframes".split())
-INLINE = frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
-                   "span strike strong sub sup time tt u var wbr img br nobr".split())
+RAW = frozenset("script style textarea title noscript template iframe xmp noframes".split())
+#: Raw elements that may be written closed in themselves; of the others browsers ignore the slash.
+EMPTY_RAW = frozenset("noscript template iframe noframes".split())
+#: Formulas and drawings inside a line of text.
+FORMULA = frozenset("math mi mn mo ms mtext mrow mfrac msqrt mroot mstyle msub msup msubsup munder mover munderover mtable mtr mtd mspace "
+                    "mfenced mpadded mphantom menclose semantics annotation svg g path text tspan rect circle ellipse line polyline polygon use "
+                    "defs symbol".split())
+INLINE = FORMULA | frozenset("a abbr acronym b bdi bdo big cite code data del dfn em font i ins kbd label mark q rp rt ruby s samp small "
+                             "span strike strong sub sup time tt u var wbr img br nobr".split())
 #: An open element that a start tag closes, within the nearest of the stops.
 _CLOSES = {"li": ({"li"}, {"ul", "ol", "menu"}), "dt": ({"dt", "dd"}, {"dl"}), "dd": ({"dt", "dd"}, {"dl"}),
            "tr": ({"tr", "td", "th"}, {"table"}), "td": ({"td", "th"}, {"tr", "table"}), "th": ({"td", "th"}, {"tr", "table"}),
@@ -41,6 +48,11 @@ def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): html.unescape(m[2] or m[3] or m[4] or "") for m in _ATTR.finditer(text)} if text.strip() else {}
 
 
+@lru_cache(maxsize=64)
+def _end_tag(tag: str) -> re.Pattern:
+    return re.compile(rf"</{re.escape(tag)}(?![^\s/>])[^>]*>", re.I)
+
+
 def parse(page: str | None) -> Node:
     """The tree under an artificial ``#root``; null and empty pages have no children."""
     root = Node("#root", {}, None)
@@ -87,11 +99,15 @@ def parse(page: str | None) -> Node:
                 node = node.parent
         child = Node(tag, _attributes(attrs), here)
         here.items.append(child)
-        if tag in VOID or attrs.rstrip().endswith("/") and tag not in RAW and tag not in ("p", "div"):
+        if tag in VOID or attrs.rstrip().endswith("/") and (tag not in RAW or tag in EMPTY_RAW) and tag not in ("p", "div"):
             continue
         if tag in RAW:
-            end = re.compile(rf"</{re.escape(tag)}\s*[^>]*>", re.I).search(page, at)
-            at = end.end() if end else len(page)
+            end = _end_tag(tag).search(page, at)
+            if end:
+                at = end.end()
+            else:                                    # never closed: it ends with what it lies in
+                end = _end_tag(here.tag).search(page, at)
+                at = end.start() if end else len(page)
             continue
         here = child
 

@@ -28,6 +28,8 @@ from tidewater.llm.dom import INLINE, Node, elements, parse
 from tidewater.llm.page_layouts import CONTENT, MARK, OTHER, training_pages
 
 MAX_SAMPLE = 300
+#: ... of at most so many characters each.
+LONGEST_SAMPLE = 100_000
 TRAINING_PAGES = 700
 MIXED_COST = 0.6
 
@@ -262,11 +264,12 @@ def train(sample: list[str], pages: int = TRAINING_PAGES, seed: int = 11) -> For
     return boosted_trees.fit(x[y >= 0], y[y >= 0].astype(float))
 
 
-def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_sample: int = MAX_SAMPLE) -> list[str]:
-    """At most ``max_sample`` pages, drawn by a hash of their ids, to train on; very long ones are cut
-    here (never in extraction)."""
-    rows = pages.select(F.col(id_col).cast("bigint").alias("i"), F.substring(F.col(html_col).cast("string"), 1, 20_000).alias("h"))
-    return [r.h for r in bounded_sample(rows.where("h IS NOT NULL"), "i", max_sample).collect()]
+def sample_pages(pages: DataFrame, id_col: str = "page_id", html_col: str = "html", max_sample: int = MAX_SAMPLE,
+                 longest: int = LONGEST_SAMPLE) -> list[str]:
+    """At most ``max_sample`` whole pages of at most ``longest`` characters, drawn by a hash of their ids, to train on: what
+    the driver holds is bounded by the two.  Extraction takes pages of any length."""
+    rows = pages.select(F.col(id_col).cast("bigint").alias("i"), F.col(html_col).cast("string").alias("h"))
+    return [r.h for r in bounded_sample(rows.where(F.length("h") <= longest), "i", max_sample).collect()]
 
 
 def extract_text(pages: DataFrame, forest: Forest | None = None, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
