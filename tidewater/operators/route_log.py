@@ -9,10 +9,13 @@ bucketed windows, never one window over the whole log.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from tidewater.operators.asof import asof_time, auto_width, neighbour
+from tidewater.operators.manifest import PositionLog
 from tidewater.session import materialised
 
 UPSERTS = ("Added", "Modified")
@@ -118,6 +121,58 @@ def reload_stats(events: DataFrame, width: int | None = None) -> DataFrame:
                       last.alias("active_routes"))
 
 
+def state_after(events: DataFrame) -> DataFrame:
+    """The events that a later fold needs of these: the last reset and, after it, each live name's last event.  Folding
+    them with newer events gives what folding the whole log gives."""
+    named = effective(events).where((F.col("event_type") != "Reseted") & (F.col("seq") > F.coalesce(last_reset(events), F.lit(-(2 ** 63)))))
+    last = named.groupBy("name").agg(F.max_by(F.struct(*events.columns), F.col("seq")).alias("e")).select("e.*")
+    reset = events.where("event_type = 'Reseted'").groupBy("event_type").agg(F.max_by(F.struct(*events.columns), F.col("seq")).alias("e")).select("e.*")
+    return last.where("event_type <> 'Deleted'").unionByName(reset)
+
+
+class RouteFold:
+    """The changelog folded run by run (T1a, T2, A3, A4): each run reads only the events after the last one.
+
+    ``folder`` holds, per run, the state (:func:`state_after`) and the events judged as :func:`changes` judges them, and a
+    log of the position that is written last: a run that dies is repeated whole.
+    """
+
+    def __init__(self, spark: SparkSession, folder: str):
+        self._spark, self._folder = spark, folder.rstrip("/")
+        self._log = PositionLog(spark, f"{self._folder}/log")
+
+    def _state(self, note: str | None, schema) -> DataFrame:
+        return self._spark.read.schema(schema).parquet(f"{note}/state") if note else self._spark.createDataFrame([], schema)
+
+    def run(self, events: DataFrame, width: int | None = None) -> DataFrame:
+        """Fold the new events; returns them judged (``seq, event_type, name, changed``)."""
+        position, note = self._log.last()
+        upto = position.get("seq", -(2 ** 63))
+        new = events.where(F.col("seq") > upto)
+        end = new.agg(F.max("seq")).first()[0]
+        if end is None:
+            return self._spark.createDataFrame([], "seq long, event_type string, name string, changed boolean")
+        # what is appended meanwhile is left to the next run
+        seeded = self._state(note, events.schema).unionByName(new.where(F.col("seq") <= end))
+        out = f"{self._folder}/runs/{uuid.uuid4().hex}"
+        changes(seeded, width).where(F.col("seq") > upto).write.parquet(f"{out}/changes")
+        state_after(seeded).write.parquet(f"{out}/state")
+        judged = self._spark.read.parquet(f"{out}/changes")
+        live = self._spark.read.schema(events.schema).parquet(f"{out}/state").where("event_type <> 'Reseted'").count()
+        # the empty snapshot is published once, before any event
+        self._log.commit({"seq": end, "reloads": position.get("reloads", 1) + judged.where("changed").count(), "active": live}, out)
+        return judged
+
+    def snapshot(self, schema) -> DataFrame:
+        """The live routes, as :func:`snapshot` gives them for the whole log; ``schema``: the events'."""
+        return snapshot(self._state(self._log.last()[1], schema))
+
+    def stats(self) -> dict:
+        """``reloads`` (A3) and ``active_routes`` (A4) so far."""
+        position, _ = self._log.last()
+        return {"reloads": position.get("reloads", 1), "active_routes": position.get("active", 0)}
+
+
 def first_seen(routes: DataFrame, provisioned: DataFrame | None = None) -> DataFrame:
     """First spec per producer that should trigger provisioning (T3): the earliest that has a target,
     minus producers already provisioned successfully.  Rows without a ``has_target`` column count as
@@ -130,27 +185,65 @@ def first_seen(routes: DataFrame, provisioned: DataFrame | None = None) -> DataF
     return first
 
 
-#: Intervals up to this many are broadcast by :func:`route_asof`.
+#: Tables up to this many rows are broadcast by :func:`route_asof`.
 BROADCAST_INTERVALS = 200_000
+#: Versions that a leaf holds, and leaves (or nodes) that a node above points to; a power of two.
+FANOUT = 64
+
 
+def _leaves(ivs: DataFrame, columns: list[str], small: bool, fanout: int) -> DataFrame:
+    """``producer, leaf, versions``: each producer's versions in order, cut into leaves; ``leaf`` grows with time.
+
+    A log beyond the broadcast limit is sorted over many tasks and cut where their local row numbers say, so no task holds
+    a producer whole; it is written once, since a second sort might cut elsewhere."""
+    version = F.struct("valid_from", *[c for c in columns if c != "valid_from"])
+    rows = ivs.select("producer", version.alias("version"))
+    if small:
+        rank = F.row_number().over(Window.partitionBy("producer").orderBy("version")) - 1
+        return rows.withColumn("leaf", F.floor(rank / fanout)).groupBy("producer", "leaf").agg(
+            F.sort_array(F.collect_list("version")).alias("versions"))
+    numbered = rows.repartitionByRange("producer", F.col("version.valid_from")).sortWithinPartitions("producer", "version") \
+        .withColumn("leaf", F.floor(F.monotonically_increasing_id() / fanout))
+    return materialised(numbered.groupBy("producer", "leaf").agg(F.sort_array(F.collect_list("version")).alias("versions")), "route-leaves")
 
-def route_asof(requests: DataFrame, ivs: DataFrame, at: str, broadcast_limit: int = BROADCAST_INTERVALS) -> DataFrame:
+
+def route_asof(requests: DataFrame, ivs: DataFrame, at: str, broadcast_limit: int = BROADCAST_INTERVALS, fanout: int = FANOUT) -> DataFrame:
     """Requests joined with the route version live at their arrival.
 
-    ``ivs``: (producer, valid_from, valid_to, ...) on the same long time axis as the request
-    column ``at``.  A producer's versions are configuration: they become one row with a sorted
-    array, searched inside the request's row.  Up to ``broadcast_limit`` intervals (counted) that table is
-    broadcast and no request moves; beyond, requests meet it in a shuffle join whose one row per
-    producer lets the adaptive skew join split a hot producer's requests.
+    ``ivs``: (producer, valid_from, valid_to, ...) on the same long time axis as the request column ``at``.  A producer's
+    versions are a search tree of tables: leaves of up to ``fanout`` versions, and above them nodes that hold the first
+    times of as many below.  A request walks down by one join a level, on (producer, node), and looks through one short
+    array at each, so its cost grows with the logarithm of its producer's versions and no row carries more than a node.
+
+    Levels of up to ``broadcast_limit`` rows (the versions are counted) are broadcast, and no request moves for them; the
+    inner levels of a longer log still are, and its leaves meet the requests in a shuffle by (producer, leaf), which deals
+    a hot producer's requests over its leaves.
     """
     columns = [c for c in ivs.columns if c != "producer"]
-    version = F.struct("valid_from", *[c for c in columns if c != "valid_from"])
-    versions = ivs.groupBy("producer").agg(F.sort_array(F.collect_list(version)).alias("_versions"))
-    if ivs.limit(broadcast_limit + 1).count() <= broadcast_limit:
-        versions = F.broadcast(versions)
-    joined = requests.join(versions, "producer", "left")
-    known = F.filter("_versions", lambda i: i["valid_from"] <= F.col(at))
-    found = joined.withColumn("_version", F.try_element_at(known, F.lit(-1)))
+    sizes = ivs.groupBy("producer").agg(F.count(F.lit(1)).alias("n")).agg(F.sum("n").alias("rows"), F.max("n").alias("most")).first()
+    n, most = sizes["rows"] or 0, sizes["most"] or 0
+    small = n <= broadcast_limit
+    leaves = _leaves(ivs, columns, small, fanout)
+    # below the root, nodes are numbered in order within their producer
+    order = Window.partitionBy("producer").orderBy("leaf")
+    numbered = leaves if small else leaves.withColumn("leaf", F.row_number().over(order) - 1)
+    levels = []
+    below, count, entries = numbered.select("producer", F.col("leaf").alias("node"), F.col("versions")[0]["valid_from"].alias("first")), n, most
+    while entries > fanout:
+        count, entries = -(-count // fanout), -(-entries // fanout)
+        level = below.groupBy("producer", F.floor(F.col("node") / fanout).alias("node")).agg(F.sort_array(F.collect_list("first")).alias("firsts"))
+        levels.append(F.broadcast(level) if count <= broadcast_limit else level)
+        below = level.select("producer", "node", F.col("firsts")[0].alias("first"))
+    found = requests.withColumn("_node", F.lit(0).cast("bigint"))
+    for level in reversed(levels):
+        side = level.select(F.col("producer").alias("_p"), F.col("node").alias("_n"), "firsts")
+        known = F.size(F.filter("firsts", lambda t: t <= F.col(at)))
+        found = found.join(side, (F.col("producer") == F.col("_p")) & (F.col("_node") == F.col("_n")), "left").select(
+            *requests.columns, (F.col("_node") * fanout + F.greatest(known - 1, F.lit(0))).alias("_node"))
+    side = numbered.select(F.col("producer").alias("_p"), F.col("leaf").alias("_n"), "versions")
+    side = F.broadcast(side) if small else side
+    found = found.join(side, (F.col("producer") == F.col("_p")) & (F.col("_node") == F.col("_n")), "left") \
+        .withColumn("_version", F.try_element_at(F.filter("versions", lambda i: i["valid_from"] <= F.col(at)), F.lit(-1)))
     out = found.select(*requests.columns, *[F.col("_version")[c].alias(c) for c in columns])
     live = F.col("valid_from").isNotNull() & (F.col("valid_to").isNull() | (F.col(at) < F.col("valid_to")))
     return out.withColumn("routed", live)
