@@ -322,3 +322,46 @@ def test_many_producers_in_one_pass(spark, scratch):
     one_by_one = sorted(r["x"] for t in table.routes[:4] for r in P.pull(landed, t.producer, wm, t.columns, t.pointer, "merge_key").collect())
     assert sorted(r["x"] for r in out.collect()) == one_by_one
     assert out._jdf.queryExecution().executedPlan().toString().count("FileScan") == 1
+
+
+def test_merge_rewrites_touched_buckets_alone(spark, scratch, monkeypatch):
+    name = "default.bucketed"
+    P.create_bucketed_target(spark, name, "k INT, v STRING, t STRING", f"{scratch}/bucketed", 64)
+    rows = lambda ks, v, t: spark.createDataFrame([(k, v, t) for k in ks], "k int, v string, t string")
+    P.merge_into_table(spark, name, rows(range(1000), "old", "1"), ["k"], ["t"])
+    files = lambda: {r[0]: r[1] for r in spark.table(name).select("_bucket", F.input_file_name()).distinct().collect()}
+    before = files()
+    assert len(before) == 64 and spark.table(name).count() == 1000
+    touched = P.merge_buckets(spark, name, rows([5, 5000], "new", "2").unionByName(rows([7], "older", "0")), ["k"], ["t"])
+    after = files()
+    assert len(touched) <= 3 and {b for b in after if after[b] != before.get(b)} <= set(touched)
+    got = {r["k"]: r["v"] for r in spark.table(name).collect()}
+    assert len(got) == 1001 and got[5] == got[5000] == "new" and got[7] == "old"
+
+    def dead(*a, **k):
+        raise RuntimeError("driver lost")
+
+    with monkeypatch.context() as m:                              # after the new files are written, before any bucket points there
+        sql = type(spark).sql
+        m.setattr(type(spark), "sql", lambda self, text, *a, **k: dead() if text.startswith("ALTER") else sql(self, text, *a, **k))
+        with pytest.raises(RuntimeError):
+            P.merge_buckets(spark, name, rows(range(10), "lost", "3"), ["k"], ["t"])
+    assert {r["k"]: r["v"] for r in spark.table(name).collect()} == got
+    P.merge_buckets(spark, name, rows(range(10), "won", "3"), ["k"], ["t"])
+    assert {r["v"] for r in spark.table(name).where("k < 10").collect()} == {"won"} and spark.table(name).count() == 1001
+    assert P.merge_buckets(spark, name, rows([], "x", "9"), ["k"], ["t"]) == []
+
+
+def test_a_row_two_hours_behind_is_pulled_once_through_the_manifest(spark, scratch):
+    table, landing, _ = _consumer(spark, scratch, "behind", columns=[{"name": "x", "type": "int"}])
+    route = table.by_producer()["behind"]
+    pull = lambda: P.pull_into_table(spark, landing, "pv.behind_tbl", "behind", route.columns, "merge_key", 1)
+    t0 = dt.datetime(2024, 1, 1, 12)
+    assert pull()["read"] == 0
+    _land(spark, table, landing, [_push("behind", 0, '{"x":0}', t0)])
+    assert pull()["inserted"] == 1
+    _land(spark, table, landing, [_push("behind", 1, '{"x":1}', t0 - dt.timedelta(hours=2))])
+    out = pull()
+    assert (out["read"], out["pulled"], out["inserted"], out["watermark"]) == (1, 0, 1, t0)
+    assert pull()["read"] == 0
+    assert sorted(r["x"] for r in spark.table("pv.behind_tbl").collect()) == [0, 1]

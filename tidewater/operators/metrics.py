@@ -108,14 +108,17 @@ def access_log(gated: DataFrame) -> DataFrame:
 WINDOW_COUNTS = ("requests_ok", "requests_error", "bytes", "accepted", "rejected")
 
 
-def window_counts(gated: DataFrame, window: str = "1 minute") -> DataFrame:
-    """A1 / A2 / A6 per (time window, producer): routed ok/error requests, landed bytes,
-    accepted and rejected (the counts the metric stream keeps current, T7)."""
+def window_count_columns() -> list[Column]:
+    """A1 / A2 / A6 as aggregates: routed ok/error requests, landed bytes, accepted and rejected."""
     ok = F.col("status") == ACCEPTED
     routed = F.col("error_code").isNull() | (F.col("error_code") != "unrouted")
-    return (gated.groupBy(F.window("received_at", window).alias("window"), "producer")
-            .agg(F.count_if(ok & routed).alias("requests_ok"),
-                 F.count_if(~ok & routed).alias("requests_error"),
-                 F.sum(F.when(ok, F.col("payload_bytes")).otherwise(F.lit(0))).cast("long").alias("bytes"),
-                 F.count_if(ok).alias("accepted"),
-                 F.count_if(~ok).alias("rejected")))
+    return [F.count_if(ok & routed).alias("requests_ok"),
+            F.count_if(~ok & routed).alias("requests_error"),
+            F.sum(F.when(ok, F.col("payload_bytes")).otherwise(F.lit(0))).cast("long").alias("bytes"),
+            F.count_if(ok).alias("accepted"),
+            F.count_if(~ok).alias("rejected")]
+
+
+def window_counts(gated: DataFrame, window: str = "1 minute") -> DataFrame:
+    """:func:`window_count_columns` per (time window, producer), the counts a metric stream keeps current."""
+    return gated.groupBy(F.window("received_at", window).alias("window"), "producer").agg(*window_count_columns())

@@ -15,6 +15,7 @@ merge key nor the watermark.  An element of an array body has a key of its own.
 from __future__ import annotations
 
 import json
+import uuid
 import datetime as dt
 
 from pyspark import StorageLevel
@@ -25,6 +26,7 @@ from tidewater.functions import pointer as jp
 from tidewater.operators.landing import incremental_pull, utc_literal
 from tidewater.operators.manifest import PositionLog, past, read_new
 from tidewater.plans import layout
+from tidewater.session import materialised
 from tidewater.plans.predicate import variant_path
 from tidewater.settings import COMMENT_PROPERTY, TIMESTAMP_COLUMN
 
@@ -150,10 +152,14 @@ def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key:
     so the merged rows are written to a new versioned folder beside the current one
     (in the table's own, shared storage) and the table is pointed at it.  The write
     also cuts the lineage: the next merge starts from files, not from this plan.
-    Iceberg targets run ``MERGE INTO`` instead.
+    A bucketed target (:func:`create_bucketed_target`) has only its touched buckets rewritten, and Iceberg targets
+    run ``MERGE INTO``.
     """
     if _provider(spark, table) == "iceberg":
         return _merge_into_iceberg(spark, table, incoming, key, order)
+    if table_property(spark, table, BUCKETS_PROPERTY) is not None:
+        merge_buckets(spark, table, incoming, key, order)
+        return table_location(spark, table)
     current = table_location(spark, table).rstrip("/")
     base, _, tail = current.rpartition("/_v")
     if not base or not tail.isdigit():
@@ -171,6 +177,47 @@ def merge_into_table(spark: SparkSession, table: str, incoming: DataFrame, key:
     return target
 
 
+#: The hidden-away partition column of a bucketed target, and the property that says how many buckets it has.
+BUCKET = "_bucket"
+BUCKETS_PROPERTY = "merge-buckets"
+
+
+def create_bucketed_target(spark: SparkSession, table: str, columns_ddl: str, location: str, buckets: int, comment: str | None = None) -> None:
+    """A Parquet target whose rows lie in ``buckets`` partitions by the hash of their key, so that a merge rewrites the
+    buckets it touches and no other.  About 256 MB a bucket is a good size; the number stays as it was created."""
+    text = (comment or "").replace("\\", "\\\\").replace("'", "\\'")
+    said = f" COMMENT '{text}'" if comment else ""
+    spark.sql(f"CREATE TABLE IF NOT EXISTS {table} ({columns_ddl}, {BUCKET} INT) USING parquet PARTITIONED BY ({BUCKET}){said} "
+              f"LOCATION '{location.rstrip('/')}' TBLPROPERTIES ('{BUCKETS_PROPERTY}' = '{buckets}')")
+
+
+def merge_buckets(spark: SparkSession, table: str, incoming: DataFrame, key: list[str], order: list[str]) -> list[int]:
+    """Merge ``incoming`` into a bucketed target (C5); returns the buckets rewritten.
+
+    The touched buckets are read, merged and written to a folder of this merge's own, and only then is each bucket's
+    partition pointed at its part of it: until that moment readers see the old state, whatever dies.  A merge that dies
+    between two buckets leaves each of them old or new as a whole, and running it again gives the same rows, since the
+    newest row of a key wins either way.
+    """
+    buckets = int(table_property(spark, table, BUCKETS_PROPERTY))
+    columns = [c for c in spark.table(table).columns if c != BUCKET]
+    bucket = F.pmod(F.xxhash64(*key), F.lit(buckets)).cast("int").alias(BUCKET)
+    batch = materialised(merge(None, incoming.select(*columns), key, order).select(*columns, bucket), "merge-batch")    # read twice
+    touched = sorted(r[0] for r in batch.select(BUCKET).distinct().collect())             # at most one a bucket
+    if not touched:
+        return []
+    current = spark.table(table).where(F.col(BUCKET).isin(*touched))
+    folder = f"{table_location(spark, table).rstrip('/')}_merges/{uuid.uuid4().hex}"
+    merge(current, batch, [*key, BUCKET], order).select(*columns, BUCKET).repartition(len(touched), BUCKET) \
+        .write.partitionBy(BUCKET).parquet(folder)
+    for b in touched:
+        at = f"PARTITION ({BUCKET}={b})"
+        spark.sql(f"ALTER TABLE {table} ADD IF NOT EXISTS {at} LOCATION '{folder}/{BUCKET}={b}'")
+        spark.sql(f"ALTER TABLE {table} {at} SET LOCATION '{folder}/{BUCKET}={b}'")
+    spark.catalog.refreshTable(table)
+    return touched
+
+
 def _provider(spark: SparkSession, table: str) -> str | None:
     for r in spark.sql(f"DESCRIBE TABLE EXTENDED {table}").collect():
         if (r["col_name"] or "").strip() == "Provider":
