@@ -256,3 +256,14 @@ def test_route_broadcast_checks_bytes_too(spark):
     plan = G.gate(RQ.conform(spark.createDataFrame([req(1, "a")], RQ.REQUEST_SCHEMA)), small, spark) \
         ._jdf.queryExecution().optimizedPlan().toString()
     assert "strategy=broadcast" not in plan
+
+
+def test_body_length_is_checked_where_asked(spark):
+    from dataclasses import replace
+    long = '{"k":"' + "é" * 50 + '"}'
+    reqs = [dict(req(1, "a", long), content_length=10), req(2, "a", '{"k":1}')]
+    for check, want in ((False, 202), (True, 413)):
+        settings = replace(SETTINGS, max_content_length=60, check_body_length=check)
+        tbl = compile_routes(R.flatten_routes(R.route_resources_df(spark, [route("a", "a")])), settings)
+        got = {r["request_id"]: r["status"] for r in G.gate(RQ.conform(spark.createDataFrame(reqs, RQ.REQUEST_SCHEMA)), tbl, spark).collect()}
+        assert got == {"r1": want, "r2": 202}

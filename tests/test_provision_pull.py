@@ -365,3 +365,11 @@ def test_a_row_two_hours_behind_is_pulled_once_through_the_manifest(spark, scrat
     assert (out["read"], out["pulled"], out["inserted"], out["watermark"]) == (1, 0, 1, t0)
     assert pull()["read"] == 0
     assert sorted(r["x"] for r in spark.table("pv.behind_tbl").collect()) == [0, 1]
+
+
+def test_hand_written_id_column_reads_the_renamed_member(spark, scratch):
+    table, landing, pull = _consumer(spark, scratch, "handid", columns=[{"name": "id", "type": "string"}, {"name": "x", "type": "int"}])
+    bodies = ['{"id":"e1","x":1}', '{"x":2}', '{"id":"own","push_event_id":"other","x":3}']
+    _land(spark, table, landing, [_push("handid", i, b, dt.datetime(2024, 1, 1)) for i, b in enumerate(bodies)])
+    assert pull()["inserted"] == 3
+    assert {(r["x"], r["id"]) for r in spark.table("pv.handid_tbl").collect()} == {(1, "e1"), (2, None), (3, "own")}

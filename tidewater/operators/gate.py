@@ -61,7 +61,7 @@ def _columns(table: RouteTable, spark: SparkSession) -> dict[str, Column]:
     """The gate's Columns, in the order they are added.  They name columns only, so every plan of a session with the same
     limit and kinds of routes shares them; building them costs more than planning a small batch."""
     s = table.settings
-    key = (spark.sparkContext.applicationId, s.max_content_length, bool(table.schemas()), any(r.nodes for r in table.schemas().values()),
+    key = (spark.sparkContext.applicationId, s.max_content_length, s.check_body_length, bool(table.schemas()), any(r.nodes for r in table.schemas().values()),
            any(r.tokens for r in table.routes), any(r.tokens and jp.paths(r.tokens) is None for r in table.routes))
     if key in _BUILT:
         return _BUILT[key]
@@ -78,6 +78,7 @@ def _columns(table: RouteTable, spark: SparkSession) -> dict[str, Column]:
         .when(length <= 0, F.lit("no_content"))
         .when(body.isNull(), F.lit("serialization"))
         .when(body == F.lit(""), F.lit("no_content"))
+        .when(F.lit(s.check_body_length) & (F.octet_length(body) > F.lit(s.max_content_length)), F.lit("too_large"))
         .when(~schema_ok(table, v, body), F.lit("schema_validation"))
         .when(~F.col("pointer_ok"), F.lit("invalid_route"))
         .when(~pointer_ok(table, v), F.lit("invalid_json_path"))

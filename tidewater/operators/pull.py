@@ -17,6 +17,7 @@ from __future__ import annotations
 import json
 import uuid
 import datetime as dt
+from dataclasses import replace
 
 from pyspark import StorageLevel
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -98,6 +99,8 @@ def apply_pointer(df: DataFrame, pointer: str | None) -> DataFrame:
 
 def decode_member(doc: Column, col: layout.Column) -> Column:
     """Typed value of one member; nullable-union values may arrive tagged."""
+    if col.renamed is not None:
+        return F.coalesce(decode_member(doc, replace(col, renamed=None)), decode_member(doc, replace(col, source=col.renamed, renamed=None)))
     t = layout.spark_type(col.type, col.name)
     target = "variant" if isinstance(t, type(layout.COLUMN_TYPES["variant"])) else t.simpleString()
     # Avro's JSON encoding writes each byte of ``bytes`` as the character of its number

@@ -62,6 +62,7 @@ class Column:
     type: str
     source: str | None = None      # payload member the value is read from (None for envelope columns)
     union_tag: str | None = None   # branch name when the member is a tagged nullable union
+    renamed: str | None = None     # the member's name where the gate has renamed it
 
 
 def unwrap_nullable(t: AvroType) -> tuple[AvroType, str | None]:
@@ -123,7 +124,9 @@ def resolve_columns(payload_schema: str | None, hand_columns: list[tuple[str, st
     if payload_schema is not None:
         base = derive_columns(payload_schema, pointer)
     else:
-        base = [Column(n, t, source=n) for n, t in (hand_columns or [])]
+        # without a pointer the gate lands a document's own "id" under another name
+        moved = jp.normalise(pointer) is None
+        base = [Column(n, t, source=n, renamed=PUSH_EVENT_ID if moved and n == "id" else None) for n, t in (hand_columns or [])]
     return with_envelope_columns(base, merge_key)
 
 

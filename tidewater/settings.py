@@ -23,6 +23,8 @@ class Settings:
     api_version: str = "v1"
     max_content_length: int = DEFAULT_MAX_CONTENT_LENGTH
     merge_key: str = "merge_key"
+    # Also hold the body's real bytes against the limit; by default the header is trusted.
+    check_body_length: bool = False
     # Routes are broadcast to every task; above this many we fall back to a shuffle join.
     route_broadcast_limit: int = 100_000
     # ... and above this estimated size in bytes (programs and schemas ride on the rows).
