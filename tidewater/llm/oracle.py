@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from tidewater.llm.url_reputation import SECOND_LEVEL_SUFFIXES
+
 _UPPER = "'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'"
 _SPACE = "chr(32) || chr(9) || chr(10) || chr(11) || chr(12) || chr(13)"
 
@@ -36,8 +38,10 @@ WITH u AS (
 ), l AS (
   SELECT doc_id, max(CASE WHEN quality = 0 OR toxic = 1 THEN 1 ELSE 0 END) AS bad FROM labels GROUP BY doc_id
 ), h AS (
-  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, array_to_string(string_split(host, '.')[-2:], '.') AS domain,
-         string_split(host, '.')[-1] AS suffix
+  SELECT host, count(bad) AS n, coalesce(sum(bad), 0) AS bad, CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {SECOND_LEVEL_SUFFIXES}
+              THEN array_to_string(string_split(host, '.')[-3:], '.') ELSE array_to_string(string_split(host, '.')[-2:], '.') END AS domain,
+         CASE WHEN array_to_string(string_split(host, '.')[-2:], '.') IN {SECOND_LEVEL_SUFFIXES}
+              THEN array_to_string(string_split(host, '.')[-2:], '.') ELSE string_split(host, '.')[-1] END AS suffix
   FROM p LEFT JOIN l ON p.page_id = l.doc_id GROUP BY host
 ), d AS (SELECT domain, suffix, sum(n) AS n, sum(bad) AS bad FROM h GROUP BY domain, suffix),
 x AS (SELECT suffix, sum(n) AS n, sum(bad) AS bad FROM d GROUP BY suffix),

@@ -4,7 +4,8 @@ Labelled page outcomes (bad or not) are counted per host.  The bad rate of a hos
 its registered domain's, that towards its public suffix's, that towards the whole table's: at each
 level the children's rates get a beta prior whose mean is the parent's shrunk rate and whose strength
 comes from the spread between children that binomial noise does not explain (method of moments).
-A host is blocked when the lower bound of its posterior bad rate lies above ``threshold``.
+A host is blocked when the lower bound of its posterior bad rate (the normal approximation of the beta posterior's
+quantile, from its mean and variance) lies above ``threshold``.
 
 All of it is DataFrame work: one partial aggregation by host, three small ones above it, and one join
 of pages with their host's row (the host table is written first, so that a host with a third of all
@@ -38,8 +39,14 @@ RULES = (
     Rule("block", "net", "/es/"),
     Rule("block", "net", "/fr/"),
 )
-#: Suffixes of two labels under which names are registered.
-SECOND_LEVEL_SUFFIXES = ("co.uk", "org.uk", "ac.uk", "gov.uk", "com.au", "net.au", "org.au", "co.jp", "co.nz", "com.br", "co.in", "co.za")
+#: Suffixes of two labels under which names are registered (a default; callers may give their own list).
+SECOND_LEVEL_SUFFIXES = (
+    "co.uk", "org.uk", "ac.uk", "gov.uk", "me.uk", "ltd.uk", "plc.uk", "com.au", "net.au", "org.au", "edu.au", "gov.au", "co.jp", "or.jp", "ne.jp",
+    "ac.jp", "go.jp", "co.nz", "org.nz", "net.nz", "com.br", "org.br", "net.br", "gov.br", "co.in", "org.in", "net.in", "co.za", "org.za", "co.kr",
+    "or.kr", "com.mx", "org.mx", "com.cn", "net.cn", "org.cn", "com.tw", "org.tw", "com.tr", "org.tr", "com.ar", "com.sg", "com.hk", "com.my", "com.ph",
+    "com.vn", "com.ua", "co.il", "org.il", "co.id", "or.id", "co.th", "or.th", "com.pl", "org.pl", "com.es", "com.pt", "com.co", "com.pe", "com.ve",
+    "com.ec", "com.eg", "com.sa", "com.pk", "com.bd", "com.ng", "co.ke", "github.io", "gitlab.io", "blogspot.com", "wordpress.com", "tumblr.com",
+    "herokuapp.com", "netlify.app", "vercel.app", "web.app", "pages.dev")
 THRESHOLD = 0.5
 Z = 1.645
 MIN_STRENGTH, MAX_STRENGTH = 1.0, 1000.0
@@ -66,14 +73,14 @@ def longest_rule(host, path, rules=RULES):
     return out
 
 
-def registered_domain(host):
+def registered_domain(host, suffixes=SECOND_LEVEL_SUFFIXES):
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL_SUFFIXES), F.substring_index(host, ".", -3)).otherwise(two)
+    return F.when(two.isin(*suffixes), F.substring_index(host, ".", -3)).otherwise(two)
 
 
-def public_suffix(host):
+def public_suffix(host, suffixes=SECOND_LEVEL_SUFFIXES):
     two = F.substring_index(host, ".", -2)
-    return F.when(two.isin(*SECOND_LEVEL_SUFFIXES), two).otherwise(F.substring_index(host, ".", -1))
+    return F.when(two.isin(*suffixes), two).otherwise(F.substring_index(host, ".", -1))
 
 
 def _strength(children: DataFrame) -> float:
@@ -93,14 +100,14 @@ def _strength(children: DataFrame) -> float:
     return min(MAX_STRENGTH, max(MIN_STRENGTH, noise / between - 1))
 
 
-def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> DataFrame:
+def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z, second_level=SECOND_LEVEL_SUFFIXES) -> DataFrame:
     """``host, n, bad, bad_rate, bad_lower``: one row a host of ``pages`` (``page_id, host``), from
     ``outcomes`` (``page_id, bad`` 0/1; null outcomes are not counted).  Hosts without labelled pages
     take their domain's posterior, and so on up; without any labels the rate is a half."""
     marked = pages.join(outcomes.where("page_id IS NOT NULL AND bad IS NOT NULL")
                         .groupBy("page_id").agg(F.max("bad").cast("int").alias("bad")), "page_id", "left")
     hosts = written(marked.groupBy("host").agg(F.count("bad").alias("n"), F.coalesce(F.sum("bad"), F.lit(0)).alias("bad"))
-                    .withColumn("domain", registered_domain(F.col("host"))).withColumn("suffix", public_suffix(F.col("host"))),
+                    .withColumn("domain", registered_domain(F.col("host"), second_level)).withColumn("suffix", public_suffix(F.col("host"), second_level)),
                     "hosts")
     level = lambda frame, *keys: frame.groupBy(*keys).agg(F.sum("n").alias("n"), F.sum("bad").alias("bad"))
     domains = level(hosts, "domain", "suffix")
@@ -126,7 +133,7 @@ def host_reputation(pages: DataFrame, outcomes: DataFrame, z: float = Z) -> Data
 
 
 def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: float = THRESHOLD, z: float = Z,
-               id_col: str = "page_id", url_col: str = "url") -> DataFrame:
+               id_col: str = "page_id", url_col: str = "url", second_level=SECOND_LEVEL_SUFFIXES) -> DataFrame:
     """``page_id, host, path, rule, verdict, bad_rate, bad_lower`` for every page.
 
     Null urls and texts without ``://`` have empty host and path and are judged by the reputation of
@@ -134,7 +141,7 @@ def judge_urls(pages: DataFrame, outcomes: DataFrame, rules=RULES, threshold: fl
     none; other columns are not looked at."""
     host, path = split_url(F.col(url_col).cast("string"))
     parsed = pages.select(F.col(id_col).cast("bigint").alias("page_id"), host.alias("host"), path.alias("path"))
-    hosts = written(host_reputation(parsed, outcomes, z).select("host", "bad_rate", "bad_lower"), "host-reputation")
+    hosts = written(host_reputation(parsed, outcomes, z, second_level).select("host", "bad_rate", "bad_lower"), "host-reputation")
     rule = longest_rule(F.col("host"), F.col("path"), rules)
     by_method = F.when(F.col("bad_lower") > threshold, F.lit("block")).otherwise(F.lit("allow"))
     return parsed.withColumn("_rule", rule).join(hosts, "host").select(
