@@ -80,8 +80,15 @@ def test_against_brute_force(spark):
              (308, prose(9, 20_000) + " " + TRAIN.lower()), (309, "5 + 6 = 11, 2 + 1 = 3")]
     got = leaks(spark, docs, items)
     assert got == brute(docs, items)
-    assert {(200 + k, k % 25) for k in range(40)} <= set(got) and (300, 50) in got and (308, 50) in got and (305, 52) in got
-    assert not {d for d, _ in got} & {301, 306, *range(60)}
+    assert {(200 + k, k % 25) for k in range(40)} <= set(got) and (300, 50) in got and (308, 50) in got and (305, 52) in got and (306, 52) in got
+    assert not {d for d, _ in got} & {301, *range(60)}
+
+
+def test_short_items_are_found_inside_longer_texts(spark):
+    items = [(1, "capital of France"), (2, "Paris"), (3, "4 + 4 = 8"), (4, "?!"), (5, "who wrote Hamlet today")]
+    docs = [(1, f"{prose(1, 50)} the Capital of France, {prose(2, 50)}"), (2, "capital of Spain"), (3, prose(3, 80)), (4, "It was 4 + 4 = 8."),
+            (5, "It was 5 + 5 = 10."), (6, "capital of"), (7, f"In PARIS {prose(4, 30)}"), (8, "who wrote Hamlet today"), (9, "who wrote Othello today")]
+    assert leaks(spark, docs, items) == [(1, 1), (4, 3), (7, 2), (8, 5)]
 
 
 def test_empty_tables(spark):

@@ -113,17 +113,21 @@ class Template:
             free[self.name] = _SLOT[NAME]
             self.open = self._windows(free[self.first])
 
-    def _windows(self, words: np.ndarray) -> np.ndarray:
-        """Hashes of all windows; a text of fewer words is one window."""
-        if not len(words):
+    def _windows(self, words: np.ndarray, size: int = WINDOW) -> np.ndarray:
+        """Hashes of all windows of ``size`` words; a text of fewer than ``WINDOW`` is one window unless asked for less."""
+        size = min(size, len(words))
+        if not size:
             return np.zeros(0, np.uint64)
-        size = min(WINDOW, len(words))
         n = len(words) - size + 1
-        out = np.full(n, len(words) if size < WINDOW else 0, np.uint64)
+        out = np.full(n, size if size < WINDOW else 0, np.uint64)
         for j in range(size):
             out += words[j:j + n] * _FACTORS[j]
         return mix64(out)
 
+    def exact(self, size: int) -> np.ndarray:
+        """Hashes of all windows of ``size`` words as they are, lower-cased; none in a shorter text."""
+        return self._windows(self.word, size) if size <= len(self.word) else np.zeros(0, np.uint64)
+
     def windows(self) -> list[np.ndarray]:
         """The window hashes of all templates that differ."""
         return [self.literal] + [self.typed] * (self.typed is not self.literal) + [self.open] * (self.open is not self.typed)
@@ -141,7 +145,10 @@ class Template:
 
     def families(self) -> list[tuple[str, np.ndarray, np.ndarray, np.ndarray]]:
         """(name, window hashes, which words are slots, positions of the windows that count) of the literal
-        and, if there are names, of the typed and the open template."""
+        and, if there are names, of the typed and the open template.  A text of fewer words than a window has too little
+        wording to stand without its values: it is one window as it is."""
+        if len(self.word) < WINDOW:
+            return [("exact", self.exact(len(self.word)), np.zeros(len(self.word), bool), np.arange(1))] if len(self.word) else []
         out = []
         measure = (self.kind == NUMBER) | (self.kind == UNIT)
         for family, hashes, slot, same in (("literal", self.literal, measure, None), ("typed", self.typed, self.kind != LITERAL, self.literal),
@@ -168,7 +175,8 @@ def covered(doc: Template, item: Template, coverage: float = MIN_COVERAGE) -> fl
     slots, over all templates; below ``coverage`` it may be reported lower than it is."""
     best = 0.0
     for family, hashes, slot, counts in item.families():
-        doc_hashes, size = getattr(doc, family), min(WINDOW, len(slot))
+        size = min(WINDOW, len(slot))
+        doc_hashes = doc.exact(size) if family == "exact" else getattr(doc, family)
         at = defaultdict(list)
         for q in counts.tolist():
             at[hashes[q]].append(q)
@@ -196,22 +204,24 @@ def covered(doc: Template, item: Template, coverage: float = MIN_COVERAGE) -> fl
     return best
 
 
-def _anchors(items: DataFrame, coverage: float) -> DataFrame:
-    """``_hash, _item``: of each item and template the rarest windows, as many as prefix filtering needs."""
+def _anchors(items: DataFrame, coverage: float) -> tuple[DataFrame, list[int]]:
+    """``_hash, _item``: of each item and template the rarest windows, as many as prefix filtering needs; and the lengths
+    below ``WINDOW`` that items have."""
     def windows(batches):
         for b in batches:
             rows = []
             for i, text in zip(b["_item"].tolist(), b["_text"]):
-                for f, (_, hashes, _, counts) in enumerate(Template(text).families()):
-                    rows += [(i, f, len(counts), h) for h in hashes[counts].view(np.int64).tolist()]
-            yield pd.DataFrame(rows, columns=["_item", "_family", "_n", "_hash"]).astype("int64")
+                for f, (_, hashes, slot, counts) in enumerate(Template(text).families()):
+                    rows += [(i, f, min(WINDOW, len(slot)), len(counts), h) for h in hashes[counts].view(np.int64).tolist()]
+            yield pd.DataFrame(rows, columns=["_item", "_family", "_size", "_n", "_hash"]).astype("int64")
 
-    flat = written(items.mapInPandas(windows, "_item bigint, _family bigint, _n bigint, _hash bigint"), "item-windows")
+    flat = written(items.mapInPandas(windows, "_item bigint, _family bigint, _size bigint, _n bigint, _hash bigint"), "item-windows")
+    short = sorted(r[0] for r in flat.where(F.col("_size") < WINDOW).select("_size").distinct().collect())
     rarity = flat.groupBy("_hash").agg(F.count(F.lit(1)).alias("_seen"))
     order = Window.partitionBy("_item", "_family").orderBy("_seen", "_hash")
     keep = F.col("_n") - F.greatest(F.lit(1), F.ceil(F.col("_n") * coverage - 1e-9)) + 1
     return flat.join(rarity, "_hash").withColumn("_at", F.row_number().over(order)).where(F.col("_at") <= keep) \
-        .select("_hash", "_item").distinct()
+        .select("_hash", "_item").distinct(), short
 
 
 def find_leaks(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVERAGE, id_col: str = "doc_id",
@@ -219,14 +229,15 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVE
     """``doc_id, item_id, coverage``: one row for each benchmark item found in each document.
 
     Null and empty texts hold and are nothing; rows without id take no part; items that repeat word for
-    word are reported under their smallest id; repeated documents give one row; a text of fewer than five
-    words is compared as a whole; empty tables give no rows; other columns are not looked at."""
+    word are reported under their smallest id; repeated documents give one row; an item of fewer than five
+    words is found where those words stand in a row, wherever in a text; empty tables give no rows; other columns are not looked at."""
     spark = docs.sparkSession
     rows = docs.select(F.col(id_col).cast("bigint").alias("_doc"), F.col(text_col).cast("string").alias("_text")) \
         .where("_doc IS NOT NULL AND _text IS NOT NULL")
     texts = items.select(F.col(item_col).cast("bigint").alias("_item"), F.col(item_text_col).cast("string").alias("_text")) \
         .where("_item IS NOT NULL AND _text IS NOT NULL").groupBy("_text").agg(F.min("_item").alias("_item"))
-    anchors = written(_anchors(texts, min_coverage), "item-anchors")
+    anchors, short = _anchors(texts, min_coverage)
+    anchors = written(anchors, "item-anchors")
     slot = F.pmod(F.col("_hash"), F.lit(BITMAP_BITS))
     marks = anchors.groupBy(F.floor(slot / _BUCKET).alias("bucket")).agg(F.bitmap_construct_agg(slot % _BUCKET).alias("bits"))
     bitmap = np.zeros(BITMAP_BITS // 8, np.uint8)                 # of fixed size, whatever the benchmark's
@@ -239,8 +250,8 @@ def find_leaks(docs: DataFrame, items: DataFrame, min_coverage: float = MIN_COVE
         for b in batches:
             ids, found = [], []
             for i, text in zip(b["_doc"].tolist(), b["_text"]):
-                own = []
-                for hashes in Template(text).windows():
+                own, template = [], Template(text)
+                for hashes in template.windows() + [template.exact(n) for n in short]:
                     at = hashes & np.uint64(BITMAP_BITS - 1)
                     own.append(hashes[(bits[(at >> np.uint64(3)).astype(np.int64)] >> (at & np.uint64(7)).astype(np.uint8)) & 1 == 1])
                 own = np.unique(np.concatenate(own))
