@@ -100,3 +100,21 @@ def test_components(spark):
     want = {i: 100 for i in range(100, 141)} | {k: 0 for k in range(60)} | {200: 200, 201: 200}
     assert got == want
     assert components(spark.createDataFrame([], "a bigint, b bigint")).count() == 0
+
+
+def test_recall_at_the_threshold(spark):
+    """Pairs of a similarity of 0.8 or little more, each of words of its own: every one is linked; none just below is."""
+    rows, above = [], set()
+    for k in range(2000):
+        n = 41 + k % 40                                           # shingles of the first text
+        words = [f"w{k}x{j}" for j in range(n + 1)]
+        new = k % 3                                               # words replaced at the end: as many shingles differ each way
+        cut = (n // 9) - new
+        other = words[:len(words) - cut] + [f"v{k}y{j}" for j in range(cut)] if cut else words + ["z"]
+        a, b = ({tuple(t[i:i + 2]) for i in range(len(t) - 1)} for t in (words, other))
+        if 100 * len(a & b) >= 80 * len(a | b):
+            above.add(2 * k)
+        rows += [(2 * k, " ".join(words)), (2 * k + 1, " ".join(other))]
+    got = {r["doc_id"]: r["component_id"] for r in near_duplicates(spark.createDataFrame(rows, "doc_id bigint, text string"), words=2).collect()}
+    assert len(above) > 1000
+    assert {i for i in range(0, 4000, 2) if got[i + 1] == i} == above

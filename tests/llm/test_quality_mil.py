@@ -87,16 +87,25 @@ def test_no_labels_one_class_and_no_documents(spark):
 
 
 def test_attention_finds_the_telling_passage():
-    docs, labels = corpus(400)
-    bags = [passages(t) for _, t in docs]
-    model = fit(bags, np.array([int(i % 5 != 0) for i, _ in docs], float))
-    x = passages(" ".join([prose(1, 64 * 3), junk(4, 64), prose(2, 64 * 3)]))
-    assert model.score(x, np.array([0])).shape == (1,)
-    a = model.attention(x)
-    assert a.shape == (len(x),) and a.sum() == pytest.approx(1) and (a >= 0).all()
-
-
-def test_gradients():
+    """Bad documents are prose but for one passage, and only documents are labelled: the weights single that passage out."""
+    def document(k, at):
+        return " ".join(junk(4 * (10 * k + j), 64) if j == at else prose(10 * k + j, 64) for j in range(6))
+
+    rng = np.random.default_rng(2)
+    at = [int(rng.integers(6)) if k % 2 else None for k in range(300)]
+    bags = [passages(document(k, j)) for k, j in enumerate(at)]
+    model = fit(bags, np.array([float(j is None) for j in at]), epochs=60)
+    found = 0
+    for k in range(40):
+        j = k % 6
+        x = passages(document(1000 + k, j))
+        a = model.attention(x)
+        assert a.shape == (6,) == (len(x),) and a.sum() == pytest.approx(1) and (a >= 0).all()
+        found += a.argmax() == j and model.score(x, np.array([0]))[0] < 0.5
+    assert found >= 36
+
+
+def test_fits_a_rule_of_one_passage():
     rng = np.random.default_rng(0)
     bags = [rng.normal(size=(int(rng.integers(1, 5)), 7)).astype(np.float32) for _ in range(40)]
     y = np.array([float(b[:, 0].max() > 0.8) for b in bags])
