@@ -83,3 +83,11 @@ def test_lookup_finds_what_is_asked_and_nothing_else(spark):
 def test_keys(spark):
     df = spark.createDataFrame([("http://WWW.Example.com:80/A?b c",), (None,), ("x",)], "u string").select(url_key(F.col("u")).alias("k"))
     assert [r.k for r in df.collect()] == ["com:80,example,www)/A?b_c", ")", ")x"]
+
+
+def test_parts_follow_the_bytes(spark):
+    rows = [(i, f"http://h{i % 3}.com/{i % 7}", BIG) for i in range(400)]
+    pages = spark.createDataFrame(rows, "page_id bigint, url string, html string")
+    directory = write_archive(pages, part_bytes=len(BIG) * 10).directory
+    parts = directory.select("part").distinct().count()
+    assert 25 <= parts <= 41                                       # ten payloads each, whatever the session's partitions

@@ -27,6 +27,8 @@ from pyspark.sql import functions as F
 from tidewater.llm.common import ascii_lower, new_folder, written
 
 BLOCK_LINES = 256
+#: Payload bytes of a part, about; small tables have as many parts as the session has shuffle partitions.
+PART_BYTES = 512 * 1024 * 1024
 MIN_DEDUP_BYTES = 100
 #: Captures carry no time of their own; archives need one.
 CAPTURED = "2024-01-01T00:00:00Z"
@@ -147,7 +149,7 @@ def _write_part(folder: str, block_lines: int):
 
 
 def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url", html_col: str = "html",
-                  min_dedup_bytes: int = MIN_DEDUP_BYTES, block_lines: int = BLOCK_LINES) -> Archive:
+                  min_dedup_bytes: int = MIN_DEDUP_BYTES, block_lines: int = BLOCK_LINES, part_bytes: int = PART_BYTES) -> Archive:
     """Write one record per row of ``pages`` (null html: an empty payload; null url: key ``)``; null
     ids sort first; repeated rows: a record each, all ``response`` if they hold the smallest id).
 
@@ -166,7 +168,11 @@ def write_archive(pages: DataFrame, id_col: str = "page_id", url_col: str = "url
     marks = thin.join(firsts, "_digest").where("_id <> _first").distinct().select(
         "_key", "_id", F.lit(None).cast("string").alias("_url"), F.lit(None).cast("string").alias("_html"), "_digest", "_first")
     captures = rows.withColumn("_first", F.lit(None).cast("bigint")).unionByName(marks)
-    parts = captures.repartitionByRange("_key", "_id").sortWithinPartitions(
+    # parts of a bounded size: one task writes one, and readers seek in one, however large the table
+    total = rows.agg(F.sum(F.octet_length("_html").cast("bigint"))).first()[0] or 0
+    count = -(-total // part_bytes)
+    more = (count,) if count > int(spark.conf.get("spark.sql.shuffle.partitions")) else ()
+    parts = captures.repartitionByRange(*more, "_key", "_id").sortWithinPartitions(
         "_key", "_id", "_digest", F.col("_html").isNotNull())
     return Archive(folder, written(parts.mapInPandas(_write_part(folder, block_lines), _DIRECTORY), "warc-directory"))
 
