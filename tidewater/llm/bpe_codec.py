@@ -12,6 +12,7 @@ from __future__ import annotations
 
 import json
 import re
+from collections.abc import Iterator
 
 import numpy as np
 import tiktoken
@@ -20,8 +21,8 @@ from tokenizers import Tokenizer
 from tidewater.llm.common import Memo
 from tidewater.llm.text_bytes import IS_SPACE
 
-#: Fixed value: the pretokeniser's pattern.
-PATTERN = r"""'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"""
+#: The pretokeniser's split, without backtracking into runs: contractions, words, numbers, signs, white space.
+PATTERN = r"""'(?:[sdmt]|ll|ve|re)| ?\p{L}++| ?\p{N}++| ?[^\s\p{L}\p{N}]++|\s++$|\s+(?!\S)|\s"""
 _RUNS = re.compile(r"(\s+)")
 #: White space to Python's ``str`` and not to the pretokeniser.
 _ODD = "\x1c\x1d\x1e\x1f"
@@ -88,15 +89,34 @@ class BpeCodec:
                 out += (ids[run[-1]], ids[word])
         return b"".join(out)
 
+    def _slow(self, text: str) -> bytes:
+        return self._by_library(text) if any(c in text for c in _ODD) else self._by_word(text)
+
+    def _settled(self, data: np.ndarray, offsets: np.ndarray) -> np.ndarray:
+        """Which of a group's texts go to the fast encoder whole."""
+        out = np.full(len(offsets) - 1, self._fast is not None)
+        if not len(data):
+            return out
+        full = np.flatnonzero(np.diff(offsets))
+        out[full] &= ~np.logical_or.reduceat((data > _SETTLED) | ((data >= ord(_ODD[0])) & (data <= ord(_ODD[-1]))), offsets[full])
+        space = IS_SPACE[data]
+        edge = np.ones(len(data), bool)
+        edge[1:] = space[1:] != space[:-1]
+        edge[offsets[full]] = True
+        at = np.flatnonzero(edge)
+        long = at[np.diff(at, append=len(data)) > _LONG]
+        out[np.searchsorted(offsets, long, side="right") - 1] = False
+        return out
+
+    def encode_group(self, data: np.ndarray, offsets: np.ndarray) -> Iterator[bytes]:
+        """The ids of each text of a group (:func:`text_bytes.groups`); the texts are judged together."""
+        for first, stop, fast in zip(offsets[:-1].tolist(), offsets[1:].tolist(), self._settled(data, offsets).tolist()):
+            text = data[first:stop].tobytes().decode("utf-8", "replace")
+            if fast:
+                yield self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+            else:
+                yield self._slow(text)
+
     def encode(self, text: str) -> bytes:
-        if not text:
-            return b""
-        if any(c in text for c in _ODD):
-            return self._by_library(text)
-        raw = np.frombuffer(text.encode(), np.uint8)
-        space = IS_SPACE[raw]
-        edges = np.flatnonzero(space[1:] != space[:-1])
-        longest = np.diff(edges, prepend=-1, append=len(raw) - 1).max()
-        if self._fast is None or raw.max() > _SETTLED or longest > _LONG:
-            return self._by_word(text)
-        return self._fast.encode_to_numpy(text, disallowed_special=()).astype("<u4", copy=False).tobytes()
+        data = np.frombuffer(text.encode(), np.uint8)
+        return next(self.encode_group(data, np.array([0, len(data)])))

@@ -25,6 +25,7 @@ from pyspark.sql import functions as F
 
 from tidewater.llm.bpe_codec import BpeCodec
 from tidewater.llm.common import release_memory
+from tidewater.llm.text_bytes import groups
 
 WINDOW = 2048
 END_ID = 1
@@ -177,11 +178,13 @@ def pack(docs: DataFrame, tokenizer: str, id_col: str = "doc_id", text_col: str
         end = int(end_id).to_bytes(ID_BYTES, "little")
         done: list = []
         for b in batches:
-            for doc, text in zip(b.column("doc_id").to_pylist(), b.column("_text")):
-                done.extend(packer.add(doc, codec.encode(text.as_py() or "") + end))
-                if len(done) >= _ROWS:
-                    yield rows(done, block)
-                    done = []
+            docs_here = iter(b.column("doc_id").to_pylist())
+            for _, _, data, offsets in groups(b.column("_text")):
+                for ids in codec.encode_group(data, offsets):
+                    done.extend(packer.add(next(docs_here), ids + end))
+                    if len(done) >= _ROWS:
+                        yield rows(done, block)
+                        done = []
             release_memory()
         done.extend(packer.close())
         if done:
