@@ -11,6 +11,7 @@ again overwrites its own slices, so nothing is skipped and nothing lands twice.
 from __future__ import annotations
 
 from collections.abc import Callable
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -68,11 +69,15 @@ def land_batch(batch: DataFrame, batch_id: int, routes: Callable[[], RouteTable]
             F.count(F.lit(1)).alias("n"), F.min(us).alias("first"), F.max(us).alias("last")).collect()
         stats = [(r["producer"], r["n"], r["first"], r["last"]) for r in per if r["ok"]]
         counts = {"landed": sum(s[1] for s in stats), "rejected": sum(r["n"] for r in per if not r["ok"])}
-        L.write_landing(L.envelope(G.accepted(gated), batch_id), landing_path, stream, batch_id, table, stats)
-        write_slice(G.rejected(gated).hint("rebalance"), rejects_path, stream, batch_id)
+        sinks = [(L.write_landing, L.envelope(G.accepted(gated), batch_id), landing_path, stream, batch_id, table, stats),
+                 (write_slice, G.rejected(gated).hint("rebalance"), rejects_path, stream, batch_id)]
         if metrics_path:
             # metrics from the same gated frame: no second gate pass, and route swaps apply
-            write_slice(batch_metrics(gated), metrics_path, stream, batch_id)
+            sinks.append((write_slice, batch_metrics(gated), metrics_path, stream, batch_id))
+        # the sinks share nothing but the cached batch, and each write is mostly a job's fixed cost: side by side
+        with ThreadPoolExecutor(len(sinks)) as pool:
+            for written in [pool.submit(*sink) for sink in sinks]:
+                written.result()
     finally:
         gated.unpersist()
     record = spark.range(1).select(F.lit(counts["landed"]).cast("long").alias("landed"),
