@@ -58,6 +58,9 @@ def main() -> None:
 
     queries, builds = {}, {}
     for name, fn in S.REGISTRY.items():
+        if name in S.STATEFUL:                       # they write as they are built, so that is the run: once, whole
+            queries[name] = timed(lambda fn=fn: run_noop(fn(spark, sf_dir)))
+            continue
         builds[name] = timed(lambda fn=fn: fn(spark, sf_dir), RUNS)      # plan construction and route compile alone
         queries[name] = timed(lambda fn=fn: run_noop(fn(spark, sf_dir)), RUNS)
 
@@ -112,7 +115,7 @@ def main() -> None:
     target = PV.table_name(route.iceberg)
     consumed = {}
     queries["consume_run"] = timed(lambda: consumed.update(P.pull_into_table(
-        spark, landed, target, "signup", route.columns, S.SETTINGS.merge_key, version=1)))
+        spark, landing, target, "signup", route.columns, S.SETTINGS.merge_key, version=1)))
     extra["consume_rows"] = consumed.get("pulled")
     reqs.unpersist()
 

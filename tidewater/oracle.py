@@ -7,7 +7,7 @@ checks every verdict.
 
 from __future__ import annotations
 
-from tidewater.scenarios import MIX_UNIONS, MIX_VALUES, SETTINGS
+from tidewater.scenarios import COMMITS, MIX_UNIONS, MIX_VALUES, NODES, RENAMES, SETTINGS
 
 MAX_LEN = SETTINGS.max_content_length
 # Fixed value: the CRC-64-AVRO fingerprint of the demo event schema.
@@ -305,4 +305,28 @@ SELECT 'mx-' || event_id AS request_id, CAST(CASE WHEN ok THEN 202 ELSE 400 END
 FROM (SELECT event_id, [@VALUES@][event_id % @NV@ + 1] AND [@UNIONS@][(event_id // @NV@) % @NU@ + 1] AS ok FROM events)"""
     .replace("@VALUES@", ", ".join(str(ok).lower() for _, ok in MIX_VALUES)).replace("@NV@", str(len(MIX_VALUES)))
     .replace("@UNIONS@", ", ".join(str(ok).lower() for _, ok in MIX_UNIONS)).replace("@NU@", str(len(MIX_UNIONS))),
+    "drained_rows": WITH + f"""
+SELECT CAST(epoch_ms(received_at) // 1000 % {COMMITS} AS INTEGER) AS drain, {ID} AS id, {UTC_TEXT} AS timestampUTC
+FROM landed WHERE producer = 'click'""",
+    "pulled_commits": WITH + f"""
+SELECT {ID} AS id, {UTC_TEXT} AS timestampUTC, payload
+FROM landed WHERE producer = 'signup' AND epoch_ms(received_at) // 1000 % {COMMITS} > 0""",
+    "window_slo": WITH + """
+SELECT strftime(hour, '%Y-%m-%dT%H') AS hour, producer, count(*) AS requests,
+       CAST(min(duration_ms) FILTER (WHERE rn >= 0.95 * n) AS BIGINT) AS p95_ms,
+       CAST(min(duration_ms) FILTER (WHERE rn >= 0.99 * n) AS BIGINT) AS p99_ms
+FROM (SELECT *, row_number() OVER (PARTITION BY hour, producer ORDER BY duration_ms) AS rn, count(*) OVER (PARTITION BY hour, producer) AS n
+      FROM (SELECT *, date_trunc('hour', received_at) AS hour FROM outcomes))
+GROUP BY hour, producer""",
+    "conformity_chains": """
+SELECT 'chain-' || event_id AS request_id, CAST(CASE WHEN ok THEN 202 ELSE 400 END AS INTEGER) AS status,
+       CASE WHEN NOT ok THEN 'schema_validation' END AS error_code
+FROM (SELECT event_id, [@OK@][event_id % @N@ + 1] AS ok FROM events)"""
+    .replace("@OK@", ", ".join(str(ok).lower() for _, ok in NODES)).replace("@N@", str(len(NODES))),
+    "renamed_bodies": """
+SELECT 'renamed-' || event_id AS request_id, 202 AS status, payload, CAST(strlen(payload) AS BIGINT) AS payload_bytes
+FROM (SELECT event_id, replace([@TEXTS@][event_id % @N@ + 1], '#', CAST(user_id AS VARCHAR)) AS payload FROM events)"""
+    .replace("@TEXTS@", ", ".join("'" + t.replace("'", "''") + "'" for _, t in RENAMES)).replace("@N@", str(len(RENAMES))),
 }
+SQL["bucket_merge"] = SQL["merge_target"]
+SQL["route_folds"] = SQL["route_changes"]

@@ -7,22 +7,26 @@ matching SQL that an independent engine runs on the same tables.
 from __future__ import annotations
 
 import json
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from tidewater.operators import gate as G
 from tidewater.operators import landing as L
+from tidewater.operators import manifest as MF
 from tidewater.operators import metrics as M
 from tidewater.operators import pull as P
 from tidewater.operators import route_log as RL
 from tidewater.plans import layout as LY
 from tidewater.plans.routes import RouteTable, compile_routes
-from tidewater.session import ensure_utc
+from tidewater.session import checkpoint_dir, ensure_utc, materialised
 from tidewater.settings import Settings
 from tidewater.sources import requests as RQ
 from tidewater.sources import routes as R
 from tidewater.sources import testdata as TD
+from tidewater.streaming import landing_stream as LS
+from tidewater.streaming import window_metrics as WM
 
 # The demo route configuration served to the event-derived pushes.
 EVENT_SCHEMA = json.dumps({
@@ -427,6 +431,137 @@ MIX_UNIONS = [("null", True), ('{"long":5}', True), ("5", False), ('{"int":5}',
               ('{"long":1,"x":2}', False)]
 
 
+# --- state kept between runs (S3, S6, S7, C5, C7, T1, T2) --------------------------------------------
+
+def _folder(spark: SparkSession, name: str) -> str:
+    return f"{checkpoint_dir(spark).rstrip('/')}/{name}-{uuid.uuid4().hex}"
+
+
+#: Commits that event rows land in, by the millisecond they arrived.
+COMMITS = 3
+
+
+def _commits(spark: SparkSession, sf_dir: str):
+    """The landing folder and, one after the other, its commits written: yields each one's number."""
+    landed = materialised(landed_events(spark, sf_dir), "landed")
+    root = _folder(spark, "landing")
+    for k in range(COMMITS):
+        L.write_landing(landed.where(F.floor(F.col("createdAt") / 1000) % COMMITS == k), root, "events", k)
+        yield root, k
+
+
+def drained_rows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events land commit by commit, and after each `click` is drained, once across a compaction: every record by the
+    drain after its commit, and no other (S3, S7, W2)."""
+    out = None
+    for root, k in _commits(spark, sf_dir):
+        if k == COMMITS - 1:
+            MF.compact(spark, root, "click")
+            MF.fold(spark, root)
+        rows = LS.drain(spark, root, "click", f"{root}_reader", f"{root}_drain{k}").select(F.lit(k).alias("drain"), "id", "timestampUTC")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def pulled_commits(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What landed for `signup` after the first commit, read by position from a compacted run and a slice."""
+    for root, _ in _commits(spark, sf_dir):
+        pass
+    MF.compact(spark, root, "signup")
+    rows, _ = MF.read_new(spark, root, "signup", {"events": 0})
+    return rows.select("id", "timestampUTC", "payload")
+
+
+def bucket_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events merged by user into a bucketed target in three batches; the newest event per user wins."""
+    ev = TD.table(spark, sf_dir, "events").select("user_id", "event_id", "event_type", F.date_format("ts", "yyyy-MM-dd'T'HH:mm:ss.SSSSSS").alias("ts"))
+    name = f"merged_{uuid.uuid4().hex}"
+    P.create_bucketed_target(spark, name, "user_id BIGINT, event_id BIGINT, event_type STRING, ts STRING", _folder(spark, "target"), 16)
+    for k in range(3):
+        P.merge_buckets(spark, name, ev.where(F.col("event_id") % 3 == k), ["user_id"], ["ts", "event_id"])
+    return spark.table(name).drop(P.BUCKET)
+
+
+def route_folds(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The route log folded in three runs, each reading its new events alone, judged as the whole log is."""
+    events = route_events(spark, sf_dir)
+    end = events.agg(F.max("seq")).first()[0] or 0
+    fold = RL.RouteFold(spark, _folder(spark, "route-fold"))
+    out = None
+    for k in (1, 2, 3):
+        rows = fold.run(events.where(F.col("seq") <= end * k // 3)).select("seq", "event_type", "name", "changed")
+        out = rows if out is None else out.unionByName(rows)
+    return out
+
+
+def window_slo(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """p95 and p99 per hour and producer from merged sketches of minutes (T7's totals, A7); so few values are held exactly."""
+    minutes = WM.windowed(gated_events(spark, sf_dir), "1 minute")
+    hours = WM.slo_of_windows(minutes.withColumn("hour", F.date_trunc("hour", "window.start")), ["hour", "producer"])
+    return hours.select(F.date_format("hour", "yyyy-MM-dd'T'HH").alias("hour"), "producer", "requests", "p95_ms", "p99_ms")
+
+
+NODE_SCHEMA = json.dumps({"type": "record", "name": "Node", "fields": [
+    {"name": "v", "type": ["long", "string", {"type": "array", "items": "Node"}]}, {"name": "next", "type": ["null", "Node"]}]})
+# Documents (# stands for a number) and whether they are such a chain in Avro's JSON encoding.
+NODES = [
+    ('{"v":{"long":#},"next":null}', True),
+    ('{"v":{"string":"a"},"next":{"Node":{"v":{"long":#},"next":null}}}', True),
+    ('{"v":{"long":"#"},"next":null}', False),
+    ('{"v":{"int":#},"next":null}', False),
+    ('{"v":{"long":#},"next":{"Node":{"v":{"long":#},"next":{"Node":{"v":{"long":1.5},"next":null}}}}}', False),
+    ('{"v":{"long":#},"next":{"Node":{"v":{"long":#}}}}', False),
+    ('{"next":{"Node":{"next":{"Node":{"v":{"array":[]},"next":null}},"v":{"long":#}}},"v":{"long":7.0},"x":#}', True),
+    ('{"v":{"array":[{"v":{"long":#},"next":null},{"v":{"string":"#"},"next":null}]},"next":null}', True),
+    ('{"v":{"array":[{"v":{"long":#},"next":null},{"v":{"string":#},"next":null}]},"next":null}', False),
+    ('{"v":{"long":1,"string":"#"},"next":null}', False),
+    ('{"v":null,"next":null}', False),
+]
+
+
+def _pushed(ev: DataFrame, producer: str, body) -> DataFrame:
+    return RQ.conform(ev.select(
+        F.concat(F.lit(f"{producer}-"), F.col("event_id").cast("string")).alias("request_id"), F.col("ts").cast("timestamp").alias("received_at"),
+        F.lit("v1").alias("api_version"), F.lit(producer).alias("producer"), F.lit("application/json").alias("content_type"),
+        F.octet_length(body).cast("long").alias("content_length"), body.alias("body")))
+
+
+def conformity_chains(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Documents against a schema that refers to itself, with unions of several types and arrays of records."""
+    ensure_utc(spark)
+    ev = TD.table(spark, sf_dir, "events")
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in NODES]), (F.col("event_id") % len(NODES) + 1).cast("int"))
+    reqs = _pushed(ev, "chain", F.replace(text, F.lit("#"), F.col("user_id").cast("string")))
+    routes = [{"name": "route-chain", "spec": {"consumerId": "chain", "schemaSubject": "chain", "schemaVersion": 1, "payloadSchema": NODE_SCHEMA}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    return G.outcomes(G.gate(reqs, table, spark)).select("request_id", "status", "error_code")
+
+
+# Documents (# stands for a number) and what the rename makes of them.
+RENAMES = [
+    ('{"id":#}', '{"push_event_id":#}'),
+    ('{ "k" : {"id":#} ,  "id" : 1#1234567890123456789012345678901234567890 , "z":1.50}',
+     '{ "k" : {"id":#} ,  "push_event_id" : 1#1234567890123456789012345678901234567890 , "z":1.50}'),
+    ('{"b":[{"id":1},"id",#],"a":"\\"id\\":","id":{"y":1,"x":2}}', '{"b":[{"id":1},"id",#],"a":"\\"id\\":","push_event_id":{"y":1,"x":2}}'),
+    ('{"id":#,"push_event_id":1}', '{"id":#,"push_event_id":1}'),
+    ('[{"id":#}]', '[{"id":#}]'),
+    ('{"k":{"id":#}}', '{"k":{"id":#}}'),
+    ('{"id":#} and more', '{"id":#} and more'),
+]
+
+
+def renamed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Root ids renamed in place: numbers of any length, member order, white space and escapes stay as sent."""
+    ensure_utc(spark)
+    ev = TD.table(spark, sf_dir, "events")
+    text = F.element_at(F.array(*[F.lit(t) for t, _ in RENAMES]), (F.col("event_id") % len(RENAMES) + 1).cast("int"))
+    reqs = _pushed(ev, "renamed", F.replace(text, F.lit("#"), F.col("user_id").cast("string")))
+    routes = [{"name": "route-renamed", "spec": {"consumerId": "renamed", "schemaSubject": "renamed", "schemaVersion": 1,
+                                                 "iceberg": dict(TARGET, tableName="renamed", columns=[{"name": "x", "type": "int"}])}}]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    return G.gate(reqs, table, spark).select("request_id", "status", "payload", "payload_bytes")
+
+
 REGISTRY = {
     "gate_outcomes": gate_outcomes,
     "landing_rows": landing_rows,
@@ -457,4 +592,14 @@ REGISTRY = {
     "array_merge": array_merge,
     "declared_envelope": declared_envelope,
     "conformity_mix": conformity_mix,
+    "drained_rows": drained_rows,
+    "pulled_commits": pulled_commits,
+    "bucket_merge": bucket_merge,
+    "route_folds": route_folds,
+    "window_slo": window_slo,
+    "conformity_chains": conformity_chains,
+    "renamed_bodies": renamed_bodies,
 }
+
+#: Queries that keep state between runs of their own: they write while they are built.
+STATEFUL = frozenset({"drained_rows", "pulled_commits", "bucket_merge", "route_folds"})
