@@ -19,6 +19,8 @@ from __future__ import annotations
 import math
 import re
 from collections import Counter, defaultdict
+from functools import cached_property
+from itertools import compress
 
 import numpy as np
 import pandas as pd
@@ -50,30 +52,32 @@ COMMON = frozenset("a an the this that these those i you he she it we they me hi
                    "could will would shall should may might must not no yes there here now later next finally also each every all "
                    "both some any many much more most few less least another other such same only just again once let".split())
 
-_TOKENS = re.compile(r"(?:[.!?\n]\W*)?(?:\d+(?:[.,]\d+)*|\w+)")
-_STARTS = re.compile(r"[.!?\n]\W*")
+#: Words and numbers, and the marks that end sentences (or lines) as tokens of their own.
+_TOKENS = re.compile(r"\d+(?:[.,]\d+)*|\w+|[.!?\n]")
+_MARKS = frozenset(".!?\n")
 LITERAL, NUMBER, UNIT, NAME = 0, 1, 2, 3
-_CAPITAL, _START = 4, 8               # flags beside a word's kind
+_CAPITAL, _START = 4, 8               # flags beside a word's kind, and of a mark
 _SLOT = {k: np.uint64(xxhash.xxh3_64_intdigest(f"<slot {k}>")) for k in (NUMBER, UNIT, NAME)}
 _FACTORS = mix64(np.arange(1, WINDOW + 1, dtype=np.uint64) * np.uint64(0x9E3779B97F4A7C15)) | np.uint64(1)
 
 
-def _classify(raw: str) -> int:
-    """Hash of the lower-cased word with its kind, as far as the word alone tells it, in the two lowest bits,
-    then whether the open template takes it for a name, and whether it begins a sentence."""
-    start = _STARTS.match(raw)
-    word = raw[start.end():] if start else raw
+def _classify(word: str) -> int:
+    """Hash of the lower-cased word with its kind, as far as the word alone tells it inside a sentence, in the two lowest
+    bits, then whether the open template takes it for a name; of a mark the flag alone that the next word begins a
+    sentence."""
+    if word in _MARKS:
+        return _START
     low = word.lower()
     if word[0].isdigit() or low in NUMBER_WORDS:
         kind = NUMBER
     elif low in UNITS:
         kind = UNIT
-    elif not start and word[0].isupper() and word[1:].islower():
+    elif word[0].isupper() and word[1:].islower():
         kind = NAME
     else:
         kind = LITERAL
     capital = kind in (LITERAL, NAME) and word[0].isupper() and low not in COMMON
-    return xxhash.xxh3_64_intdigest(low) & ~15 | kind | _CAPITAL * capital | _START * bool(start)
+    return xxhash.xxh3_64_intdigest(low) & ~15 | kind | _CAPITAL * capital
 
 
 _WORDS = Memo(_classify, 150_000)
@@ -83,10 +87,16 @@ class Template:
     """A text's words: hashes, kinds, and window hashes of its literal, its typed and its open template."""
 
     def __init__(self, text: str | None):
-        self.raw = _TOKENS.findall("\n" + text) if text else []
-        known = np.fromiter(map(_WORDS.__getitem__, self.raw), np.uint64, len(self.raw))
+        self._tokens = _TOKENS.findall(text) if text else []
+        known = np.fromiter(map(_WORDS.__getitem__, self._tokens), np.uint64, len(self._tokens))
+        mark = (known & np.uint64(_START)) != 0
+        start = np.ones(len(known), bool)                         # the text begins a sentence
+        start[1:] = mark[:-1]
+        self._is_word = ~mark
+        known, start = known[self._is_word], start[self._is_word]
         self.word = known & ~np.uint64(15)
         kind = (known & np.uint64(3)).astype(np.int8)
+        kind[(kind == NAME) & start] = LITERAL                    # a capital there says nothing
         after_number = np.zeros(len(kind), bool)
         after_number[1:] = kind[:-1] == NUMBER
         kind[(kind == UNIT) & ~after_number] = LITERAL            # a unit is one behind a number only
@@ -103,7 +113,7 @@ class Template:
         self.typed = self.literal if typed is literal else self._windows(typed)
         self.name = (known & np.uint64(_CAPITAL)) != 0
         inner = self.name.copy()                                  # goes on with the name before it
-        inner[1:] &= self.name[:-1] & ((known[1:] & np.uint64(_START)) == 0)
+        inner[1:] &= self.name[:-1] & ~start[1:]
         inner[:1] = False
         self.first = np.flatnonzero(~inner)                       # where the open template's words begin
         if len(self.first) == len(kind) and (self.name == (kind == NAME)).all():
@@ -132,9 +142,13 @@ class Template:
         """The window hashes of all templates that differ."""
         return [self.literal] + [self.typed] * (self.typed is not self.literal) + [self.open] * (self.open is not self.typed)
 
+    @cached_property
+    def raw(self) -> list[str]:
+        """The words as they stand; only candidates are asked."""
+        return list(compress(self._tokens, self._is_word))
+
     def _word(self, at: int) -> str:
-        start = _STARTS.match(self.raw[at])
-        return (self.raw[at][start.end():] if start else self.raw[at]).lower()
+        return self.raw[at].lower()
 
     def value(self, at: int, family: str = "literal") -> str:
         """A word of a template; in the open one a name may be of several words."""
