@@ -306,11 +306,11 @@ FROM (SELECT event_id, [@VALUES@][event_id % @NV@ + 1] AND [@UNIONS@][(event_id
     .replace("@VALUES@", ", ".join(str(ok).lower() for _, ok in MIX_VALUES)).replace("@NV@", str(len(MIX_VALUES)))
     .replace("@UNIONS@", ", ".join(str(ok).lower() for _, ok in MIX_UNIONS)).replace("@NU@", str(len(MIX_UNIONS))),
     "drained_rows": WITH + f"""
-SELECT CAST(epoch_ms(received_at) // 1000 % {COMMITS} AS INTEGER) AS drain, {ID} AS id, {UTC_TEXT} AS timestampUTC
+SELECT CAST(epoch_us(received_at) // 1000000 % {COMMITS} AS INTEGER) AS drain, {ID} AS id, {UTC_TEXT} AS timestampUTC
 FROM landed WHERE producer = 'click'""",
     "pulled_commits": WITH + f"""
 SELECT {ID} AS id, {UTC_TEXT} AS timestampUTC, payload
-FROM landed WHERE producer = 'signup' AND epoch_ms(received_at) // 1000 % {COMMITS} > 0""",
+FROM landed WHERE producer = 'signup' AND epoch_us(received_at) // 1000000 % {COMMITS} > 0""",
     "window_slo": WITH + """
 SELECT strftime(hour, '%Y-%m-%dT%H') AS hour, producer, count(*) AS requests,
        CAST(min(duration_ms) FILTER (WHERE rn >= 0.95 * n) AS BIGINT) AS p95_ms,
@@ -328,5 +328,24 @@ SELECT 'renamed-' || event_id AS request_id, 202 AS status, payload, CAST(strlen
 FROM (SELECT event_id, replace([@TEXTS@][event_id % @N@ + 1], '#', CAST(user_id AS VARCHAR)) AS payload FROM events)"""
     .replace("@TEXTS@", ", ".join("'" + t.replace("'", "''") + "'" for _, t in RENAMES)).replace("@N@", str(len(RENAMES))),
 }
+SQL["landing_table"] = WITH + f"""
+SELECT producer, CAST(epoch_us(received_at) // 1000000 % 2 AS BIGINT) AS batch_id, {ID} AS id, {UTC_TEXT} AS timestampUTC,
+       schema_subject AS schemaSubject, CAST(schema_version AS INTEGER) AS schemaVersion
+FROM landed"""
+SQL["consumed_target"] = WITH + f"""
+SELECT CAST(json_extract(props, '$.k') AS INTEGER) AS k, {UTC_TEXT} AS timestampUTC, {ID} AS merge_key
+FROM landed WHERE producer = 'signup'"""
+SQL["streamed_landing"] = WITH + f"""
+SELECT producer, {ID} AS id, CAST(NULL AS VARCHAR) AS error_code FROM landed
+UNION ALL
+SELECT producer, request_id AS id, error_code FROM outcomes WHERE error_code IS NOT NULL"""
+SQL["tagged_totals"] = f"SELECT *, 'ingest' AS service, 'demo' AS env FROM ({SQL['requests_total']})"
+SQL["name_collisions"] = """
+WITH c AS (
+  SELECT DISTINCT 'r' || (event_id % 50) AS route_name,
+         CASE event_id % 3 WHEN 0 THEN 'Col' WHEN 1 THEN 'COL' ELSE 'other' END || (user_id % 40) AS column_name FROM events)
+SELECT route_name, lower(column_name) AS lower_name, count(*) AS n, string_agg(column_name, ',' ORDER BY column_name) AS names
+FROM c GROUP BY 1, 2 HAVING count(*) > 1"""
+SQL["streamed_windows"] = SQL["metric_windows"]
 SQL["bucket_merge"] = SQL["merge_target"]
 SQL["route_folds"] = SQL["route_changes"]

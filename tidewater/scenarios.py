@@ -16,6 +16,7 @@ from tidewater.operators import gate as G
 from tidewater.operators import landing as L
 from tidewater.operators import manifest as MF
 from tidewater.operators import metrics as M
+from tidewater.operators import provision as PV
 from tidewater.operators import pull as P
 from tidewater.operators import route_log as RL
 from tidewater.plans import layout as LY
@@ -446,7 +447,7 @@ def _commits(spark: SparkSession, sf_dir: str):
     landed = materialised(landed_events(spark, sf_dir), "landed")
     root = _folder(spark, "landing")
     for k in range(COMMITS):
-        L.write_landing(landed.where(F.floor(F.col("createdAt") / 1000) % COMMITS == k), root, "events", k)
+        L.write_landing(landed.where(F.unix_seconds("ts") % COMMITS == k), root, "events", k)
         yield root, k
 
 
@@ -562,6 +563,75 @@ def renamed_bodies(spark: SparkSession, sf_dir: str) -> DataFrame:
     return G.gate(reqs, table, spark).select("request_id", "status", "payload", "payload_bytes")
 
 
+def landing_table(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Events landed in two commits, read through the table that was ensured over their folder."""
+    landed = materialised(landed_events(spark, sf_dir), "landed")
+    root, name = _folder(spark, "landing"), f"landing_{uuid.uuid4().hex}"
+    L.ensure_landing_table(spark, name, root, auto_create=True)
+    for k in range(2):
+        L.write_landing(landed.where(F.unix_seconds("ts") % 2 == k), root, "events", k, name)
+    return spark.table(name).select("producer", "batch_id", "id", "timestampUTC", "schemaSubject", "schemaVersion")
+
+
+CONSUMED = [{"name": "route-consumed", "spec": {"consumerId": "signup", "schemaSubject": "signup-event", "schemaVersion": 3, "payloadSchema": EVENT_SCHEMA,
+                                                "jsonExpressionPointer": "/payload"}}]
+
+
+def consumed_target(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A target provisioned from its route's schema and pointer, filled by a consumer run after each of three commits, the
+    second one twice: layout, properties, pointer on read, decode, envelope, merge, position (S5, D13, C2-C5, C7)."""
+    name = f"t{uuid.uuid4().hex}"
+    routes = [dict(r, spec=dict(r["spec"], iceberg=dict(TARGET, tableName=name))) for r in CONSUMED]
+    table = compile_routes(R.flatten_routes(R.route_resources_df(spark, routes)), SETTINGS)
+    PV.provision(spark, table, location_root=_folder(spark, "targets"))
+    route = table.by_producer()["signup"]
+    landed = materialised(L.envelope(G.accepted(G.gate(event_requests(spark, sf_dir), table, spark))), "landed")
+    root, target = _folder(spark, "landing"), PV.table_name(route.iceberg)
+    for k in range(COMMITS):
+        L.write_landing(landed.where(F.unix_seconds("ts") % COMMITS == k), root, "events", k)
+        for _ in range(1 + (k == 1)):
+            P.pull_into_table(spark, root, target, "signup", route.columns, SETTINGS.merge_key, version=1)
+    return spark.table(target)
+
+
+def _request_files(spark: SparkSession, sf_dir: str) -> str:
+    path = _folder(spark, "requests")
+    event_requests(spark, sf_dir).repartition(3, "request_id").write.parquet(path)
+    return path
+
+
+def streamed_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pushes read as a stream, a file a batch, gated and landed with routes read anew each batch."""
+    requests, root = _request_files(spark, sf_dir), _folder(spark, "landing")
+    LS.start_landing(RQ.stream_requests(spark, requests, max_files_per_trigger=1), lambda: event_routes(spark), root, f"{root}_rejects").awaitTermination()
+    landed = L.read_landing(spark, root).select("producer", "id", F.lit(None).cast("string").alias("error_code"))
+    rejects = spark.read.parquet(f"{root}_rejects").select("producer", F.col("request_id").alias("id"), "error_code")
+    return landed.unionByName(rejects)
+
+
+def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Windowed totals kept by a stateful stream over files out of order, some batches folded."""
+    requests, path = _request_files(spark, sf_dir), _folder(spark, "windows")
+    WM.start_window_metrics(RQ.stream_requests(spark, requests, max_files_per_trigger=1), lambda: event_routes(spark), path, window="1 hour",
+                            watermark="400 days", fold_every=2).awaitTermination()
+    rows = WM.read_windows(spark, path)
+    return rows.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "producer", *M.WINDOW_COUNTS)
+
+
+def tagged_totals(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Requests by producer and outcome with static tags (A1, A5)."""
+    return M.requests_total(gated_events(spark, sf_dir), {"service": "ingest", "env": "demo"})
+
+
+def name_collisions(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Column names that collide ignoring case, over column lists derived from events."""
+    ev = TD.table(spark, sf_dir, "events")
+    name = F.concat(F.when(F.col("event_id") % 3 == 0, F.lit("Col")).when(F.col("event_id") % 3 == 1, F.lit("COL")).otherwise(F.lit("other")),
+                    (F.col("user_id") % 40).cast("string"))
+    cols = ev.select(F.concat(F.lit("r"), (F.col("event_id") % 50).cast("string")).alias("route_name"), name.alias("column_name")).distinct()
+    return M.name_collisions(cols).select("route_name", "lower_name", "n", F.concat_ws(",", "names").alias("names"))
+
+
 REGISTRY = {
     "gate_outcomes": gate_outcomes,
     "landing_rows": landing_rows,
@@ -599,7 +669,14 @@ REGISTRY = {
     "window_slo": window_slo,
     "conformity_chains": conformity_chains,
     "renamed_bodies": renamed_bodies,
+    "landing_table": landing_table,
+    "consumed_target": consumed_target,
+    "streamed_landing": streamed_landing,
+    "streamed_windows": streamed_windows,
+    "tagged_totals": tagged_totals,
+    "name_collisions": name_collisions,
 }
 
 #: Queries that keep state between runs of their own: they write while they are built.
-STATEFUL = frozenset({"drained_rows", "pulled_commits", "bucket_merge", "route_folds"})
+STATEFUL = frozenset({"drained_rows", "pulled_commits", "bucket_merge", "route_folds", "landing_table", "consumed_target", "streamed_landing",
+                      "streamed_windows"})
