@@ -159,3 +159,36 @@ def test_landing_stream_metrics_match_batch(spark, scratch):
         F.count_if(F.col("status") == 202).alias("a"), F.count_if(F.col("status") != 202).alias("r"),
         F.sum(F.when(F.col("status") == 202, F.col("payload_bytes")).otherwise(0)).alias("b"))
     assert sorted(tuple(r) for r in got.collect()) == sorted(tuple(r) for r in want.collect())
+
+
+def _events(spark, scratch, rows):
+    types = F.element_at(F.array(*[F.lit(x) for x in ("click", "view", "purchase", "signup", "error")]), (F.col("id") % 5 + 1).cast("int"))
+    spark.range(rows).select(
+        F.col("id").alias("event_id"), F.timestamp_seconds(F.lit(1_704_067_200) + F.col("id") * 97 % 86_400).cast("timestamp_ntz").alias("ts"),
+        (F.col("id") % 50).alias("user_id"), types.alias("event_type"), F.col("id").cast("double").alias("value"),
+        F.concat(F.lit('{"k":'), (F.col("id") % 100).cast("string"), F.lit("}")).alias("props")).coalesce(1).write.parquet(f"{scratch}/events.parquet")
+    return scratch
+
+
+def test_request_files_are_bounded_in_rows_and_read_in_three_batches(spark, scratch, monkeypatch):
+    """Neither what writes the requests nor what gates a batch is a fixed number of tasks: files grow with the rows."""
+    sf = _events(spark, scratch, 900)
+    monkeypatch.setattr(S, "REQUEST_FILE_ROWS", 100)
+    monkeypatch.setattr(S, "_folder", lambda spark, name: f"{scratch}/{name}")
+    landed = S.streamed_landing(spark, sf)
+    files = spark.read.parquet(f"{scratch}/requests").select(F.input_file_name().alias("f")).groupBy("f").count().collect()
+    assert len(files) == 9 and max(r["count"] for r in files) < 200
+    commits = LS.read_commits(spark, f"{scratch}/landing_commits").collect()
+    assert len(commits) == 3 and sum(r["landed"] + r["rejected"] for r in commits) == 900
+    gated = G.gate(S.event_requests(spark, sf), S.event_routes(spark), spark)
+    want = gated.select("producer", "error_code").exceptAll(landed.select("producer", "error_code"))
+    assert want.count() == 0 and landed.count() == 900
+
+
+def test_windows_over_many_request_files_equal_the_batch(spark, scratch, monkeypatch):
+    sf = _events(spark, scratch, 900)
+    monkeypatch.setattr(S, "REQUEST_FILE_ROWS", 100)
+    monkeypatch.setattr(S, "_folder", lambda spark, name: f"{scratch}/{name}")
+    rows = S.streamed_windows(spark, sf).collect()
+    assert sorted(rows) == sorted(S.metric_windows(spark, sf).collect())
+    assert spark.read.parquet(f"{scratch}/requests").select(F.input_file_name()).distinct().count() == 9

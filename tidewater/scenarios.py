@@ -594,16 +594,25 @@ def consumed_target(spark: SparkSession, sf_dir: str) -> DataFrame:
     return spark.table(target)
 
 
-def _request_files(spark: SparkSession, sf_dir: str) -> str:
+#: The request files of a stream are read in this many batches, and none of them holds many more rows than this.
+REQUEST_BATCHES = 3
+REQUEST_FILE_ROWS = 50_000
+
+
+def _request_files(spark: SparkSession, sf_dir: str) -> tuple[str, int]:
+    """The requests written as files of a bounded number of rows, in no order of time, and how many of them make a batch: what
+    writes them and what gates a batch are as many tasks as the rows call for."""
     path = _folder(spark, "requests")
-    event_requests(spark, sf_dir).repartition(3, "request_id").write.parquet(path)
-    return path
+    rows = TD.table(spark, sf_dir, "events").count()
+    batch = max(1, -(-rows // (REQUEST_BATCHES * REQUEST_FILE_ROWS)))
+    event_requests(spark, sf_dir).repartition(REQUEST_BATCHES * batch, "request_id").write.parquet(path)
+    return path, batch
 
 
 def streamed_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Pushes read as a stream, a file a batch, gated and landed with routes read anew each batch."""
-    requests, root = _request_files(spark, sf_dir), _folder(spark, "landing")
-    LS.start_landing(RQ.stream_requests(spark, requests, max_files_per_trigger=1), lambda: event_routes(spark), root, f"{root}_rejects").awaitTermination()
+    """Pushes read as a stream, some files a batch, gated and landed with routes read anew each batch."""
+    (requests, files), root = _request_files(spark, sf_dir), _folder(spark, "landing")
+    LS.start_landing(RQ.stream_requests(spark, requests, max_files_per_trigger=files), lambda: event_routes(spark), root, f"{root}_rejects").awaitTermination()
     landed = L.read_landing(spark, root).select("producer", "id", F.lit(None).cast("string").alias("error_code"))
     rejects = spark.read.parquet(f"{root}_rejects").select("producer", F.col("request_id").alias("id"), "error_code")
     return landed.unionByName(rejects)
@@ -611,8 +620,8 @@ def streamed_landing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def streamed_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Windowed totals kept by a stateful stream over files out of order, some batches folded."""
-    requests, path = _request_files(spark, sf_dir), _folder(spark, "windows")
-    WM.start_window_metrics(RQ.stream_requests(spark, requests, max_files_per_trigger=1), lambda: event_routes(spark), path, window="1 hour",
+    (requests, files), path = _request_files(spark, sf_dir), _folder(spark, "windows")
+    WM.start_window_metrics(RQ.stream_requests(spark, requests, max_files_per_trigger=files), lambda: event_routes(spark), path, window="1 hour",
                             watermark="400 days", fold_every=2).awaitTermination()
     rows = WM.read_windows(spark, path)
     return rows.select(F.date_format("window.start", "yyyy-MM-dd'T'HH:mm:ss").alias("window_start"), "producer", *M.WINDOW_COUNTS)
