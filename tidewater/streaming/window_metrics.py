@@ -100,7 +100,8 @@ def start_window_metrics(requests_stream: DataFrame, routes: Callable[[], RouteT
 
     def each(batch: DataFrame, batch_id: int) -> None:
         spark = batch.sparkSession
-        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).coalesce(1).write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
+        # rebalanced, not coalesced: a coalesce would pull the state's partitions into the one task that writes
+        batch.withColumn("batch_id", F.lit(batch_id).cast("bigint")).hint("rebalance").write.mode("overwrite").parquet(f"{path}/batches/batch={batch_id}")
         if batch_id % fold_every == fold_every - 1:
             fold_windows(spark, path)
 
