@@ -373,3 +373,19 @@ def test_hand_written_id_column_reads_the_renamed_member(spark, scratch):
     _land(spark, table, landing, [_push("handid", i, b, dt.datetime(2024, 1, 1)) for i, b in enumerate(bodies)])
     assert pull()["inserted"] == 3
     assert {(r["x"], r["id"]) for r in spark.table("pv.handid_tbl").collect()} == {(1, "e1"), (2, None), (3, "own")}
+
+
+def test_arrays_are_merged_by_as_many_tasks_as_their_lines_call_for(spark, scratch, monkeypatch):
+    """What a task sorts is bounded by the lines, not by the session's shuffle partitions; every line stays."""
+    from tidewater import scenarios as S
+    spark.range(300).select(F.col("id").alias("o_orderkey"), F.timestamp_seconds(F.col("id") * 86_400).cast("timestamp_ntz").alias("o_orderdate"),
+                            F.concat((F.col("id") % 5 + 1).cast("string"), F.lit("-X")).alias("o_orderpriority")).write.parquet(f"{scratch}/orders.parquet")
+    spark.range(1200).select((F.col("id") % 300).alias("l_orderkey"), (F.col("id") / 300).cast("int").alias("l_linenumber"),
+                             (F.col("id") * 7).alias("l_partkey"), F.lit("A").alias("l_returnflag")).write.parquet(f"{scratch}/lineitem.parquet")
+    monkeypatch.setattr(S, "LINES_A_TASK", 50)
+    merged = S.array_merge(spark, scratch)
+    per = merged.select(F.spark_partition_id().alias("p")).groupBy("p").count().collect()
+    assert len(per) > 16 and max(r["count"] for r in per) < 200
+    got = merged.select("l_orderkey", "l_linenumber", "l_partkey").collect()
+    assert sorted(tuple(r) for r in got) == sorted((i % 300, i // 300, i * 7) for i in range(1200))
+    assert S.payload_explode(spark, scratch).count() == 1200

@@ -127,14 +127,19 @@ def decode(df: DataFrame, columns: list[layout.Column], merge_key: str) -> DataF
     return df.select(*out)
 
 
-def merge(target: DataFrame | None, incoming: DataFrame, key: list[str], order: list[str]) -> DataFrame:
+def merge(target: DataFrame | None, incoming: DataFrame, key: list[str], order: list[str], parts: int | None = None) -> DataFrame:
     """Upsert by key, newest by ``order`` wins.
 
     A union plus a keyed ``max_by`` aggregate: Spark plans it as a partial aggregate
     before the shuffle and a final one after, so a hot key is collapsed map-side and
     never reaches one task whole.  ``merge_into_table`` writes and swaps the result.
+
+    With ``parts`` the rows are dealt by key to so many tasks, which sort them once: for merges of mostly distinct keys,
+    where a partial aggregate saves little and the session's shuffle partitions would hold more than a task should sort.
     """
     rows = incoming if target is None else target.unionByName(incoming)
+    if parts is not None:
+        rows = rows.repartition(parts, *key)
     others = [c for c in rows.columns if c not in key]
     agg = rows.groupBy(*key).agg(F.max_by(F.struct(*others), F.struct(*[F.col(c) for c in order])).alias("_w"))
     return agg.select(*key, *[F.col("_w")[c].alias(c) for c in others])

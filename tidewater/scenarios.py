@@ -210,10 +210,21 @@ ORDER_LINES = json.dumps({
 })
 
 
-def landed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
+#: Order lines that a task joins, collects, explodes and merges; what it sorts does not grow with the tables.
+LINES_A_TASK = 250_000
+
+
+def _line_parts(spark: SparkSession, sf_dir: str) -> int | None:
+    """Tasks that the lines call for, where those are more than the session's shuffle partitions."""
+    parts = -(-TD.table(spark, sf_dir, "lineitem").count() // LINES_A_TASK)
+    return parts if parts > int(spark.conf.get("spark.sql.shuffle.partitions")) else None
+
+
+def landed_orders(spark: SparkSession, sf_dir: str, parts: int | None = None) -> DataFrame:
     """Orders pushed as JSON arrays of their lines, landed.
 
-    ``l_comment`` is a nullable union, so it arrives tagged (``{"string": ...}``) on even lines.
+    ``l_comment`` is a nullable union, so it arrives tagged (``{"string": ...}``) on even lines.  With ``parts`` lines
+    and orders are dealt by order to so many tasks.
     """
     ensure_utc(spark)
     li = TD.table(spark, sf_dir, "lineitem")
@@ -221,6 +232,8 @@ def landed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
         F.concat(F.lit("line "), F.col("l_linenumber").cast("string")).alias("string")))
     line = F.struct("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", comment.alias("l_comment"))
     orders = TD.table(spark, sf_dir, "orders").select("o_orderkey", "o_orderdate", "o_orderpriority")
+    if parts is not None:
+        li, orders = li.repartition(parts, "l_orderkey"), orders.repartition(parts, "o_orderkey")
     per_order = (li.join(orders, li.l_orderkey == orders.o_orderkey)
                  .groupBy("o_orderkey", "o_orderdate", "o_orderpriority")
                  .agg(F.to_json(F.collect_list(line)).alias("body")))
@@ -238,7 +251,7 @@ def landed_orders(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 def payload_explode(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders pushed as JSON arrays of their lines, exploded and decoded."""
-    landed = landed_orders(spark, sf_dir)
+    landed = landed_orders(spark, sf_dir, _line_parts(spark, sf_dir))
     cols = LY.with_envelope_columns(LY.derive_columns(ORDER_LINES), SETTINGS.merge_key)
     out = P.decode(P.explode_payload(landed), cols, SETTINGS.merge_key)
     return out.select("l_orderkey", "l_linenumber", "l_partkey", "l_returnflag", "l_comment")
@@ -375,9 +388,10 @@ def metric_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
 def array_merge(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Orders pushed as arrays of their lines, exploded, decoded and merged by key: every line stays."""
     cols = LY.with_envelope_columns(LY.derive_columns(ORDER_LINES), SETTINGS.merge_key)
-    rows = P.decode(P.explode_payload(landed_orders(spark, sf_dir)), cols, SETTINGS.merge_key)
+    parts = _line_parts(spark, sf_dir)
+    rows = P.decode(P.explode_payload(landed_orders(spark, sf_dir, parts)), cols, SETTINGS.merge_key)
     twice = rows.select("*", F.explode(F.array(F.lit(1), F.lit(2))).alias("_copy")).drop("_copy")     # each row offered two times
-    merged = P.merge(None, twice, [SETTINGS.merge_key], ["timestampUTC"])
+    merged = P.merge(None, twice, [SETTINGS.merge_key], ["timestampUTC"], parts)
     return merged.select("l_orderkey", "l_linenumber", "l_partkey", "timestampUTC")
 
 
